@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardstream.llm import overlap
+from wardstream.llm import leakage, overlap
 from wardstream.runtime import table
 from wardstream.schema import FEATURES
 
@@ -17,7 +17,19 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(table(spark, d, "flows"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_report(spark, d).select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p6_found, p6_report, p6_cleaned)}
 
 _X = ", ".join(f"case when {c} is null or isnan({c}) or isinf({c}) then 0::double else {c}::double end as {c}" for c in FEATURES)
 _NEAR = " and ".join(f"abs(a.{c} - b.{c}) <= 0.005 * greatest(abs(a.{c}), abs(b.{c}))" for c in FEATURES)
@@ -27,7 +39,17 @@ k as (select *, case when f15 = 0 then -1000000 else floor(ln(abs(f15)) / 0.01)
 t as (select *, unnest([cell - 1, cell, cell + 1]) as near_cell from k where split = 'train'),
 p as (select a.ingest_id as t_id, b.ingest_id as e_id, a.label as t_label, {_SAME} as same from t a join k b on a.near_cell = b.cell and b.split <> 'train' and {_NEAR})"""
 
+_WORDS = lambda t: f"regexp_extract_all(lower(replace(replace({t}, chr(173), ''), chr(8203), '')), '[a-z0-9]+')"
+_GRAMS = lambda n, w: f"list_transform(range(1, len({w}) - {n} + 2), lambda i: array_to_string({w}[i:i + {n} - 1], ' '))"
+_LEAKS = f"""with e as (select item_id, {_WORDS("passage")} as w from eval_items where passage is not null),
+g as (select distinct item_id, least(13, len(w)) as n, unnest({_GRAMS("least(13, len(w))", "w")}) as gram from e where len(w) > 0),
+sizes as (select distinct n from g),
+t as (select doc_id, {_WORDS("text")} as w from documents where text is not null),
+h as (select distinct doc_id, n, unnest({_GRAMS("n", "w")}) as gram from t cross join sizes where len(w) >= n)
+select distinct doc_id, item_id from h join g using (n, gram)"""
+
 SQL = {
+    "p6_found": _LEAKS,
     "p2_found": f"{_PAIRS} select least(t_id, e_id) as id_a, greatest(t_id, e_id) as id_b from p",
     "p2_counts": f"""{_PAIRS}, e as (select e_id, count(*) as n, bool_or(same) as same, count_if(t_label = 0) as p0, count_if(t_label = 1) as p1 from p group by e_id)
 select split, sensor, count(*) as n_flows, count_if(coalesce(same, false)) as n_exact, count_if(coalesce(n, 0) > 0) as n_near,
