@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardstream.llm import leakage, overlap, quality
+from wardstream.llm import leakage, mixture, overlap, quality
 from wardstream.runtime import table
 from wardstream.schema import FEATURES
 
@@ -29,6 +29,14 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(table(spark, d, "documents"))
 
@@ -37,7 +45,7 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p6_found, p6_report, p6_cleaned, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p6_found, p6_report, p6_cleaned, p7_mixture, p7_shares, p8_found, p8_stats)}
 
 _X = ", ".join(f"case when {c} is null or isnan({c}) or isinf({c}) then 0::double else {c}::double end as {c}" for c in FEATURES)
 _NEAR = " and ".join(f"abs(a.{c} - b.{c}) <= 0.005 * greatest(abs(a.{c}), abs(b.{c}))" for c in FEATURES)
