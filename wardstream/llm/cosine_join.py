@@ -1,30 +1,29 @@
 """Near-equal numeric records across splits: a cosine join over inverted lists of term-weight vectors.
 
 A record of components x_1..x_m becomes a sparse unit vector. Each component lies on a logarithmic grid of
-cell width ``WIDTH``; a value farther than half a ``band`` from the cell borders has weight 1 on its cell,
-one inside the band is split between both neighbours as cos and sin of an angle that runs from 0 to pi/2
-across the band. Zero and each sign have cells of their own. The components are dealt into ``groups``; a
-group's terms are the combinations of its components' cells with the product of their weights, and the
-groups are weighted alike (1/sqrt(groups) each).
+some cell width (shifted differently for each component); a value farther than half a ``band`` from the cell
+borders has weight 1 on its cell, one inside the band is split between both neighbours as cos and sin of an
+angle that runs from 0 to pi/2 across the band. Zero and each sign have cells of their own. A term is a
+combination of one cell per component; its weight is the product of theirs, so that most records have one
+to four terms, and the vector has norm 1.
 
 Two values with |a - b| <= tol * max(|a|, |b|) have a logarithmic distance of at most -ln(1 - tol), hence
 angles at most pi/2 * distance / band apart, so their overlap is at least the cosine c of that, and two
-near-equal records have a dot product of at least t = c ** (components of the largest group). That makes
-the join complete: every near-equal pair has cosine >= t.
+near-equal records have a dot product of at least t = c ** m. That makes the join complete: every
+near-equal pair has cosine >= t.
 
 Pruning, for x of one split and y of the other:
 
-* residual norm: x enters only as many of its heaviest terms of the first group as leave a residual (the
-  rest of that group and all other groups) of norm at most rho < t. By Cauchy-Schwarz what x left out
-  contributes at most rho to any dot product.
+* residual norm: x enters only as many of its heaviest terms as leave a residual of norm at most rho < t.
+  By Cauchy-Schwarz what x left out contributes at most rho to any dot product.
 * maximum weight: y drops its lightest terms while the sum of their weights times the largest weight that
-  any list holds (1/sqrt(groups)) stays below t - rho.
+  any list can hold (1) stays below t - rho; terms whose list on the other side is empty (maximum weight 0)
+  drop out altogether.
 
 Together what both left out is below t, so a pair with cosine >= t still shares a term that both entered.
 
 Hot lists: where a term's lists would give more than ``HOT`` comparisons, its records are joined instead on
-terms of all components at once (one group), which splits the list by everything else they differ in. The
-same bounds hold there with that grouping's own t.
+a grid of a quarter of the width. The same bounds hold there with that grid's own t.
 """
 
 from __future__ import annotations
@@ -36,38 +35,43 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WIDTH = 0.6
-SHIFT = 0.37  # keeps small whole numbers away from the cell borders
+from wardstream.runtime import materialise
+
+WIDTH, BAND = 0.8, 0.04
 HOT = 4_000_000
+#: Up to so many keys of 16 bytes, counted before, are sent to all executors.
+BROADCAST_KEYS = 500_000
 _ZERO = 1 << 40
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Parameters of one index: columns of the group that is entered, number of groups, band width."""
+    """Parameters of an index over ``m`` components."""
 
-    columns: tuple[int, ...]
-    groups: int
-    band: float
+    m: int
     tol: float
+    width: float = WIDTH
+    band: float = BAND
 
     @property
     def threshold(self) -> float:
-        c = math.cos(math.pi / 2 * -math.log1p(-self.tol) / self.band)
-        return c ** len(self.columns) - 1e-9
+        return math.cos(math.pi / 2 * -math.log1p(-self.tol) / self.band) ** self.m - 1e-9
 
     @property
     def rho(self) -> float:
-        return self.threshold - 0.03
+        return 0.95 * self.threshold
 
+    @property
+    def shift(self) -> np.ndarray:
+        """Where each component's cells begin: spread evenly, so that equal values don't all meet a border."""
+        return (0.37 + np.arange(self.m) * 0.6180339887498949) % 1.0
 
-def grids(m: int, tol: float) -> tuple[Grid, Grid]:
-    """The first index (every third component, one of three groups) and the one for hot lists."""
-    k = min(3, m)
-    return Grid(tuple(range(0, m, k)), k, WIDTH / 10, tol), Grid(tuple(range(m)), 1, WIDTH / 20, tol)
+    def finer(self) -> Grid:
+        return Grid(self.m, self.tol, self.width / 4, self.band / 2)
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -79,32 +83,31 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(29))
 
 
-def place(x: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def place(x: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower cell, angle and whether a value is split, for an array [records, components]."""
     nz = x != 0
-    p = np.log(np.where(nz, np.abs(x), 1.0)) / WIDTH + SHIFT
+    p = np.log(np.where(nz, np.abs(x), 1.0)) / grid.width + grid.shift
     r = np.rint(p)
-    d = (p - r) * WIDTH
-    split = nz & (np.abs(d) < band / 2)
+    d = (p - r) * grid.width
+    split = nz & (np.abs(d) < grid.band / 2)
     low = np.where(split, r - 1, np.floor(p)).astype(np.int64) * 2 + (x < 0)
-    return np.where(nz, low, _ZERO), np.where(split, (d / (band / 2) + 1) * (math.pi / 4), 0.0), split
+    return np.where(nz, low, _ZERO), np.where(split, (d / (grid.band / 2) + 1) * (math.pi / 4), 0.0), split
 
 
 def terms(x: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Record number, term and unit weight of every term of the entered group."""
-    sub = np.ascontiguousarray(x[:, list(grid.columns)])
-    low, angle, split = place(sub, grid.band)
-    step = np.arange(len(grid.columns), dtype=np.uint64) << np.uint64(48)
+    """Record number, term and weight of every term. A term is the wrapping sum of mixed (component, cell) codes."""
+    low, angle, split = place(x, grid)
+    step = np.arange(grid.m, dtype=np.uint64) << np.uint64(48)
     with np.errstate(over="ignore"):
         at = _mix(low.astype(np.uint64) + step)
         up = _mix((low + 2).astype(np.uint64) + step) - at
         ix, h, w = np.arange(len(x)), at.sum(axis=1, dtype=np.uint64), np.ones(len(x))
-        for j in range(len(grid.columns)):
-            m = split[ix, j]
-            if m.any():
-                jx, a = ix[m], angle[ix[m], j]
-                h2, w2 = h[m] + up[jx, j], w[m] * np.sin(a)
-                w[m] *= np.cos(a)
+        for j in range(grid.m):
+            k = split[ix, j]
+            if k.any():
+                jx, a = ix[k], angle[ix[k], j]
+                h2, w2 = h[k] + up[jx, j], w[k] * np.sin(a)
+                w[k] *= np.cos(a)
                 ix, h, w = np.concatenate([ix, jx]), np.concatenate([h, h2]), np.concatenate([w, w2])
     return ix, h.view(np.int64), w
 
@@ -125,38 +128,44 @@ def index_rows(x: np.ndarray, grid: Grid, residual: bool) -> tuple[np.ndarray, n
     ix, h, w = terms(x, grid)
     if not len(ix):
         return ix, h
-    if residual:
-        drop = _left_out(ix, w, w * w / grid.groups, grid.rho**2 - (1 - 1 / grid.groups))
-    else:
-        drop = _left_out(ix, w, w / grid.groups, grid.threshold - grid.rho)
+    drop = _left_out(ix, w, w * w, grid.rho**2) if residual else _left_out(ix, w, w, grid.threshold - grid.rho)
     return ix[~drop], h[~drop]
 
 
 def dot(a: np.ndarray, b: np.ndarray, grid: Grid) -> np.ndarray:
-    """Exact cosine of two arrays of records over all groups."""
-    (la, ta, _), (lb, tb, _) = place(a, grid.band), place(b, grid.band)
+    """Exact cosine of two arrays of records: over all shared terms, the product over components of their overlaps."""
+    (la, ta, _), (lb, tb, _) = place(a, grid), place(b, grid)
     each = np.where(la == lb, np.cos(ta - tb), np.where(la == lb + 2, np.cos(ta) * np.sin(tb), np.where(lb == la + 2, np.cos(tb) * np.sin(ta), 0.0)))
-    return np.mean([each[:, g :: grid.groups].prod(axis=1) for g in range(grid.groups)], axis=0)
+    return each.prod(axis=1)
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 1))
 
 
-def _postings(classes: DataFrame, grid: Grid) -> DataFrame:
-    """Inverted lists: ``term, left, k1, k2`` from ``k1, k2, x, is_left, is_right``."""
+def _postings(records: DataFrame, grid: Grid) -> DataFrame:
+    """Inverted lists: ``term, left, k1, k2`` from ``k1, k2, x, left``; copies within a batch are entered once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x, parts = _matrix(pdf["x"]), []
-            for left, column in ((True, "is_left"), (False, "is_right")):
-                rows = np.flatnonzero(pdf[column].to_numpy())
+            pdf = pdf.drop_duplicates(["k1", "k2", "left"])
+            x, is_left, parts = _matrix(pdf["x"]), pdf["left"].to_numpy(), []
+            for left in (True, False):
+                rows = np.flatnonzero(is_left == left)
                 ix, h = index_rows(x[rows], grid, residual=left)
                 ix = rows[ix]
                 parts.append(pd.DataFrame({"term": h, "left": left, "k1": pdf["k1"].to_numpy()[ix], "k2": pdf["k2"].to_numpy()[ix]}))
             yield pd.concat(parts)
 
-    return classes.select("k1", "k2", "x", "is_left", "is_right").mapInPandas(run, "term long, left boolean, k1 long, k2 long")
+    return records.select("k1", "k2", "x", "left").mapInPandas(run, "term long, left boolean, k1 long, k2 long")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of terms that both sides entered, each once; one exchange on the term serves all of it."""
+    once = postings.repartition("term").distinct()
+    w = W.partitionBy("term")
+    both = once.withColumns({"__l": F.bool_or("left").over(w), "__r": F.bool_or(~F.col("left")).over(w)})
+    return both.where("__l and __r").drop("__l", "__r")
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
@@ -174,23 +183,32 @@ def within(a: Column, b: Column, m: int, tol: float) -> Column:
     return ok
 
 
-def near_pairs(classes: DataFrame, m: int, tol: float, hot: int = HOT) -> DataFrame:
-    """All pairs of a left and a right class whose records are near-equal in all ``m`` components.
+def restrict(df: DataFrame, keys: DataFrame, on: list[str], most: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of ``df`` whose key is among ``keys`` (distinct rows): filtered where they lie if ``keys`` was counted to be small, else by a shuffled semi join."""
+    n = keys.count()
+    return df.join(F.broadcast(keys) if n <= most else keys, on, "left_semi")
 
-    ``classes``: one row per distinct record, ``k1, k2`` (its key), ``x`` (array of m finite numbers),
-    ``is_left``, ``is_right``. Result: ``a1, a2`` (left key), ``b1, b2`` (right key), ``cosine``, each
-    pair once; a class on both sides pairs with itself. An empty side gives no rows.
+
+def near_pairs(records: DataFrame, m: int, tol: float, hot: int = HOT) -> DataFrame:
+    """All pairs of distinct left and right records that are near-equal in all ``m`` components.
+
+    ``records``: ``k1, k2`` (a key of the values), ``x`` (array of m finite numbers), ``left`` (side), any
+    number of copies. Result: ``a1, a2`` (left key), ``b1, b2`` (right key), ``cosine``, each pair of
+    distinct vectors once; a vector on both sides pairs with itself. An empty side gives no rows. Lists and
+    candidates are checkpointed, so neither is computed twice and lost executors cost little.
     """
-    first, fine = grids(m, tol)
-    postings = _postings(classes, first)
-    # Lists that would give too many comparisons; there are at most postings / sqrt(hot) of them.
-    sizes = postings.groupBy("term").agg(F.sum(F.col("left").cast("long")).alias("l"), F.sum((~F.col("left")).cast("long")).alias("r"))
-    lists = postings.join(sizes.where("l > 0 and r > 0").select("term", (F.col("l") * F.col("r") > hot).alias("hot")), "term")
-    plain = _candidates(lists.where("not hot"))
-    touched = lists.where("hot").select("k1", "k2", F.col("left")).groupBy("k1", "k2").agg(F.max("left").alias("is_left"), F.max(~F.col("left")).alias("is_right"))
-    again = _candidates(_postings(touched.join(classes.select("k1", "k2", "x"), ["k1", "k2"]), fine))
-    found = plain.unionByName(again).distinct()
-    x = classes.select("k1", "k2", "x")
+    first = Grid(m, tol)
+    lists = materialise(_shared(_postings(records, first)))
+    sizes = lists.groupBy("term").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r"))
+    hot_terms = sizes.where(F.col("l") * F.col("r") > hot).select("term")
+    if hot_terms.isEmpty():
+        found = _candidates(lists)
+    else:
+        keys = lists.join(hot_terms, "term", "left_semi").select("k1", "k2").distinct()
+        again = _candidates(_shared(_postings(restrict(records, keys, ["k1", "k2"]), first.finer())))
+        found = _candidates(lists.join(hot_terms, "term", "left_anti")).unionByName(again)
+    found = materialise(found.distinct())
+    x = restrict(records.select("k1", "k2", "x"), pair_keys(found), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("x").alias("x"))
     both = found.join(x.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("x").alias("xa")), ["a1", "a2"])
     both = both.join(x.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("x").alias("xb")), ["b1", "b2"])
 
@@ -199,4 +217,9 @@ def near_pairs(classes: DataFrame, m: int, tol: float, hot: int = HOT) -> DataFr
         return pd.Series(dot(_matrix(a), _matrix(b), first))
 
     exact = both.where(within(F.col("xa"), F.col("xb"), m, tol)).withColumn("cosine", cosine("xa", "xb"))
-    return exact.where(F.col("cosine") >= first.threshold).select("a1", "a2", "b1", "b2", "cosine")
+    return materialise(exact.where(F.col("cosine") >= first.threshold).select("a1", "a2", "b1", "b2", "cosine"))
+
+
+def pair_keys(pairs: DataFrame) -> DataFrame:
+    """The distinct keys ``k1, k2`` in pairs."""
+    return pairs.select(F.inline(F.array(*[F.struct(F.col(f"{s}1").alias("k1"), F.col(f"{s}2").alias("k2")) for s in "ab"]))).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstream.functions.columns import finite
-from wardstream.llm.cosine_join import near_pairs
+from wardstream.llm.cosine_join import near_pairs, pair_keys, restrict
 from wardstream.schema import FEATURES
 
 TOLERANCE = 0.005
@@ -24,24 +24,15 @@ def comparable(flows: DataFrame) -> DataFrame:
     return f.select("ingest_id", "split", "sensor", "label", F.array(*x).alias("x"), F.xxhash64(F.lit(1), *x).alias("k1"), F.xxhash64(F.lit(2), *x).alias("k2"))
 
 
-def vector_classes(c: DataFrame) -> DataFrame:
-    """One row per distinct vector with its copies per side (map-side combined, so a vector on a third of all rows is one state per task)."""
-    train = F.col("split") == "train"
-    agg = c.groupBy("k1", "k2").agg(
-        F.first("x").alias("x"), F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_eval"),
-        F.count_if(train & (F.col("label") == 0)).alias("n_train_0"), F.count_if(train & (F.col("label") == 1)).alias("n_train_1"),
-    )
-    return agg.withColumns({"is_left": F.col("n_train") > 0, "is_right": F.col("n_eval") > 0})
-
-
 def overlap_classes(flows: DataFrame, tol: float = TOLERANCE) -> DataFrame:
-    """Pairs of class representatives ``a1, a2`` (train) and ``b1, b2`` (evaluation); membership is in :func:`comparable`."""
-    return near_pairs(vector_classes(comparable(flows)), len(FEATURES), tol)
+    """Pairs of distinct vectors ``a1, a2`` (train) and ``b1, b2`` (evaluation); membership is in :func:`comparable`."""
+    return near_pairs(comparable(flows).select("k1", "k2", "x", (F.col("split") == "train").alias("left")), len(FEATURES), tol)
 
 
 def overlap_pairs(flows: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     """Pairs of ``ingest_id``, smaller first: ``id_a, id_b``; copies count with their own ids, labels don't matter."""
-    pairs, c = overlap_classes(flows, tol), comparable(flows)
+    pairs = overlap_classes(flows, tol)
+    c = restrict(comparable(flows).select("ingest_id", "split", "k1", "k2"), pair_keys(pairs), ["k1", "k2"])
     members = lambda where, k, name: c.where(where).select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("ingest_id").alias(name))
     out = pairs.join(members("split = 'train'", "a", "__t"), ["a1", "a2"]).join(members("split <> 'train'", "b", "__e"), ["b1", "b2"])
     return out.select(F.least("__t", "__e").alias("id_a"), F.greatest("__t", "__e").alias("id_b"))
@@ -51,21 +42,24 @@ def overlap_counts(flows: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     """Per evaluation split and sensor: ``n_flows`` (comparable), ``n_exact`` (X also in train), ``n_near``
     (X exactly or almost in train), ``n_same_label`` (with an equal label in a partner), ``n_pairs``.
 
-    Works on classes, so copies are multiplied as numbers, never as rows. A null sensor is a group of its own.
+    Works on distinct vectors, so copies are multiplied as numbers, never as rows; counts are combined
+    map-side, so a vector on a third of all rows is one state per task. A null sensor is a group of its own.
     """
-    c = comparable(flows)
-    classes = vector_classes(c)
-    pairs = near_pairs(classes, len(FEATURES), tol)
-    counts = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "n_train", "n_train_0", "n_train_1")
-    per = pairs.join(counts, ["a1", "a2"]).groupBy(F.col("b1").alias("k1"), F.col("b2").alias("k2")).agg(
+    pairs = overlap_classes(flows, tol)
+    c = comparable(flows).select("split", "sensor", "label", "k1", "k2")
+    matched = restrict(c, pair_keys(pairs), ["k1", "k2"])
+    train = matched.where("split = 'train'").groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.count("*").alias("n_train"), F.count_if(F.col("label") == 0).alias("n_train_0"), F.count_if(F.col("label") == 1).alias("n_train_1"))
+    per = pairs.join(train, ["a1", "a2"]).groupBy(F.col("b1").alias("k1"), F.col("b2").alias("k2")).agg(
         F.sum("n_train").alias("p"), F.sum("n_train_0").alias("p0"), F.sum("n_train_1").alias("p1"),
         F.max((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).alias("same"),
     )
-    members = c.where("split <> 'train'").groupBy("k1", "k2", "split", "sensor", "label").agg(F.count("*").alias("n"))
-    m = members.join(per, ["k1", "k2"], "left")
+    m = matched.where("split <> 'train'").groupBy("k1", "k2", "split", "sensor", "label").agg(F.count("*").alias("n")).join(per, ["k1", "k2"])
     when = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    return m.groupBy("split", "sensor").agg(
-        F.sum("n").alias("n_flows"), when(F.col("same")).alias("n_exact"), when(F.col("p") > 0).alias("n_near"),
+    hits = m.groupBy("split", "sensor").agg(
+        when(F.col("same")).alias("n_exact"), F.sum("n").alias("n_near"),
         when(((F.col("label") == 0) & (F.col("p0") > 0)) | ((F.col("label") == 1) & (F.col("p1") > 0))).alias("n_same_label"),
-        F.sum(F.coalesce(F.col("n") * F.col("p"), F.lit(0))).alias("n_pairs"),
+        F.sum(F.col("n") * F.col("p")).alias("n_pairs"),
     )
+    all_ = c.where("split <> 'train'").groupBy("split", "sensor").agg(F.count("*").alias("n_flows"))
+    out = all_.join(hits.withColumnsRenamed({"split": "__s", "sensor": "__o"}), (F.col("split") == F.col("__s")) & F.col("sensor").eqNullSafe(F.col("__o")), "left")
+    return out.select("split", "sensor", "n_flows", *(F.coalesce(F.col(x), F.lit(0)).alias(x) for x in ("n_exact", "n_near", "n_same_label", "n_pairs")))
