@@ -51,3 +51,10 @@ def prefix24(ip: Column | str) -> Column:
     """The first three parts of a dotted address; other texts as they are."""
     ip = F.col(ip) if isinstance(ip, str) else ip
     return F.when(F.size(F.split(ip, r"\.")) == 4, F.substring_index(ip, ".", 3)).otherwise(ip)
+
+
+def micros(df, column: str) -> Column:
+    """Whole µs since the epoch of a timestamp column; one without a zone is taken as UTC."""
+    if dict(df.dtypes)[column] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)")
+    return F.unix_micros(F.col(column).cast("timestamp"))

@@ -1,4 +1,8 @@
-"""Queries of the error-control engine."""
+"""Queries of the error-control engine, by operator, and the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from wardstream.plans import ref_control, ref_relational
+
+QUERIES: dict = ref_relational.QUERIES | ref_control.QUERIES
+SQL: dict = ref_relational.SQL | ref_control.SQL
