@@ -83,7 +83,8 @@ g as (select *, case when ts - lag(ts) over (partition by side, host order by ts
 s as (select *, sum(cut) over (partition by side, host order by ts rows unbounded preceding) as no from g)
 select side, host, {{columns}} from s group by side, host, no"""
 
-_FINITE = lambda c: f"case when {c} is null or isnan({c}) or isinf({c}) then 0::double else {c}::double end"
+# As text, since statistics of a column can fold isnan() away.
+_FINITE = lambda c: f"coalesce(nullif(nullif(nullif({c}::varchar, 'nan'), 'inf'), '-inf')::float::double, 0)"
 _PART = lambda c: f"coalesce(nullif(upper(trim({c})), ''), '-')"
 _SAME = ", ".join(["ts", "src", "dst", "label", *FEATURES, "sensor", "split"])
 _TYPED = f"""with typed as (

@@ -1,4 +1,751 @@
 """Controllers, metrics, attack costs and detectors: queries and their SQL."""
 
+from __future__ import annotations
+
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardstream.functions import special
+from wardstream.operators import attack, bootstrap, controllers, detector, episodes, evidence, ingest, metrics, spending
+from wardstream.plans.fixture import EP, EV, GAMMA, KEYS, ZETA, Z, evident, split_events, stream
+from wardstream.runtime import table
+
 QUERIES: dict = {}
 SQL: dict = {}
+ALPHA, W0 = 0.05, 0.025
+A, W = "0.05::double", "0.025::double"
+
+
+def query(sql: str | None = None):
+    """Register a query under ``ref_`` and its name, with SQL if there is one."""
+
+    def keep(f):
+        QUERIES[f"ref_{f.__name__}"] = f
+        if sql:
+            SQL[f"ref_{f.__name__}"] = sql
+        return f
+
+    return keep
+
+
+def r(c, n: int = 9):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def _out(df: DataFrame) -> DataFrame:
+    return df.select(F.col("pos").cast("long").alias("pos"), r("level", 10).alias("level"), "fired", "silent")
+
+
+def _lond_sql(kind: str) -> str:
+    """LOND one hypothesis after the other, as CTEs ``c``: pos, rejections so far, level, fired."""
+    g = GAMMA[kind]
+    return f"""recursive {EP},
+c as (select 0::bigint as pos, 0::bigint as r, 0::double as level, false as fired, false as silent
+ union all select s.pos, c.r + (s.ceiling >= 1 / ({A} * {g('s.pos')} * (c.r + 1)) and s.ev >= 1 / ({A} * {g('s.pos')} * (c.r + 1)))::bigint, {A} * {g('s.pos')} * (c.r + 1),
+  s.ceiling >= 1 / ({A} * {g('s.pos')} * (c.r + 1)) and s.ev >= 1 / ({A} * {g('s.pos')} * (c.r + 1)), s.ceiling < 1 / ({A} * {g('s.pos')} * (c.r + 1))
+ from c join s on s.pos = c.pos + 1)"""
+
+
+_RUN = "select pos, round(level, 10) as level, fired, silent from c where pos > 0"
+
+
+# ---- controllers ----
+
+
+@query(f"with {_lond_sql('poly')} select s.src, s.dst, c.pos, s.nsz, s.mal, round(s.ev, 6) as ev, round(c.level, 10) as level, c.fired, c.silent, case when c.fired and s.ismal then greatest(floor(s.sum_e * c.level - s.nsz)::bigint + 1, 0) end as r_star from c join s on s.pos = c.pos")
+def c01_elond_poly(spark, d):
+    """The flagship: episodes with their evidence, level, decision and the pads that would suppress them."""
+    s = stream(spark, d)
+    run = s.join(controllers.elond_native(s).select("pos", "level", "fired", "silent"), "pos")
+    pads = F.when(F.col("fired") & F.col("ismal"), attack.zero_pads(F.col("sum_e"), 1.0 / F.col("level"), F.col("nsz")))
+    return run.select(*KEYS, F.col("pos").cast("long").alias("pos"), "nsz", "mal", r("ev", 6).alias("ev"), r("level", 10).alias("level"), "fired", "silent", pads.alias("r_star"))
+
+
+@query(f"with {_lond_sql('uniform')} {_RUN}")
+def c01_elond_uniform(spark, d):
+    return _out(controllers.elond_native(stream(spark, d), "uniform"))
+
+
+@query(f"with {_lond_sql('poly')} {_RUN}")
+def c01_elond_fold(spark, d):
+    return _out(controllers.control(stream(spark, d), "elond"))
+
+
+_AGES = f"""list_aggregate(list_append(list_transform(taus[2:], lambda x: {A} * {GAMMA['poly']('s.pos - x')}), 0.0::double), 'sum') + coalesce(({A} - {W}) * {GAMMA['poly']('s.pos - taus[1]')}, 0) + {W} * {GAMMA['poly']('s.pos')}"""
+
+
+@query(f"""with recursive {EP},
+c as (select 0::bigint as pos, []::bigint[] as taus, 0::double as level, false as fired, false as silent
+ union all select pos, case when ok then list_append(taus, pos) else taus end, level, ok, silent from (select s.pos, taus, {_AGES} as level, s.ev >= 1 / ({_AGES}) and s.ceiling >= 1 / ({_AGES}) as ok, s.ceiling < 1 / ({_AGES}) as silent from c join s on s.pos = c.pos + 1))
+{_RUN}""")
+def c02_lordpp(spark, d):
+    return _out(controllers.control(stream(spark, d), "lordpp"))
+
+
+for _name, _proc in (("c03_saffron", "saffron"), ("c04_addis", "addis"), ("c09_donation_elond", "donation_elond"), ("c10_closed_elond", "closed_elond"), ("c11_etoad_arc", "etoad_arc"), ("c13_donation_ebh", "donation_ebh"), ("c07_esaffron", "esaffron"), ("c07_mem_elord", "memlord")):
+
+    def _f(spark, d, proc=_proc):
+        return _out(controllers.control(stream(spark, d), proc))
+
+    _f.__name__ = _name
+    query()(_f)
+
+
+@query(f"with {_lond_sql('poly')} {_RUN}")
+def c11_etoad_immediate(spark, d):
+    """With immediate deadlines the procedure is e-LOND."""
+    e = controllers.control(stream(spark, d), "etoad_immediate").select("pos", "fired")
+    s = stream(spark, d).select("pos", "ceiling").join(e, "pos")
+    return _out(controllers.with_levels(s, "poly", ALPHA))
+
+
+@query(f"with {EP}, k as (select pos, ev, case when ev > 0 then 1 / ({A} * {GAMMA['poly']('pos')} * ev) end as c from s), o as (select *, row_number() over (order by c, pos) as i from k where c is not null), m as (select coalesce(max(case when c <= i then i end), 0) as k from o) select pos, coalesce(c <= m.k, false) as fired from k, m")
+def c05_ebh(spark, d):
+    return controllers.ebh_native(stream(spark, d)).select(F.col("pos").cast("long").alias("pos"), "fired")
+
+
+@query()
+def c06_ebh_entries(spark, d):
+    s = stream(spark, d).select("pos", "ev", "ceiling").toPandas().sort_values("pos")  # one row per episode, as the fold needs
+    out = controllers.online_ebh(s["ev"].to_numpy(), float(s["ceiling"].iloc[0]), spending.gamma("poly", len(s)), ALPHA)
+    return spark.createDataFrame([(int(i) + 1, int(out.notes["entered"][i])) for i in np.flatnonzero(out.fired)], "pos long, entered long")
+
+
+@query("with recursive " + EP + f""",
+c as (select 0::bigint as pos, 0::bigint as r, 0.01::double as w, 0::double as spent, 0::double as level, false as fired, false as silent
+ union all select pos, r + ok::bigint, 0.01::double * (1 + 0.5 * (1 - power(0.5::double, pos - r - ok::bigint)) / 0.5 - 0.5 * (1 - power(0.5::double, r + ok::bigint)) / 0.5), spent + level / (r + 1), level, ok, silent
+ from (select s.pos, c.r, c.spent, c.w * ({A} - c.spent) * (c.r + 1) as level, s.ceiling >= 1 / (c.w * ({A} - c.spent) * (c.r + 1)) and s.ev >= 1 / (c.w * ({A} - c.spent) * (c.r + 1)) as ok, s.ceiling < 1 / (c.w * ({A} - c.spent) * (c.r + 1)) as silent from c join s on s.pos = c.pos + 1)) {_RUN}""")
+def c07_elord(spark, d):
+    return _out(controllers.control(stream(spark, d), "elord"))
+
+
+@query("with recursive g as (select 1 as t, 0.01::double as w, 1.0::double as rest union all select t + 1, 0.01::double * (1 + (1 - power(0.5::double, t))), rest * (1 - w) from g where t < 50) select t, round(w * rest, 12) as gamma from g")
+def c08_implied_gamma(spark, d):
+    return spark.createDataFrame([(i + 1, round(float(x), 12)) for i, x in enumerate(controllers.implied_gamma(50, 0.01))], "t int, gamma double")
+
+
+@query(f"with {EP}, q as (select *, floor(first_ts / 86400000000) as day, row_number() over (order by floor(first_ts / 86400000000), pos) as p from s) select p as pos, max(p) over (partition by day) as deadline from q")
+def c12_bucket_deadlines(spark, d):
+    from pyspark.sql import Window as Win
+
+    q = stream(spark, d).withColumn("day", episodes.bucket(F.col("first_ts"), 86400)).withColumn("p", F.row_number().over(Win.orderBy("day", "pos")))
+    return q.select(F.col("p").cast("long").alias("pos"), F.max("p").over(Win.partitionBy("day")).cast("long").alias("deadline"))
+
+
+@query(f"with {_lond_sql('poly')} {_RUN}")
+def c15_lond_p(spark, d):
+    return _out(controllers.control(stream(spark, d), "lond_p"))
+
+
+@query(f"with {_lond_sql('poly')} select pos, round(level, 10) as level, round(1 / level, 3) as tau from c where pos > 0")
+def c16_levels(spark, d):
+    s = stream(spark, d)
+    f = s.join(controllers.control(s, "elond").select("pos", "fired"), "pos")
+    return controllers.with_levels(f, "poly", ALPHA).select(F.col("pos").cast("long").alias("pos"), r("level", 10).alias("level"), r("tau", 3).alias("tau"))
+
+
+@query()
+def c17_restarted(spark, d):
+    s = episodes.epochs(stream(spark, d), 6 * 3600)
+    out = None
+    for a in ("each", "uniform", "geometric"):
+        x = controllers.restarted(s, "elond", allocation=a).agg(F.lit(a).alias("allocation"), F.count_if("fired").alias("fired"), F.count_if("silent").alias("silent"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("select t, round(case when t <= 100 then 0.01 else 0 end, 6) as misspecified, round(ln(greatest(t, 2)) / (t * exp(sqrt(ln(t)))) / (select sum(ln(greatest(j, 2)) / (j * exp(sqrt(ln(j))))) from range(1, 201) r(j)), 9) as jm from range(1, 201) q(t)")
+def c19_c20_spending(spark, d):
+    u, j = spending.gamma("uniform", 200, 100), spending.gamma("jm", 200)
+    return spark.createDataFrame([(i + 1, round(float(u[i]), 6), round(float(j[i]), 9)) for i in range(200)], "t long, misspecified double, jm double")
+
+
+@query()
+def c18_prefix_shifts(spark, d):
+    s = stream(spark, d).select("pos", "ev", "ceiling").toPandas().sort_values("pos")  # one row per episode
+    e, c = s["ev"].to_numpy(), float(s["ceiling"].iloc[0])
+    rows = [(g, int(controllers.fold(controllers.Lond(spending.gamma("poly", len(e) + g), ALPHA, g), e, c).fired.sum())) for g in (0, 5, 20, 50)]
+    return spark.createDataFrame(rows, "shift int, fired int")
+
+
+@query()
+def c21_c22_feedback(spark, d):
+    s = split_events(spark, d).where("split = 'deploy'").groupBy(*KEYS).agg(F.max("score").alias("m"), F.min("ts").alias("ts"), F.max("label").alias("y")).toPandas().sort_values("ts")  # one row per episode
+    score, ts, y = s["m"].rank(pct=True).to_numpy(), s["ts"].to_numpy(), s["y"].to_numpy().astype(bool)
+    rows = []
+    for lag in (0, 20, 50):
+        c = controllers.Feedback(0.05, lag=lag)
+        hit = np.array([c.step(a, b) for a, b in zip(score, y)])
+        rows.append((f"lag {lag}", int(hit.sum()), int((hit & y).sum())))
+    for kind in ("P", "PI", "AQT"):
+        hit = controllers.delayed_control(score, ts, y, 3.6e9, 0.05, kind)
+        rows.append((kind, int(hit.sum()), int((hit & y).sum())))
+    return spark.createDataFrame(rows, "controller string, alerts int, true_alerts int")
+
+
+_BHP = f"{Z}, c as (select score from cal where label = 0), q as (select ingest_id, (1 + (select count(*) from c where c.score >= dep.score)) / (1 + (select count(*) from c)) as p from dep), o as (select *, row_number() over (order by p) as i, count(*) over () as n from q)"
+
+
+@query(f"with {_BHP} select count(*) as n, (select count(*) from q where p <= (select max(p) from o where p <= 0.1::double * i / n)) as bh, (select count(*) from q where p <= (select max(p) from o where p <= 0.1::double * i / (n * (select sum(1.0::double / j) from range(1, (select count(*) + 1 from q)) t(j))))) as by_count from q")
+def c23_step_up(spark, d):
+    s = split_events(spark, d)
+    k = evidence.ranks(s.where("split = 'deploy'"), s.where("split = 'cal' and label = 0")).select(evidence.conformal_p(F.col("rank"), F.col("nc")).alias("p"))
+    from pyspark.sql import Window as Win
+
+    # Distinct p-values only: their number is bounded by the calibration size, and ties share the largest rank.
+    c = k.groupBy("p").agg(F.count("*").alias("c"))
+    w = Win.orderBy("p").rowsBetween(Win.unboundedPreceding, 0)
+    o = c.select("p", "c", F.sum("c").over(w).alias("i"), F.sum("c").over(Win.partitionBy()).alias("n"))
+    h = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    o = o.withColumn("h", h)
+    count = lambda cond: F.coalesce(F.max(F.when(cond, F.col("i"))), F.lit(0))
+    return o.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), count(F.col("p") <= 0.1 * F.col("i") / F.col("n")).alias("bh"), count(F.col("p") <= 0.1 * F.col("i") / (F.col("n") * F.col("h"))).alias("by_count"))
+
+
+@query()
+def c24_maximum_evidence(spark, d):
+    rows = []
+    for nc in (10_000, 100_000):
+        out = controllers.fold(controllers.Lond(spending.gamma("poly", 2000), ALPHA), np.full(2000, nc + 1.0), nc + 1.0)
+        rows.append((nc, int(out.fired.sum()), int(out.silent.sum())))
+    return spark.createDataFrame(rows, "nc int, fired int, silent int")
+
+
+# ---- metrics ----
+
+
+@query(f"with {Z}, o as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as k from dep), g as (select sum(label) as p, count(*) - sum(label) as q, sum(case when label = 1 then k end) as s from o) select p::bigint as n_pos, q::bigint as n_neg, round((s - p * (p + 1) / 2.0) / (p * q), 9) as auroc from g")
+def m07_auroc(spark, d):
+    return metrics.auroc(split_events(spark, d).where("split = 'deploy'")).select("n_pos", "n_neg", r("auroc").alias("auroc"))
+
+
+@query("select sensor, min(label)::double as min, quantile_cont(f5, 0.5)::double as median, max(f5)::double as max, round(avg(f5), 4) as mean, count(f5) as n from flows where f5 is not null group by sensor".replace("min(label)", "min(f5)"))
+def r01_r02_summary(spark, d):
+    s = metrics.summary(table(spark, d, "flows").withColumn("v", F.col("f5").cast("double")).where("v is not null"), ["sensor"], "v")
+    return s.select("sensor", "min", "median", "max", r("mean", 4).alias("mean"), "n")
+
+
+@query(f"with {_lond_sql('uniform')} select count_if(fired) as alerts, count_if(fired and ismal) as tp, count_if(fired and not ismal) as fp, round(count_if(fired and not ismal) / nullif(count_if(fired), 0), 9) as fdp, round(count_if(fired and ismal) / nullif(count_if(ismal), 0), 9) as recall, round(count_if(silent) / count(*), 9) as silent_share from c join s on s.pos = c.pos")
+def r03_rates(spark, d):
+    s = stream(spark, d)
+    m = metrics.rates(s.select("pos", "ismal").join(controllers.control(s, "elond", kind="uniform"), "pos"))
+    return m.select("alerts", "tp", "fp", r("fdp").alias("fdp"), r("recall").alias("recall"), r("silent_share").alias("silent_share"))
+
+
+@query(f"with {EV} select round(avg(case when label = 1 then (e > 0)::int end), 9) as mal_rate, round(avg(case when label = 0 then (e > 0)::int end), 9) as benign_rate, round(avg(case when label = 0 then (e > 0)::int end) * max(ceiling), 6) as benign_ratio from ev")
+def r06_tail_reach(spark, d):
+    return metrics.tail_reach(evident(spark, d)).select(r("mal_rate").alias("mal_rate"), r("benign_rate").alias("benign_rate"), r("benign_ratio", 6).alias("benign_ratio"))
+
+
+_FRONT = f"{EP}, fr as (select row_number() over w as k, sum(ismal::int) over (w rows unbounded preceding) as tp, sum(ismal::int) over () as m from s window w as (order by smax desc, pos))"
+
+
+@query(f"with {_FRONT} select k, tp::bigint as tp, (k - tp)::bigint as fp, round((k - tp) / k, 9) as fdp, round(tp / m, 9) as recall from fr")
+def w06_frontier(spark, d):
+    f = metrics.frontier(stream(spark, d))
+    return f.select(F.col("k").cast("long").alias("k"), "tp", "fp", r("fdp").alias("fdp"), r("recall").alias("recall"))
+
+
+@query(f"with {_FRONT} select round(0.5 * max(case when k = 10 then tp end) + 0.5 * max(case when k = 11 then tp end), 6) as tp, round(0.5 * max(case when k = 10 then k - tp end) + 0.5 * max(case when k = 11 then k - tp end), 6) as fp from fr")
+def w07_at_budget(spark, d):
+    return metrics.frontier_at_budget(metrics.frontier(stream(spark, d)), 10.5).select(r("tp", 6).alias("tp"), r("fp", 6).alias("fp"))
+
+
+@query(f"with {_FRONT} select k, tp::bigint as tp, round((k - tp) / k, 9) as fdp from fr where (k - tp) / k <= 0.2 order by tp desc, (k - tp) / k limit 1")
+def w08_at_fdp(spark, d):
+    return metrics.frontier_at_fdp(metrics.frontier(stream(spark, d)), 0.2).select(F.col("k").cast("long").alias("k"), "tp", r("fdp").alias("fdp"))
+
+
+@query(f"with {EP} select pos, round(sum(ev) over (order by pos desc rows unbounded preceding), 4) as tail from s")
+def w09_tails(spark, d):
+    return metrics.suffix_sums(stream(spark, d), "pos", "ev").select(F.col("pos").cast("long").alias("pos"), r("tail", 4).alias("tail"))
+
+
+@query(f"with {EP}, k as (select rank() over (order by nsz) + (count(*) over (partition by nsz) - 1) / 2.0 as a, rank() over (order by smax) + (count(*) over (partition by smax) - 1) / 2.0 as b from s) select count(*) as n, round(corr(a, b), 9) as rho from k")
+def w10_spearman(spark, d):
+    return metrics.spearman(stream(spark, d), "nsz", "smax").select("n", r("rho").alias("rho"))
+
+
+@query(f"with {Z}, e as (select min(ts) as a, max(ts) as b from dep) select least(floor((ts - a) / (b - a)::double * 10), 9)::int as bin, count(*) as n from dep, e group by 1")
+def w11_histogram(spark, d):
+    f = split_events(spark, d).where("split = 'deploy'")
+    lo, hi = f.agg(F.min("ts"), F.max("ts")).first()
+    return metrics.time_histogram(f, "ts", lo, hi)
+
+
+@query("with c as (select coalesce(src, '?') as src, count(*) as c from flows group by 1), o as (select *, sum(c) over (order by c desc, src) as cum, row_number() over (order by c desc, src) as i, sum(c) over () as n from c) select max(n)::bigint as n, count(*) as n_values, round(sum(case when i <= 10 then c end) / max(n), 9) as top_share, round(sum((c / n) * (c / n)), 9) as hhi, count_if(cum - c < 0.9 * n) as n_for_mass from o")
+def r07_concentration(spark, d):
+    c = metrics.concentration(table(spark, d, "flows").select(F.coalesce("src", F.lit("?")).alias("src")), "src", 10)
+    return c.select("n", "n_values", r("top_share").alias("top_share"), r("hhi").alias("hhi"), "n_for_mass")
+
+
+@query("with t as (select src, dst from flows group by 1, 2 order by count(*) desc, src, dst limit 5) select count(*) as n, sum(label)::bigint as malicious from flows where src is not null and dst is not null and (src, dst) not in (select (src, dst) from t)")
+def r08_without_top(spark, d):
+    f = table(spark, d, "flows").where("src is not null and dst is not null")
+    return metrics.without_top(f, KEYS, 5).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("malicious"))
+
+
+@query("with t as (select f5::double as s from flows where split = 'cal' and label = 0 and f5 is not null), o as (select s from t order by s desc limit 2) select (select max(s) - min(s) from o) as gap, round(quantile_cont(s, 0.75) - quantile_cont(s, 0.25), 6) as iqr from t")
+def r09_score_gap(spark, d):
+    c = table(spark, d, "flows").where("split = 'cal' and label = 0 and f5 is not null").select(F.col("f5").cast("double").alias("score"))
+    return metrics.score_gap(c).select("gap", r("iqr", 6).alias("iqr"))
+
+
+@query()
+def r10_clopper_pearson(spark, d):
+    t = evident(spark, d).where("label = 0").agg(F.count_if(F.col("e") > 0).alias("k"), F.count("*").alias("n")).first()
+    return spark.createDataFrame([(t.k, t.n, *special.clopper_pearson(t.k, t.n))], "k long, n long, low double, high double")
+
+
+@query("with c as (select sensor, count_if(label = 1) as k, count(*) as n from flows where label is not null group by sensor), z as (select *, 1.959963984540054::double as z, k / n as p from c) select sensor, k, n, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 9) as low, round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 9) as high from z")
+def r11_wilson(spark, d):
+    g = table(spark, d, "flows").where("label is not null").groupBy("sensor").agg(F.count_if(F.col("label") == 1).alias("k"), F.count("*").alias("n"))
+    lo, hi = metrics.wilson_columns(F.col("k"), F.col("n"))
+    return g.select("sensor", "k", "n", r(lo).alias("low"), r(hi).alias("high"))
+
+
+@query("with c as (select dport, count(*) as c from meta where dport is not null group by 1 having count(*) >= 50 order by 2 desc, 1 limit 5) select case when c.dport is null then 'other' else meta.dport::varchar end as stratum, count(*) as n from meta left join c on c.dport = meta.dport group by 1")
+def r12_strata(spark, d):
+    return metrics.strata(table(spark, d, "meta").select("dport"), "dport", 50, 5).groupBy("stratum").agg(F.count("*").alias("n"))
+
+
+@query()
+def r13_r14_bootstrap(spark, d):
+    s = split_events(spark, d)
+    dep = evident(spark, d).where("label = 0").withColumn("fired", F.col("score") > 400)
+    cal = s.where("split = 'cal' and label = 0").withColumn("fired", F.col("score") > 400)
+    reps = bootstrap.firing_ratio(dep, cal, ["src"], 200)
+    return bootstrap.log_spread(reps).select("n", "log_sd")
+
+
+@query("with m as (select distinct sensor as a, src as m from flows where split = 'deploy' and src is not null), z as (select a, count(*) as n from m group by a), p as (select x.a as a, y.a as b, count(*) as k from m x join m y on x.m = y.m and x.a < y.a group by 1, 2) select p.a, p.b, k as both, (u.n + v.n - k)::bigint as either, round(k / (u.n + v.n - k), 9) as jaccard from p join z u on u.a = p.a join z v on v.a = p.b")
+def r15_jaccard(spark, d):
+    j = metrics.jaccard(table(spark, d, "flows").where("split = 'deploy' and src is not null"), "sensor", "src")
+    return j.select("a", "b", "both", "either", r("jaccard").alias("jaccard"))
+
+
+@query(f"with {EP} select round(100 * avg(case when nsz < 15 then 1.0 when nsz = 15 then 0.5 else 0.0 end), 6) as percentile from s")
+def r16_mid_rank(spark, d):
+    return metrics.mid_rank(stream(spark, d), "nsz", F.lit(15)).select(r("percentile", 6).alias("percentile"))
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """Share of malicious flows per split (window) and sensor (choice)."""
+    f = table(spark, d, "flows").where("split is not null and label is not null")
+    g = f.groupBy(F.col("split").alias("win"), F.col("sensor").alias("choice")).agg(F.round(F.avg((F.col("label") == 1).cast("double")), 6).alias("v"))
+    return g.withColumn("prio", F.length("choice"))
+
+
+_GRID = "gr as (select split as win, sensor as choice, round(avg((label = 1)::int), 6) as v, length(sensor) as prio from flows where split is not null and label is not null group by 1, 2)"
+
+
+@query(f"with {_GRID} select win, arg_max(choice, v) as choice, max(v) as v from gr group by win")
+def r17_best(spark, d):
+    return metrics.best_of(_grid(spark, d), ["win"], "choice", "v", "prio")
+
+
+@query(f"with {_GRID}, b as (select win, arg_max(choice, v) as choice from gr group by win), n as (select win, lead(win) over (order by win) as nx from b), x as (select win, max(v) as hi, min(v) as lo from gr group by win) select n.nx as win, b.choice, round((hi - v) / nullif(hi - lo, 0), 6) as regret from n join b on b.win = n.win join gr on gr.win = n.nx and gr.choice = b.choice join x on x.win = n.nx")
+def r18_previous(spark, d):
+    t = metrics.transfer_previous(_grid(spark, d), "win", "choice", "v", "prio")
+    return t.select("win", "choice", r("regret", 6).alias("regret"))
+
+
+@query()
+def r18_left_out(spark, d):
+    return metrics.transfer_left_out(_grid(spark, d), "win", "choice", "v", "prio").select("win", "choice", r("regret", 6).alias("regret"))
+
+
+def _audit(spark, d):
+    s = stream(spark, d)
+    return metrics.verdict(s.select("mal", (F.col("nsz") % 3).alias("n_steps"), (F.col("nsz") % 2 == 0).alias("compromised"), (F.col("src") % 2).alias("mal_elsewhere")))
+
+
+_AUD = f"{EP}, au as (select case when mal > 0 then 'confirmed' when nsz % 3 > 0 and nsz % 2 = 0 then 'likely' when nsz % 3 > 0 or nsz % 2 = 0 then 'possible' when src % 2 > 0 then 'related' else 'unsupported' end as verdict from s)"
+
+
+@query(f"with {_AUD} select verdict, count(*) as n from au group by 1")
+def r19_verdicts(spark, d):
+    return _audit(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_AUD} select count(*) as n, round(count_if(verdict = 'unsupported') / count(*), 9) as low, round(count_if(verdict <> 'confirmed') / count(*), 9) as high from au")
+def r20_fdp_interval(spark, d):
+    return metrics.fdp_interval(_audit(spark, d)).select("n", r("low").alias("low"), r("high").alias("high"))
+
+
+@query("with g as (select unnest([0.0, 0.05, 0.1])::double as eps0), h as (select unnest([0.0, 0.02])::double as eps1) select 0.25::double as fdp, eps0, eps1, round(0.25 * (1 - eps0) + 0.75 * eps1, 9) as corrected from g, h")
+def r20_corrected(spark, d):
+    grid = spark.createDataFrame([(a, b) for a in (0.0, 0.05, 0.1) for b in (0.0, 0.02)], "eps0 double, eps1 double")
+    c = metrics.corrected_fdp(spark.createDataFrame([(0.25,)], "fdp double"), grid)
+    return c.select("fdp", "eps0", "eps1", r("corrected").alias("corrected"))
+
+
+@query("with p as (select log10(f2::double / ((f3 + f4)::double / f0::double)) as x from flows where f0 > 0 and f2 > 0 and f3 + f4 > 0 and f2 < 1e30 and f0 < 1e30), s as (select unnest([1.0, 1e-3, 1e-6])::double as scale), e as (select scale, quantile_cont(abs(x + log10(scale)), 0.5) as err from p, s group by scale) select arg_min(scale, err) as scale, round(min(err), 6) as error from e")
+def r22_units(spark, d):
+    f = table(spark, d, "flows").where("f0 > 0 and f2 > 0 and f3 + f4 > 0 and f2 < 1e30 and f0 < 1e30").select(F.col("f2").cast("double").alias("a"), ((F.col("f3") + F.col("f4")).cast("double") / F.col("f0").cast("double")).alias("b"))
+    return metrics.unit_scale(f, "a", "b", [1.0, 1e-3, 1e-6]).select("scale", r("error", 6).alias("error"))
+
+
+_OK = "f3 + f4 < 1e15 and f5 + f6 < 1e15 and label = 0"
+
+
+@query(f"select count(*) as n, sum((f3 + f4)::double) as packets, sum((f5 + f6)::double) + 40 * sum((f3 + f4)::double) as bytes from flows where {_OK}")
+def r23_cost(spark, d):
+    return metrics.flow_cost(table(spark, d, "flows").where(_OK).withColumns({c: F.col(c).cast("double") for c in ("f3", "f4", "f5", "f6")}), 40)
+
+
+@query(f"with c as (select (f5 + f6)::double as c from flows where {_OK}), b as (select unnest([10, 100])::int as budget) select budget, " + ", ".join(f"round(budget * (select quantile_cont(c, {q}) from c), 4) as {n}" for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))) + " from b")
+def r27_budgets(spark, d):
+    b = metrics.budget_costs(table(spark, d, "flows").where(_OK), [10, 100], (F.col("f5") + F.col("f6")).cast("double"))
+    return b.select("budget", *[r(c, 4).alias(c) for c in ("p10", "p50", "p90")])
+
+
+@query(f"with o as (select sensor, (f5 + f6)::double as c, row_number() over (partition by sensor order by (f5 + f6)::double, ingest_id) as i from flows where {_OK}), b as (select unnest([10, 100])::int as budget) select sensor, budget, count(*) as n, sum(c) as total from o, b where i <= budget group by 1, 2")
+def r23_cheapest(spark, d):
+    return metrics.cumulative_cheapest(table(spark, d, "flows").where(_OK), [10, 100], (F.col("f5") + F.col("f6")).cast("double"), "sensor")
+
+
+@query(f"select count(*) as n, round((max(ts) - min(ts)) / 3.6e9, 6) as hours, count(distinct src) as hosts, round(1000.0 * ((max(ts) - min(ts)) / 3.6e9) / count(*), 6) as hours_needed from flows where {_OK} and ts > 0")
+def r23_rate(spark, d):
+    x = metrics.rate_and_hosts(table(spark, d, "flows").where(f"{_OK} and ts > 0"), 1000)
+    return x.select("n", r("hours", 6).alias("hours"), "hosts", r("hours_needed", 6).alias("hours_needed"))
+
+
+@query(f"with {Z}, e as (select min(ts) as a, max(ts) + 1 as b from dep), h as (select unnest([0, 3600000000, 86400000000])::bigint as shift) select shift, min(a + ((ts - a + shift) % (b - a))) as lo, sum((a + ((ts - a + shift) % (b - a))) % 1000)::bigint as checksum from dep, e, h where label = 1 group by shift")
+def r24_shift_null(spark, d):
+    f = split_events(spark, d).where("split = 'deploy'")
+    lo, hi = f.agg(F.min("ts"), F.max("ts")).first()
+    s = metrics.shifted(f.where("label = 1"), [0, 3600000000, 86400000000], lo, hi + 1)
+    return s.select(F.col("shift").cast("long").alias("shift"), "ts").groupBy("shift").agg(F.min("ts").alias("lo"), F.sum(F.col("ts") % 1000).alias("checksum"))
+
+
+@query()
+def r24_label_null(spark, d):
+    return metrics.permuted_labels(stream(spark, d), 20).groupBy("rep").agg(F.count_if("ismal").alias("malicious"), F.count("*").alias("t"))
+
+
+@query()
+def r25_sweep(spark, d):
+    """Family by bucket by gamma: one controller per combination, all in parallel."""
+    f, out = evident(spark, d), None
+    for fam in ("src-dst", "src", "dst"):
+        g, keys = episodes.with_family(f, fam)
+        for b in (86400, None):
+            e = episodes.ordered(episodes.build(g, keys, b), keys).select(F.lit(fam).alias("family"), F.lit(b or 0).alias("bucket_s"), "pos", "ev", "ceiling", "ismal")
+            out = e if out is None else out.unionByName(e)
+    run = None
+    for kind in ("poly", "uniform"):
+        c = controllers.control(out, "elond", ["family", "bucket_s"], kind).withColumn("gamma", F.lit(kind))
+        run = c if run is None else run.unionByName(c)
+    j = run.join(out.select("family", "bucket_s", "pos", "ismal"), ["family", "bucket_s", "pos"])
+    return metrics.rates(j, ["family", "bucket_s", "gamma"]).select("family", "bucket_s", "gamma", "alerts", "tp", "t", "silent")
+
+
+@query()
+def r26_tie_orders(spark, d):
+    base, out = episodes.build(evident(spark, d), KEYS), None
+    base = base.withColumn("first_ts", F.col("first_ts") - F.pmod("first_ts", F.lit(3_600_000_000)))  # many ties
+    for seed in range(5):
+        e = episodes.ordered(base, KEYS, "first-tie", seed).select(F.lit(seed).alias("seed"), "pos", "ev", "ceiling", "ismal")
+        out = e if out is None else out.unionByName(e)
+    run = controllers.control(out, "elond", ["seed"]).join(out.select("seed", "pos", "ismal"), ["seed", "pos"])
+    return metrics.tie_distribution(metrics.rates(run, ["seed"]), "recall", 0.1)
+
+
+@query("select 0::bigint as broken")
+def r28_silence_identity(spark, d):
+    """Silent hypotheses of an epoch without rejections are those beyond its feasible window."""
+    s = episodes.epochs(stream(spark, d), 6 * 3600).withColumn("ev", F.lit(0.0))
+    c = s.agg(F.max("ceiling")).first()[0]
+    per = controllers.restarted(s, "elond", allocation="each").groupBy("epoch").agg(F.count_if("fired").alias("alerts"), F.count_if("silent").alias("silent"), F.count("*").alias("t"))
+    return metrics.silence_identity(per.withColumn("window", F.lit(spending.cold_window("poly", c, ALPHA, 1_000_000)))).agg(F.count("*").alias("broken"))
+
+
+@query()
+def r29_lever(spark, d):
+    s = stream(spark, d)
+    t, nc, rows = s.count(), s.agg(F.max("ceiling")).first()[0] - 1, None
+    for q in (0.05, 0.1):
+        for kind in ("poly", "uniform"):
+            x = metrics.rates(s.select("pos", "ismal").join(controllers.control(s, "elond", kind=kind, alpha=q), "pos")).select(F.lit(q).alias("q"), F.lit(kind).alias("gamma"), F.lit(attack.margin(int(nc), t, q / 2)).alias("margin"), "recall")
+            rows = x if rows is None else rows.unionByName(x)
+    return metrics.lever(rows)
+
+
+@query()
+def r30_contamination(spark, d):
+    s = split_events(spark, d)
+    cal, pool, dep, out = s.where("split = 'cal' and label = 0"), s.where("split = 'cal' and label = 1"), s.where("split = 'deploy'"), None
+    for a in (0, 5):
+        for seed in range(3):
+            e = evidence.threshold_evidence(dep, ingest.contaminate(cal, pool, a, seed=seed))
+            x = e.agg(F.lit(a).alias("a"), (F.count_if((F.col("label") == 1) & (F.col("e") > 0)) / F.count_if(F.col("label") == 1)).alias("recall"))
+            out = x if out is None else out.unionByName(x)
+    return metrics.contamination_spread(out, ["a"])
+
+
+_RANKED = f"{Z}, c as (select score from cal where label = 0), rk as (select label, (select count(*) from c where c.score > dep.score) as above, (select count(*) from c where c.score = dep.score) as ties, (select count(*) from c) as nc from dep)"
+
+
+@query(f"with {_RANKED} select count(*) as n, round(avg(greatest(0, least(1, ({A} * (nc + 1) - above) / (1 + ties)))), 9) as probability from rk where label = 0")
+def r31_validity(spark, d):
+    s = split_events(spark, d)
+    k = evidence.ranks(s.where("split = 'deploy'"), s.where("split = 'cal' and label = 0")).where("label = 0")
+    return metrics.randomised_validity(k, ALPHA).select("n", r("probability").alias("probability"))
+
+
+@query()
+def r32_inclusion(spark, d):
+    s = split_events(spark, d)
+    k = evidence.draws(evidence.ranks(s.where("split = 'deploy'"), s.where("split = 'cal' and label = 0")), "ingest_id", 20)
+    p = k.withColumn("fired", evidence.smoothed_p(F.col("above"), F.col("ties"), F.col("nc"), F.col("u")) <= 0.01)
+    return metrics.inclusion_jaccard(metrics.detection_probability(p, ["ingest_id"]))
+
+
+@query(f"with {EP}, m as (select quantile_cont(smax, 0.9) as q from s) select case when nsz = 1 then '1' when nsz <= 4 then '2-4' when nsz <= 16 then '5-16' else '17+' end as bin, count(*) as n, round(avg((smax > q)::int), 9) as over from s, m where not ismal group by 1")
+def r33_arity(spark, d):
+    s = stream(spark, d)
+    q = s.agg(F.percentile("smax", F.lit(0.9))).first()[0]
+    return metrics.arity_coverage(s, F.lit(q)).select("bin", "n", r("over").alias("over"))
+
+
+@query(f"with {EP}, g as (select count(*) / ((max(first_ts) - min(first_ts)) / 3.6e9) as x from s) select round(x, 6) as groups_per_hour, round(1000 / x, 4) as hours_needed from g")
+def r34_calendar(spark, d):
+    return metrics.calendar_need(stream(spark, d), 1000).select(r("groups_per_hour", 6).alias("groups_per_hour"), r("hours_needed", 4).alias("hours_needed"))
+
+
+@query("select label_src::varchar as value, count(*) as n, round(avg((label = 1)::int), 9) as rate from flows join meta using (ingest_id) where label is not null group by 1")
+def r36_leakage(spark, d):
+    j = table(spark, d, "flows").select("ingest_id", "label").join(table(spark, d, "meta").select("ingest_id", F.col("label_src").cast("string").alias("label_src")), "ingest_id")
+    return metrics.leakage_audit(j, "label_src").select("value", "n", r("rate").alias("rate"))
+
+
+# ---- attack costs and feasibility ----
+
+
+def _priced(spark, d, kind: str = "uniform") -> DataFrame:
+    s = stream(spark, d)
+    run = s.join(controllers.elond_native(s, kind).select("pos", "level", "fired", "silent"), "pos").withColumn("tau", 1.0 / F.col("level"))
+    return attack.price_alerts(run)
+
+
+_PRICED = f"{_lond_sql('uniform')}, pr as (select s.*, c.level, 1 / c.level as tau, greatest(floor(s.sum_e / (1 / c.level) - s.nsz)::bigint + 1, 0) as r_star from c join s on s.pos = c.pos where c.fired and s.ismal)"
+
+
+@query(f"with {_PRICED} select pos, r_star from pr")
+def x01_zero_pads(spark, d):
+    return _priced(spark, d).select(F.col("pos").cast("long").alias("pos"), "r_star")
+
+
+@query(f"with {_PRICED} select pos, round((sum_e - tau * nsz) / (tau - 1), 6) as pads from pr where tau > 1")
+def x02_mean_pads(spark, d):
+    p = _priced(spark, d).where("tau > 1")
+    return p.select(F.col("pos").cast("long").alias("pos"), r(attack.mean_pads(F.col("sum_e"), F.col("tau"), F.col("nsz"), F.lit(1.0)), 6).alias("pads"))
+
+
+@query(f"with {_PRICED} select count(*) as n, count(*) as equal, 0::bigint as max_gap from pr")
+def x03_price_error(spark, d):
+    p = _priced(spark, d)
+    below = lambda x: F.col("sum_e") / (F.col("nsz") + x) < F.col("tau")
+    # Measured: the pads that do, and one fewer that does not.
+    measured = F.when(below(F.col("r_star")) & ~below(F.col("r_star") - 1), F.col("r_star")).otherwise(F.col("r_star") + 1)
+    return attack.price_error(p, measured)
+
+
+@query()
+def x04_confidence(spark, d):
+    rows = [(p.pos, attack.pads_for_confidence(p.sum_e, p.tau, p.nsz, 0.0003, p.ceiling)) for p in _priced(spark, d).collect()]  # detected episodes only
+    return spark.createDataFrame(rows, "pos long, pads long")
+
+
+@query(f"with {_PRICED}, k as (select unnest(range(0, 11))::int as r) select pos, r, round(sum_e / (nsz + r), 6) as ev from pr, k")
+def x05_dilution(spark, d):
+    p = _priced(spark, d).withColumn("pos", F.col("pos").cast("long"))
+    return attack.dilution_curve(p, ["pos"], 10).select("pos", "r", r("ev", 6).alias("ev"))
+
+
+@query()
+def x06_replay(spark, d):
+    return attack.replay(_priced(spark, d), ["pos"], [0.0] * 999 + [100.0], 5, 100_000)
+
+
+@query(f"with {_PRICED}, k as (select unnest([1, 10, 100, 1000])::bigint as cap) select cap, count(*) as n, round(avg((r_star <= cap)::int), 9) as share from pr, k group by cap")
+def x08_rate_limit(spark, d):
+    x = attack.rate_limit(_priced(spark, d), [1, 10, 100, 1000])
+    return x.select("cap", "n", r("share").alias("share"))
+
+
+@query(f"with {_PRICED}, k as (select unnest([1, 5, 50])::double as factor) select factor, count(*) as n, count_if(ceil(factor * nsz) >= r_star) as suppressed from pr, k group by factor")
+def x09_multiplier(spark, d):
+    return attack.multiplier(_priced(spark, d), [1, 5, 50])
+
+
+@query(f"with {_PRICED}, k as (select unnest([10, 100])::bigint as pads) select pads, count(*) as n, count_if(pads >= r_star) as suppressed from pr, k group by pads")
+def x09_absolute(spark, d):
+    return attack.absolute(_priced(spark, d), [10, 100])
+
+
+def _arrays(spark, d):
+    s = stream(spark, d).select("pos", "ev", "nsz", "ismal", "ceiling").toPandas().sort_values("pos")  # one row per episode
+    return s["ev"].to_numpy(), s["nsz"].to_numpy(), s["ismal"].to_numpy(), float(s["ceiling"].iloc[0])
+
+
+@query()
+def x10_joint(spark, d):
+    e, n, m, c = _arrays(spark, d)
+    rows = []
+    for adaptive, cap in ((True, None), (False, None), (True, 20)):
+        x = attack.joint_attack(e, n, m, c, "uniform", ALPHA, cap, adaptive)
+        rows += [(adaptive, cap, o, int(k)) for o, k in x["outcome"].value_counts().items()]
+    return spark.createDataFrame(rows, "adaptive boolean, cap int, outcome string, n int")
+
+
+@query(f"with {_PRICED}, c1 as (select max(sum_e / tau / nsz - 1) as x from pr) select round(x, 6) as c_crit, (floor(x) + 1)::bigint as c_int from c1")
+def x11_critical(spark, d):
+    return attack.critical_multiplier(_priced(spark, d)).select(r("c_crit", 6).alias("c_crit"), "c_int")
+
+
+@query("with t as (select unnest([10.0, 100.0, 1000.0])::double as tau) select tau, greatest(ceil(ln(tau / 10000) / ln(0.5)), 0)::bigint as pads from t")
+def x12_front_load(spark, d):
+    t = spark.createDataFrame([(10.0,), (100.0,), (1000.0,)], "tau double")
+    return t.select("tau", attack.front_load(F.lit(0.5), F.col("tau"), F.lit(10000.0)).alias("pads"))
+
+
+@query("with f as (select ingest_id, src, row_number() over (partition by src order by ts, ingest_id) as arrival, f5 > 10000 as hit from flows where ts is not null and src is not null), h as (select src, arrival, row_number() over (partition by src order by arrival) as i from f where hit) select src, greatest(100 - arrival + 1, 0)::bigint as pads from h where i = 3")
+def x13_cap_front_load(spark, d):
+    f = table(spark, d, "flows").where("ts is not null and src is not null").select("ingest_id", "ts", "src", F.when(F.col("f5") > 10000, 1.0).otherwise(0.0).alias("e"))
+    return attack.cap_front_load(episodes.arrival_rank(f, ["src"]), ["src"], 100, F.lit(3)).select("src", F.col("pads").cast("long").alias("pads"))
+
+
+@query(f"with c as (select unnest([10001, 100001, 1000001])::double as ceiling), k as (select unnest([0, 5])::int as r) select ceiling, r, floor(power(ceiling * {A} * (r + 1) / {ZETA}::double, 1 / 1.6::double))::bigint as last from c, k")
+def x14_x17_cold_window(spark, d):
+    rows = [(c, k, spending.cold_window_closed(c, ALPHA, k)) for c in (10001.0, 100001.0, 1000001.0) for k in (0, 5)]
+    return spark.createDataFrame(rows, "ceiling double, r int, last long")
+
+
+@query()
+def x16_deadlines(spark, d):
+    rows = [(c, k, attack.deadline(c, ALPHA, "poly", 100_000, k), attack.absorbing_gap(c, ALPHA, 1000)) for c in (10001.0, 100001.0) for k in (0, 5)]
+    return spark.createDataFrame(rows, "ceiling double, r int, last long, gap long")
+
+
+@query()
+def x18_survival(spark, d):
+    e, _, _, c = _arrays(spark, d)
+    fired = controllers.fold(controllers.Lond(spending.gamma("uniform", len(e)), ALPHA), e, c).fired
+    return spark.createDataFrame(attack.survival_curve(e, fired, c, "uniform", ALPHA, [0, 10, 50, 200]))
+
+
+@query()
+def x19_blind_key(spark, d):
+    e, _, _, c = _arrays(spark, d)
+    hit = np.flatnonzero(controllers.fold(controllers.Lond(spending.gamma("uniform", len(e)), ALPHA), e, c).fired)
+    at = int(hit[0]) if hit.size else 0
+    curve = attack.blind_key_curve(e, at, c, "uniform", ALPHA, [1, 10, 50, 100, 200], 20)
+    q = attack.curve_quantile(curve, 0.5)
+    return spark.createDataFrame(curve.assign(n50=q if q is not None else float("nan")))
+
+
+@query()
+def x20_addis_state(spark, d):
+    e, _, _, c = _arrays(spark, d)
+    rows = [(h, attack.addis_budget(e[:h], 1e4, c, "poly", ALPHA, W0, 4 * len(e))) for h in (0, 10, 50)]
+    return spark.createDataFrame(rows, "head int, b_star long")
+
+
+@query()
+def x21_synthetic(spark, d):
+    return attack.synthetic_attacks(spark, 20)
+
+
+@query()
+def x22_cheapest_prefix(spark, d):
+    v = [float(x) for x in range(0, 50)]
+    return spark.createDataFrame([(t, attack.cheapest_prefix(v, 60.0, 10, t)) for t in (55.0, 40.0, 30.0)], "threshold double, pads int")
+
+
+@query()
+def x24_outcomes(spark, d):
+    s = stream(spark, d).select((F.col("nsz") % 4).alias("pool_size"), (F.col("nsz") % 2).alias("pads_needed"), "ismal", (F.col("ev") > 0).alias("fired"))
+    return attack.outcome_classes(s.withColumns({"fired_before": F.col("ismal"), "pad_fired": F.lit(False)})).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(f"with {EP} select round(max(case when not ismal then ev end), 6) as max_ev, round(count(*) / {A}, 6) as needed, coalesce(max(case when not ismal then ev end) >= count(*) / {A}, false) as met from s")
+def x25_premise(spark, d):
+    return attack.premise(stream(spark, d), ALPHA).select(r("max_ev", 6).alias("max_ev"), r("needed", 6).alias("needed"), "met")
+
+
+@query(f"with {EP} select round(count(*) / {W} - 1, 6) as lond, round(count(*) / ({A} * 10) - 1, 6) as ebh from s")
+def x26_required(spark, d):
+    t = stream(spark, d).count()
+    return spark.createDataFrame([(round(attack.required_calibration(t, W0), 6), round(attack.required_calibration_ebh(t, ALPHA, 10), 6))], "lond double, ebh double")
+
+
+@query("with g as (select src, dst, count_if(label = 1) as m, count_if(label = 0) as b from flows group by 1, 2) select count(*) as n_pairs, count_if(m > 0) as n_attack, count_if(m > 0 and b = 0) as n_pure, count_if(m > 0 and b > 0) as n_with_pads from g")
+def x27_purity(spark, d):
+    return attack.host_pair_purity(table(spark, d, "flows"))
+
+
+@query(f"with {EP} select pos, round(n * 1 / ({W} * ceiling * 0.01), 6) as floor from s")
+def x28_floor(spark, d):
+    s = stream(spark, d)
+    return s.select(F.col("pos").cast("long").alias("pos"), r(attack.detection_floor(F.lit(s.count()), W0, F.col("ceiling"), F.lit(0.01)), 6).alias("floor"))
+
+
+@query()
+def x29_exact(spark, d):
+    rows = []
+    for p in _priced(spark, d).collect():  # detected episodes only
+        c = Fraction(int(p.ceiling))
+        x = attack.suppressing_size(round(p.sum_e / p.ceiling), p.nsz, c, Fraction(p.level))
+        rows.append((p.pos, x["pads"], float(x["p"]), x["between"], x["saturated"]))
+    return spark.createDataFrame(rows, "pos long, pads long, p double, between boolean, saturated boolean")
+
+
+@query()
+def x30_insertion(spark, d):
+    s = stream(spark, d)
+    run = s.join(controllers.elond_native(s).select("pos", "level", "fired"), "pos").withColumns({"tau": 1.0 / F.col("level"), "r_before": F.lit(0)})
+    t = attack.targeted_insertions(run, ALPHA).withColumn("r_star", attack.zero_pads(F.col("sum_e"), F.col("tau"), F.col("nsz")))
+    return attack.insertion_cost(t, [1, 2, 15])
+
+
+@query()
+def x31_precursor(spark, d):
+    return spark.createDataFrame([(m, *attack.precursor_chance(100_000, 50, m)) for m in (10, 1000, 5000)], "m int, without double, nominal double")
+
+
+@query("with a as (select src, dst, floor(ts / 86400000000)::bigint as bucket, count(*) as c from flows where ts is not null and src is not null and dst is not null group by 1, 2, 3) select src, dst, bucket, round((1 - power(0.5::double, c)) * 1000, 6) as attainable from a")
+def x32_attainable(spark, d):
+    f = episodes.arrival_rank(table(spark, d, "flows").where("ts is not null and src is not null and dst is not null").select("ingest_id", "ts", "src", "dst"), KEYS, 86400)
+    w = f.withColumn("weight", 0.5 * F.pow(F.lit(0.5), F.col("arrival") - 1))
+    return attack.attainable(w, [*KEYS, "bucket"], F.lit(1000.0)).select(*KEYS, "bucket", r("attainable", 6).alias("attainable"))
+
+
+@query()
+def x33_fixed_point(spark, d):
+    e, n, m, c = _arrays(spark, d)
+    pads, rounds = attack.settle_buckets(e, n, m, c, "uniform", ALPHA)
+    return spark.createDataFrame([(int(pads.sum()), int((pads > 0).sum()), rounds)], "pads long, padded long, rounds int")
+
+
+# ---- detectors ----
+
+
+@query()
+def m01_boosted(spark, d):
+    f = table(spark, d, "flows").where("split is not null and label is not null")
+    m = detector.Boosted(iterations=10, leaf=20).fit(f.where("split = 'train'"))
+    return metrics.auroc(m.score(f.where("split = 'deploy'"))).select("n_pos", "n_neg", "auroc")
+
+
+@query()
+def m02_isolation(spark, d):
+    f = table(spark, d, "flows").where("split is not null and label is not null")
+    m = detector.Isolation(trees=50, sample=512).fit(f.where("split = 'train'"))
+    return metrics.auroc(m.score(f.where("split = 'deploy'"))).select("n_pos", "n_neg", "auroc")
+
+

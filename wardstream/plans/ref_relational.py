@@ -78,7 +78,8 @@ def s17_first_seen(spark, d):
 
 # ---- projections, filters, splits ----
 
-_FIN = lambda c: f"case when {c} is null or isnan({c}) or isinf({c}) then 0::double else {c}::double end"
+# As text, since statistics of a column can fold isnan() away.
+_FIN = lambda c: f"coalesce(nullif(nullif(nullif({c}::varchar, 'nan'), 'inf'), '-inf')::float::double, 0)"
 
 
 @query("select sensor, count(*) as n, " + ", ".join(f"count_if({_FIN(c)} = 0) as zero_{c}" for c in FEATURES) + " from flows group by sensor")
@@ -163,7 +164,7 @@ def p12_contaminated(spark, d):
     return out
 
 
-_BENIGN = "b as (select f.ingest_id, f.src, f.label, (case when f.proto is null or isnan(f.proto) or isinf(f.proto) then 0 else f.proto end)::bigint as proto, coalesce(m.dport, 0)::bigint as dport, case when f.f5 > 10000 then 1.0::double else 0.0::double end as e from flows f join meta m using (ingest_id))"
+_BENIGN = f"b as (select f.ingest_id, f.src, f.label, ({_FIN('f.proto')})::bigint as proto, coalesce(m.dport, 0)::bigint as dport, case when f.f5 > 10000 then 1.0::double else 0.0::double end as e from flows f join meta m using (ingest_id))"
 
 
 def _benign(spark, d):
