@@ -47,7 +47,8 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p6_found, p6_report, p6_cleaned, p7_mixture, p7_shares, p8_found, p8_stats)}
 
-_X = ", ".join(f"case when {c} is null or isnan({c}) or isinf({c}) then 0::double else {c}::double end as {c}" for c in FEATURES)
+# As text, since statistics of a column can fold isnan() away.
+_X = ", ".join(f"coalesce(nullif(nullif(nullif({c}::varchar, 'nan'), 'inf'), '-inf')::float::double, 0) as {c}" for c in FEATURES)
 _NEAR = " and ".join(f"abs(a.{c} - b.{c}) <= 0.005 * greatest(abs(a.{c}), abs(b.{c}))" for c in FEATURES)
 _SAME = " and ".join(f"a.{c} = b.{c}" for c in FEATURES)
 _PAIRS = f"""with x as (select * from (select ingest_id, split, sensor, label, {_X} from flows where split in ('train', 'cal', 'deploy')) where f3 + f4 >= 2),
