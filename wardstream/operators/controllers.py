@@ -453,14 +453,21 @@ PROCEDURES: dict[str, Callable] = {
     "elord": lambda e, c, k, a, w: fold(EGai(a, "lord"), e, c),
     "esaffron": lambda e, c, k, a, w: fold(EGai(a, "saffron"), e, c),
     "memlord": lambda e, c, k, a, w: fold(EGai(a, "mem-lord"), e, c),
-    "donation_elond": lambda e, c, k, a, w: fold(DonationLond(gamma(k, len(e)), a), e, c),
-    "closed_elond": lambda e, c, k, a, w: fold(ClosedLond(gamma(k, len(e)), a), e, c),
+    "donation_elond": lambda e, c, k, a, w: fold(DonationLond(_checked(e, c, k, a), a), e, c),
+    "closed_elond": lambda e, c, k, a, w: fold(ClosedLond(_checked(e, c, k, a), a), e, c),
     "donation_ebh": lambda e, c, k, a, w: donation_ebh(e, c, gamma(k, len(e)), a),
     "etoad_arc": lambda e, c, k, a, w: etoad(e, c, gamma(k, len(e)), a, deadlines("arc", len(e))),
     "etoad_immediate": lambda e, c, k, a, w: etoad(e, c, gamma(k, len(e)), a, deadlines("immediate", len(e))),
 }
 
 
+def _checked(evidence: np.ndarray, ceiling: float, kind: str, alpha: float) -> np.ndarray:
+    """The spending sequence, once the stream meets :func:`check_stream`."""
+    g = gamma(kind, len(evidence))
+    check_stream(evidence, g, alpha, ceiling)
+    return g
+
+
 def _padded(kind: str, n: int) -> np.ndarray:
     """One more entry than the stream is long; ages are clipped to it."""
     return np.append(gamma(kind, n), gamma(kind, n + 1, n)[-1])

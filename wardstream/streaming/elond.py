@@ -1,8 +1,10 @@
 """e-LOND on a stream: flows in, episode decisions out, exactly as in batch.
 
-Flows are grouped into tumbling buckets per key; a bucket's hypotheses enter the controller when the
-watermark passes its end, ordered inside by the key hash, buckets in order. The controller's state is two
-numbers (hypotheses so far, rejections so far) per stream. Flows later than the watermark are dropped by
+Two queries in a row, as Spark allows no custom state after a windowed aggregation in append mode. The first
+groups flows into tumbling buckets per key, many tasks wide, and appends a bucket's hypotheses to a table when
+the watermark passes its end; the file sink commits whole batches, so buckets arrive in order. The second
+reads that table as a stream and runs the controller, ordered by bucket and inside by the key hash. Its state
+is two numbers (hypotheses and rejections so far) per stream. Flows later than the watermark are dropped by
 the aggregation and counted by Spark.
 """
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,6 +32,20 @@ def episodes_stream(flows: DataFrame, keys: list[str], seconds: int, late: str)
     return a.select(F.lit("all").alias("stream"), F.col("w.start").alias("bucket"), "key", "h", "nsz", "ev")
 
 
+EPISODE = "stream string, bucket timestamp, key string, h long, nsz long, ev double"
+
+
+def close_buckets(flows: DataFrame, keys: list[str], seconds: int, late: str, table: str, checkpoint: str, trigger: dict | None = None):
+    """Start the first query: closed buckets are appended to the Parquet table at ``table``."""
+    w = episodes_stream(flows, keys, seconds, late).writeStream.format("parquet").outputMode("append")
+    return w.option("path", table).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def closed(spark: SparkSession, table: str) -> DataFrame:
+    """The stream of closed buckets for the second query."""
+    return spark.readStream.schema(EPISODE).parquet(table)
+
+
 def decide(episodes: DataFrame, alpha: float = 0.05) -> DataFrame:
     """The controller over closed buckets (spending ``poly``, which needs no horizon)."""
     z = zeta(1.6)
