@@ -11,7 +11,7 @@ import __spark_entry__ as entry  # noqa: E402
 from tools.compare import canon  # noqa: E402
 from wardstream.plans import registry  # noqa: E402
 
-SLOW = {"ref_m01_boosted"}
+SLOW = {"ref_m01_boosted", "ref_m04_host_conditioned"}  # minutes of fitting
 
 
 @pytest.fixture(scope="module")

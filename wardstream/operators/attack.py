@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardstream.functions.special import binom_cdf, hypergeom_at_least_one
+from wardstream.functions.special import binom_cdf, clopper_pearson, hypergeom_at_least_one
 from wardstream.operators.controllers import Addis, Lond, _padded, fold
 from wardstream.operators.spending import gamma
 
@@ -48,6 +48,17 @@ def pads_for_confidence(total: float, tau: float, n: int, p: float, ceiling: flo
     return None
 
 
+def pads_at_bound(total: float, tau: float, n: int, fired: int, seen: int, ceiling: float, level: float = 0.9) -> int | None:
+    """The same with the pads' firing chance at the upper end of its exact confidence interval (``fired`` of ``seen``)."""
+    return pads_for_confidence(total, tau, n, clopper_pearson(fired, seen)[1], ceiling, level)
+
+
+def volume_cap(run: DataFrame, caps: list[int]) -> DataFrame:
+    """Share of priced alerts whose group stays within a cap on its total flows after padding: ``cap, n, share``."""
+    e = run.withColumn("cap", F.explode(F.array(*[F.lit(c).cast("long") for c in caps])))
+    return e.groupBy("cap").agg(F.count("*").alias("n"), F.avg(F.when(F.col("nsz") + F.col("r_star") <= F.col("cap"), 1.0).otherwise(0.0)).alias("share"))
+
+
 def dilution(sum_e: float, m: int, pads: list[float]) -> list[float]:
     """Mean evidence after each pad of a sampled sequence (closed form S/(m+r) if all pads are 0)."""
     s = np.cumsum(np.asarray(pads, dtype=float))

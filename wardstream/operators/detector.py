@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from wardstream.functions.columns import finite
 from wardstream.functions.special import harmonic
-from wardstream.operators.hostfeatures import pad_contexts
+from wardstream.operators.hostfeatures import host_features, pad_contexts
+from wardstream.operators.order_stats import percentiles
 from wardstream.schema import FEATURES
 
 
@@ -113,6 +114,18 @@ def _usual(n: int) -> float:
     return 0.0 if n <= 1 else 2.0 * harmonic(n - 1) - 2.0 * (n - 1) / n
 
 
+HOST_COLUMNS = ["src_cnt", "src_peers", "src_fail", "dst_cnt", "dst_peers", "dst_fail"]
+
+
+def host_conditioned(flows: DataFrame, failed, train: str, seed: int = 0, **settings) -> tuple[Boosted, DataFrame]:
+    """A detector on the flow's features and the six causal host features, fitted where ``train`` (SQL) holds; and the flows with both.
+
+    ``flows`` needs ``ts, src, dst, ingest_id, label`` and the features; ``failed`` marks failed connections.
+    """
+    wide = host_features(flows, failed)
+    return Boosted([*FEATURES, *HOST_COLUMNS], seed=seed, **settings).fit(wide.where(train)), wide
+
+
 def leave_one_out(tables: dict[str, DataFrame], make, columns: list[str]) -> DataFrame:
     """Every organisation scored by a detector that never saw it: rows with ``org, label, score, ingest_id``."""
     out = None
@@ -128,7 +141,7 @@ def leave_one_out(tables: dict[str, DataFrame], make, columns: list[str]) -> Dat
 
 def ablated(model: Boosted, train: DataFrame, test: DataFrame, column: str, name: str = "ablated") -> DataFrame:
     """Scores with one feature set to its median among benign training rows."""
-    med = train.where("label = 0").agg(F.percentile(column, F.lit(0.5)).alias("m")).first().m
+    med = percentiles(train.where("label = 0"), column, [0.5])[0]
     kept = test.withColumn("__keep", F.col(column)).withColumn(column, F.lit(med).cast(dict(test.dtypes)[column]))
     return model.score(kept, name).withColumn(column, F.col("__keep")).drop("__keep")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardstream.functions.hashing import uniform
 from wardstream.functions.special import beta_quantile, harmonic
-from wardstream.runtime import materialise
+from wardstream.operators.order_stats import running
 
 
 def kth_largest(cal: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -45,14 +45,8 @@ def ranks(test: DataFrame, cal: DataFrame, score: str = "score") -> DataFrame:
     s = test.select(F.col(score).alias("__s")).where("__s is not null").distinct().select("__s", F.lit(0).cast("long").alias("__c"))
     c = cal.select(F.col(score).alias("__s")).where("__s is not null").groupBy("__s").agg(F.count("*").alias("__c"))
     every = s.unionByName(c).groupBy("__s").agg(F.sum("__c").alias("__c"))
-    n = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = materialise(every.repartitionByRange(n, F.desc("__s")).withColumn("__p", F.spark_partition_id()))
-    sums = kept.groupBy("__p").agg(F.sum("__c").alias("__t"))
-    upper = sums.select("__p", F.coalesce(F.sum("__t").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # one row per partition
-    total = sums.agg(F.coalesce(F.sum("__t"), F.lit(0)).alias("nc"))
-    w = W.partitionBy("__p").orderBy(F.desc("__s")).rowsBetween(W.unboundedPreceding, -1)
-    g = kept.withColumn("__g", F.coalesce(F.sum("__c").over(w), F.lit(0))).join(F.broadcast(upper), "__p")
-    g = g.select("__s", (F.col("__g") + F.col("__b")).alias("above"), F.col("__c").alias("ties"))
+    total = every.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("nc"))
+    g = running(every, "__s", "__c", "above", descending=True).select("__s", "above", F.col("__c").alias("ties"))
     return test.join(g, F.col(score) == F.col("__s"), "left").join(F.broadcast(total)).drop("__s").withColumn("rank", 1 + F.col("above") + F.col("ties"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardstream.functions.columns import finite
 from wardstream.functions.hashing import uniform
+from wardstream.operators.order_stats import percentiles
 from wardstream.runtime import materialise
 from wardstream.schema import FEATURES, META_NUMBERS, META_STRINGS
 
@@ -151,9 +152,8 @@ def label_identity(df: DataFrame) -> DataFrame:
 
 def epoch_scale(df: DataFrame, columns: list[str], most: float = 1e11) -> DataFrame:
     """Columns whose median magnitude reveals a clock: ``name, median_abs, dropped``."""
-    q = df.agg(*[F.percentile(F.abs(F.col(c)), F.lit(0.5)).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("median_abs")) for c in columns])
-    return q.select(F.inline(rows)).withColumn("dropped", F.coalesce(F.col("median_abs") >= most, F.lit(False)))
+    rows = [(c, m, m is not None and m >= most) for c in columns for m in percentiles(df, F.abs(F.col(c)), [0.5])]
+    return df.sparkSession.createDataFrame(rows, "name string, median_abs double, dropped boolean")
 
 
 def usable_columns(df: DataFrame, columns: list[str], filled: float = 0.9) -> list[str]:

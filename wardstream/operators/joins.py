@@ -149,9 +149,10 @@ def nearest_neighbour(queries: DataFrame, base: DataFrame, identity: str, vector
 
 def map_agreement(left: DataFrame, right: DataFrame, key: str, values: str) -> DataFrame:
     """How well two sources (key, array of values) agree on shared keys: ``shared, overlapping, share``."""
-    a = left.select(key, F.explode(values).alias("v")).groupBy(key).agg(F.collect_set("v").alias("a"))
-    b = right.select(key, F.explode(values).alias("v")).groupBy(key).agg(F.collect_set("v").alias("b"))
-    j = a.join(b, key).agg(F.count("*").alias("shared"), F.count_if(F.arrays_overlap("a", "b")).alias("overlapping"))
+    a = left.select(F.col(key).alias("k"), F.explode(values).alias("v")).distinct()
+    b = right.select(F.col(key).alias("k"), F.explode(values).alias("v")).distinct()
+    hits = a.join(b, ["k", "v"]).select("k").distinct().withColumn("hit", F.lit(True))
+    j = a.select("k").distinct().join(b.select("k").distinct(), "k").join(hits, "k", "left").agg(F.count("*").alias("shared"), F.count("hit").alias("overlapping"))
     return j.withColumn("share", F.try_divide("overlapping", "shared"))
 
 

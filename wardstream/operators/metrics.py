@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardstream.operators.ingest import positions
+from wardstream.operators.order_stats import percentiles, running
 
 
 def auroc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -15,8 +16,7 @@ def auroc(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
     Works on counts per distinct score; those are numbered by range partitions.
     """
     c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    g = c.withColumn("b", below).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("b") + F.col("q") / 2.0)).alias("u"))
+    g = running(c, "s", "q", "b").agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("b") + F.col("q") / 2.0)).alias("u"))
     return g.select("n_pos", "n_neg", F.try_divide("u", F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
@@ -127,8 +127,8 @@ def without_top(df: DataFrame, keys: list[str], n: int) -> DataFrame:
 def score_gap(cal: DataFrame, score: str = "score") -> DataFrame:
     """Gap between the two largest scores against the interquartile range: ``gap, iqr, ratio``."""
     top = cal.select(F.col(score).alias("s")).where("s is not null").orderBy(F.desc("s")).limit(2).agg((F.max("s") - F.min("s")).alias("gap"))
-    q = cal.agg((F.percentile(score, F.lit(0.75)) - F.percentile(score, F.lit(0.25))).alias("iqr"))
-    return top.join(F.broadcast(q)).withColumn("ratio", F.try_divide("gap", "iqr"))
+    lo, hi = percentiles(cal, score, [0.25, 0.75])
+    return top.withColumn("iqr", F.lit(None if lo is None else hi - lo).cast("double")).withColumn("ratio", F.try_divide("gap", "iqr"))
 
 
 def wilson_columns(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -233,9 +233,9 @@ def corrected_fdp(fdp: DataFrame, grid: DataFrame) -> DataFrame:
 
 def unit_scale(df: DataFrame, a: str, b: str, scales: list[float]) -> DataFrame:
     """The factor by which a must be multiplied to match b: least median |log10(a scale / b)|: ``scale, error``."""
-    d = df.where((F.col(a) > 0) & (F.col(b) > 0)).select(F.log10(F.col(a) / F.col(b)).alias("r"), F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale"))
-    g = d.groupBy("scale").agg(F.percentile(F.abs(F.col("r") + F.log10("scale")), F.lit(0.5)).alias("error"))
-    return g.agg(F.min(F.struct("error", "scale")).alias("m")).select("m.scale", "m.error")
+    d = df.where((F.col(a) > 0) & (F.col(b) > 0)).select(F.log10(F.col(a) / F.col(b)).alias("r"))
+    found = [(e, float(s)) for s in scales for e in percentiles(d, F.abs(F.col("r") + F.log10(F.lit(float(s)))), [0.5]) if e is not None]
+    return df.sparkSession.createDataFrame([(s, e) for e, s in sorted(found)[:1]], "scale double, error double")
 
 
 def flow_cost(flows: DataFrame, per_packet: int = 0) -> DataFrame:
@@ -246,8 +246,8 @@ def flow_cost(flows: DataFrame, per_packet: int = 0) -> DataFrame:
 
 def budget_costs(flows: DataFrame, budgets: list[int], cost: Column) -> DataFrame:
     """Cost of so many flows at quantiles of the unit cost: ``budget, p10, p50, p90``."""
-    q = flows.agg(*[F.percentile(cost, F.lit(x)).alias(n) for n, x in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
-    return q.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).select("budget", *[(F.col("budget") * F.col(n)).alias(n) for n in ("p10", "p50", "p90")])
+    q = percentiles(flows, cost, [0.1, 0.5, 0.9])
+    return flows.sparkSession.createDataFrame([(b, *[None if x is None else b * x for x in q]) for b in budgets], "budget int, p10 double, p50 double, p90 double")
 
 
 def cheapest(flows: DataFrame, n: int, cost: Column, tie: str = "ingest_id") -> DataFrame:

@@ -572,6 +572,39 @@ def x06_replay(spark, d):
     return attack.replay(_priced(spark, d), ["pos"], [0.0] * 999 + [100.0], 5, 100_000)
 
 
+@query()
+def x07_bound(spark, d):
+    seen = evident(spark, d).where("label = 0").agg(F.count_if(F.col("e") > 0).alias("k"), F.count("*").alias("n")).first()
+    rows = [(p.pos, p.r_star, attack.pads_at_bound(p.sum_e, p.tau, p.nsz, seen.k, seen.n, p.ceiling)) for p in _priced(spark, d).collect()]  # detected episodes only
+    return spark.createDataFrame(rows, "pos long, r_star long, at_bound long")
+
+
+@query(f"with {_PRICED}, k as (select unnest([50, 100, 1000])::bigint as cap) select cap, count(*) as n, round(avg((nsz + r_star <= cap)::int), 9) as share from pr, k group by cap")
+def x07_volume_cap(spark, d):
+    return attack.volume_cap(_priced(spark, d), [50, 100, 1000]).select("cap", "n", r("share").alias("share"))
+
+
+@query()
+def x23_live(spark, d):
+    e = evident(spark, d)
+    top = _priced(spark, d).orderBy(F.desc("ev"), "pos").limit(1).collect()
+    if not top:
+        return spark.createDataFrame([], "pos long, pads long, pad_fired long, r_star long")
+    t = top[0]
+    group = e.where((F.col("src") == t.src) & (F.col("dst") == t.dst)).select("e").toPandas()  # one episode
+    pads = e.where("label = 0").select("score").orderBy("score").limit(1000).toPandas()
+    x = attack.live_trajectory(group, lambda pad, k: float(pad.score), pads, 1e9, t.ceiling, 1.0 / t.tau)
+    return spark.createDataFrame([(t.pos, x["pads"], x["pad_fired"], t.r_star)], "pos long, pads long, pad_fired long, r_star long")
+
+
+@query(f"with {_PRICED}, a as (select s.src % 4 as org, c.fired and s.ismal as hit, greatest(floor(s.sum_e * c.level - s.nsz)::bigint + 1, 0) as pads from c join s on s.pos = c.pos) select org, count_if(hit) as detected, count_if(hit and pads > 0) as suppressible from a group by org")
+def r37_by_organisation(spark, d):
+    s = stream(spark, d)
+    run = s.join(controllers.elond_native(s, "uniform").select("pos", "level", "fired"), "pos")
+    run = run.withColumns({"org": F.col("src") % 4, "pads": attack.zero_pads(F.col("sum_e"), 1.0 / F.col("level"), F.col("nsz"))})
+    return metrics.by_group_rates(run, "org")
+
+
 @query(f"with {_PRICED}, k as (select unnest([1, 10, 100, 1000])::bigint as cap) select cap, count(*) as n, round(avg((r_star <= cap)::int), 9) as share from pr, k group by cap")
 def x08_rate_limit(spark, d):
     x = attack.rate_limit(_priced(spark, d), [1, 10, 100, 1000])
@@ -742,6 +775,17 @@ def m01_boosted(spark, d):
     return metrics.auroc(m.score(f.where("split = 'deploy'"))).select("n_pos", "n_neg", "auroc")
 
 
+@query()
+def m04_host_conditioned(spark, d):
+    """Few rounds, as the wider table and the fit take long; the settings are parameters."""
+    from wardstream.operators.features import fail_states
+
+    f = table(spark, d, "flows").where("split is not null and label is not null and ts is not null").join(table(spark, d, "meta").select("ingest_id", "conn"), "ingest_id", "left")
+    bad = F.upper(F.trim("conn")).isin(fail_states(table(spark, d, "t49_r7")))
+    m, wide = detector.host_conditioned(f, bad, "split = 'train'", iterations=3, leaf=20)
+    return metrics.auroc(m.score(wide.where("split = 'deploy'"))).select("n_pos", "n_neg", "auroc")
+
+
 @query()
 def m02_isolation(spark, d):
     f = table(spark, d, "flows").where("split is not null and label is not null")
