@@ -252,7 +252,8 @@ def plan_slots(blocks: DataFrame, targets: DataFrame, shard_blocks: int = SHARD_
     round_ = F.floor(F.col("slot") / F.col("source_blocks"))
     key = F.xxhash64(F.lit(seed), "source", round_)
     slots = slots.withColumn("ix", _permuted(F.pmod("slot", "source_blocks"), F.col("source_blocks"), key))
-    return slots.join(dense, ["source", "ix"]).select("shard", "source", "slot", "part", "seq"), summary
+    # The planner takes slots for as small as the counts they are unfolded from and would broadcast them.
+    return slots.join(dense.hint("merge"), ["source", "ix"]).select("shard", "source", "slot", "part", "seq"), summary
 
 
 def mixture(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -263,7 +264,7 @@ def mixture(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_
     blocks = pack(documents, _names(targets), block_tokens, tokenizer)
     slots, _ = plan_slots(blocks, targets, shard_blocks, seed)
     heavy = blocks.where("source is not null")
-    return heavy.join(slots, ["source", "part", "seq"]).select("shard", "slot", "source", "n_tokens", "tokens", "doc_ids", "doc_tokens")
+    return heavy.join(slots.hint("merge"), ["source", "part", "seq"]).select("shard", "slot", "source", "n_tokens", "tokens", "doc_ids", "doc_tokens")
 
 
 def shares(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -271,7 +272,7 @@ def shares(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_T
     most_uses, source_tokens, mixture_tokens, corpus_tokens``; sources without documents have zeros."""
     blocks = pack(documents, _names(targets), block_tokens, tokenizer)
     slots, summary = plan_slots(blocks, targets, shard_blocks, seed)
-    per = slots.groupBy("source", "part", "seq").agg(F.count("*").alias("uses")).join(blocks.select("source", "part", "seq", "n_tokens"), ["source", "part", "seq"])
+    per = slots.groupBy("source", "part", "seq").agg(F.count("*").alias("uses")).join(blocks.select("source", "part", "seq", "n_tokens").hint("merge"), ["source", "part", "seq"])
     got = per.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("mixture_tokens"), F.max("uses").alias("most_uses"))
     all_ = got.agg(F.sum("mixture_tokens").alias("__all"))
     s = summary.join(got, "source", "left").join(F.broadcast(all_))  # one row
