@@ -32,9 +32,9 @@ def mean_pads(total: Column, tau: Column, n: Column, mu: Column) -> Column:
 
 
 def price_error(run: DataFrame, measured: Column) -> DataFrame:
-    """Measured pads against the closed form: ``n, equal, max_gap``."""
+    """Measured pads against the closed form: ``n, equal, max_gap`` (0 without rows)."""
     gap = F.abs(measured - F.col("r_star"))
-    return run.agg(F.count("*").alias("n"), F.count_if(gap == 0).alias("equal"), F.max(gap).alias("max_gap"))
+    return run.agg(F.count("*").alias("n"), F.count_if(gap == 0).alias("equal"), F.coalesce(F.max(gap), F.lit(0)).alias("max_gap"))
 
 
 def pads_for_confidence(total: float, tau: float, n: int, p: float, ceiling: float, level: float = 0.9, most: int = 1_000_000) -> int | None:
