@@ -14,7 +14,7 @@ from wardstream.functions.columns import micros
 from wardstream.functions.special import zeta
 from wardstream.operators import episodes, evidence
 from wardstream.operators.ingest import positions, split_of
-from wardstream.runtime import table
+from wardstream.runtime import materialise, table
 
 KEYS = ["src", "dst"]
 
@@ -45,8 +45,8 @@ def evident(spark: SparkSession, d: str, k: int = 1) -> DataFrame:
 
 
 def stream(spark: SparkSession, d: str, how: str = "first-flow") -> DataFrame:
-    """The episode stream with ``pos``."""
-    return episodes.ordered(episodes.build(evident(spark, d), KEYS), KEYS, how)
+    """The episode stream with ``pos``, checkpointed, as it is small and used again and again."""
+    return materialise(episodes.ordered(episodes.build(evident(spark, d), KEYS), KEYS, how))
 
 
 ZETA = repr(zeta(1.6))

@@ -198,9 +198,8 @@ def c23_step_up(spark, d):
     # Distinct p-values only: their number is bounded by the calibration size, and ties share the largest rank.
     c = k.groupBy("p").agg(F.count("*").alias("c"))
     w = Win.orderBy("p").rowsBetween(Win.unboundedPreceding, 0)
-    o = c.select("p", "c", F.sum("c").over(w).alias("i"), F.sum("c").over(Win.partitionBy()).alias("n"))
-    h = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    o = o.withColumn("h", h)
+    n = c.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    o = c.select("p", "c", F.sum("c").over(w).alias("i")).withColumns({"n": F.lit(n), "h": F.lit(special.harmonic(n))})
     count = lambda cond: F.coalesce(F.max(F.when(cond, F.col("i"))), F.lit(0))
     return o.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), count(F.col("p") <= 0.1 * F.col("i") / F.col("n")).alias("bh"), count(F.col("p") <= 0.1 * F.col("i") / (F.col("n") * F.col("h"))).alias("by_count"))
 
