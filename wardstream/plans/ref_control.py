@@ -585,6 +585,7 @@ def x07_volume_cap(spark, d):
 
 @query()
 def x23_live(spark, d):
+    """The strongest alert padded with the thousand lowest-scoring benign flows in turn (an attacker's pick, not a sample)."""
     e = evident(spark, d)
     top = _priced(spark, d).orderBy(F.desc("ev"), "pos").limit(1).collect()
     if not top:

@@ -536,10 +536,10 @@ def j02_flow_to_episode(spark, d):
     return e.select("ingest_id", *KEYS).join(s.select(*KEYS, "pos"), KEYS).select("ingest_id", F.col("pos").cast("long").alias("pos"))
 
 
-@query(f"with {Z}, m as (select ts from dep where label = 1 and user_id % 10 = 0) select ingest_id, least(dep.ts - (select max(m.ts) from m where m.ts <= dep.ts), (select min(m.ts) from m where m.ts >= dep.ts) - dep.ts) as nearest_us from dep")
+@query(f"with {Z}, m as (select ts from dep where label = 1) select ingest_id, least(dep.ts - (select max(m.ts) from m where m.ts <= dep.ts), (select min(m.ts) from m where m.ts >= dep.ts) - dep.ts) as nearest_us from dep")
 def j05_nearest(spark, d):
     dep = split_events(spark, d).where("split = 'deploy'")
-    return joins.nearest_in_time(dep, dep.where("label = 1 and user_id % 10 = 0")).select("ingest_id", "nearest_us")
+    return joins.nearest_in_time(dep, dep.where("label = 1")).select("ingest_id", "nearest_us")
 
 
 @query(f"""with {_FLOW}, e as (select src, dst, floor(ts / 7200000000)::bigint as bucket, min(ts) as a, max(ts) as b from f where label = 1 and src is not null and dst is not null group by 1, 2, 3),
