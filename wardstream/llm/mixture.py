@@ -36,6 +36,8 @@ BLOCK_TOKENS = 256
 SHARD_BLOCKS = 1024
 TAILS_PER_GROUP = 4096
 MAX_SOURCES = 10_000
+#: Shards grow beyond their usual size rather than in number past this, as their counts are drawn on the driver.
+MAX_SHARDS = 100_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to the vocabulary file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -236,7 +238,7 @@ def plan_slots(blocks: DataFrame, targets: DataFrame, shard_blocks: int = SHARD_
     sizes = {r.source: (r.b, r.t) for r in agg if r.source is not None}
     corpus = sum(t for _, t in sizes.values()) + sum(r.o or 0 for r in agg)
     quota = quotas(sizes, want, corpus)
-    counts = shard_counts(quota, shard_blocks, seed)
+    counts = shard_counts(quota, max(shard_blocks, -(-sum(quota.values()) // MAX_SHARDS)), seed)
     summary = spark.createDataFrame(
         [(s, want[s][0], want[s][1], *map(int, sizes.get(s, (0, 0))), quota[s], corpus) for s in sorted(want)],
         "source string, target_share double, max_repeats int, source_blocks long, source_tokens long, slots long, corpus_tokens long",
