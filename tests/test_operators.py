@@ -45,6 +45,9 @@ def test_positions_and_ranks(spark):
     df = spark.createDataFrame(data, "id long, v int")
     want = {i: n + 1 for n, (v, i) in enumerate(sorted((v, i) for i, v in data))}
     assert {r.id: r.pos for r in ingest.positions(df, ["v", "id"]).collect()} == want
+    place = {i: "train" if p <= 100 else "cal" if p <= 250 else "deploy" if p <= 430 else None for i, p in want.items()}
+    assert {r.id: r.split for r in ingest.positional_split(df, (100, 250, 430), "v", "id").collect()} == place
+    assert ingest.positional_split(df, (0, 0, 9999), "v", "id").where("split = 'deploy'").count() == 500 and ingest.positional_split(df.limit(0), (1, 2, 3), "v", "id").count() == 0
     cal = [rng.choice([None, rng.randint(0, 20)]) for _ in range(200)]
     c = spark.createDataFrame([(x,) for x in cal], "v int")
     known = sorted(x for x in cal if x is not None)

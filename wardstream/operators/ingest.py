@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardstream.functions.columns import finite
 from wardstream.functions.hashing import uniform
-from wardstream.operators.order_stats import percentiles
+from wardstream.operators.order_stats import percentiles, running
 from wardstream.runtime import materialise
 from wardstream.schema import FEATURES, META_NUMBERS, META_STRINGS
 
@@ -70,6 +70,31 @@ def split_of(pos: Column, bounds: tuple[int, int, int]) -> Column:
     return F.when(pos <= i1, "train").when(pos <= i2, "cal").when(pos <= i3, "deploy")
 
 
+def positional_split(df: DataFrame, bounds: tuple[int, int, int], ts: str = "ts", identity: str = "ingest_id", name: str = "split") -> DataFrame:
+    """Adds ``train``, ``cal``, ``deploy`` or null by place in the order (ts, identity), without numbering the rows.
+
+    The times at the bounds come from counts per time (:func:`wardstream.operators.order_stats.running`), the place
+    among equal times from the identities at that time alone; the split is then a comparison per row. Null
+    times belong to no split and don't count; ``identity`` must be unique.
+    """
+    at = running(df.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("t")).agg(F.count("*").alias("c")), "t", "c", "b")
+    places = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))])
+    found = at.select("t", "b", F.explode(F.filter(places, lambda p: (p > F.col("b")) & (p <= F.col("b") + F.col("c")))).alias("p")).collect()  # one row per bound at most
+    cut = {}
+    for r in found:
+        tied = df.where(F.col(ts) == r.t).select(identity).orderBy(identity).limit(r.p - r.b)
+        cut[r.p] = (r.t, tied.agg(F.max(identity)).first()[0])
+
+    def upto(b: int) -> Column:
+        if b not in cut:
+            return F.lit(b > 0)  # nothing before the first row, everything up to a bound past the last
+        t, i = cut[b]
+        return (F.col(ts) < t) | ((F.col(ts) == t) & (F.col(identity) <= i))
+
+    i1, i2, i3 = bounds
+    return df.withColumn(name, F.when(F.col(ts).isNull(), None).when(upto(i1), "train").when(upto(i2), "cal").when(upto(i3), "deploy"))
+
+
 def train_sample(df: DataFrame, label: str, identity: str, rate: float = 0.5, seed: int = 0) -> DataFrame:
     """All malicious rows and a hash-chosen share of the benign ones."""
     return df.where((F.col(label) == 1) | (uniform(F.col(identity), seed) < rate))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wardstream.functions.columns import micros
 from wardstream.functions.special import zeta
 from wardstream.operators import episodes, evidence
-from wardstream.operators.ingest import positions, split_of
+from wardstream.operators.ingest import positional_split
 from wardstream.runtime import materialise, table
 
 KEYS = ["src", "dst"]
@@ -31,11 +31,11 @@ def events_flows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_events(spark: SparkSession, d: str, cal: float = 0.40, pos: float = 0.55, test: float = 0.15) -> DataFrame:
-    """Flows of events with position ``rn`` and ``split``."""
+    """Flows of events with their ``split``."""
     f = events_flows(spark, d)
     n = f.count()
     i2 = int(pos * n)
-    return positions(f, ["ts", "ingest_id"], "rn", 8).withColumn("split", split_of(F.col("rn"), (i2 - int(cal * n), i2, min(n, i2 + int(test * n)))))
+    return positional_split(f, (i2 - int(cal * n), i2, min(n, i2 + int(test * n))))
 
 
 def evident(spark: SparkSession, d: str, k: int = 1) -> DataFrame:

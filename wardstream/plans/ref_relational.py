@@ -290,7 +290,7 @@ def e11_harmonic(spark, d):
 
 @query(f"with {Z} select a.ingest_id, round((1 + coalesce(count_if(c.score >= a.score), 0)) / (1 + count(c.rn)), 9) as p from z a left join z c on c.rn between a.rn - 50 and a.rn - 1 group by a.ingest_id")
 def e13_rolling(spark, d):
-    return evidence.rolling_p(split_events(spark, d), "rn", 50).select("ingest_id", r("p", 9).alias("p"))
+    return evidence.rolling_p(ingest.positions(events_flows(spark, d), ["ts", "ingest_id"], "rn"), "rn", 50).select("ingest_id", r("p", 9).alias("p"))
 
 
 @query(f"with {_RANK}, g as (select unnest([1, 10, 100]) as k) select k, count_if(1 + above + ties <= k) as fired, count(*) as n, round(count_if(1 + above + ties <= k) / count(*), 9) as rate, round(k / (max(nc) + 1), 9) as nominal, round(count_if(1 + above + ties <= k) / count(*) / (k / (max(nc) + 1)), 6) as ratio from rk, g where label = 0 group by k")
