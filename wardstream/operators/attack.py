@@ -393,7 +393,134 @@ def outcome_classes(run: DataFrame) -> DataFrame:
     return run.withColumn("outcome", o)
 
 
-def live_trajectory(group: pd.DataFrame, score, pads: pd.DataFrame, kth: float, ceiling: float, level: float, most: int = 10_000) -> dict:
+SIM_CAP = 3_000_000
+N_MIN, FUTILE_MIN = 20, 1024
+
+
+def pads_until(total: float, n: int, tau: float, chance: float, evidence: np.ndarray, shares: np.ndarray | None, rng, most: int) -> tuple[int, int, float, str]:
+    """Pads sent one after the other until the mean is below tau, each firing with probability ``chance``; a firing one adds a
+    value of ``evidence`` (drawn by ``shares``): pads, firing pads, what they added, and ``below``, ``most`` or ``futile``.
+
+    The pads up to the next firing one are drawn at once (geometric), so the work grows with the firing pads, not with
+    all. Futile: after FUTILE_MIN pads or more, the pads' own mean is at tau or above.
+    """
+    k = fired = 0
+    added = 0.0
+    while True:
+        # The mean at k pads is not below tau here, so at least one more is needed.
+        need = max(1, math.floor((total + added) / tau - n - k) + 1)
+        gap = int(rng.geometric(chance)) if chance > 0 else need + 1
+        if need < gap:
+            return (k + need, fired, added, "below") if k + need <= most else (most, fired, added, "most")
+        if k + gap > most:
+            return most, fired, added, "most"
+        k, fired, added = k + gap, fired + 1, added + float(rng.choice(evidence, p=shares))
+        if (total + added) / (n + k) < tau:
+            return k, fired, added, "below"
+        if k >= FUTILE_MIN and added / k >= tau:
+            return k, fired, added, "futile"
+
+
+def pad_pools(own: DataFrame, benign: DataFrame, victim: list[str]) -> DataFrame:
+    """Adds to episodes with ``t_atk`` what benign flows (``ts, e, deployed``) to the same ``victim`` strictly before it hold:
+    ``pool_n, pool_fired``. Flows of calibration, without evidence, join only where deployment has fewer than N_MIN."""
+    from wardstream.operators.history import before
+
+    at = own.select(*victim, F.col("t_atk").alias("ts"), "pos", *[F.lit(0).cast("long").alias(c) for c in ("d", "f", "c")])
+    b = benign.select(*victim, "ts", F.lit(None).cast(dict(own.dtypes)["pos"]).alias("pos"), F.col("deployed").cast("long").alias("d"), (F.col("deployed") & (F.col("e") > 0)).cast("long").alias("f"), (~F.col("deployed")).cast("long").alias("c"))
+    seen = before(b.unionByName(at), victim, "ts", {f"__{c}": F.col(c) for c in ("d", "f", "c")}).where("pos is not null")
+    n = F.when(F.col("__d") >= N_MIN, F.col("__d")).otherwise(F.col("__d") + F.col("__c"))
+    return own.join(seen.select("pos", n.alias("pool_n"), F.col("__f").alias("pool_fired")), "pos")
+
+
+def live_attack(ep: pd.DataFrame, ceiling: float, kind: str, alpha: float, seed: int = 0, factor: int | None = None, sized_by: str = "nsz", most: int = SIM_CAP) -> pd.DataFrame:
+    """One attacked run over an episode stream whose evidence no pad changes; the controller runs on what it then holds.
+
+    ``ep`` has, in stream order, ``pos, bucket, sum_e, nsz, ismal, m_atk, t_atk, pool_n, pool_fired`` (the last four of own
+    episodes). Greedy without a ``factor``: within a bucket the earliest own episode (by t_atk) that fires is padded with
+    draws from its pool until it is below its live threshold, the bucket is tested again, until none fires. With a
+    ``factor`` c, every own episode gets (c - 1) times ``sized_by`` pads, no controller read. The bound on the pads of an
+    episode is ``most`` or six times its price, whichever is more. Pools under N_MIN are never used.
+
+    Result: ``pos, r_star, pads, pad_fired, fired_before, fired, outcome`` of own episodes: ``suppressed``, ``none``,
+    ``created``, or why it still fires: ``pool_unavailable, structural, cascade, pad_fired``.
+    """
+    g, t = gamma(kind, len(ep)), len(ep)
+    total, n, own, bucket = (ep[c].to_numpy() for c in ("sum_e", "nsz", "ismal", "bucket"))
+    total = total.astype(float)
+    pads, fires, extra = np.zeros(t, dtype=np.int64), np.zeros(t, dtype=np.int64), np.zeros(t)
+    price = lambda i, lvl: max(0, math.floor(total[i] * lvl - n[i]) + 1)
+
+    def walk(a: int, b: int, r: int):
+        level, fired = np.zeros(b - a), np.zeros(b - a, dtype=bool)
+        for i in range(a, b):
+            level[i - a] = lvl = alpha * g[i] * (r + 1)
+            if lvl > 0 and ceiling >= 1.0 / lvl and (total[i] + extra[i]) / (n[i] + pads[i]) >= 1.0 / lvl:
+                fired[i - a] = True
+                r += 1
+        return fired, level, r
+
+    before, first, _ = walk(0, t, 0)
+    pool = {i: (int(ep["pool_n"].iat[i]), int(ep["pool_fired"].iat[i])) for i in np.flatnonzero(own)}
+    open_ = {i for i, (size, _) in pool.items() if size >= N_MIN}
+    rngs = {i: np.random.default_rng([seed, 76, int(i)]) for i in open_}
+    when = ep["t_atk"].to_numpy()
+    budget = {i: max(most, 6 * price(i, first[i])) for i in pool}
+    if factor is not None:
+        sizes = ep[sized_by].to_numpy()
+        for i in open_:
+            budget[i] = pads[i] = (factor - 1) * int(sizes[i])
+            fires[i] = rngs[i].binomial(pads[i], pool[i][1] / pool[i][0])
+            extra[i] = fires[i] * ceiling
+        fired, level, _ = walk(0, t, 0)
+    else:
+        fired, level, r = np.zeros(t, dtype=bool), np.zeros(t), 0
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if t else []
+        for a, b in zip(starts, [*starts[1:], t]):
+            while True:
+                fired[a:b], level[a:b], after = walk(a, b, r)
+                todo = [i for i in np.flatnonzero(fired[a:b]) + a if i in open_]
+                if not todo:
+                    break
+                i = min(todo, key=lambda x: when[x])
+                k, f, e, how = pads_until(total[i] + extra[i], int(n[i] + pads[i]), 1.0 / level[i], pool[i][1] / pool[i][0], np.array([ceiling]), None, rngs[i], budget[i] - int(pads[i]))
+                pads[i], fires[i], extra[i] = pads[i] + k, fires[i] + f, extra[i] + e
+                if how != "below":
+                    open_.discard(i)
+            r = after
+    rows = []
+    for i in pool:
+        if not fired[i]:
+            why = "suppressed" if before[i] else "none"
+        elif not before[i]:
+            why = "created"
+        elif pool[i][0] < N_MIN:
+            why = "pool_unavailable"
+        elif budget[i] < price(i, alpha * g[i]):
+            why = "structural"
+        else:
+            why = "cascade" if budget[i] < price(i, level[i]) else "pad_fired"
+        rows.append((int(ep["pos"].iat[i]), price(i, first[i]) if before[i] else None, int(pads[i]), int(fires[i]), bool(before[i]), bool(fired[i]), why))
+    return pd.DataFrame(rows, columns=["pos", "r_star", "pads", "pad_fired", "fired_before", "fired", "outcome"]).astype({"r_star": "Int64"})
+
+
+def live_attacks(spark, ep: pd.DataFrame, ceiling: float, kind: str, alpha: float, trajectories: int, factors: list[int]) -> DataFrame:
+    """:func:`live_attack` over seeded trajectories in parallel, greedy and by each factor on total and on own flows: adds ``attacker, seed``."""
+    plans = [("greedy", None, "nsz"), *[(f"{name} x{c}", c, col) for c in factors for name, col in (("total", "nsz"), ("own", "m_atk"))]]
+
+    def run(batches):
+        for pdf in batches:
+            for s in pdf["id"]:
+                for name, c, col in plans:
+                    out = live_attack(ep, ceiling, kind, alpha, int(s), c, col)
+                    out.insert(0, "seed", int(s))
+                    out.insert(0, "attacker", name)
+                    yield out
+
+    return spark.range(0, trajectories, 1, min(trajectories, 64)).mapInPandas(run, "attacker string, seed long, pos long, r_star long, pads long, pad_fired long, fired_before boolean, fired boolean, outcome string")
+
+
+def live_trajectory(group: pd.DataFrame, score, pads: pd.DataFrame, kth: float, ceiling: float, level: float, most: int = SIM_CAP) -> dict:
     """Pads appended to one group one at a time, every pad re-scored in the state it then finds.
 
     ``score(pad, k)`` gives the detector's score of the k-th pad (from 1); pads are taken in order and

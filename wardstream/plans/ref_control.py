@@ -585,16 +585,22 @@ def x07_volume_cap(spark, d):
 
 @query()
 def x23_live(spark, d):
-    """The strongest alert padded with the thousand lowest-scoring benign flows in turn (an attacker's pick, not a sample)."""
-    e = evident(spark, d)
-    top = _priced(spark, d).orderBy(F.desc("ev"), "pos").limit(1).collect()
-    if not top:
-        return spark.createDataFrame([], "pos long, pads long, pad_fired long, r_star long")
-    t = top[0]
-    group = e.where((F.col("src") == t.src) & (F.col("dst") == t.dst)).select("e").toPandas()  # one episode
-    pads = e.where("label = 0").select("score").orderBy("score").limit(1000).toPandas()
-    x = attack.live_trajectory(group, lambda pad, k: float(pad.score), pads, 1e9, t.ceiling, 1.0 / t.tau)
-    return spark.createDataFrame([(t.pos, x["pads"], x["pad_fired"], t.r_star)], "pos long, pads long, pad_fired long, r_star long")
+    """Every own episode under greedy and multiplier attacks, 100 trajectories each, with pads drawn from the benign flows to the
+    victim before the attacker's last flow, and (as the fixture's only victim has none) from those to anyone."""
+    s, flows = stream(spark, d), evident(spark, d)
+    last = flows.where("label = 1").groupBy(*KEYS).agg(F.max("ts").alias("t_atk"))
+    own = s.where("ismal").select("pos", *KEYS).join(last, KEYS).withColumn("anyone", F.lit(0))
+    cal = split_events(spark, d).where("split = 'cal' and label = 0").select("ts", "dst", F.lit(0.0).alias("e"), F.lit(False).alias("deployed"))
+    benign = flows.where("label = 0").select("ts", "dst", "e", F.lit(True).alias("deployed")).unionByName(cal).withColumn("anyone", F.lit(0))
+    ep = s.select("pos", "bucket", "sum_e", "nsz", "ismal", F.col("mal").alias("m_atk"), "ceiling").toPandas().sort_values("pos")  # one row per episode
+    t, ceiling, out = len(ep), float(ep["ceiling"].iloc[0]), None
+    for pool, victim in (("victim", ["dst"]), ("anyone", ["anyone"])):
+        seen = attack.pad_pools(own, benign, victim).select("pos", "t_atk", "pool_n", "pool_fired").toPandas()  # one row per own episode
+        each = ep.merge(seen, "left", "pos").fillna({"t_atk": 0, "pool_n": 0, "pool_fired": 0})
+        for kind in ("poly", "uniform"):
+            x = attack.live_attacks(spark, each, ceiling, kind, ALPHA, 100, [int(ceiling * ALPHA / t) + 1, 3]).select(F.lit(pool).alias("pool"), F.lit(kind).alias("gamma"), "*")
+            out = x if out is None else out.unionByName(x)
+    return out
 
 
 @query(f"with {_PRICED}, a as (select s.src % 4 as org, c.fired and s.ismal as hit, greatest(floor(s.sum_e * c.level - s.nsz)::bigint + 1, 0) as pads from c join s on s.pos = c.pos) select org, count_if(hit) as detected, count_if(hit and pads > 0) as suppressible from a group by org")
