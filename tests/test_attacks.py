@@ -45,3 +45,32 @@ def test_x23_attacks_every_own_episode(spark):
     assert set(x["attacker"]) >= {"greedy", "total x3", "own x3"} and x["seed"].nunique() == 100
     greedy = x[(x["attacker"] == "greedy") & (x["pool"] == "anyone")]
     assert not greedy["fired"].any() and (x[x["pool"] == "victim"]["pads"] == 0).all()
+
+
+def test_replay_is_bounded_by_the_price(spark):
+    a = spark.createDataFrame([(1, 5e7, 10, 20.0), (2, 1e6, 10, 20.0)], "pos long, sum_e double, nsz long, tau double")
+    got = {(r.pos, r.rep): r.pads for r in attack.replay(a, ["pos"], [0.0], 2).collect()}
+    assert got == {(1, 0): 2_499_991, (1, 1): 2_499_991, (2, 0): 49_991, (2, 1): 49_991}
+    # As many draws from few values with counts as from the values themselves, and more than without firing pads.
+    hot = attack.replay(a, ["pos"], [0.0, 100.0], 200, counts=[999, 1]).groupBy("pos").agg({"pads": "avg"}).collect()
+    assert all(abs(v / w - 1) < 0.01 for _, v in hot for w in [{1: 5e7, 2: 1e6}[_] / (20.0 - 0.1)])
+    assert all(r.pads is None for r in attack.replay(a, ["pos"], [], 1).collect())
+
+
+def test_causal_replay_follows_the_kth_pads_chance(spark):
+    a = spark.createDataFrame([(1, 1e6, 10, 20.0)], "pos long, sum_e double, nsz long, tau double")
+    price = lambda levels, chances, reps=1: [r.pads for r in attack.replay_causal(a, ["pos"], levels, chances, 1000.0, reps).collect()]
+    assert price([1, 1000, 100_000], [0.0, 0.0, 0.0]) == [49_991] and price([1, 49_990], [0.0, 0.0]) == [None]
+    # 99 firing pads at first, none later: 99 times the ceiling more to dilute.
+    assert price([1, 100, 100_000], [1.0, 0.0, 0.0]) == [49_991 + 99 * 50]
+    flat = price([1, 300, 20_000, 400_000], [0.002] * 4, 300)
+    static = [r.pads for r in attack.replay(a, ["pos"], [0.0, 1000.0], 300, counts=[998, 2]).collect()]
+    assert abs(np.mean(flat) / np.mean(static) - 1) < 0.01
+
+
+def test_x06_draws_from_the_observed_benign_flows(spark):
+    q = registry.queries()
+    price = {r.pos: r.r_star for r in q["ref_x01_zero_pads"](spark, MEDIUM).collect()}
+    got = q["ref_x06_replay"](spark, MEDIUM).toPandas()
+    # No benign flow of this table fires, so every replay takes the closed form's pads.
+    assert len(got) == 5 * len(price) and all(r.pads == price[r.pos] for r in got.itertuples())

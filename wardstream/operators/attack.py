@@ -70,12 +70,52 @@ def dilution_curve(run: DataFrame, keys: list[str], most: int) -> DataFrame:
     return run.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(most))).alias("r"), "sum_e", "nsz").select(*keys, "r", (F.col("sum_e") / (F.col("nsz") + F.col("r"))).alias("ev"))
 
 
-def replay(alerts: DataFrame, keys: list[str], pool_e: list[float], reps: int, most: int, seed: int = 0) -> DataFrame:
-    """Pads drawn with replacement from a pool's evidence until the mean is below tau: ``keys, rep, pads`` (null if ``most`` is not enough).
+def replay(alerts: DataFrame, keys: list[str], pool_e: list[float], reps: int, most: int = 1000, seed: int = 0, counts: list[int] | None = None) -> DataFrame:
+    """Pads drawn with replacement from a pool's evidence until the mean is below tau: ``keys, rep, pads``.
 
+    ``pool_e`` may be the distinct values with their ``counts``. An alert's bound is ``most`` or six times its price
+    without firing pads, whichever is more; ``pads`` is null where that is not enough, and for an empty pool.
     Episodes are replayed in parallel; draws depend on the episode and repetition only.
     """
-    pool = np.asarray(pool_e, dtype=float)
+    pool, weight = np.asarray(pool_e, dtype=float), np.ones(len(pool_e)) if counts is None else np.asarray(counts, dtype=float)
+    fire = pool > 0
+    chance = float(weight[fire].sum() / weight.sum()) if len(pool) else 0.0
+    shares = weight[fire] / weight[fire].sum() if chance else None
+
+    def one(r: dict, rng) -> int | None:
+        if not len(pool):
+            return None
+        bound = max(most, 6 * (math.floor(r["sum_e"] / r["tau"] - r["nsz"]) + 1))
+        k, _, _, how = pads_until(r["sum_e"], r["nsz"], r["tau"], chance, pool[fire], shares, rng, bound)
+        return k if how == "below" else None
+
+    return _replayed(alerts, keys, one, reps, seed)
+
+
+def replay_causal(alerts: DataFrame, keys: list[str], levels: list[int], chances: list[float], ceiling: float, reps: int, most: int = 1000, seed: int = 0) -> DataFrame:
+    """The same where the k-th pad fires, with the ceiling as evidence, by the chance at the last of ``levels`` (from 1, rising) up to k.
+
+    Nothing is known beyond the last level, so ``pads`` is null where more would be needed.
+    """
+    ends = [x - 1 for x in levels[1:]] + [levels[-1]]
+
+    def one(r: dict, rng) -> int | None:
+        bound = min(levels[-1], max(most, 6 * (math.floor(r["sum_e"] / r["tau"] - r["nsz"]) + 1)))
+        s, done = r["sum_e"], 0
+        for end, p in zip(ends, chances):
+            room = min(end, bound) - done
+            if room <= 0:
+                continue
+            k, _, added, how = pads_until(s, r["nsz"] + done, r["tau"], p, np.array([ceiling]), None, rng, room, futile=False)
+            s, done = s + added, done + k
+            if how == "below":
+                return done
+        return None
+
+    return _replayed(alerts, keys, one, reps, seed)
+
+
+def _replayed(alerts: DataFrame, keys: list[str], one, reps: int, seed: int) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in alerts.schema}
 
     def run(batches):
@@ -84,17 +124,7 @@ def replay(alerts: DataFrame, keys: list[str], pool_e: list[float], reps: int, m
             for r in pdf.to_dict("records"):
                 base = sum(ord(c) * (i + 1) for i, c in enumerate("|".join(str(r[k]) for k in keys)))
                 for rep in range(reps):
-                    rng = np.random.default_rng([seed, base, rep])
-                    s, m, found, done = r["sum_e"], r["nsz"], None, 0
-                    while done < most and len(pool):
-                        chunk = min(4096, most - done)
-                        mean = (s + np.cumsum(rng.choice(pool, chunk))) / (m + np.arange(1, chunk + 1))
-                        hit = np.flatnonzero(mean < r["tau"])
-                        if hit.size:
-                            found = done + int(hit[0]) + 1
-                            break
-                        s, m, done = mean[-1] * (m + chunk), m + chunk, done + chunk
-                    rows.append((*[r[k] for k in keys], rep, found))
+                    rows.append((*[r[k] for k in keys], rep, one(r, np.random.default_rng([seed, base, rep]))))
             yield pd.DataFrame(rows, columns=[*keys, "rep", "pads"]).astype({"pads": "Int64"})
 
     types = ", ".join(f"`{k}` {fields[k]}" for k in keys)
@@ -397,7 +427,7 @@ SIM_CAP = 3_000_000
 N_MIN, FUTILE_MIN = 20, 1024
 
 
-def pads_until(total: float, n: int, tau: float, chance: float, evidence: np.ndarray, shares: np.ndarray | None, rng, most: int) -> tuple[int, int, float, str]:
+def pads_until(total: float, n: int, tau: float, chance: float, evidence: np.ndarray, shares: np.ndarray | None, rng, most: int, futile: bool = True) -> tuple[int, int, float, str]:
     """Pads sent one after the other until the mean is below tau, each firing with probability ``chance``; a firing one adds a
     value of ``evidence`` (drawn by ``shares``): pads, firing pads, what they added, and ``below``, ``most`` or ``futile``.
 
@@ -417,7 +447,7 @@ def pads_until(total: float, n: int, tau: float, chance: float, evidence: np.nda
         k, fired, added = k + gap, fired + 1, added + float(rng.choice(evidence, p=shares))
         if (total + added) / (n + k) < tau:
             return k, fired, added, "below"
-        if k >= FUTILE_MIN and added / k >= tau:
+        if futile and k >= FUTILE_MIN and added / k >= tau:
             return k, fired, added, "futile"
 
 

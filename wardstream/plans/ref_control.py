@@ -568,7 +568,9 @@ def x05_dilution(spark, d):
 
 @query()
 def x06_replay(spark, d):
-    return attack.replay(_priced(spark, d), ["pos"], [0.0] * 999 + [100.0], 5, 100_000)
+    """Pads drawn from the evidence of the observed benign flows, as its distinct values (0 and the ceiling) with their counts."""
+    seen = evident(spark, d).where("label = 0").groupBy("e").count().orderBy("e").collect()
+    return attack.replay(_priced(spark, d), ["pos"], [x["e"] for x in seen], 5, counts=[x["count"] for x in seen])
 
 
 @query()
