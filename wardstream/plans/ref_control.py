@@ -797,7 +797,7 @@ def m04_host_conditioned(spark, d):
 @query()
 def m02_isolation(spark, d):
     f = table(spark, d, "flows").where("split is not null and label is not null")
-    m = detector.Isolation(trees=50, sample=512).fit(f.where("split = 'train'"))
+    m = detector.Isolation().fit(f.where("split = 'train'"))
     return metrics.auroc(m.score(f.where("split = 'deploy'"))).select("n_pos", "n_neg", "auroc")
 
 
