@@ -1,5 +1,7 @@
 """Detector queries fit what the operators' defaults say."""
 
+import pytest
+
 from wardstream.operators import detector
 from wardstream.plans import registry
 
@@ -12,3 +14,21 @@ def test_m02_grows_the_reference_forest(spark, monkeypatch):
     registry.queries()["ref_m02_isolation"](spark, SF)
     m = seen[0]
     assert (m.trees, m.sample) == (200, 8192) and len(m.forest) == 200 and m.size == 8192
+
+
+class Fitted(Exception):
+    pass
+
+
+def test_boosted_queries_run_200_rounds_with_leaves_of_200(spark, monkeypatch):
+    seen = []
+
+    def stop(self, train):
+        seen.append((self.gbt.getMaxIter(), self.gbt.getMinInstancesPerNode()))
+        raise Fitted
+
+    monkeypatch.setattr(detector.Boosted, "fit", stop)
+    for name in ("ref_m01_boosted", "ref_m04_host_conditioned"):
+        with pytest.raises(Fitted):
+            registry.queries()[name](spark, SF)
+    assert seen == [(200, 200)] * 2

@@ -779,18 +779,17 @@ def x33_fixed_point(spark, d):
 @query()
 def m01_boosted(spark, d):
     f = table(spark, d, "flows").where("split is not null and label is not null")
-    m = detector.Boosted(iterations=10, leaf=20).fit(f.where("split = 'train'"))
+    m = detector.Boosted().fit(f.where("split = 'train'"))
     return metrics.auroc(m.score(f.where("split = 'deploy'"))).select("n_pos", "n_neg", "auroc")
 
 
 @query()
 def m04_host_conditioned(spark, d):
-    """Few rounds, as the wider table and the fit take long; the settings are parameters."""
     from wardstream.operators.features import fail_states
 
     f = table(spark, d, "flows").where("split is not null and label is not null and ts is not null").join(table(spark, d, "meta").select("ingest_id", "conn"), "ingest_id", "left")
     bad = F.upper(F.trim("conn")).isin(fail_states(table(spark, d, "t49_r7")))
-    m, wide = detector.host_conditioned(f, bad, "split = 'train'", iterations=3, leaf=20)
+    m, wide = detector.host_conditioned(f, bad, "split = 'train'")
     return metrics.auroc(m.score(wide.where("split = 'deploy'"))).select("n_pos", "n_neg", "auroc")
 
 
