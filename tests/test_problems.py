@@ -1,6 +1,9 @@
 import json
 import random
 import re
+import time
+
+import pytest
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,14 +78,24 @@ def test_tree_rounds_give_the_plain_result(spark):
     first, merge = {"n": F.count("*"), "s": F.sum("v"), "m": F.max("v")}, {"n": F.sum, "s": F.sum, "m": F.max}
     plain = rows(df.groupBy("k").agg(F.count("*"), F.sum("v"), F.max("v")))
     for fan in (2, 5, 64):
-        assert rows(tree.tree_aggregate(df, ["k"], first, merge, fan)) == plain
+        assert rows(tree.tree_aggregate(df, ["k"], first, merge, 5000, fan_in=fan, chunk_rows=50)) == plain
+
+
+def test_tree_always_has_rounds(spark):
+    assert tree.widths(0) == tree.widths(1000) == [2, 1] and tree.widths(10**12, 16, 65_536) == [953_675, 59_605, 3_726, 233, 15, 1] and tree.widths(800, 2, 100) == [4, 2, 1]
+    df = spark.range(100).select((F.col("id") % 3).alias("k"))
+    plan = tree.tree_aggregate(df, ["k"], {"n": F.count("*")}, {"n": F.sum}, 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "__node" in plan
+    with pytest.raises(ValueError):
+        tree.tree_aggregate(df, ["k"], {"n": F.count("*")}, {"n": F.sum}, 100, fan_in=1)
 
 
 def test_host_profile(spark):
     data = [("a", "x", 5), ("a", "x", 5), ("A ", None, 0), ("a", "y", None), (None, "x", 7), ("b", "x", 9)]
     df = spark.createDataFrame(data, "src string, dst string, ts long")
-    got = {(r.side, r.host): (r.n_flows, r.n_peers, r.first_us, r.last_us) for r in tree.host_profile(df, 2).collect()}
-    assert got == {("src", "a"): (4, 2, 5, 5), ("src", "b"): (1, 1, 9, 9), ("dst", "x"): (4, 2, 5, 9), ("dst", "y"): (1, 1, None, None)}
+    for size in (1, 2, tree.CHUNK_ROWS):
+        got = {(r.side, r.host): (r.n_flows, r.n_peers, r.first_us, r.last_us) for r in tree.host_profile(df, 2, size).collect()}
+        assert got == {("src", "a"): (4, 2, 5, 5), ("src", "b"): (1, 1, 9, 9), ("dst", "x"): (4, 2, 5, 9), ("dst", "y"): (1, 1, None, None)}
     assert {(r.side, r.host) for r in tree.heavy_hosts(df, 0.5).collect()} == {("src", "a"), ("dst", "x")}
     assert tree.host_profile(df.limit(0)).count() == 0 and tree.heavy_hosts(df.limit(0)).count() == 0
 
@@ -108,14 +121,16 @@ def test_features_count_deliveries_once(spark):
     share = {(r.side, r.host): r.fail_share for r in v.collect()}
     assert share[("src", "a")] == 1 / 3 and share[("dst", "y")] == 1.0 and ("src", "z") not in share
     wide = {(r.side, r.host): r for r in features.expand_features(v, ["side", "host"], types).collect()}
-    assert wide[("src", "a")]["n:SF/DNS"] == 2 and wide[("dst", "y")]["n:SF/DNS"] == 0 and wide[("dst", "y")]["latest:SF/DNS"] is None
+    assert wide[("src", "a")]["SF/DNS_n"] == 2 and wide[("dst", "y")]["SF/DNS_n"] == 0 and wide[("dst", "y")]["SF/DNS_latest"] is None
 
 
 def test_features_merge_like_one_pass(spark):
     rng = random.Random(1)
     ev = spark.createDataFrame([(rng.choice("ab"), rng.randint(0, 4), rng.random(), rng.choice([None, rng.randint(1, 99)])) for _ in range(200)], "k string, type_ix int, bytes double, ts long").withColumn("p", F.col("type_ix") % 2)
     whole = features.sparse_features(ev, ["k"])
-    merged = features.merge_features(features.sparse_features(ev.where("ts > 50"), ["k"]), features.sparse_features(ev.where("ts <= 50 or ts is null"), ["k"]), ["k"])
+    parts = features.period_features(ev.withColumn("__id", F.lit(0)), ["k"], 20)
+    assert parts.count() > 8  # several periods, and one for events without a time
+    merged = features.merge_features(parts, ["k"])
     a, b = ({r.k: [(x.ix, x.n, round(x.total, 9), x.latest) for x in r.features] for r in d.collect()} for d in (whole, merged))
     assert a == b
 
@@ -175,16 +190,28 @@ def test_nested_addresses_match_a_recursive_walk(spark):
             found = []
             walk(o, "", found)
             want += [(1, i, p, ip) for p, ip in found]
-    n = nested.report_nodes(narratives(spark))
-    got = nested.addresses(n)
+    got = nested.addresses(narratives(spark))
     assert rows(got.select("narrative_id", "content_pos", "json_path", "ip")) == sorted(want, key=str)
     parents = {r.json_path: r.parent_path for r in got.where("content_pos = 0").collect()}
     assert parents["IPs"] == "" and parents["A[0].IPs[0]"] == "A[0]" and parents["Raw.In.Hosts[0].IPs[0]"] == "Raw.In.Hosts[0]"
-    assert rows(nested.hosts(n).select("content_pos", "host_path", "hostname")) == [(0, "Raw.In.Hosts[0]", "h")]
+    assert rows(nested.hosts(narratives(spark)).select("content_pos", "host_path", "hostname")) == [(0, "Raw.In.Hosts[0]", "h")]
+
+
+def test_a_key_given_twice_keeps_its_last_value(spark):
+    df = spark.createDataFrame([(1, ['{"a":1,"a":2,"IPs":["1.2.3.4"]}', '{"IPs":"9.9.9.9","IPs":["5.6.7.8"]}'])], "narrative_id long, content array<string>")
+    assert rows(nested.addresses(df).select("content_pos", "ip")) == [(0, "1.2.3.4"), (1, "5.6.7.8")]
+
+
+def test_wide_and_deep_records_are_linear(spark):
+    wide = json.dumps({"Hosts": [{"Hostname": f"h{i}", "IPs": [f"10.0.{i // 256}.{i % 256}"]} for i in range(20_000)]})
+    deep = '{"a":' * 300 + '{"IPs":["1.2.3.4"]}' + "}" * 300
+    df = spark.createDataFrame([(1, [wide, deep])], "narrative_id long, content array<string>")
+    began = time.time()
+    assert nested.addresses(df).count() == 20_001 and time.time() - began < 20
 
 
 def test_nested_items_and_narratives(spark):
     items = nested.content_items(narratives(spark))
     assert items.count() == len(CASES) and {r.content_pos for r in items.where("is_report").collect()} == {0, 1, 10, 11, 12, 13}
     assert rows(nested.narrative_table(narratives(spark)).select("narrative_id", "category", "n_segments", "n_steps", "n_items")) == [(1, "web", 0, 2, len(CASES)), (2, None, 0, 0, 0), (3, "x", 1, 0, 0)]
-    assert nested.addresses(nested.report_nodes(narratives(spark).limit(0))).count() == 0
+    assert nested.addresses(narratives(spark).limit(0)).count() == 0

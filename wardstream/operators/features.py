@@ -10,6 +10,7 @@ from wardstream.operators.sessions import by_side
 from wardstream.runtime import bounded_rows
 
 MAX_TYPES = 20_000
+PERIOD_US = 86_400 * 1_000_000
 
 
 def vocabulary(meta: DataFrame, most: int = MAX_TYPES) -> list[str]:
@@ -21,6 +22,13 @@ def vocabulary(meta: DataFrame, most: int = MAX_TYPES) -> list[str]:
     return sorted(r.t for r in bounded_rows(t, most, "the set of event types"))
 
 
+def failed_types(meta: DataFrame, config: DataFrame, most: int = MAX_TYPES) -> list[str]:
+    """The event types whose conn state, trimmed and in upper case, is one of a failed connection."""
+    t = meta.select(event_type("conn", "service").alias("t")).distinct().withColumn("c", F.substring_index("t", "/", 1))
+    fail = config.select(F.explode("config.fail_conn").alias("c")).select(F.upper(F.trim("c")).alias("c")).where("c <> ''")
+    return sorted(r.t for r in bounded_rows(t.join(fail, "c", "left_semi").select("t"), most, "the set of event types"))
+
+
 def typed_flows(flows: DataFrame, meta: DataFrame, types: list[str]) -> DataFrame:
     """Flows with a row in ``meta``, each delivered flow once per event type: ``src, dst, ts, bytes, type_ix``.
 
@@ -42,7 +50,7 @@ def sparse_features(events: DataFrame, keys: list[str], ix: str = "type_ix", tot
 
     A hot entity is combined map-side first and reaches the second step with at most one row per type.
     Null totals and times add nothing; a type whose times are all null has a null ``latest``. Events with
-    a null key or index take no part.
+    a null key or index take no part. Vectors of disjoint sets of events are merged by :func:`merge_features`.
     """
     per = events.dropna(subset=[*keys, ix]).groupBy(*keys, ix).agg(F.count("*").alias("n"), F.coalesce(F.sum(total), F.lit(0.0)).alias("total"), F.max(ts).alias("latest"))
     return _pack(per, keys, ix)
@@ -53,29 +61,42 @@ def _pack(per: DataFrame, keys: list[str], ix: str) -> DataFrame:
     return per.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("features"))
 
 
-def merge_features(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """The vectors of two disjoint sets of events as those of their union (counts and totals add, times take the later)."""
-    rows = left.select(*keys, "features").unionByName(right.select(*keys, "features")).select(*keys, F.inline("features"))
+def merge_features(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """One vector per entity from any number of vectors of disjoint sets of events: counts and totals add, times take the later.
+
+    ``parts`` holds ``keys`` and ``features``, one row per entity and part (a period, a batch, an earlier
+    state). Entries are combined map-side, so an entity with very many parts is no single task's work.
+    """
+    rows = parts.select(*keys, F.inline("features"))
     return _pack(rows.groupBy(*keys, "ix").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("latest").alias("latest")), keys, "ix")
 
 
+def period_features(events: DataFrame, keys: list[str], period: int = PERIOD_US, ix: str = "type_ix", total: str = "bytes", ts: str = "ts") -> DataFrame:
+    """The state that is maintained: a sparse vector per entity and period of ``ts`` (events without a time have one of their own).
+
+    A new period adds rows and leaves the others as they are; late events add another part for their
+    period. Any set of parts is folded by :func:`merge_features`.
+    """
+    part = F.coalesce(F.floor(F.col(ts) / F.lit(period)), F.lit(-1))
+    return sparse_features(events.withColumn("__part", part), [*keys, "__part"], ix, total, ts)
+
+
 def expand_features(sparse: DataFrame, keys: list[str], types: list[str]) -> DataFrame:
-    """Columns ``n:TYPE``, ``total:TYPE``, ``latest:TYPE`` from sparse vectors, missing entries 0, 0.0 and null."""
-    m = F.map_from_entries(F.transform("features", lambda x: F.struct(x["ix"], x)))
-    s = sparse.select(*keys, m.alias("__m"))
+    """Columns ``TYPE_n``, ``TYPE_total``, ``TYPE_latest`` from sparse vectors, missing entries 0, 0.0 and null.
+
+    The vector is first made dense by filling the gaps between its ordered entries, in one walk over it, so
+    that each column is read by its place.
+    """
+    gap = "array_repeat(cast(null as struct<ix:int,n:bigint,total:double,latest:bigint>), x.ix - coalesce(get(features, k - 1).ix, -1) - 1)"
+    dense = F.expr(f"flatten(transform(features, (x, k) -> concat({gap}, array(x))))")
+    s = sparse.select(*keys, dense.alias("__d"))
     cols = []
     for i, t in enumerate(types):
-        e = F.try_element_at("__m", F.lit(i))
-        cols += [F.coalesce(e["n"], F.lit(0)).alias(f"n:{t}"), F.coalesce(e["total"], F.lit(0.0)).alias(f"total:{t}"), e["latest"].alias(f"latest:{t}")]
+        e = F.get("__d", F.lit(i))
+        cols += [F.coalesce(e["n"], F.lit(0)).alias(f"{t}_n"), F.coalesce(e["total"], F.lit(0.0)).alias(f"{t}_total"), e["latest"].alias(f"{t}_latest")]
     return s.select(*keys, *cols)
 
 
-def fail_states(config: DataFrame, most: int = 1000) -> list[str]:
-    """The conn states of failed connections, trimmed and in upper case."""
-    rows = bounded_rows(config.select(F.explode("config.fail_conn").alias("c")).select(F.upper(F.trim("c")).alias("c")).distinct(), most, "fail_conn")
-    return sorted(r.c for r in rows if r.c)
-
-
 def host_features(flows: DataFrame, meta: DataFrame, config: DataFrame) -> tuple[DataFrame, list[str]]:
     """Per host and side the sparse vectors, ``n_flows``, ``last_us``, ``total_bytes`` and ``fail_share``; and the types.
 
@@ -84,9 +105,10 @@ def host_features(flows: DataFrame, meta: DataFrame, config: DataFrame) -> tuple
     count. Null, NaN and infinite bytes count as 0; a ``ts`` of null or 0 is no time.
     """
     types = vocabulary(meta)
-    fail = set(fail_states(config))
-    failed = [i for i, t in enumerate(types) if t.split("/")[0] in fail]
-    v = sparse_features(by_side(typed_flows(flows, meta, types), "ts", "bytes", "type_ix"), ["side", "host"])
+    fail = set(failed_types(meta, config))
+    failed = [i for i, t in enumerate(types) if t in fail]
+    parts = period_features(by_side(typed_flows(flows, meta, types), "ts", "bytes", "type_ix"), ["side", "host"])
+    v = merge_features(parts, ["side", "host"])
     total = lambda f, zero: F.aggregate("features", zero, f)
     bad = F.array(*[F.lit(i) for i in failed]).cast("array<int>")
     out = v.select(
