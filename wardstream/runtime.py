@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,32 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[str] = []
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table in the shared folder; :func:`release` deletes what was written there."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder and read from there: lineage is cut, columns are pruned when it is read, and the planner knows its size."""
+    path = table_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written; results that still read them can't be computed any more. Returns how many there were."""
+    n, conf = 0, spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """The rows of a table that must be small; more than ``most`` rows are an error, never cut off."""
     rows = df.limit(most + 1).collect()
