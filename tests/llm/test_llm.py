@@ -29,8 +29,8 @@ def near(a, b, tol=0.005):
     return (np.abs(a - b) <= tol * np.maximum(np.abs(a), np.abs(b))).all()
 
 
-@pytest.mark.parametrize("hot", [cosine_join.HOT, 0])
-def test_near_pairs_lose_nothing(spark, hot):
+@pytest.mark.parametrize("chunk", [cosine_join.CHUNK, 1, 2])
+def test_near_pairs_lose_nothing(spark, chunk):
     x = vectors(60, 7, 1)
     side = [i % 2 == 0 for i in range(len(x))]
     keys = {}
@@ -42,23 +42,48 @@ def test_near_pairs_lose_nothing(spark, hot):
     lefts, rights = {k for k, _, _, s in data if s}, {k for k, _, _, s in data if not s}
     by = {k: np.array(v) for v, k in keys.items()}
     want = {(a, b) for a in lefts for b in rights if near(by[a], by[b])}
-    got = [(r.a1, r.b1) for r in cosine_join.near_pairs(df, 7, 0.005, hot).collect()]
+    got = [(r.a1, r.b1) for r in cosine_join.near_pairs(df, 7, 0.005, chunk).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
 def test_bounds_hold_for_every_near_pair():
-    for grid in (cosine_join.Grid(33, 0.005), cosine_join.Grid(33, 0.005).finer()):
-        a = vectors(80, 33, 2)[:80]
-        b = a * (1 + np.random.default_rng(3).uniform(-0.004975, 0.004975, a.shape))
-        assert (cosine_join.dot(a, b, grid) >= grid.threshold).all()
-        la, ta = cosine_join.index_rows(a, grid, True)
-        lb, tb = cosine_join.index_rows(b, grid, False)
-        left = {i: set() for i in range(len(a))}
-        for i, t in zip(la, ta):
-            left[i].add(t)
-        assert all(left[i] & {t for j, t in zip(lb, tb) if j == i} for i in range(len(a)))
-        ix, _, w = cosine_join.terms(a, grid)
-        assert np.allclose(np.bincount(ix, w * w), 1.0)
+    grid = cosine_join.Grid(33, 0.005)
+    a = vectors(80, 33, 2)[:80]
+    b = a * (1 + np.random.default_rng(3).uniform(-0.004975, 0.004975, a.shape))
+    assert (cosine_join.dot(a, b, grid) >= grid.threshold).all()
+    la, ta, wa, _ = cosine_join.index_rows(a, grid, True)
+    lb, tb, wb, nb = cosine_join.index_rows(b, grid, False)
+    for i in range(len(a)):  # lists with only this record: their largest weight is its own
+        most = dict(zip(ta[la == i], wa[la == i]))
+        mine = lb == i
+        assert any(w * most.get(t, 0.0) > grid.spare / n for t, w, n in zip(tb[mine], wb[mine], nb[mine]))
+    ix, _, w = cosine_join.terms(a, grid)
+    assert np.allclose(np.bincount(ix, w * w), 1.0)
+
+
+def test_a_dense_list_is_cut_and_dealt(spark):
+    """Many distinct vectors in one cell of the grid: no cell gets more than a fixed number of comparisons, and no pair is lost."""
+    rng, n, m = np.random.default_rng(5), 6000, 7
+    x = 1.2 * np.exp(rng.uniform(0, 0.02, (n, m)))
+    x[:, 0] *= np.exp(rng.uniform(0, 0.3, n))
+    df = spark.createDataFrame([(i, i, [float(v) for v in x[i]], i % 2 == 0) for i in range(n)], "k1 long, k2 long, x array<double>, left boolean")
+    chunk = 200
+    lists = df.withColumn("term", F.lit(1).cast("long"))
+    cells = cosine_join._dealt(cosine_join._cut(lists, m, 0.005, chunk), chunk)
+    sizes = [(r.l, r.r) for r in cells.groupBy("cell").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r")).collect()]
+    assert max(a * b for a, b in sizes) <= 2 * chunk**2 and sum(a * b for a, b in sizes) < n * n / 4 / 8
+    got = {(r.a1, r.b1) for r in cosine_join.near_pairs(df, m, 0.005, chunk).collect()}
+    want = {(i, j) for i in range(0, n, 2) for j in np.flatnonzero((np.abs(x - x[i]) <= 0.005 * np.maximum(x, x[i])).all(axis=1)) if j % 2}
+    assert got == want and len(want) > 100
+
+
+def test_a_list_that_no_slice_cuts_is_dealt_on_both_sides(spark):
+    """20,000 x 20,000 distinct vectors so alike that slices don't tell them apart."""
+    x = F.array(*[F.lit(1.2) + F.col("id") * 1e-9] * 3)
+    lists = spark.range(40_000).select(F.lit(1).cast("long").alias("term"), (F.col("id") % 2 == 0).alias("left"), F.col("id").alias("k1"), F.col("id").alias("k2"), x.alias("x"))
+    cells = cosine_join._dealt(cosine_join._cut(lists, 3, 0.005, cosine_join.CHUNK), cosine_join.CHUNK)
+    sizes = [(r.l, r.r) for r in cells.groupBy("cell").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r")).collect()]
+    assert len(sizes) == 100 and sum(a * b for a, b in sizes) == 20_000**2 and max(a * b for a, b in sizes) < 1.3 * cosine_join.CHUNK**2
 
 
 def flow_table(spark):
@@ -77,6 +102,15 @@ def test_overlap_rules(spark):
     assert overlap.overlap_pairs(f.limit(0)).count() == 0 and overlap.overlap_counts(f.limit(0)).count() == 0
 
 
+def test_audit_report(spark):
+    f = flow_table(spark)
+    said = [(1, 3, 2, "2025-01-01"), (2, 3, 0, "2024-01-01"), (3, 4, 0, None), (4, 5, 3, "2025-01-01"), (5, None, 1, None), (6, 8, None, "2025-01-01"), (7, 999, 1, None), (8, 11, 0, "2025-01-01"), (9, 11, 0, "2025-01-01")]
+    c = spark.createDataFrame(said, "audit_id long, ingest_id long, n_identical_train int, at string").withColumn("audited_at", F.to_timestamp("at")).withColumn("split", F.lit("x"))
+    got = {r.split: (r.n_flows, r.n_audited, r.n_confirmed, r.n_stale, r.n_missed, r.n_almost, r.n_unaudited) for r in overlap.audit_report(f, c).collect()}
+    assert got == {"cal": (3, 2, 1, 0, 1, 0, 1), "deploy": (3, 2, 0, 1, 0, 1, 1)}
+    assert overlap.audit_report(f.limit(0), c).count() == 0 and overlap.audit_report(f, c.limit(0)).count() == 2
+
+
 # ---- leaks ----
 
 

@@ -16,14 +16,17 @@ Pruning, for x of one split and y of the other:
 
 * residual norm: x enters only as many of its heaviest terms as leave a residual of norm at most rho < t.
   By Cauchy-Schwarz what x left out contributes at most rho to any dot product.
-* maximum weight: y drops its lightest terms while the sum of their weights times the largest weight that
-  any list can hold (1) stays below t - rho; terms whose list on the other side is empty (maximum weight 0)
-  drop out altogether.
+* maximum weight: every list knows the largest weight M that any x entered in it. Of its n terms y leaves
+  out those with weight * M <= (t - rho) / n (lists that no x entered have M = 0), so all that y leaves out
+  contributes less than t - rho.
 
 Together what both left out is below t, so a pair with cosine >= t still shares a term that both entered.
 
-Hot lists: where a term's lists would give more than ``HOT`` comparisons, its records are joined instead on
-a grid of a quarter of the width. The same bounds hold there with that grid's own t.
+Lists of any size take one path. A list is cut by the values of its components with the largest spread, as
+many (at most three) as its size asks for: x goes to one slice of a component, y to the one or two within
+the tolerance, so a near-equal pair meets in one slice. What is still long is dealt into chunks of about
+``CHUNK`` records by a hash on both sides, and every chunk of one side meets every chunk of the other, so
+no task gets more than about ``CHUNK`` ** 2 comparisons at once, and candidates exist only inside a task.
 """
 
 from __future__ import annotations
@@ -33,18 +36,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wardstream.runtime import materialise
+from wardstream.runtime import stored
 
 WIDTH, BAND = 0.8, 0.04
-HOT = 4_000_000
-#: Up to so many keys of 16 bytes, counted before, are sent to all executors.
-BROADCAST_KEYS = 500_000
+#: Records of one side of a list that are compared at once.
+CHUNK = 2048
+#: Width of a value slice of a long list, in tolerances.
+SLICE = 4
+#: Comparisons that are unfolded in memory at once.
+SLAB = 2_000_000
 _ZERO = 1 << 40
 
 
@@ -70,8 +74,10 @@ class Grid:
         """Where each component's cells begin: spread evenly, so that equal values don't all meet a border."""
         return (0.37 + np.arange(self.m) * 0.6180339887498949) % 1.0
 
-    def finer(self) -> Grid:
-        return Grid(self.m, self.tol, self.width / 4, self.band / 2)
+    @property
+    def spare(self) -> float:
+        """What one side may leave out beyond rho."""
+        return 0.999 * (self.threshold - self.rho)
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -123,13 +129,12 @@ def _left_out(ix: np.ndarray, w: np.ndarray, cost: np.ndarray, most: float) -> n
     return out
 
 
-def index_rows(x: np.ndarray, grid: Grid, residual: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Record number and term of the entered terms, after residual-norm or maximum-weight pruning."""
+def index_rows(x: np.ndarray, grid: Grid, residual: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Record number, term, weight and number of the record's terms: after residual-norm pruning, or after maximum-weight pruning for lists of the largest weight there is (1)."""
     ix, h, w = terms(x, grid)
-    if not len(ix):
-        return ix, h
-    drop = _left_out(ix, w, w * w, grid.rho**2) if residual else _left_out(ix, w, w, grid.threshold - grid.rho)
-    return ix[~drop], h[~drop]
+    n = np.bincount(ix, minlength=len(x))[ix]
+    keep = ~_left_out(ix, w, w * w, grid.rho**2) if residual and len(ix) else w > grid.spare / np.maximum(n, 1)
+    return ix[keep], h[keep], w[keep], n[keep]
 
 
 def dot(a: np.ndarray, b: np.ndarray, grid: Grid) -> np.ndarray:
@@ -139,85 +144,141 @@ def dot(a: np.ndarray, b: np.ndarray, grid: Grid) -> np.ndarray:
     return each.prod(axis=1)
 
 
-def _matrix(s: pd.Series) -> np.ndarray:
-    return np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 1))
+def _matrix(col: pa.Array, m: int) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, m)
 
 
 def _postings(records: DataFrame, grid: Grid) -> DataFrame:
-    """Inverted lists: ``term, left, k1, k2`` from ``k1, k2, x, left``; copies within a batch are entered once."""
+    """Inverted lists: ``term, left, k1, k2, w, n`` from ``k1, k2, x, left``; copies within a batch are entered once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.drop_duplicates(["k1", "k2", "left"])
-            x, is_left, parts = _matrix(pdf["x"]), pdf["left"].to_numpy(), []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)])
+            once = np.unique(k, axis=1, return_index=True)[1]
+            x = _matrix(b.column(2), grid.m)
             for left in (True, False):
-                rows = np.flatnonzero(is_left == left)
-                ix, h = index_rows(x[rows], grid, residual=left)
+                rows = once[k[2, once] == left]
+                ix, h, w, n = index_rows(x[rows], grid, residual=left)
                 ix = rows[ix]
-                parts.append(pd.DataFrame({"term": h, "left": left, "k1": pdf["k1"].to_numpy()[ix], "k2": pdf["k2"].to_numpy()[ix]}))
-            yield pd.concat(parts)
-
-    return records.select("k1", "k2", "x", "left").mapInPandas(run, "term long, left boolean, k1 long, k2 long")
-
-
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of terms that both sides entered, each once; one exchange on the term serves all of it."""
-    once = postings.repartition("term").distinct()
-    w = W.partitionBy("term")
-    both = once.withColumns({"__l": F.bool_or("left").over(w), "__r": F.bool_or(~F.col("left")).over(w)})
-    return both.where("__l and __r").drop("__l", "__r")
-
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(ix), left)), pa.array(k[0, ix]), pa.array(k[1, ix]), pa.array(w), pa.array(n.astype(np.int32))], names=["term", "left", "k1", "k2", "w", "n"])
 
-def _candidates(postings: DataFrame) -> DataFrame:
-    a = postings.where("left").select("term", F.col("k1").alias("a1"), F.col("k2").alias("a2"))
-    b = postings.where("not left").select("term", F.col("k1").alias("b1"), F.col("k2").alias("b2"))
-    return a.join(b, "term").select("a1", "a2", "b1", "b2")
+    return records.select("k1", "k2", "x", "left").mapInArrow(run, "term long, left boolean, k1 long, k2 long, w double, n int")
 
 
-def within(a: Column, b: Column, m: int, tol: float) -> Column:
-    """|a_j - b_j| <= tol * max(|a_j|, |b_j|) for all components of two arrays."""
-    ok = F.lit(True)
-    for j in range(m):
-        x, y = F.get(a, F.lit(j)).cast("double"), F.get(b, F.lit(j)).cast("double")
-        ok = ok & (F.abs(x - y) <= F.lit(tol) * F.greatest(F.abs(x), F.abs(y)))
-    return ok
+def _entered(postings: DataFrame, grid: Grid) -> DataFrame:
+    """The postings ``term, left, k1, k2`` of lists that both sides entered, after maximum-weight pruning, each once.
 
-
-def restrict(df: DataFrame, keys: DataFrame, on: list[str], most: int = BROADCAST_KEYS) -> DataFrame:
-    """The rows of ``df`` whose key is among ``keys`` (distinct rows): filtered where they lie if ``keys`` was counted to be small, else by a shuffled semi join."""
-    n = keys.count()
-    return df.join(F.broadcast(keys) if n <= most else keys, on, "left_semi")
-
-
-def near_pairs(records: DataFrame, m: int, tol: float, hot: int = HOT) -> DataFrame:
+    The lists' largest weights are combined map-side; the join with them may be skewed on a term, which
+    adaptive execution splits.
+    """
+    heads = postings.groupBy("term").agg(F.max(F.when(F.col("left"), F.col("w"))).alias("m"), F.bool_or(~F.col("left")).alias("r")).where("m is not null and r")
+    kept = postings.join(heads.select("term", "m"), "term").where(F.col("left") | (F.col("w") * F.col("m") > F.lit(grid.spare) / F.col("n")))
+    return kept.select("term", "left", "k1", "k2").distinct()
+
+
+def _log(x: Column) -> Column:
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.ln(F.abs(x.cast("double"))))
+
+
+def _cut(lists: DataFrame, m: int, tol: float, chunk: int) -> DataFrame:
+    """Sub-lists ``sub, left, k1, k2, x``: a list that would give more than ``chunk`` ** 2 comparisons is sliced by its most spread components."""
+    spread = lambda j: F.max(_log(F.get("x", F.lit(j)))) - F.min(_log(F.get("x", F.lit(j))))
+    sizes = lists.groupBy("term").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r"), F.array(*[F.struct((-spread(j)).alias("s"), F.lit(j).alias("j")) for j in range(m)]).alias("spread"))
+    near = -math.log1p(-tol) * (1 + 1e-6) + 1e-9
+    excess = F.log10(F.col("l").cast("double") * F.col("r") / float(chunk) ** 2)
+    n_cuts = F.greatest(F.lit(0), F.least(F.lit(3), F.ceil(excess / 2))).cast("int")
+    wide = F.filter(F.array_sort("spread"), lambda c: c["s"] < -2 * SLICE * near)
+    cuts = sizes.where("l > 0 and r > 0").select("term", F.slice(F.transform(wide, lambda c: c["j"]), F.lit(1), n_cuts).alias("cuts"))
+    width = SLICE * near
+    value = "if(get(x, j) = 0, 0D, ln(abs(cast(get(x, j) as double))))"
+    reach = f"if(left, 0D, {near!r}D)"
+    cells = f"sequence(cast(floor(({value} - {reach}) / {width!r}D) as bigint), cast(floor(({value} + {reach}) / {width!r}D) as bigint))"
+    subs = f"aggregate(cuts, array(term), (acc, j) -> flatten(transform(acc, h -> transform({cells}, c -> xxhash64(h, j, c)))))"
+    return lists.join(cuts, "term").select(F.explode(F.expr(subs)).alias("sub"), "left", "k1", "k2", "x")
+
+
+def _dealt(subs: DataFrame, chunk: int) -> DataFrame:
+    """Every record with each ``cell`` in which it meets the other side: one for a short list, else one per chunk of the other side."""
+    sizes = subs.groupBy("sub").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r")).where("l > 0 and r > 0")
+    n = lambda c: F.ceil(F.col(c) / F.lit(chunk))
+    sizes = sizes.select("sub", n("l").alias("nl"), n("r").alias("nr"))
+    own = F.pmod(F.xxhash64("k1", "k2"), F.when(F.col("left"), F.col("nl")).otherwise(F.col("nr")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("left"), F.col("nr")).otherwise(F.col("nl")) - 1))
+    d = subs.join(sizes, "sub").select("sub", "left", "k1", "k2", "x", own.alias("own"), other.alias("other"))
+    at = F.when(F.col("left"), F.xxhash64("sub", "own", "other")).otherwise(F.xxhash64("sub", "other", "own"))
+    return d.select(at.alias("cell"), "left", "k1", "k2", "x")
+
+
+def compare(cell: np.ndarray, left: np.ndarray, x: np.ndarray, grid: Grid) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers and exact cosines of the near-equal pairs inside cells; rows are in order of cell, left ones first."""
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    n_left = np.add.reduceat(left.astype(np.int64), starts) if len(starts) else starts
+    n_right = np.diff(np.r_[starts, len(cell)]) - n_left
+    ends = np.cumsum(n_left * n_right)
+    total, at = int(ends[-1]) if len(ends) else 0, 0
+    while at < total:
+        p = np.arange(at, min(at + SLAB, total))
+        at += len(p)
+        g = np.searchsorted(ends, p, side="right")
+        p -= np.r_[0, ends[:-1]][g]
+        a = starts[g] + p // n_right[g]
+        b = starts[g] + n_left[g] + p % n_right[g]
+        for j in range(grid.m):
+            u, v = x[a, j], x[b, j]
+            ok = np.abs(u - v) <= grid.tol * np.maximum(np.abs(u), np.abs(v))
+            a, b = a[ok], b[ok]
+            if not len(a):
+                break
+        if len(a):
+            c = dot(x[a], x[b], grid)
+            ok = c >= grid.threshold
+            yield a[ok], b[ok], c[ok]
+
+
+def _pairs(cells: DataFrame, grid: Grid) -> DataFrame:
+    """Near-equal pairs ``a1, a2, b1, b2, cosine`` of records in one cell."""
+    names = ["a1", "a2", "b1", "b2", "cosine"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not t.num_rows:
+                return
+            t = t.combine_chunks()
+            k1, k2 = t["k1"].to_numpy(), t["k2"].to_numpy()
+            for a, b, c in compare(t["cell"].to_numpy(), t["left"].to_numpy(), _matrix(t["x"].chunk(0), grid.m), grid):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k1[a], k2[a], k1[b], k2[b], c)], names=names)
+
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            cell = t["cell"].to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on in the next batch
+            yield from found(t.slice(0, cut))
+            rest = t.slice(cut).combine_chunks()
+        if rest is not None:
+            yield from found(rest)
+
+    placed = cells.repartition("cell").sortWithinPartitions("cell", F.desc("left"))
+    return placed.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, cosine double")
+
+
+def near_pairs(records: DataFrame, m: int, tol: float, chunk: int = CHUNK) -> DataFrame:
     """All pairs of distinct left and right records that are near-equal in all ``m`` components.
 
     ``records``: ``k1, k2`` (a key of the values), ``x`` (array of m finite numbers), ``left`` (side), any
     number of copies. Result: ``a1, a2`` (left key), ``b1, b2`` (right key), ``cosine``, each pair of
     distinct vectors once; a vector on both sides pairs with itself. An empty side gives no rows. Lists and
-    candidates are checkpointed, so neither is computed twice and lost executors cost little.
+    pairs are tables in the shared folder, so none is computed twice and lost executors cost little; only
+    records of lists that both sides entered are read again for their values.
     """
-    first = Grid(m, tol)
-    lists = materialise(_shared(_postings(records, first)))
-    sizes = lists.groupBy("term").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r"))
-    hot_terms = sizes.where(F.col("l") * F.col("r") > hot).select("term")
-    if hot_terms.isEmpty():
-        found = _candidates(lists)
-    else:
-        keys = lists.join(hot_terms, "term", "left_semi").select("k1", "k2").distinct()
-        again = _candidates(_shared(_postings(restrict(records, keys, ["k1", "k2"]), first.finer())))
-        found = _candidates(lists.join(hot_terms, "term", "left_anti")).unionByName(again)
-    found = materialise(found.distinct())
-    x = restrict(records.select("k1", "k2", "x"), pair_keys(found), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("x").alias("x"))
-    both = found.join(x.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("x").alias("xa")), ["a1", "a2"])
-    both = both.join(x.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("x").alias("xb")), ["b1", "b2"])
-
-    @F.pandas_udf(T.DoubleType())
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(dot(_matrix(a), _matrix(b), first))
-
-    exact = both.where(within(F.col("xa"), F.col("xb"), m, tol)).withColumn("cosine", cosine("xa", "xb"))
-    return materialise(exact.where(F.col("cosine") >= first.threshold).select("a1", "a2", "b1", "b2", "cosine"))
+    grid = Grid(m, tol)
+    entered = stored(_entered(stored(_postings(records, grid), "postings"), grid), "entered")
+    x = records.select("k1", "k2", "x").join(entered.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("x").alias("x"))
+    lists = stored(entered.join(x, ["k1", "k2"]), "lists")
+    subs = stored(_cut(lists, m, tol, chunk), "sublists")
+    found = _pairs(_dealt(subs, chunk), grid)
+    return stored(found.groupBy("a1", "a2", "b1", "b2").agg(F.first("cosine").alias("cosine")), "pairs")
 
 
 def pair_keys(pairs: DataFrame) -> DataFrame:

@@ -17,6 +17,10 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(table(spark, d, "flows"))
 
 
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.audit_report(table(spark, d, "flows"), table(spark, d, "collisions"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_report(spark, d).select("doc_id", "item_id")
 
@@ -45,7 +49,7 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p6_found, p6_report, p6_cleaned, p7_mixture, p7_shares, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_audit, p6_found, p6_report, p6_cleaned, p7_mixture, p7_shares, p8_found, p8_stats)}
 
 # As text, since statistics of a column can fold isnan() away.
 _X = ", ".join(f"coalesce(nullif(nullif(nullif({c}::varchar, 'nan'), 'inf'), '-inf')::float::double, 0) as {c}" for c in FEATURES)
@@ -72,4 +76,9 @@ SQL = {
 select split, sensor, count(*) as n_flows, count_if(coalesce(same, false)) as n_exact, count_if(coalesce(n, 0) > 0) as n_near,
   count_if(coalesce((label = 0 and p0 > 0) or (label = 1 and p1 > 0), false)) as n_same_label, coalesce(sum(n), 0)::bigint as n_pairs
 from x left join e on x.ingest_id = e.e_id where split <> 'train' group by split, sensor""",
+    "p2_audit": f"""{_PAIRS}, e as (select e_id, bool_or(same) as same from p group by e_id),
+u as (select ingest_id, n_identical_train as said from (select *, row_number() over (partition by ingest_id order by audited_at desc nulls last, audit_id desc) as r from collisions where ingest_id is not null) where r = 1)
+select split, sensor, count(*) as n_flows, count(said) as n_audited, count_if(coalesce(said > 0 and same, false)) as n_confirmed, count_if(coalesce(said > 0 and not coalesce(same, false), false)) as n_stale,
+  count_if(coalesce(said <= 0 and same, false)) as n_missed, count_if(coalesce(said <= 0 and not same, false)) as n_almost, count_if(e.e_id is not null and said is null) as n_unaudited
+from x left join e on x.ingest_id = e.e_id left join u on u.ingest_id = x.ingest_id where split <> 'train' group by split, sensor""",
 }
