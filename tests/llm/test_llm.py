@@ -124,6 +124,19 @@ def brute_leaks(text, items, run=13):
     return out
 
 
+def brute_cover(text, passage, run=13):
+    """Longest stretch of covered words, covered words, words."""
+    w, q = leakage.words(text), leakage.words(passage)
+    n = min(run, len(q))
+    grams = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)}
+    cover = [any(tuple(w[k : k + n]) in grams for k in range(max(0, i - n + 1), i + 1)) for i in range(len(w))]
+    best = here = 0
+    for c in cover:
+        here = here + 1 if c else 0
+        best = max(best, here)
+    return best, sum(cover), len(w)
+
+
 def leak_case(seed):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(6)]
@@ -138,17 +151,21 @@ def leak_case(seed):
     return items, docs + [(100, None), (101, ""), (102, " ".join(vocab * 20_000))]
 
 
-@pytest.mark.parametrize("block", [leakage.BLOCK_WORDS, 60])
-def test_leaks_match_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "bytes_"), [(leakage.BLOCK_WORDS, leakage.PASS_BYTES), (60, leakage.PASS_BYTES), (60, 1)])
+def test_leaks_match_brute_force(spark, block, bytes_):
     items, docs = leak_case(1)
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id int")
     e = spark.createDataFrame(items, "item_id long, passage string")
     got = {}
-    for r in leakage.find_leaks(d, e, block_words=block).collect():
+    text = dict(docs)
+    for r in leakage.find_leaks(d, e, block_words=block, pass_bytes=bytes_).collect():
         assert (r.doc_id, r.item_id) not in got and 1 <= r.longest_run <= r.covered_words <= r.n_words
         got[(r.doc_id, r.item_id)] = r
     want = {(i, x) for i, t in docs if t for x in brute_leaks(t, [(a, b) for a, b in items if b])}
     assert set(got) == want and len(want) > 50
+    for (i, x), r in got.items():
+        if i < 100:
+            assert (r.longest_run, r.covered_words, r.n_words) == brute_cover(text[i], dict(items)[x])
     assert leakage.find_leaks(d.limit(0), e).count() == 0 and leakage.find_leaks(d, e.limit(0)).count() == 0
 
 
@@ -157,6 +174,26 @@ def test_joined_word_marks():
     assert [w for w, _, _ in leakage.word_spans("Ab\u00adc \u0130x D")] == leakage.words("Ab\u00adc \u0130x D")
 
 
+@pytest.mark.parametrize(("block", "bytes_"), [(leakage.BLOCK_WORDS, leakage.PASS_BYTES), (60, 1)])
+def test_removal_takes_every_item_into_account(spark, block, bytes_):
+    items, docs = leak_case(2)
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    text = dict(docs)
+    for r in leakage.remove_leaks(d, e, max_coverage=1.0, block_words=block, pass_bytes=bytes_).collect():
+        if r.doc_id < 100 and text[r.doc_id]:
+            w, keep = leakage.words(text[r.doc_id]), []
+            hit = [False] * len(w)
+            for _, p in items:
+                q = leakage.words(p or "")
+                n = min(13, len(q))
+                grams = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)} if n else set()
+                for k in range(len(w) - n + 1):
+                    if n and tuple(w[k : k + n]) in grams:
+                        hit[k : k + n] = [True] * n
+            keep = [x for x, h in zip(w, hit) if not h]
+            assert leakage.words(r.text) == keep
+
+
 def test_removal_cuts_spans_or_drops(spark):
     p = " ".join(f"t{i}" for i in range(15))
     d = spark.createDataFrame([(1, "Before it all, there were many words of prose that nobody had leaked. " + p.upper() + "! After, too, and on and on."), (2, p), (3, None), (4, "clean"), (5, "")], "doc_id long, text string")

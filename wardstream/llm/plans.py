@@ -66,11 +66,16 @@ _LEAKS = f"""with e as (select item_id, {_WORDS("passage")} as w from eval_items
 g as (select distinct item_id, least(13, len(w)) as n, unnest({_GRAMS("least(13, len(w))", "w")}) as gram from e where len(w) > 0),
 sizes as (select distinct n from g),
 t as (select doc_id, {_WORDS("text")} as w from documents where text is not null),
-h as (select distinct doc_id, n, unnest({_GRAMS("n", "w")}) as gram from t cross join sizes where len(w) >= n)
-select distinct doc_id, item_id from h join g using (n, gram)"""
+h as (select doc_id, n, len(w) as n_words, unnest({_GRAMS("n", "w")}) as gram, unnest(range(0, len(w) - n + 1)) as k0 from t cross join sizes where len(w) >= n),
+m as (select doc_id, item_id, n_words, n, k0 from h join g using (n, gram))"""
+_REPORT = f"""{_LEAKS}, c as (select distinct doc_id, item_id, n_words, unnest(range(k0, k0 + n)) as i from m),
+r as (select *, i - row_number() over (partition by doc_id, item_id order by i) as island from c),
+s as (select doc_id, item_id, n_words, island, count(*) as k from r group by all)
+select doc_id, item_id, max(k)::int as longest_run, sum(k)::int as covered_words, n_words::int as n_words from s group by doc_id, item_id, n_words"""
 
 SQL = {
-    "p6_found": _LEAKS,
+    "p6_found": f"{_LEAKS} select distinct doc_id, item_id from m",
+    "p6_report": _REPORT,
     "p2_found": f"{_PAIRS} select least(t_id, e_id) as id_a, greatest(t_id, e_id) as id_b from p",
     "p2_counts": f"""{_PAIRS}, e as (select e_id, count(*) as n, bool_or(same) as same, count_if(t_label = 0) as p0, count_if(t_label = 1) as p1 from p group by e_id)
 select split, sensor, count(*) as n_flows, count_if(coalesce(same, false)) as n_exact, count_if(coalesce(n, 0) > 0) as n_near,
