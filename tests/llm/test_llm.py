@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardstream.llm import cosine_join, leakage, mixture, overlap, quality
+from wardstream import runtime
 from wardstream.schema import FEATURES
 
 
@@ -222,15 +223,23 @@ def test_quotas_respect_caps_and_shares():
     assert mixture.quotas({}, {"a": (1.0, 1)}, 0) == {"a": 0}
 
 
-def test_shard_counts_add_up():
-    c = mixture.shard_counts({"a": 1000, "b": 77, "c": 0, "d": 3}, 64, 1)
-    assert dict(c.groupby("source")["n"].sum()) == {"a": 1000, "b": 77, "d": 3}
-    assert set(c.groupby("shard")["n"].sum().iloc[:-1]) == {64}
-    for _, g in c.groupby("source"):
-        assert list(g["first"]) == [0, *np.cumsum(g["n"])[:-1]]
-    assert len(mixture.shard_counts({}, 64, 1)) == 0
-    big = mixture.shard_counts({"a": 3 * 10**9, "b": 10**9}, 10**9, 1)
-    assert dict(big.groupby("source")["n"].sum()) == {"a": 3 * 10**9, "b": 10**9}
+def test_draws_are_exact_and_random():
+    quota, blocks = np.array([1000, 77, 3]), np.array([400, 77, 1])
+    src, slot, ix = mixture.draw(np.arange(1080), quota, blocks, 1)
+    assert list(np.bincount(src)) == [1000, 77, 3]
+    for s in range(3):
+        assert sorted(slot[src == s]) == list(range(quota[s]))
+        uses = np.bincount(ix[src == s], minlength=blocks[s])
+        assert len(uses) == blocks[s] and uses.max() - uses.min() <= 1
+    again = mixture.draw(np.arange(500, 600), quota, blocks, 1)
+    assert (again[0] == src[500:600]).all() and (again[2] == ix[500:600]).all()  # any part of the slots gives the same
+    assert (mixture.draw(np.arange(1080), quota, blocks, 2)[0] != src).any()
+    # Counts per shard of 64 slots have the mean and variance of draws without replacement.
+    big = mixture.draw(np.arange(64_000), np.array([16_000, 48_000]), np.array([16_000, 48_000]), 5)[0].reshape(1000, 64)
+    n = (big == 0).sum(axis=1)
+    assert abs(n.mean() - 16) < 1e-9 and 10 < n.var() < 14
+    far = mixture.draw(np.array([0, 4 * 10**12 - 1]), np.array([3 * 10**12, 10**12]), np.array([3 * 10**12, 10**12]), 1)
+    assert (far[1] < np.array([3 * 10**12, 10**12])[far[0]]).all()
 
 
 def test_mixture_invariants(spark):
@@ -251,12 +260,15 @@ def test_mixture_invariants(spark):
                 used[i] += n
         assert used == {i: size[i] for i, t, src in docs if t and (src or "").strip().lower() == s}
         assert sum(b.n_tokens < 32 for b in mine) <= 1
-    m = mixture.mixture(d, targets, 32, 16).collect()
+    plan = mixture.plan(d, targets, 32, 16)
+    m = plan.rows().collect()
+    per = Counter(r.shard for r in m)
+    assert set(sorted(per.values())[1:]) == {16} and sum(r.n_blocks for r in plan.shard_counts().collect()) == len(m)
     for s, most in (("a", 1), ("b", 3), ("c", 1)):
         uses = Counter(tuple(r.tokens) + tuple(r.doc_ids) for r in m if r.source == s)
         have = Counter(tuple(b.tokens) + tuple(b.doc_ids) for b in blocks if b.source == s)
         assert all(n <= most * have[k] for k, n in uses.items())
-    report = {r.source: r for r in mixture.shares(d, targets, 32, 16).collect()}
+    report = {r.source: r for r in plan.shares().collect()}
     total = sum(r.n_tokens for r in m)
     assert report["missing"].mixture_tokens == 0 and report["a"].corpus_tokens == sum(size.values())
     for s in "abc":
@@ -264,7 +276,8 @@ def test_mixture_invariants(spark):
         assert report[s].most_uses <= report[s].max_repeats
     text = enc.decode([t for b in sorted((b for b in blocks if 901 in b.doc_ids and b.source == "a"), key=lambda b: (b.part, b.seq)) for i, n, o in zip(b.doc_ids, b.doc_tokens, np.cumsum([0, *b.doc_tokens])) if i == 901 for t in b.tokens[o : o + n]])
     assert text == "x " * 20_000
-    assert mixture.mixture(d.limit(0), targets, 32, 16).count() == 0 and mixture.mixture(d, targets.limit(0), 32, 16).count() == 0
+    assert mixture.plan(d.limit(0), targets, 32, 16).rows().count() == 0 and mixture.plan(d, targets.limit(0), 32, 16).rows().count() == 0
+    assert runtime.release(spark) >= 9 and runtime.release(spark) == 0
 
 
 # ---- quality ----

@@ -7,19 +7,25 @@
 2. Each source gets a quota of slots: its target share of the corpus size in tokens, at most
    ``max_repeats`` times its own blocks. What a capped source cannot fill goes to the others in proportion
    to their targets, so the mixture is as large as the corpus as long as the caps allow it.
-3. Per output shard the counts by source are drawn from a multinomial conditioned on the quotas (each
-   shard's draw is without replacement from what is left), so that shards vary but totals are exact.
+3. Which source a slot belongs to is drawn in tasks: the slots of all shards are mapped through one keyed
+   pseudorandom permutation, and a source owns as many consecutive places of its image as its quota. The
+   counts of a shard by source are thus a multinomial draw conditioned on the quotas, at any size, without
+   a table of shards on the driver; totals are exact, shards vary.
 4. A slot's number within its source is mapped through a pseudorandom permutation of the source's block
    indices (a keyed Feistel network with cycle walking; a new key for every pass), so a block is used once
    per pass and at most ``max_repeats`` times in all. Slots then meet their blocks by an equi-join on the
    index: keys are unique on the block side, so no source is a hot key.
+
+:func:`plan` does the work that mixture and report share, so documents are tokenised once for both; the
+blocks stay in the shared folder until :func:`wardstream.runtime.release` deletes them.
 """
 
 from __future__ import annotations
 
 import base64
-import uuid
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,16 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wardstream.runtime import bounded_rows, checkpoint_dir
+from wardstream.runtime import bounded_rows, stored
 
 BLOCK_TOKENS = 256
 SHARD_BLOCKS = 1024
 TAILS_PER_GROUP = 4096
 MAX_SOURCES = 10_000
-#: Shards grow beyond their usual size rather than in number past this, as their counts are drawn on the driver.
-MAX_SHARDS = 100_000
+#: Slots that one task draws.
+SLOTS_PER_TASK = 1_000_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to the vocabulary file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,13 +50,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _ENCODERS: dict = {}
 
 
-def encoder(path: str):
-    """The tokenizer of a vocabulary file, loaded once per Python worker."""
+def encoder(path: str, content: bytes | None = None):
+    """The tokenizer of a vocabulary file, loaded once per Python worker; workers are sent the ``content``, as only the driver needs to have the file."""
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if content is None:
+            with open(path, "rb") as f:
+                content = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         _ENCODERS[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
@@ -114,10 +121,12 @@ def pack(documents: DataFrame, sources: list[str], block_tokens: int = BLOCK_TOK
     """
     spark = documents.sparkSession
     wanted = set(sources)
+    with open(tokenizer, "rb") as f:
+        content = spark.sparkContext.broadcast(f.read())  # a vocabulary file
     d = documents.select("doc_id", F.lower(F.btrim("source", F.lit(" \t"))).alias("source"), "text").where("text is not null and text <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, content.value), TaskContext.get().partitionId()
         open_, other = {}, 0
         for b in batches:
             for doc, src, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -141,13 +150,10 @@ def pack(documents: DataFrame, sources: list[str], block_tokens: int = BLOCK_TOK
         got = p.take(-1 - int(key[1]), key[0], rest=True)  # negative part: packed from leftovers
         return got.to_pandas()
 
-    base = f"{checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    d.mapInArrow(run, _BLOCK_SQL).write.option("compression", "zstd").parquet(f"{base}/cut")
-    cut = spark.read.schema(_BLOCK_SQL).parquet(f"{base}/cut")
+    cut = stored(d.mapInArrow(run, _BLOCK_SQL), "blocks")
     short = (F.col("n_tokens") < block_tokens) & F.col("source").isNotNull()
     tails = cut.where(short).groupBy("source", F.floor(F.col("part") / TAILS_PER_GROUP).alias("__g")).applyInPandas(again, _BLOCK_SQL)
-    tails.write.option("compression", "zstd").parquet(f"{base}/tails")
-    return cut.where(~F.coalesce(short, F.lit(False))).unionByName(spark.read.schema(_BLOCK_SQL).parquet(f"{base}/tails"))
+    return cut.where(~F.coalesce(short, F.lit(False))).unionByName(stored(tails, "tails"))
 
 
 def quotas(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]], corpus: int) -> dict[str, int]:
@@ -174,31 +180,6 @@ def quotas(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[float, in
     return out
 
 
-def shard_counts(quota: dict[str, int], shard_blocks: int, seed: int) -> pd.DataFrame:
-    """``shard, source, n, first``: slots of a source in a shard and its first slot number, drawn without replacement."""
-    rng = np.random.default_rng(seed)
-    names = sorted(s for s, n in quota.items() if n)
-    left = np.array([quota[s] for s in names], dtype=np.int64)
-    first, rows = np.zeros(len(names), dtype=np.int64), []
-    for shard in range(-(-int(left.sum()) // shard_blocks)):
-        m, rest = min(shard_blocks, int(left.sum())), int(left.sum())
-        for i, s in enumerate(names):
-            good = int(left[i])
-            rest -= good
-            if not m:
-                break
-            if good + rest < 1_000_000_000:
-                n = int(rng.hypergeometric(good, rest, m)) if good and rest else min(m, good)
-            else:  # a shard is so small a part of the rest that replacing makes no difference
-                n = int(np.clip(rng.binomial(m, good / (good + rest)), max(0, m - rest), min(m, good)))
-            if n:
-                rows.append((shard, s, n, int(first[i])))
-            m -= n
-            first[i] += n
-            left[i] -= n
-    return pd.DataFrame(rows, columns=["shard", "source", "n", "first"]).astype({"shard": "int64", "n": "int64", "first": "int64"})
-
-
 def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Pseudorandom permutations of [0, n): four Feistel rounds over the next even power of two, walked back into range."""
     half = np.maximum(1, -(-np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) // 2)).astype(np.uint64)
@@ -218,13 +199,28 @@ def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf(T.LongType())
-def _permuted(i: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series(permute(i.to_numpy(), n.to_numpy(), key.to_numpy()))
+def round_keys(seed: int, source: np.ndarray, round_: np.ndarray) -> np.ndarray:
+    """A 64-bit key for every pass over every source."""
+    with np.errstate(over="ignore"):
+        z = np.uint64(seed % 2**64) + source.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + round_.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)
+        for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):  # Fixed values: a published 64-bit finaliser
+            z = (z ^ (z >> np.uint64(31))) * np.uint64(k)
+    return (z ^ (z >> np.uint64(31))).view(np.int64)
+
+
+def draw(g: np.ndarray, quota: np.ndarray, blocks: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Source number, slot within the source and block index of the slots ``g`` of the mixture."""
+    ends = np.cumsum(quota)
+    n = np.full(len(g), ends[-1])
+    place = permute(g, n, np.full(len(g), round_keys(seed, np.array([len(quota)]), np.array([-1]))[0]))
+    src = np.searchsorted(ends, place, side="right")
+    slot = place - (ends - quota)[src]
+    round_, i = np.divmod(slot, blocks[src])
+    return src, slot, permute(i, blocks[src], round_keys(seed, src, round_))
 
 
 def plan_slots(blocks: DataFrame, targets: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Slots ``shard, source, slot, part, seq``, and the table of sources with their quotas."""
+    """Slots ``shard, source, slot, part, seq, n_tokens``, and the table of sources with their quotas."""
     spark = blocks.sparkSession
     rows = bounded_rows(targets, MAX_SOURCES, "mix_targets")
     want: dict[str, tuple[float, int]] = {}
@@ -232,54 +228,73 @@ def plan_slots(blocks: DataFrame, targets: DataFrame, shard_blocks: int = SHARD_
         s = (r.source or "").strip(" \t").lower()
         if s:
             old = want.get(s)
-            want[s] = ((old[0] if old else 0.0) + float(r.target_share or 0), min(old[1], r.max_repeats) if old else int(r.max_repeats or 0))
+            want[s] = ((old[0] if old else 0.0) + float(r.target_share or 0), min(old[1], int(r.max_repeats or 0)) if old else int(r.max_repeats or 0))
     light = blocks.select("part", "source", "seq", "n_tokens", F.when(F.col("source").isNull(), F.get("doc_ids", F.lit(0))).alias("__other"))
     agg = light.groupBy("source").agg(F.count("n_tokens").alias("b"), F.sum("n_tokens").alias("t"), F.sum("__other").alias("o")).collect()  # one row per source of targets
     sizes = {r.source: (r.b, r.t) for r in agg if r.source is not None}
     corpus = sum(t for _, t in sizes.values()) + sum(r.o or 0 for r in agg)
     quota = quotas(sizes, want, corpus)
-    counts = shard_counts(quota, max(shard_blocks, -(-sum(quota.values()) // MAX_SHARDS)), seed)
     summary = spark.createDataFrame(
         [(s, want[s][0], want[s][1], *map(int, sizes.get(s, (0, 0))), quota[s], corpus) for s in sorted(want)],
         "source string, target_share double, max_repeats int, source_blocks long, source_tokens long, slots long, corpus_tokens long",
     )
+    names = sorted(s for s, n in quota.items() if n)
+    total = sum(quota.values())
+    if not total:
+        return spark.createDataFrame([], "shard long, source string, slot long, part long, seq long, n_tokens int"), summary
+    q, b = np.array([quota[s] for s in names], dtype=np.int64), np.array([sizes[s][0] for s in names], dtype=np.int64)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            if len(g):
+                src, slot, ix = draw(g, q, b, seed)
+                name = pa.DictionaryArray.from_arrays(pa.array(src.astype(np.int32)), pa.array(names)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(g // shard_blocks), name, pa.array(slot), pa.array(ix)], names=["shard", "source", "slot", "ix"])
+
+    drawn = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, math.ceil(total / SLOTS_PER_TASK))).mapInArrow(slots, "shard long, source string, slot long, ix long")
     per = light.where("source is not null").groupBy("source", "part").agg(F.count("*").alias("c"), F.min("seq").alias("s0"))
-    before = F.coalesce(F.sum("c").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    dense = per.withColumn("__b", before).select("source", "part", F.posexplode(F.sequence("s0", F.col("s0") + F.col("c") - 1)).alias("__k", "seq"), "__b")
-    dense = dense.select("source", (F.col("__b") + F.col("__k")).alias("ix"), "part", "seq")
-    if not len(counts):
-        return spark.createDataFrame([], "shard long, source string, slot long, part long, seq long"), summary
-    slots = spark.createDataFrame(counts).join(F.broadcast(summary.select("source", "source_blocks")), "source")  # at most MAX_SOURCES rows
-    slots = slots.select("shard", "source", "source_blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
-    round_ = F.floor(F.col("slot") / F.col("source_blocks"))
-    key = F.xxhash64(F.lit(seed), "source", round_)
-    slots = slots.withColumn("ix", _permuted(F.pmod("slot", "source_blocks"), F.col("source_blocks"), key))
-    # The planner takes slots for as small as the counts they are unfolded from and would broadcast them.
-    return slots.join(dense.hint("merge"), ["source", "ix"]).select("shard", "source", "slot", "part", "seq"), summary
-
-
-def mixture(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The mixture: ``shard, slot, source, n_tokens, tokens, doc_ids, doc_tokens``, one row per slot (``slot`` counts within the source).
-
-    An empty corpus or targets without matching sources give no rows.
-    """
-    blocks = pack(documents, _names(targets), block_tokens, tokenizer)
-    slots, _ = plan_slots(blocks, targets, shard_blocks, seed)
-    heavy = blocks.where("source is not null")
-    return heavy.join(slots.hint("merge"), ["source", "part", "seq"]).select("shard", "slot", "source", "n_tokens", "tokens", "doc_ids", "doc_tokens")
+    before = F.coalesce(F.sum("c").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per task and source
+    start = per.select("source", "part", (before - F.col("s0")).alias("__b"))
+    dense = light.where("source is not null").join(start, ["source", "part"]).select("source", (F.col("__b") + F.col("seq")).alias("ix"), "part", "seq", "n_tokens")
+    return drawn.join(dense, ["source", "ix"]).select("shard", "source", "slot", "part", "seq", "n_tokens"), summary
 
 
-def shares(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
-    """What the mixture of the same parameters reaches: ``source, target_share, actual_share, max_repeats,
-    most_uses, source_tokens, mixture_tokens, corpus_tokens``; sources without documents have zeros."""
+@dataclass
+class Mixture:
+    """What :func:`plan` has made: blocks, the slots that use them, and the table of sources."""
+
+    blocks: DataFrame
+    slots: DataFrame
+    summary: DataFrame
+
+    def rows(self) -> DataFrame:
+        """``shard, slot, source, n_tokens, tokens, doc_ids, doc_tokens``, one row per slot (``slot`` counts within the source)."""
+        heavy = self.blocks.where("source is not null").drop("n_tokens")
+        return heavy.join(self.slots, ["source", "part", "seq"]).select("shard", "slot", "source", "n_tokens", "tokens", "doc_ids", "doc_tokens")
+
+    def shard_counts(self) -> DataFrame:
+        """``shard, source, n_blocks, n_tokens``."""
+        return self.slots.groupBy("shard", "source").agg(F.count("*").alias("n_blocks"), F.sum("n_tokens").alias("n_tokens"))
+
+    def shares(self) -> DataFrame:
+        """``source, target_share, actual_share, max_repeats, most_uses, source_tokens, mixture_tokens, corpus_tokens``; sources without documents have zeros."""
+        per = self.slots.groupBy("source", "part", "seq").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("t"))
+        got = per.groupBy("source").agg(F.sum("t").alias("mixture_tokens"), F.max("uses").alias("most_uses"))
+        all_ = got.agg(F.sum("mixture_tokens").alias("__all"))
+        s = self.summary.join(got, "source", "left").join(F.broadcast(all_))  # one row
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+        return s.select("source", "target_share", F.coalesce(F.try_divide("mixture_tokens", "__all"), F.lit(0.0)).alias("actual_share"), "max_repeats", zero("most_uses"), "source_tokens", zero("mixture_tokens"), "corpus_tokens")
+
+
+def plan(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0, tokenizer: str = TOKENIZER) -> Mixture:
+    """Tokenise, pack and draw once; the result gives the mixture, its counts per shard and its shares.
+
+    An empty corpus or targets without matching sources give no slots.
+    """
     blocks = pack(documents, _names(targets), block_tokens, tokenizer)
     slots, summary = plan_slots(blocks, targets, shard_blocks, seed)
-    per = slots.groupBy("source", "part", "seq").agg(F.count("*").alias("uses")).join(blocks.select("source", "part", "seq", "n_tokens").hint("merge"), ["source", "part", "seq"])
-    got = per.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("mixture_tokens"), F.max("uses").alias("most_uses"))
-    all_ = got.agg(F.sum("mixture_tokens").alias("__all"))
-    s = summary.join(got, "source", "left").join(F.broadcast(all_))  # one row
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return s.select("source", "target_share", F.coalesce(F.try_divide("mixture_tokens", "__all"), F.lit(0.0)).alias("actual_share"), "max_repeats", zero("most_uses"), "source_tokens", zero("mixture_tokens"), "corpus_tokens")
+    return Mixture(blocks, stored(slots, "slots"), summary)
 
 
 def _names(targets: DataFrame) -> list[str]:

@@ -34,11 +34,11 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.plan(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows()
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.plan(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
