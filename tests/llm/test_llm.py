@@ -288,7 +288,7 @@ QUALITY = {
         PROSE, "> " + PROSE.replace(" that ", " that\n> "), PROSE.lower().replace(".", ""), "Wir haben die Aufzeichnung noch einmal abgespielt und dieselben Fälle gefunden. Das Budget war nach Mitternacht aufgebraucht.",
         "Eelarve sai otsa pärast seitset episoodi ja meetod vaikis hommikuni.", PROSE.replace(" ", "  "), "- " + PROSE.replace(". ", ".\n- "), PROSE + "\n\nIt’s late.", " ".join([PROSE] + [f"Then the shift number {i} found {i * 7} flows in the segment." for i in range(40)]),
     ],
-    "list": ["- one thing;\n- another thing;\n  - a third", "1. rerun the order\n2. ask the team about ranks\n3. kossti-14", "(1) alpha;\n(2) beta;", "rerun the order;\nkossti-14;\nthe draft, around noon;", "alpha beta\ngamma\ndelta-04\nthe draft, around noon", "R1-1: tovke-36\nR2-1: stale alarm", "- [ ] host pair.\n- [ ] dopra-03."],
+    "list": ["- one thing;\n- another thing;\n  - a third", "1. rerun the order\n2. ask the team about ranks\n3. kossti-14", "(1) alpha;\n(2) beta;", "rerun the order;\nkossti-14;\nthe draft, around noon;", "alpha beta\ngamma\ndelta-04\nthe draft, around noon", "R1-1: tovke-36\nR2-1: stale alarm", "- [ ] host pair.\n- [ ] dopra-03.", "rastov-29, baul-31, rerun the feedback variant, rudul-01, rastov-23, ziwo-50, the appendix, in the last hour, nevnoul-16"],
     "table": ["| a | b |\n|---|---|\n| 1 | 2 |", "a,b,c\n1,2,x\n0.5,,y", "a\tb\tc\n1\t2\t3", "n      host     late\n1      ulzi     2:39\n20     kerud    -", "\\begin{tabular}{ll}\na & b \\\\\n1 & 2 \\\\\n\\end{tabular}", "a;b;c\n1;2;3"],
     "junk": ["HMQDzOaQNopD4oKcBRyzzQKFabjHEH91Nt2WKDQt8lF1FfuPXmsOejldWIOdCJ0zEyhWcDUR", "0 0 0 0 0 0 0 0", "-----------\n-----------", "00000000  3a af 82 86 04 d3 94 fe  |:.......|", "O¶n™ ein¤€¤estâ™O¤Ãnung Ã¶tÃ¤™ Ã¤™¤Ã€¿", "noisy beacon - " * 20, "fzdp kq;fipk wpadde;jqjudj edae dkpkrlq tldr fe; sf z;a;jfr;ltt jfusljjqktuua klrooqaa ap;tdqffsz"],
 }
@@ -310,10 +310,30 @@ def test_statistics_and_edges(spark):
     assert [got[i].kind for i in (1, 2, 3)] == [None, None, None] and got[1].n_words == 0 and got[1].mean_word_length == 0
     x = got[4]
     assert (x.n_words, x.n_lines) == (8, 3) and x.end_punct_share == pytest.approx(2 / 3) and x.bullet_share == pytest.approx(1 / 3) and x.ellipsis_share == pytest.approx(1 / 3)
+    assert [list(got[i].reasons) for i in (1, 2, 3)] == [[], [], []] and got[5].reasons[0] == "too_many_words" and "few_distinct_words" in got[5].reasons
     assert "too_few_words" in x.reasons and got[5].kind == "junk" and got[5].n_words == 500_000
     assert quality.not_prose(d.limit(0)).count() == 0
 
 
+def test_the_kind_follows_from_the_reasons(spark):
+    rules = list(quality.RULES)
+    cases = [([], "prose"), (["too_few_words", "line_ends"], "prose"), (["garbled"], "junk"), (["said_again", "table_lines"], "table"), (["list_lines", "one_pair"], "junk"), (["list_lines"], "list"), (["partly_table"], "prose"), (["line_ends", "partly_table"], "table"), (["junk_lines", "table_lines"], "junk")]
+    df = spark.createDataFrame([(r, 9, k) for r, k in cases] + [([], 0, None)], "reasons array<string>, n long, want string").withColumn("got", F.expr(quality.kind_of("reasons", "n")))
+    assert all(r.got == r.want for r in df.collect()) and len(rules) == len(set(rules))
+
+
+def test_batches_do_not_change_figures():
+    import pyarrow as pa
+
+    texts = [t for ts in QUALITY.values() for t in ts] + [None, "", "x\r\rx", "a b " * 2000]
+    whole = quality.measure(pa.array(texts))
+    for i, t in enumerate(texts):
+        one = quality.measure(pa.array([t], pa.string()))
+        assert all(one[k][0] == pytest.approx(whole[k][i]) for k in whole), t
+    assert all(len(v) == 0 for v in quality.measure(pa.array([], pa.string())).values())
+    assert (quality._wide_pairs(np.array([0, 0, 1]), np.array([3, 3, 4]), np.array([0])) == 0).all()
+
+
 def test_llm_queries_agree_with_sql(spark, sf):
     from pathlib import Path
 

@@ -73,9 +73,43 @@ r as (select *, i - row_number() over (partition by doc_id, item_id order by i)
 s as (select doc_id, item_id, n_words, island, count(*) as k from r group by all)
 select doc_id, item_id, max(k)::int as longest_run, sum(k)::int as covered_words, n_words::int as n_words from s group by doc_id, item_id, n_words"""
 
+_Q = lambda p: "'" + p.replace("'", "''") + "'"
+_HAS = lambda c, p: f"regexp_matches({c}, {_Q(p)})"
+_COUNT = lambda c, p: f"len(regexp_extract_all({c}, {_Q(p)}))"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_PER = lambda x, y: f"coalesce(({x})::double / nullif({y}, 0), 0.0)"
+_IN = ", ".join(f"'{w}'" for w in sorted({w for v in quality.COMMON.values() for w in v}))
+_MEASURED = f"""with d as (select row_number() over () as id, doc_id, coalesce(text, '') as raw, replace(replace(replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(65279), ''), chr(8203), ''), chr(160), ' ') as t from documents),
+l0 as (select id, trim(unnest(l), {_BLANK}) as s, unnest(range(0, len(l))) as i from (select id, string_split(t, chr(10)) as l from d)),
+l1 as (select id, s, length(s) as z, i, lag(s) over w as before, lead(s) over w as after from l0 where s <> '' window w as (partition by id order by i)),
+l2 as (select *, ltrim(s, '> ' || chr(9)) as b, {_HAS("s", quality._ROW)} as vals, coalesce(s = before and z >= 3, false) or coalesce(s = after and z >= 3, false) as again from l1),
+l3 as (select *, {_HAS("s", quality._JUNK_LINE)} or ({_HAS("s", quality._UNBROKEN)} and not vals) or again as junk from l2),
+l4 as (select *, not junk and (vals or {_HAS("s", quality._TABLE_LINE)} or ({_HAS("s", quality._COLUMNS)} and not {_HAS("s", quality._SINGLE)} and not {_HAS("s", quality._SPOKEN)})) as tab from l3),
+l5 as (select *, not junk and not tab and (
+  (length(s) - length(replace(s, ',', '')) >= {quality._COMMAS[0]} and length(s) - length(replace(s, ',', '')) >= {quality._COMMAS[1]} * ({_COUNT("s", "[ \\t]+")} + 1) and not {_HAS("s", quality._ENDS)})
+  or ({_HAS("b", quality._ENTRY)} and not {_HAS("b", quality._SENTENCE)}) or {_HAS("b", quality._PART)} or ({_HAS("s", quality._STOP)} and (before is null or {_HAS("before", "[.;:!?]$")}))) as entry from l4),
+l6 as (select *, not junk and not tab and not entry and {_HAS("s", quality._LOOSE)} and not {_HAS("s", quality._LOOSE_END)} as loose from l5),
+lines as (select id, count(*) as n_lines, sum(z) as chars, count(distinct s) as kinds, count_if({_HAS("s", "[.!?…][" + '"' + "'”»)]*$")}) as ends, count_if({_HAS("s", quality._ENTRY)}) as bullets, count_if({_HAS("s", "(?:[.][.][.]|…)$")}) as dots, count_if(z < 30) as short,
+  coalesce(sum(z) filter (where junk), 0) as in_junk, coalesce(sum(z) filter (where tab), 0) as in_table, coalesce(sum(z) filter (where entry), 0) + case when count_if(loose) >= 4 then coalesce(sum(z) filter (where loose), 0) else 0 end as in_list from l6 group by id),
+w0 as (select id, unnest(l) as w, unnest(range(0, len(l))) as i from (select id, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as l from d)),
+w1 as (select *, length(w) as z, lead(w) over (partition by id order by i) as w2 from w0),
+words as (select id, count(*) as n_words, sum(z) as solid, count(distinct w) as kinds, count_if({_HAS("w", "\\p{L}")}) as alpha, count_if(trim(lower(w), {_Q(quality._EDGES)}) in ({_IN})) as n_common, count_if({_HAS("w", quality._MASH)}) as mash from w1 group by id),
+pairs as (select id, max(k) as top from (select id, w, w2, count(*) * (max(z) + length(w2)) as k from w1 where w2 is not null group by id, w, w2 having count(*) > 1) group by id),
+said as (select id, count(*) as parts, count(distinct s) as kinds from (select id, trim(unnest(regexp_split_to_array(t, {_Q(quality._SENTENCES)})), {_BLANK}) as s from d where id in (select id from words where n_words >= 8 and kinds <= 0.25 * n_words)) group by id),
+m as (select d.doc_id, length(raw) as n_chars_seen, coalesce(n_words, 0) as n_words, coalesce(n_lines, 0) as n_lines, coalesce(n_common, 0) as n_common, coalesce(parts, 0) as n_sentences,
+  {_PER("solid", "n_words")} as mean_word_length, {_PER(_COUNT("t", "#|[.][.][.]|…"), "n_words")} as symbol_ratio, {_PER("ends", "n_lines")} as end_punct_share, {_PER("bullets", "n_lines")} as bullet_share, {_PER("dots", "n_lines")} as ellipsis_share, {_PER("short", "n_lines")} as short_line_share,
+  {_PER("n_lines - lines.kinds", "n_lines")} as repeated_line_share, {_PER("alpha", "n_words")} as alpha_word_share, {_PER("n_common", "n_words")} as common_share, {_PER("top", "solid")} as top_pair_share, {_PER("words.kinds", "n_words")} as distinct_word_share, {_PER("parts - said.kinds", "parts")} as repeated_sentence_share,
+  {_PER(_COUNT("t", quality._WEIRD), "chars")} as weird_share, {_PER(f"{_COUNT('t', quality._RARE)} - 2 * {_COUNT('t', quality._BULLET_BOX)}", "chars")} as rare_share, {_PER("mash", "n_words")} as mash_share,
+  {_PER("in_list", "chars")} as list_share, {_PER("in_table", "chars")} as table_share, {_PER("in_junk", "chars")} as junk_share, {_PER("chars - in_list - in_table - in_junk", "chars")} as prose_share
+  from d left join lines using (id) left join words using (id) left join pairs using (id) left join said using (id)),
+q as (select *, case when n_words = 0 then array[]::varchar[] else list_filter([{", ".join(f"case when {c} then '{r}' end" for r, c in quality.RULES.items())}], lambda x: x is not null) end as reasons from m),
+k as (select *, {quality.kind_of("reasons", "n_words").replace("array_contains", "list_contains")} as kind from q)"""
+
 SQL = {
     "p6_found": f"{_LEAKS} select distinct doc_id, item_id from m",
     "p6_report": _REPORT,
+    "p8_stats": f"{_MEASURED} select * from k",
+    "p8_found": f"{_MEASURED} select doc_id, kind from k where kind <> 'prose'",
     "p2_found": f"{_PAIRS} select least(t_id, e_id) as id_a, greatest(t_id, e_id) as id_b from p",
     "p2_counts": f"""{_PAIRS}, e as (select e_id, count(*) as n, bool_or(same) as same, count_if(t_label = 0) as p0, count_if(t_label = 1) as p1 from p group by e_id)
 select split, sensor, count(*) as n_flows, count_if(coalesce(same, false)) as n_exact, count_if(coalesce(n, 0) > 0) as n_near,
