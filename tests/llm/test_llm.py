@@ -331,7 +331,6 @@ def test_batches_do_not_change_figures():
         one = quality.measure(pa.array([t], pa.string()))
         assert all(one[k][0] == pytest.approx(whole[k][i]) for k in whole), t
     assert all(len(v) == 0 for v in quality.measure(pa.array([], pa.string())).values())
-    assert (quality._wide_pairs(np.array([0, 0, 1]), np.array([3, 3, 4]), np.array([0])) == 0).all()
 
 
 def test_llm_queries_agree_with_sql(spark, sf):
