@@ -29,6 +29,13 @@ def failed_types(meta: DataFrame, config: DataFrame, most: int = MAX_TYPES) -> l
     return sorted(r.t for r in bounded_rows(t.join(fail, "c", "left_semi").select("t"), most, "the set of event types"))
 
 
+def failed_state(conn, config: DataFrame):
+    """Whether a conn state, trimmed and in upper case, is one of a failed connection, as a column; ``config`` is one row whose array is read by the driver."""
+    row = config.select("config.fail_conn").first()
+    states = sorted({c.strip(" ").upper() for c in (row[0] if row and row[0] else []) if c} - {""})
+    return F.upper(F.trim(conn)).isin(states)
+
+
 def typed_flows(flows: DataFrame, meta: DataFrame, types: list[str]) -> DataFrame:
     """Flows with a row in ``meta``, each delivered flow once per event type: ``src, dst, ts, bytes, type_ix``.
 

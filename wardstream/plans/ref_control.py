@@ -785,10 +785,10 @@ def m01_boosted(spark, d):
 
 @query()
 def m04_host_conditioned(spark, d):
-    from wardstream.operators.features import fail_states
+    from wardstream.operators.features import failed_state
 
     f = table(spark, d, "flows").where("split is not null and label is not null and ts is not null").join(table(spark, d, "meta").select("ingest_id", "conn"), "ingest_id", "left")
-    bad = F.upper(F.trim("conn")).isin(fail_states(table(spark, d, "t49_r7")))
+    bad = failed_state("conn", table(spark, d, "t49_r7"))
     m, wide = detector.host_conditioned(f, bad, "split = 'train'")
     return metrics.auroc(m.score(wide.where("split = 'deploy'"))).select("n_pos", "n_neg", "auroc")
 

@@ -630,10 +630,10 @@ _WIN = lambda k: f"over (partition by {k} order by ts range between unbounded pr
 
 @query(f"with {_WF} select ingest_id, " + ", ".join(f"count(*) {_WIN(k)} as {k}_cnt, coalesce(sum(nw) {_WIN(k)}, 0)::bigint as {k}_peers, round(coalesce(sum(bad) {_WIN(k)}, 0) / greatest(count(*) {_WIN(k)}, 1), 9) as {k}_fail" for k in ("src", "dst")) + " from y")
 def w02_w03_host_features(spark, d):
-    from wardstream.operators.features import fail_states
+    from wardstream.operators.features import failed_state
 
     f = flows(spark, d).where("ts is not null").select("ingest_id", "ts", "src", "dst").join(table(spark, d, "meta").select("ingest_id", "conn"), "ingest_id", "left")
-    h = hostfeatures.host_features(f, F.upper(F.trim("conn")).isin(fail_states(table(spark, d, "t49_r7"))))
+    h = hostfeatures.host_features(f, failed_state("conn", table(spark, d, "t49_r7")))
     return h.select("ingest_id", *[c for s in ("src", "dst") for c in (f"{s}_cnt", f"{s}_peers")], *[r(f"{s}_fail", 9).alias(f"{s}_fail") for s in ("src", "dst")])
 
 
