@@ -148,6 +148,70 @@ def test_closed_matches_all_subsets():
         assert list(c.PROCEDURES["closed_elond"](e, CEIL, "poly", 0.3, 0.1).fired) == brute_closed(e, spending.gamma("poly", 9), 0.3)
 
 
+def brute_toad(e, g, a, deadline):
+    """Step by step from the definition, by trying every size of the set."""
+    n, fired = len(e), set()
+    for t in range(1, n + 1):
+        open_ = [i for i in range(t) if deadline[i] >= t]
+        locked = [i for i in fired if deadline[i] < t]
+        for r in range(t, 0, -1):
+            in_ = [i for i in open_ if e[i] > 0 and a * g[i] * e[i] * r >= 1 - 1e-15]
+            if len(in_) + len(locked) >= r:
+                fired |= set(in_)
+                break
+    return [i in fired for i in range(n)]
+
+
+def test_deadlines_match_the_definition():
+    for seed, (e, k) in enumerate(streams()):
+        rng, e, g = np.random.default_rng(seed), e[:50], spending.gamma(k, 50)
+        for d in (np.arange(1, 51) + rng.integers(0, 30, 50).astype(float), c.deadlines("bucket", 50, bucket=np.arange(50) // 7), c.deadlines("time", 50, ts=np.sort(rng.uniform(0, 9, 50)), horizon=1.5)):
+            assert list(c.etoad(e, CEIL, g, 0.3, d).fired) == brute_toad(e, g, 0.3, d)
+
+
+def brute_donation(e, g, a):
+    n, best = len(e), 0
+    order = sorted(range(n), key=lambda i: (-g[i] * e[i], i))
+    for r in range(1, n + 1):
+        s = sum(min(g[i] * e[i] - 1 / (a * r), g[i]) for i in order[:r]) + sum(g[i] * min(e[i], 1.0) for i in order[r:])
+        best = r if s >= 0 else best
+    return {i for i in order[:best] if g[i] > 0}
+
+
+def test_donation_matches_the_definition():
+    for e, k in streams():
+        for a in (0.05, 0.3, 0.8):
+            g = spending.gamma(k, 40)
+            out = c.donation_ebh(e[:40], CEIL, g, a)
+            assert set(np.flatnonzero(out.notes["snapshot"])) == brute_donation(e[:40], g, a)
+            assert set(np.flatnonzero(out.notes["union"])) == set().union(*(brute_donation(e[:t], g[:t], a) for t in range(1, 41)))
+
+
+def test_steered_thresholds():
+    cal = np.arange(101.0)
+    t = c.Threshold(cal, 0.05, start=0.5, gain=0.1, least=1)
+    assert t.cut == 50.0
+    t.learn(1)
+    assert t.theta == pytest.approx(0.595)
+    hit = c.feedback(np.full(30, 80.0), np.zeros(30, bool), c.Threshold(cal, 0.05, start=0.5, gain=0.1), 0)
+    assert hit[:4].all() and not hit[-1]  # false alerts raise the threshold above the scores
+    late = c.delayed_control(np.full(30, 80.0), np.arange(30), np.zeros(30, bool), c.Threshold(cal, 0.05, start=0.5, gain=0.1), 100)
+    assert late.all()  # no label has arrived
+    w = c.Threshold(cal, 0.05, "PI", start=0.99, gain=0.1, integral=0.1)
+    for _ in range(50):
+        w.learn(1)
+    assert w.theta == 1.0 and w.total < 1  # the sum of errors does not wind up
+    q = c.Threshold(cal, 0.1, "AQT", start=0.5, gain=0.1)
+    q.learn(0)
+    assert q.theta == pytest.approx(0.49)
+    assert c.Threshold(np.array([]), 0.1).cut == np.inf
+
+
+def test_closed_takes_no_longer_stream_than_allowed():
+    with pytest.raises(ValueError):
+        c.ClosedLond(spending.gamma("poly", 11), 0.1, max_t=10)
+
+
 def test_donations_reject_at_least_as_much():
     for e, k in streams():
         plain = c.PROCEDURES["elond"](e, CEIL, k, A, W0).fired.sum()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -232,37 +233,61 @@ class DonationLond:
             self.open += self.g[t - 1] * min(e, 1.0)
 
 
+def _best_with(best: np.ndarray, m: int) -> np.ndarray:
+    """Best sums by number of members once m more indices without evidence or rejection may join: the largest of best[k-m..k], by doubling windows."""
+    x = np.concatenate([best, np.full(m, -np.inf)])
+    reach = 0
+    while reach < m:  # x[k] already is the largest of the last reach + 1
+        step = min(reach + 1, m - reach)
+        x[step:] = np.maximum(x[step:], x[:-step].copy())
+        reach += step
+    return x
+
+
 class ClosedLond:
     """The closure of LOND: the level is the least over all intersection hypotheses that hold t.
 
-    best[k] is the largest of (rejections inside) - alpha (R+1) sum e_i gamma_rank(i) over sets of k earlier
-    indices; level = min_k alpha gamma_{k+1} (R+1) / (1 + best[k]) over positive denominators. O(t) per
-    step, rebuilt after a rejection, as R enters every term.
+    An intersection with k earlier indices allows alpha gamma_{k+1} (R+1) / (1 + s), where s is the number of
+    its rejections less alpha (R+1) sum e_i gamma_rank(i); what counts is the largest s for each k. Indices
+    with neither evidence nor rejection add 0 to s and only shift ranks, so a run of m of them is one sliding
+    maximum over k; each other index is one step. After a rejection (R enters every sum) all is built again
+    from those runs. ``max_t`` is the longest stream it takes, as the work grows with its square.
     """
 
-    def __init__(self, g: np.ndarray, alpha: float) -> None:
-        self.g, self.alpha, self.e, self.in_, self.r, self.best = g, alpha, [], [], 0, np.zeros(1)
-
-    def _grow(self, best: np.ndarray, e: float, inside: bool) -> np.ndarray:
-        k = len(best)
-        taken = best + (float(inside) - self.alpha * (self.r + 1) * e * self.g[:k])
-        return np.maximum(np.append(best, -np.inf), np.insert(taken, 0, -np.inf))
+    def __init__(self, g: np.ndarray, alpha: float, max_t: int | None = None) -> None:
+        if max_t is not None and len(g) > max_t:
+            raise ValueError(f"the stream has {len(g)} hypotheses, more than max_t = {max_t}")
+        self.g, self.alpha, self.r, self.best = g, alpha, 0, np.zeros(1)
+        self.told: list[tuple[float, bool]] = []
+
+    def _after(self, best: np.ndarray, e: float, hit: bool) -> np.ndarray:
+        joined = np.full(len(best) + 1, -np.inf)
+        joined[1:] = best + hit - self.alpha * (self.r + 1) * e * self.g[: len(best)]
+        joined[:-1] = np.maximum(joined[:-1], best)
+        return joined
+
+    def _rebuilt(self) -> np.ndarray:
+        best, idle = np.zeros(1), 0
+        for e, hit in self.told:
+            if e or hit:
+                best, idle = self._after(_best_with(best, idle), e, hit), 0
+            else:
+                idle += 1
+        return _best_with(best, idle)
 
     def level(self, t: int) -> float:
-        d = 1.0 + self.best
-        ok = d > 0
-        return float((self.alpha * self.g[: len(d)][ok] * (self.r + 1) / d[ok]).min()) if ok.any() else 0.0
+        rest = 1.0 + self.best
+        allowed = np.divide(self.alpha * (self.r + 1) * self.g[: len(rest)], rest, out=np.full(len(rest), np.inf), where=rest > 0)
+        least = float(allowed.min())
+        return least if math.isfinite(least) else 0.0
 
     def see(self, t: int, e: float, hit: bool) -> None:
-        self.e.append(e)
-        self.in_.append(hit)
+        self.told.append((e, hit))
         self.r += hit
         if hit:
-            self.best = np.zeros(1)
-            for ei, inside in zip(self.e, self.in_):
-                self.best = self._grow(self.best, ei, inside)
+            self.best = self._rebuilt()
         else:
-            self.best = self._grow(self.best, e, hit)
+            self.best = self._after(self.best, e, hit) if e else _best_with(self.best, 1)
 
 
 def _largest_k(sorted_cost: list[float] | np.ndarray) -> int:
@@ -297,95 +322,89 @@ def online_ebh(evidence: np.ndarray, ceiling: float, g: np.ndarray, alpha: float
 
 
 def deadlines(kind: str, n: int, bucket: np.ndarray | None = None, ts: np.ndarray | None = None, horizon: float | None = None) -> np.ndarray:
-    """Last step at which each hypothesis may still be rejected: ``immediate``, ``arc`` (never ends), end of its ``bucket``, or ``time`` horizon."""
-    own = np.arange(1, n + 1, dtype=float)
-    if kind == "immediate":
-        return own
-    if kind == "arc":
-        return np.full(n, np.inf)
+    """Last step at which each hypothesis may still be rejected: ``immediate``, ``arc`` (never ends), end of its ``bucket``, or ``time`` horizon.
+
+    A bucket's end is the position of its last hypothesis, so buckets must come one after the other. Within
+    a time horizon lie all hypotheses that arrive up to ``horizon`` after one's own ``ts``.
+    """
+    pos = pd.Series(np.arange(1.0, n + 1))
     if kind == "bucket":
-        b = np.asarray(bucket)
-        if (np.diff(b) < 0).any():
+        b = pd.Series(bucket)
+        if not b.is_monotonic_increasing:
             raise ValueError("buckets must not decrease along the stream")
-        return np.searchsorted(b, b, side="right").astype(float)
+        return pos.groupby(b).transform("last").to_numpy()
     if kind == "time":
-        t = np.asarray(ts, dtype=float)
-        return np.maximum(np.searchsorted(t, t + horizon, side="right"), own)
-    raise ValueError(f"no deadline {kind!r}")
-
-
-def _toad_count(active: np.ndarray, most: int, alpha: float, locked: int) -> int:
-    """Largest s <= most with active[s-1] alpha (s + locked) >= 1, ``active`` in falling order."""
-    m = min(most, len(active))
-    ok = np.flatnonzero(active[:m] * (alpha * (np.arange(1, m + 1) + locked)) >= 1.0)
-    return int(ok[-1]) + 1 if ok.size else 0
+        arrivals = pd.DataFrame({"at": np.asarray(ts, dtype=float), "pos": pos})
+        last = pd.merge_asof(pd.DataFrame({"until": arrivals["at"] + horizon}).sort_values("until", kind="stable").reset_index(), arrivals.groupby("at", as_index=False)["pos"].max(), left_on="until", right_on="at")
+        return np.fmax(last.set_index("index")["pos"].sort_index().to_numpy(), pos.to_numpy())
+    ends = {"immediate": pos.to_numpy(), "arc": np.full(n, np.inf)}
+    if kind not in ends:
+        raise ValueError(f"no deadline {kind!r}")
+    return ends[kind]
 
 
 def etoad(evidence: np.ndarray, ceiling: float, g: np.ndarray, alpha: float, deadline: np.ndarray) -> Outcome:
-    """e-BH with decision deadlines: a hypothesis can be rejected until its deadline, then it is locked as it is."""
+    """e-BH with decision deadlines: a hypothesis can be rejected until its deadline, then it stays as it is.
+
+    With cost c_i = 1 / (alpha gamma_i e_i), step t allows the largest R_t such that the hypotheses of cost
+    at most R_t whose deadline has not passed, and those rejected by their deadline before, are R_t at least.
+    R_t never falls, so a hypothesis is rejected exactly if its cost is at most R at its deadline (or at the
+    end of the stream). Only hypotheses with evidence have a finite cost, and R_t can only change when one
+    arrives. ``level`` is alpha gamma_t R_t. Silent: not even evidence at the ceiling would be rejected on arrival.
+    """
     check_stream(evidence, g, alpha, ceiling)
-    n, weight = len(evidence), g * evidence
-    if (deadline < np.arange(1, n + 1)).any():
+    n, steps = len(evidence), np.arange(1, len(evidence) + 1)
+    if (deadline < steps).any():
         raise ValueError("a deadline lies before its hypothesis")
-    out = Outcome(np.zeros(n), np.zeros(n, bool), np.zeros(n, bool))
-    by_end: dict[int, list[int]] = {}
-    for i, end in enumerate(deadline):
-        if math.isfinite(end):
-            by_end.setdefault(int(end), []).append(i)
-    live: list[tuple[float, int]] = []  # (-weight, index)
-    alive = locked = 0
-    for t in range(1, n + 1):
-        for i in by_end.get(t - 1, ()):
-            alive -= 1
-            locked += bool(out.fired[i])
-            if weight[i] > 0:
-                live.remove((-weight[i], i))
-        alive += 1
-        others = np.array([-w for w, _ in live])
-        best = g[t - 1] * ceiling
-        if best > 0:
-            at = int(np.searchsorted(-others, -best)) if len(others) else 0
-            r = _toad_count(np.insert(others, at, best), alive, alpha, locked) + locked
-            out.silent[t - 1] = not (r > 0 and best >= 1.0 / (alpha * r))
-        else:
-            out.silent[t - 1] = True
-        if weight[t - 1] > 0:
-            bisect.insort(live, (-weight[t - 1], t - 1))
-        r = _toad_count(np.array([-w for w, _ in live]), alive, alpha, locked) + locked
-        out.level[t - 1] = alpha * g[t - 1] * r
-        if r > 0:
-            for w, i in live:
-                if -w < 1.0 / (alpha * r):
-                    break
-                out.fired[i] = True
-    return out
+    cost, at_best, end = ebh_cost(evidence, g, alpha), ebh_cost(np.full(n, ceiling), g, alpha), np.minimum(deadline, n)
+    holds = np.flatnonzero(np.isfinite(cost))
+    reached, silent = np.zeros(n + 1, dtype=np.int64), np.zeros(n, bool)
+
+    def support(open_costs: np.ndarray, locked: int) -> int:
+        ranked = np.sort(open_costs)
+        return int((np.arange(1, len(ranked) + 1) + locked)[ranked <= np.arange(1, len(ranked) + 1) + locked].max(initial=locked))
+
+    for t in steps:
+        mine = holds[holds < t]
+        open_ = mine[deadline[mine] >= t]
+        shut = mine[deadline[mine] < t]
+        locked = int((cost[shut] <= reached[end[shut].astype(np.int64)]).sum())
+        reached[t] = max(reached[t - 1], support(cost[open_], locked))
+        others = open_[open_ < t - 1]
+        silent[t - 1] = not at_best[t - 1] <= support(np.append(cost[others], at_best[t - 1]), locked)
+    return Outcome(alpha * g * reached[1:], cost <= reached[end.astype(np.int64)], silent)
 
 
 def donation_ebh(evidence: np.ndarray, ceiling: float, g: np.ndarray, alpha: float, history: str = "snapshot") -> Outcome:
     """e-BH with donated evidence: the largest r for which the surplus of the r best and the capped evidence of the rest cover 1/(alpha r) each.
 
     ``snapshot`` keeps the last step's set, ``union`` all that were ever in it.
+
+    As the spending sequence sums to at most 1, what P hypotheses with evidence can lend to others is at most
+    1, so r - P <= alpha r: no r beyond P / (1 - alpha) has to be tried, and for all others the balance is
+    computed at once, a matrix of r by the hypotheses with evidence. The set can only change when evidence
+    arrives, or while r is held back by t.
     """
     check_stream(evidence, g, alpha, ceiling)
     if history not in ("snapshot", "union"):
         raise ValueError("history is snapshot or union")
-    n = len(evidence)
-    weight, spare = g * evidence, g * np.minimum(evidence, 1.0)
+    n, worth = len(evidence), g * evidence
     now, ever = np.zeros(n, bool), np.zeros(n, bool)
-    most = min(n, 2 * max(int((weight > 0).sum()), 1) + 2) if alpha < 0.25 else n
     for t in range(1, n + 1):
-        if t > most and weight[t - 1] == 0 and spare[t - 1] == 0:
+        p = np.flatnonzero(worth[:t] > 0)
+        limit = len(p) / (1 - alpha) if alpha < 1 else math.inf
+        if worth[t - 1] == 0 and limit < t:
             continue
-        order = np.argsort(-weight[:t], kind="stable")
-        w, gg, s = weight[order], g[order], spare[order]
-        rest = np.append(np.cumsum(s[::-1])[::-1], 0.0)
-        r = 0
-        for k in range(min(t, most), 0, -1):
-            if np.minimum(w[:k] - 1.0 / (alpha * k), gg[:k]).sum() + rest[k] >= 0:
-                r = k
-                break
+        r = np.arange(1, int(min(t, limit)) + 1)
+        p = p[np.argsort(-worth[p], kind="stable")]
+        price = 1.0 / (alpha * r[:, None])
+        taken = np.arange(len(p)) < r[:, None]
+        balance = np.where(taken, np.minimum(worth[p] - price, g[p]), g[p] * np.minimum(evidence[p], 1.0)).sum(axis=1) - np.maximum(r - len(p), 0) * price[:, 0]
+        k = int(r[balance >= 0].max(initial=0))
+        empty = np.flatnonzero(worth[:t] == 0)[: max(0, k - len(p))]  # lent to in order of arrival
         now = np.zeros(n, bool)
-        now[order[:r][gg[:r] > 0]] = True
+        now[p[:k]] = True
+        now[empty[g[empty] > 0]] = True
         ever |= now
     return Outcome(np.zeros(n), now if history == "snapshot" else ever, np.zeros(n, bool), {"snapshot": now, "union": ever})
 
@@ -399,46 +418,63 @@ def step_up(p: np.ndarray, q: float, dependent: bool = False) -> np.ndarray:
     return p <= order[ok[-1]] if ok.size else np.zeros(n, bool)
 
 
-class Feedback:
-    """A score threshold steered by labels that arrive ``lag`` alerts late: proportional control of the false share in a window."""
+class Threshold:
+    """A score threshold in quantiles of the calibration scores, steered by labels as they come in.
 
-    def __init__(self, target: float, start: float = 0.9, gain: float = 0.05, window: int = 200, least: int = 10, lag: int = 0, low: float = 0.5, high: float = 1.0) -> None:
-        self.target, self.theta, self.gain, self.window, self.least, self.lag, self.low, self.high = target, start, gain, window, least, lag, low, high
+    Quantile theta (in [0, 1]) means: alert on scores at or above that quantile. Every arriving label of an
+    alert gives the error, the false share of the last ``window`` known alerts less the target, once
+    ``least`` are known. ``P`` moves theta by gain * error; ``PI`` adds the sum of errors, which stops
+    growing while theta is at a limit (anti-windup); ``AQT`` moves by gain * (false - target) per label.
+    """
+
+    def __init__(self, calibration: np.ndarray, target: float, kind: str = "P", start: float = 0.9, gain: float = 0.05, integral: float = 0.005, window: int = 200, least: int = 1) -> None:
+        self.scores, self.target, self.kind, self.theta, self.gain, self.integral, self.window, self.least = np.sort(calibration), target, kind, start, gain, integral, window, least
         self.labels: list[int] = []
+        self.total = 0.0
 
-    def step(self, score: float, malicious: bool) -> bool:
-        hit = score >= self.theta
-        if hit:
-            self.labels.append(int(not malicious))
-            known = self.labels[: len(self.labels) - self.lag][-self.window :] if self.lag < len(self.labels) else []
-            if len(known) >= self.least:
-                self.theta = min(self.high, max(self.low, self.theta + self.gain * (sum(known) / len(known) - self.target)))
-        return hit
+    @property
+    def cut(self) -> float:
+        return float(np.quantile(self.scores, self.theta)) if len(self.scores) else math.inf
 
+    def learn(self, false: int) -> None:
+        self.labels.append(false)
+        if self.kind == "AQT":
+            move = self.gain * (false - self.target)
+        else:
+            if len(self.labels) < self.least:
+                return
+            known = self.labels[-self.window :]
+            error = sum(known) / len(known) - self.target
+            move = self.gain * error
+            if self.kind == "PI":
+                whole = move + self.integral * (self.total + error)
+                if 0.0 <= self.theta + whole <= 1.0:
+                    self.total += error
+                move += self.integral * self.total
+        self.theta = min(1.0, max(0.0, self.theta + move))
+
+
+def feedback(score: np.ndarray, malicious: np.ndarray, control: Threshold, lag: int) -> np.ndarray:
+    """Alerts of a controller that learns an alert's label when ``lag`` more alerts have been raised."""
+    fired, waiting = np.zeros(len(score), bool), deque()
+    for i, (x, m) in enumerate(zip(score, malicious)):
+        if x >= control.cut:
+            fired[i] = True
+            waiting.append(int(not m))
+            if len(waiting) > lag:
+                control.learn(waiting.popleft())
+    return fired
 
-def delayed_control(score: np.ndarray, ts: np.ndarray, malicious: np.ndarray, delay: float, target: float, kind: str = "P", gain: float = 0.05, integral: float = 0.005, start: float = 0.9, window: int = 200, least: int = 10) -> np.ndarray:
-    """Alerts of a threshold controller whose labels arrive ``delay`` after the alert (in units of ts).
 
-    ``P`` proportional, ``PI`` with the running sum of errors, ``AQT`` adaptive quantile: each arriving
-    label moves the threshold by gain * (false - target).
-    """
-    fired, theta, total = np.zeros(len(score), bool), start, 0.0
-    pending: list[tuple[float, int]] = []
-    known: list[int] = []
-    at = 0
-    for i in range(len(score)):
-        while at < len(pending) and pending[at][0] <= ts[i]:
-            known.append(pending[at][1])
-            at += 1
-            if kind == "AQT":
-                theta = min(1.0, max(0.0, theta + gain * (known[-1] - target)))
-            elif len(known) >= least:
-                err = sum(known[-window:]) / len(known[-window:]) - target
-                total += err
-                theta = min(1.0, max(0.5, theta + gain * err + (integral * total if kind == "PI" else 0.0)))
-        if score[i] >= theta:
+def delayed_control(score: np.ndarray, ts: np.ndarray, malicious: np.ndarray, control: Threshold, delay: float) -> np.ndarray:
+    """Alerts of a controller that learns an alert's label ``delay`` after it (in units of ts); decisions use labels that have arrived by then."""
+    fired, waiting = np.zeros(len(score), bool), deque()
+    for i, (x, at, m) in enumerate(zip(score, ts, malicious)):
+        while waiting and waiting[0][0] <= at:
+            control.learn(waiting.popleft()[1])
+        if x >= control.cut:
             fired[i] = True
-            pending.append((ts[i] + delay, int(not malicious[i])))
+            waiting.append((at + delay, int(not m)))
     return fired
 
 

@@ -173,15 +173,17 @@ def c18_prefix_shifts(spark, d):
 
 @query()
 def c21_c22_feedback(spark, d):
-    s = split_events(spark, d).where("split = 'deploy'").groupBy(*KEYS).agg(F.max("score").alias("m"), F.min("ts").alias("ts"), F.max("label").alias("y")).toPandas().sort_values("ts")  # one row per episode
-    score, ts, y = s["m"].rank(pct=True).to_numpy(), s["ts"].to_numpy(), s["y"].to_numpy().astype(bool)
+    """Count-lag and wall-clock controllers over the deployed flows' episodes; thresholds are quantiles of the calibration's episode scores."""
+    top = lambda f: f.groupBy(*KEYS).agg(F.max("score").alias("m"), F.min("ts").alias("ts"), F.max("label").alias("y")).toPandas().sort_values(["ts", *KEYS])  # noqa: E731  one row per episode
+    f = split_events(spark, d)
+    s, cal = top(f.where("split = 'deploy'")), top(f.where("split = 'cal' and label = 0"))["m"].to_numpy()
+    score, ts, y = s["m"].to_numpy(), s["ts"].to_numpy(), s["y"].to_numpy().astype(bool)
     rows = []
     for lag in (0, 20, 50):
-        c = controllers.Feedback(0.05, lag=lag)
-        hit = np.array([c.step(a, b) for a, b in zip(score, y)])
+        hit = controllers.feedback(score, y, controllers.Threshold(cal, 0.05, least=10), lag)
         rows.append((f"lag {lag}", int(hit.sum()), int((hit & y).sum())))
     for kind in ("P", "PI", "AQT"):
-        hit = controllers.delayed_control(score, ts, y, 3.6e9, 0.05, kind)
+        hit = controllers.delayed_control(score, ts, y, controllers.Threshold(cal, 0.05, kind), 3.6e9)
         rows.append((kind, int(hit.sum()), int((hit & y).sum())))
     return spark.createDataFrame(rows, "controller string, alerts int, true_alerts int")
 

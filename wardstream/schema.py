@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names, types and order of the columns as the data have them.
 #: Order of the 33 components of X.
 FEATURES: list[str] = ["proto", *(f"f{i}" for i in range(32))]
 

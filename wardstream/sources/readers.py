@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -76,9 +77,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(unzip, "archive string, member string, line_no long, line string")
 
 
+_HEADER = re.compile(r"#*([^:]*)")
+
+
 def clean_header(name: str) -> str:
     """A column name without leading # and what follows a colon."""
-    return name.lstrip("#").split(":")[0]
+    return _HEADER.match(name).group(1)
 
 
 def read_scenario(spark: SparkSession, path: str, labels: list[str], benign: str = "benign") -> DataFrame:
