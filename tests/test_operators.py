@@ -71,7 +71,7 @@ def test_rolling_matches_brute_force(spark):
     rng = random.Random(5)
     v = [rng.randint(0, 9) for _ in range(120)]
     df = spark.createDataFrame([(i + 1, x) for i, x in enumerate(v)], "pos long, score int")
-    got = {r.pos: r.p for r in evidence.rolling_p(df, "pos", 7, parts=4).collect()}
+    got = {r.pos: r.p for r in evidence.rolling_p(df, "pos", 7, block=30).collect()}
     for i, x in enumerate(v):
         past = v[max(0, i - 7) : i]
         assert got[i + 1] == pytest.approx((1 + sum(y >= x for y in past)) / (1 + len(past)))

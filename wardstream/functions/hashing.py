@@ -57,7 +57,22 @@ def h63(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << 63) - 1))
 
 
+def draw(*parts: Column | int | str) -> Column:
+    """A random whole number below 2^52 that depends on the values alone (columns, or numbers), so other engines can draw the same; nulls are left out."""
+    text = F.concat_ws("|", *[(F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def draw_sql(*parts: str) -> str:
+    """The same as :func:`draw` in DuckDB's SQL."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::bigint"
+
+
 def uniform(*parts: Column | int) -> Column:
     """A deterministic uniform number in [0, 1) of some values."""
-    h = F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
-    return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+    return draw(*parts) / F.lit(float(1 << 52))
+
+
+def uniform_sql(*parts: str) -> str:
+    """The same as :func:`uniform` in DuckDB's SQL."""
+    return f"({draw_sql(*parts)} / 4503599627370496.0::double)"

@@ -7,15 +7,21 @@ from functools import cache
 
 
 @cache
-def zeta(s: float, terms: int = 64) -> float:
-    """Riemann zeta for s > 1 by Euler-Maclaurin summation."""
-    head = math.fsum(k**-s for k in range(1, terms))
-    out = head + terms ** (1 - s) / (s - 1) + terms**-s / 2
+def zeta(s: float) -> float:
+    """Riemann zeta for s > 1."""
+    return hurwitz(s, 1.0)
+
+
+def hurwitz(s: float, a: float, terms: int = 64) -> float:
+    """Hurwitz zeta, the sum of (a + k)^-s over k >= 0, for s > 1 and a > 0, by Euler-Maclaurin summation from a + k >= ``terms`` on."""
+    skip = max(0, math.ceil(terms - a))
+    x = a + skip
+    out = math.fsum((a + k) ** -s for k in range(skip)) + x ** (1 - s) / (s - 1) + x**-s / 2
     # Bernoulli numbers B2..B12.
-    b, c = [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730], s * terms ** (-s - 1)
+    b, c = [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730], s * x ** (-s - 1)
     for i, bk in enumerate(b):
         out += bk / math.factorial(2 * i + 2) * c
-        c *= (s + 2 * i + 1) * (s + 2 * i + 2) / terms**2
+        c *= (s + 2 * i + 1) * (s + 2 * i + 2) / x**2
     return out
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardstream.functions.special import binom_cdf, clopper_pearson, hypergeom_at_least_one
+from wardstream.functions.special import binom_cdf, clopper_pearson, hurwitz, zeta
 from wardstream.operators.controllers import Addis, Lond, _padded, fold
+from wardstream.operators.ingest import positions
+from wardstream.operators.order_stats import running
 from wardstream.operators.spending import gamma
 
 
@@ -37,15 +39,20 @@ def price_error(run: DataFrame, measured: Column) -> DataFrame:
     return run.agg(F.count("*").alias("n"), F.count_if(gap == 0).alias("equal"), F.coalesce(F.max(gap), F.lit(0)).alias("max_gap"))
 
 
-def pads_for_confidence(total: float, tau: float, n: int, p: float, ceiling: float, level: float = 0.9, most: int = 1_000_000) -> int | None:
-    """First r at which r pads, each firing with chance p, leave the mean below tau with probability ``level``; None up to ``most``."""
-    r = max(0, math.floor(total / tau - n) + 1)
-    while r <= most:
-        spare = math.ceil((tau * (n + r) - total) / ceiling) - 1  # pads that may fire
-        if spare >= 0 and binom_cdf(spare, r, p) >= level:
+def pads_for_confidence(total: float, tau: float, n: int, p: float, ceiling: float, level: float = 0.9) -> int | None:
+    """First r at which r pads, each firing with chance p, leave the mean below tau with probability ``level``; None if pads fire too often for any r.
+
+    With c pads firing, the mean is below tau from r(c) = floor((S + c ceiling) / tau - n) + 1 pads on, and
+    more pads only add chances to fire, so only the first r of every c has to be tried.
+    """
+    if p * ceiling >= tau:
+        return None
+    c = 0
+    while True:
+        r = max(0, math.floor((total + c * ceiling) / tau - n) + 1)
+        if binom_cdf(c, r, p) >= level:
             return r
-        r += 1
-    return None
+        c += 1
 
 
 def pads_at_bound(total: float, tau: float, n: int, fired: int, seen: int, ceiling: float, level: float = 0.9) -> int | None:
@@ -235,12 +242,21 @@ def deadline(ceiling: float, alpha: float, kind: str, n: int, rejections: int =
     return lo
 
 
-def absorbing_gap(ceiling: float, alpha: float, n: int) -> int | None:
-    """Smallest delta such that after delta steps without a rejection none is possible even if all before were: tail of gamma times alpha (t) below 1/ceiling."""
-    g = gamma("poly", n)
-    tail = np.cumsum(g[::-1])[::-1]
-    ok = np.flatnonzero(alpha * tail * ceiling < 1.0)
-    return int(ok[0]) + 1 if ok.size else None
+def absorbing_gap(ceiling: float, alpha: float, w0: float, horizon: int | None = None) -> int:
+    """Steps without a rejection after which none is possible for procedures that sum the spending over the ages of rejections.
+
+    The least delta with (w0 + alpha) times the tail of ``poly`` from delta on below 1 / ceiling; the tail is
+    taken in closed form, to ``horizon`` terms of the sequence or, by default, to infinity.
+    """
+    end = hurwitz(1.6, horizon + 1.0) if horizon else 0.0
+    over = lambda d: (w0 + alpha) * (hurwitz(1.6, float(d)) - end) / zeta(1.6) >= 1.0 / ceiling
+    lo, hi = 0, 1
+    while over(hi):
+        lo, hi = hi, hi * 2
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if over(mid) else (lo, mid)
+    return hi
 
 
 def insert_before(ev: np.ndarray, at: int, count: int, ceiling: float, kind: str, alpha: float) -> bool:
@@ -260,34 +276,60 @@ def survival_curve(ev: np.ndarray, fired: np.ndarray, ceiling: float, kind: str,
 
 def targeted_insertions(run: DataFrame, alpha: float) -> DataFrame:
     """Least number of silent episodes before an alert, under ``poly`` and unchanged earlier alerts, that moves it out of reach: ``g_star``."""
-    from wardstream.functions.special import zeta
-
     last = F.floor(F.pow(F.lit(alpha) * (F.col("r_before") + 1) * F.col("ev") / F.lit(zeta(1.6)), F.lit(1 / 1.6)))
     return run.where("fired").withColumn("g_star", F.greatest(last - F.col("pos") + 1, F.lit(0)).cast("long"))
 
 
-def blind_key_curve(ev: np.ndarray, at: int, ceiling: float, kind: str, alpha: float, counts: list[int], reps: int, seed: int = 0) -> pd.DataFrame:
-    """Chance that an alert is lost when n silent episodes land at random places of a secret order: ``n, lost``."""
-    rng, rows = np.random.default_rng(seed), []
-    for n in counts:
-        lost = 0
-        for _ in range(reps):
-            before = int(rng.binomial(n, (at + 0.5) / len(ev)))
-            lost += not insert_before(ev, at, before, ceiling, kind, alpha)
-        rows.append((n, lost / reps))
-    return pd.DataFrame(rows, columns=["n", "lost"])
+def blind_key_curve(episodes: pd.DataFrame, target: int, alpha: float, counts: list[int], draws: np.ndarray) -> np.ndarray:
+    """Whether the alert at 1-based position ``target`` is lost when so many silent episodes of unknown place join its bucket; one array row per row of ``draws``.
+
+    ``episodes``: ``pos, bucket, place`` (in [0, 1), by which a secret order sorts within a bucket), ``ev``,
+    ``ceiling``; only those with evidence matter. ``draws``: places of the inserted ones, one row per
+    repetition. An inserted episode moves every later bucket, and those of its bucket that stand behind it,
+    one position on, so earlier alerts can be lost as well, and their rejections with them (``poly``).
+    """
+    e = episodes[episodes["ev"] > 0].sort_values("pos")
+    pos, bucket, place, ev, ceiling = (e[c].to_numpy() for c in ("pos", "bucket", "place", "ev", "ceiling"))
+    own = bucket[pos == target][0]
+    lost = np.zeros((len(draws), len(counts)), bool)
+    for k, n in enumerate(counts):
+        d = np.sort(draws[:, :n], axis=1)
+        moved = np.where(bucket > own, n, 0)[None, :] + np.where(bucket == own, 1, 0)[None, :] * np.stack([np.searchsorted(row, place) for row in d]) if n else np.zeros((len(draws), len(pos)), int)
+        r = np.zeros(len(draws), int)
+        for i in range(len(pos)):
+            level = alpha * (pos[i] + moved[:, i]) ** -1.6 / zeta(1.6) * (r + 1)
+            hit = (ceiling[i] >= 1.0 / level) & (ev[i] >= 1.0 / level)
+            r += hit
+            if pos[i] == target:
+                lost[:, k] = ~hit
+                break
+    return lost
+
+
+def blind_key_curves(spark, episodes: pd.DataFrame, target: int, alpha: float, counts: list[int], reps: int, seed: int = 0) -> DataFrame:
+    """Chance that the alert is lost by number of inserted episodes, over repetitions in parallel: ``n, lost``."""
+    parts = min(reps, 32)
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf["id"]:
+                d = np.random.default_rng([seed, int(r)]).uniform(size=(1, max(counts)))
+                yield pd.DataFrame({"n": counts, "x": blind_key_curve(episodes, target, alpha, counts, d)[0].astype(float)})
+
+    return spark.range(0, reps, 1, parts).mapInPandas(run, "n long, x double").groupBy("n").agg(F.avg("x").alias("lost"))
 
 
 def curve_quantile(curve: pd.DataFrame, q: float) -> float | None:
-    """First n with loss at least q, interpolated in log n; None if never reached."""
+    """First n with loss at least q, interpolated in log n between grid points; a grid point that has exactly q is the answer itself. None if never reached."""
     n, p = curve["n"].to_numpy(float), curve["lost"].to_numpy(float)
     hit = np.flatnonzero(p >= q)
     if not hit.size:
         return None
     i = int(hit[0])
-    if i == 0 or p[i] == p[i - 1] or n[i - 1] <= 0:
+    if i == 0 or p[i] == q or n[i - 1] <= 0:
         return float(n[i])
-    return float(math.exp(math.log(n[i - 1]) + (q - p[i - 1]) / (p[i] - p[i - 1]) * (math.log(n[i]) - math.log(n[i - 1]))))
+    share = (q - p[i - 1]) / (p[i] - p[i - 1])
+    return float(n[i - 1] * (n[i] / n[i - 1]) ** share)
 
 
 def addis_level_after(head: np.ndarray, pads: int, pad_p: float, ceiling: float, kind: str, alpha: float, w0: float, n: int) -> float:
@@ -340,16 +382,29 @@ def synthetic_attacks(spark, streams: int, t: int = 2000, targets: int = 12, p_a
     return spark.range(0, streams, 1, min(streams, 64)).mapInPandas(run, "stream long, b_star long")
 
 
-def cheapest_prefix(values: list[float], mean: float, m: int, threshold: float) -> int | None:
-    """Fewest pads, lowest values first, that bring the group mean below a threshold; None if the pool does not do."""
-    s, total = sorted(values), mean * m
-    if total / m < threshold:
+def cheapest_prefix(values: list[float], total: float, m: int, cut: float) -> int | None:
+    """Fewest pads, lowest values first, after which a group of sum ``total`` and size ``m`` no longer fires: its mean is at most the calibration's k-th largest (a tie counts against it). None if the pool does not do."""
+    if total / m <= cut:
         return 0
-    for i, v in enumerate(s, 1):
-        total += v
-        if total / (m + i) < threshold:
-            return i
-    return None
+    means = (total + np.cumsum(np.sort(np.asarray(values, dtype=float)))) / (m + np.arange(1, len(values) + 1))
+    ok = np.flatnonzero(means <= cut)
+    return int(ok[0]) + 1 if ok.size else None
+
+
+def cheapest_prefixes(groups: DataFrame, pool: DataFrame, cut: float) -> DataFrame:
+    """:func:`cheapest_prefix` of many groups (``gid, total, m``) from one pool (``ingest_id, score``): ``gid, pads`` (null if the pool does not do).
+
+    A pad of value p lowers the excess total - cut * m by cut - p, and only pads below the cut do. So the
+    pads needed are one more than the prefixes of the sorted pool that save less than the excess: a count
+    in one common order of savings and excesses, without comparing groups with pads.
+    """
+    useful = positions(pool.where(F.col("score") < cut).select("ingest_id", "score", (F.lit(cut) - F.col("score")).alias("__d")), ["score", "ingest_id"], "__at")
+    saved = running(useful, "__at", "__d", "__before").select((F.col("__before") + F.col("__d")).alias("v"), F.lit(1).alias("pool"), F.col("__at").alias("id"), F.lit(None).cast("string").alias("gid"))
+    n = useful.count()
+    excess = groups.select((F.col("total") - F.lit(cut) * F.col("m")).alias("v"), F.lit(0).alias("pool"), F.lit(0).cast("long").alias("id"), F.col("gid").cast("string").alias("gid"))
+    order = positions(saved.unionByName(excess), ["v", "pool", "id", "gid"], "__o")
+    got = running(order, "__o", "pool", "__less").where("pool = 0")
+    return got.select("gid", F.when(F.col("v") <= 0, 0).when(F.col("__less") < n, F.col("__less") + 1).cast("long").alias("pads"))
 
 
 def exact_pads(hits: int, nsz: int, ceiling: Fraction, level: Fraction) -> int:
@@ -359,16 +414,39 @@ def exact_pads(hits: int, nsz: int, ceiling: Fraction, level: Fraction) -> int:
 
 
 def suppressing_size(hits: int, nsz: int, ceiling: Fraction, level: Fraction, lam: Fraction = Fraction(1, 4), tau: Fraction = Fraction(1, 2)) -> dict:
-    """Exact least pads, and whether the padded p-value then lies between lam and tau."""
+    """Exact least pads, the p-value after them and whether it lies between lam and tau, and whether the level was at its cap lam."""
     r = exact_pads(hits, nsz, ceiling, level)
     e = Fraction(hits) * ceiling / (nsz + r)
     p = min(Fraction(1), 1 / e) if e else Fraction(1)
-    return {"pads": r, "p": p, "between": lam < p <= tau, "saturated": p == 1}
+    return {"pads": r, "p": p, "between": lam < p <= tau, "saturated": level >= lam}
+
+
+def suppressing_sizes(alerts: DataFrame) -> DataFrame:
+    """:func:`suppressing_size` of every alert (``pos, sum_e, nsz, ceiling, level``) in tasks: ``pos, pads, p, between, saturated``."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for a in pdf.itertuples():
+                x = suppressing_size(round(a.sum_e / a.ceiling), int(a.nsz), Fraction(a.ceiling), Fraction(a.level))
+                rows.append((a.pos, x["pads"], float(x["p"]), x["between"], x["saturated"]))
+            yield pd.DataFrame(rows, columns=["pos", "pads", "p", "between", "saturated"])
+
+    return alerts.select("pos", "sum_e", "nsz", "ceiling", "level").mapInPandas(run, "pos long, pads long, p double, between boolean, saturated boolean")
+
+
+def precursor_window(n: int, ceiling: float, lam: float = 0.25, tau: float = 0.5) -> tuple[int, int]:
+    """Fewest and most firing flows with which a group of n has a p-value in (lam, tau], so that it moves the state."""
+    return math.ceil(n / (tau * ceiling)), math.ceil(n / (lam * ceiling)) - 1
 
 
-def precursor_chance(total: int, good: int, m: int) -> tuple[float, float]:
-    """Chance that m flows hold at least one of ``good`` among ``total``: without and with replacement."""
-    return hypergeom_at_least_one(total, good, m), 1 - (1 - good / total) ** m if total else 0.0
+def precursor_chance(total: int, good: int, n: int, ceiling: float, nominal: float) -> tuple[float | None, float]:
+    """Chance that n flows hold a number of firing ones inside :func:`precursor_window`: drawn without replacement from ``total`` of which ``good`` fire (None if there are fewer than n), and each firing with the ``nominal`` chance."""
+    lo, hi = precursor_window(n, ceiling)
+    ks = range(lo, min(hi, n) + 1)
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    held = None if n > total else math.fsum(math.exp(choose(good, k) + choose(total - good, n - k) - choose(total, n)) for k in ks if k <= good and n - k <= total - good)
+    return held, math.fsum(math.exp(choose(n, k) + k * math.log(nominal) + (n - k) * math.log1p(-nominal)) for k in ks)
 
 
 def attainable(ranked: DataFrame, keys: list[str], ceiling: Column) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardstream.operators.ingest import positions
+from wardstream.operators.order_stats import running
 from wardstream.operators.spending import gamma, gamma_column
 
 
@@ -536,8 +538,8 @@ def elond_native(episodes: DataFrame, kind: str = "poly", alpha: float = 0.05, b
     Episodes without evidence never reject, so only the others enter the fold. Result as of :func:`control`.
     """
     keys = list(by or [])
-    wk = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    e = episodes.select(*keys, "pos", "ev", "ceiling").withColumn("__n", F.count("*").over(wk))
+    e = episodes.select(*keys, "pos", "ev", "ceiling")
+    e = e.withColumn("__n", F.count("*").over(W.partitionBy(*keys))) if keys else _sized(e, "__n")
     e = e.withColumn("__g", gamma_column(kind, F.col("pos"), F.col("__n")))
     held = e.where("ev > 0").groupBy(*(keys or [F.lit(0).alias("__one")])).agg(F.array_sort(F.collect_list(F.struct("pos", "ev", "ceiling", "__g"))).alias("a"))
     step = f"""aggregate(a, cast(array() as array<bigint>), (r, x) ->
@@ -550,19 +552,25 @@ def elond_native(episodes: DataFrame, kind: str = "poly", alpha: float = 0.05, b
 def with_levels(fired: DataFrame, kind: str, alpha: float, by: list[str] | None = None, g=None) -> DataFrame:
     """The offered level of e-LOND at every position of a stream whose decisions are known, and ``tau`` = 1/level."""
     keys = list(by or [])
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("pos")
-    n = F.count("*").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-    before = F.coalesce(F.sum(F.col("fired").cast("long")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    g = g if g is not None else gamma_column(kind, F.col("pos"), n)
-    lvl = F.lit(alpha) * g * (before + 1)
-    return fired.withColumn("level", lvl).withColumn("silent", (F.col("level") <= 0) | (F.col("ceiling") < 1.0 / F.col("level"))).withColumn("tau", F.try_divide(F.lit(1.0), F.col("level")))
+    hits = fired.withColumn("__f", F.col("fired").cast("long"))
+    if keys:
+        w = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+        counted = hits.withColumns({"__r": F.coalesce(F.sum("__f").over(w), F.lit(0)), "__t": F.count("*").over(W.partitionBy(*keys))})
+    else:
+        counted = _sized(running(hits, "pos", "__f", "__r"), "__t")
+    g = g if g is not None else gamma_column(kind, F.col("pos"), F.col("__t"))
+    return counted.withColumn("level", F.lit(alpha) * g * (F.col("__r") + 1)).drop("__f", "__r", "__t").withColumn("silent", (F.col("level") <= 0) | (F.col("ceiling") < 1.0 / F.col("level"))).withColumn("tau", F.try_divide(F.lit(1.0), F.col("level")))
+
+
+def _sized(df: DataFrame, name: str) -> DataFrame:
+    """Adds the number of rows."""
+    return df.join(F.broadcast(df.agg(F.count("*").alias(name))))  # one row
 
 
 def ebh_native(episodes: DataFrame, kind: str = "poly", alpha: float = 0.05) -> DataFrame:
     """The final online e-BH set in SQL windows: costs in rising order, the largest rank that its cost does not exceed."""
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    c = episodes.withColumn("__n", n).withColumn("__c", F.when(F.col("ev") > 0, 1.0 / (F.lit(alpha) * gamma_column(kind, F.col("pos"), F.col("__n")) * F.col("ev"))))
-    ranked = c.where("__c is not null").withColumn("__r", F.row_number().over(W.orderBy("__c", "pos")))
+    c = _sized(episodes, "__n").withColumn("__c", F.when(F.col("ev") > 0, 1.0 / (F.lit(alpha) * gamma_column(kind, F.col("pos"), F.col("__n")) * F.col("ev"))))
+    ranked = positions(c.where("__c is not null").select("__c", "pos"), ["__c", "pos"], "__r")
     k = ranked.agg(F.coalesce(F.max(F.when(F.col("__c") <= F.col("__r"), F.col("__r"))), F.lit(0)).alias("__k"))
     return c.join(F.broadcast(k)).select("pos", "ev", F.coalesce(F.col("__c") <= F.col("__k"), F.lit(False)).alias("fired"))  # one row
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardstream.functions.columns import prefix24
-from wardstream.functions.hashing import h63, key_hash
+from wardstream.functions.hashing import draw, h63, key_hash
 from wardstream.operators.history import arrival
+from wardstream.operators.ingest import positions
 from wardstream.schema import SECOND
 
 FAMILIES: dict[str, list[str]] = {"src-dst": ["src", "dst"], "src": ["src"], "dst": ["dst"], "subnet24": ["src24", "dst24"], "src-dport": ["src", "dport"]}
@@ -45,19 +45,21 @@ def build(flows: DataFrame, keys: list[str], bucket_s: int | None = None) -> Dat
 
 
 def ordered(episodes: DataFrame, keys: list[str], how: str = "first-flow", seed: int = 0) -> DataFrame:
-    """Adds ``pos`` from 1. The episode table is small (one row per group), so one task numbers it.
+    """Adds ``pos`` from 1, numbered by range partitions.
 
     ``first-flow`` (first_ts, first_pos); ``first-tie`` ties of first_ts by a seeded hash; ``keyhash`` and
     ``keyed`` (bucket, 63-bit hash of the key codes, keys), ``keyed`` with a secret seed; ``group-id``
     (keys, bucket); ``last-flow`` (last_ts, first_pos); ``random`` (a seeded hash).
     """
-    codes = [F.col(k) if dict(episodes.dtypes)[k] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys]
-    hashed = F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("bucket"))
+    codes = [F.col(k) if dict(episodes.dtypes)[k] in ("bigint", "int", "smallint", "tinyint") else draw(F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys]
+    hashed = draw(seed, *keys, "bucket")
     by = {
         "first-flow": ["first_ts", "first_pos"], "first-tie": ["first_ts", hashed, *keys], "keyhash": ["bucket", h63(key_hash(codes)), *keys], "keyed": ["bucket", h63(key_hash(codes, seed)), *keys],
         "group-id": [*keys, "bucket"], "last-flow": ["last_ts", "first_pos"], "random": [hashed, *keys, "bucket"],
     }[how]
-    return episodes.withColumn("pos", F.row_number().over(W.orderBy(*by)))
+    named = {f"__o{i}": c for i, c in enumerate(by) if not isinstance(c, str)}
+    order = [c if isinstance(c, str) else f"__o{i}" for i, c in enumerate(by)]
+    return positions(episodes.withColumns(named) if named else episodes, order, "pos").drop(*named)
 
 
 def arrival_rank(flows: DataFrame, keys: list[str], bucket_s: int | None = None) -> DataFrame:
@@ -109,7 +111,8 @@ def moved_by_pad(flows: DataFrame, pads: DataFrame, keys: list[str], bucket_s: i
     """
     old = ordered(build(flows, keys, bucket_s), keys, how, seed).select(*keys, "bucket", F.col("pos").alias("a"))
     new = ordered(build(flows.unionByName(pads, allowMissingColumns=True), keys, bucket_s), keys, how, seed)
-    new = new.join(old.select(*keys, "bucket"), [*keys, "bucket"], "left_semi").withColumn("b", F.row_number().over(W.orderBy("pos")))
+    new = new.join(old.select(*keys, "bucket"), [*keys, "bucket"], "left_semi")
+    new = positions(new, ["pos"], "b")
     return old.join(new.select(*keys, "bucket", "b"), [*keys, "bucket"]).agg(F.count_if(F.col("a") != F.col("b")).alias("moved"), F.count("*").alias("n"))
 
 

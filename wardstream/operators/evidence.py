@@ -138,14 +138,13 @@ def firing_rates(benign: DataFrame, depths: list[int]) -> DataFrame:
     return g.select("k", "fired", "n", "rate", "nominal", (F.col("rate") / F.col("nominal")).alias("ratio"))
 
 
-def rolling_p(df: DataFrame, order: str, width: int, score: str = "score", parts: int = 64) -> DataFrame:
+def rolling_p(df: DataFrame, order: str, width: int, score: str = "score", block: int = 100_000) -> DataFrame:
     """p-value of each row against the ``width`` rows before it: (1 + #{earlier >= score}) / (1 + earlier rows).
 
-    ``order`` is a 1-based position. Blocks of positions run in parallel, each with a copy of the ``width``
-    rows before its start, so no window spans the stream.
+    ``order`` is a 1-based position. Blocks of ``block`` positions run in parallel, each with a copy of the
+    ``width`` rows before its start, so no window spans the stream.
     """
-    n = df.agg(F.max(order)).first()[0] or 0
-    size = max(width, -(-n // parts), 1)
+    size = max(width, block)
     own = F.floor((F.col(order) - 1) / size)
     late = F.floor((F.col(order) - 1 + width) / size)
     copies = df.withColumn("__b", F.explode(F.sequence(own, late))).withColumn("__own", F.col("__b") == own)

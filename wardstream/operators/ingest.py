@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardstream.functions.columns import finite
-from wardstream.functions.hashing import uniform
+from wardstream.functions.hashing import draw, uniform
 from wardstream.operators.order_stats import percentiles, running
 from wardstream.runtime import materialise
 from wardstream.schema import FEATURES, META_NUMBERS, META_STRINGS
@@ -47,11 +47,11 @@ def positions(df: DataFrame, order: list[str], name: str = "pos", partitions: in
     are added to the row number inside each. Rows equal in ``order`` must not matter to the caller.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = materialise(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
-    w = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    before = kept.groupBy("__p").agg(F.count("*").alias("__c")).select("__p", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__b"))  # one row per partition
-    inside = kept.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    return inside.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__r")).drop("__p", "__b", "__r")
+    kept = materialise(df.repartitionByRange(n, *order).withColumn("__posp", F.spark_partition_id()))
+    w = W.orderBy("__posp").rowsBetween(W.unboundedPreceding, -1)
+    before = kept.groupBy("__posp").agg(F.count("*").alias("__posc")).select("__posp", F.coalesce(F.sum("__posc").over(w), F.lit(0)).alias("__posb"))  # one row per partition
+    inside = kept.withColumn("__posr", F.row_number().over(W.partitionBy("__posp").orderBy(*order)))
+    return inside.join(F.broadcast(before), "__posp").withColumn(name, F.col("__posb") + F.col("__posr")).drop("__posp", "__posb", "__posr")
 
 
 def split_bounds(n: int, pos: float = 0.55, cal: float = 0.15, test: float = 0.15, until_end: bool = False, half: bool = False) -> tuple[int, int, int]:
@@ -102,7 +102,7 @@ def train_sample(df: DataFrame, label: str, identity: str, rate: float = 0.5, se
 
 def sample_without_replacement(df: DataFrame, identity: str, n: int, seed: int = 0) -> DataFrame:
     """The ``n`` rows of smallest hash (a top-k, so nothing is sorted whole)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(identity)), identity).limit(n)
+    return df.orderBy(draw(seed, identity), identity).limit(n)
 
 
 def sample_with_replacement(pool: DataFrame, order: list[str], n: int, seed: int = 0) -> DataFrame:
@@ -133,8 +133,8 @@ def thin(episodes: DataFrame, keys: list[str], prevalence: float, seed: int = 0)
     """Drop malicious episodes down to a prevalence; a smaller one keeps a subset of a larger one's (ranked by hash)."""
     t = episodes.agg(F.count("*").alias("t"), F.count_if("ismal").alias("m")).first()
     keep = thinning_keep(t.t, t.m, prevalence) if t.m else 0
-    h = F.xxhash64(F.lit(seed), *keys)
-    gone = episodes.where("ismal").select(*keys, F.row_number().over(W.orderBy(h, *keys)).alias("__r")).where(F.col("__r") > keep).select(*keys)
+    ranked = positions(episodes.where("ismal").select(*keys, draw(seed, *keys).alias("__h")), ["__h", *keys], "__r")
+    gone = ranked.where(F.col("__r") > keep).select(*keys)
     return episodes.join(gone, keys, "left_anti")
 
 
@@ -146,9 +146,9 @@ def thin_resampled(episodes: DataFrame, keys: list[str], prevalence: float, seed
     n = gone.count()
     if not n:
         return e.drop("__k")
-    draw = sample_with_replacement(episodes.where("not ismal").select(*keys, "ev").withColumnsRenamed({k: f"__d{k}" for k in keys}), [f"__d{k}" for k in keys], n, seed).select(F.col("draw"), F.col("ev"))
-    numbered = gone.withColumn("draw", (F.row_number().over(W.orderBy(*keys)) - 1).cast("long"))
-    return e.where("__k").drop("__k").unionByName(numbered.join(draw, "draw").drop("draw").withColumn("ismal", F.lit(False)))
+    drawn = sample_with_replacement(episodes.where("not ismal").select(*keys, "ev").withColumnsRenamed({k: f"__d{k}" for k in keys}), [f"__d{k}" for k in keys], n, seed).select(F.col("draw"), F.col("ev"))
+    numbered = positions(gone, keys, "draw").withColumn("draw", F.col("draw") - 1)
+    return e.where("__k").drop("__k").unionByName(numbered.join(drawn, "draw").drop("draw").withColumn("ismal", F.lit(False)))
 
 
 def contaminate(cal: DataFrame, pool: DataFrame, a: int, model: str = "add", score: str = "score", identity: str = "ingest_id", seed: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardstream.functions.hashing import draw
 from wardstream.operators.ingest import positions
 from wardstream.operators.order_stats import percentiles, running
 
@@ -45,10 +46,9 @@ def tail_reach(flows: DataFrame) -> DataFrame:
 
 def frontier(episodes: DataFrame, score: str = "smax") -> DataFrame:
     """Cumulative true and false alerts by falling score (ties by position): ``k, tp, fp, fdp, recall``."""
-    w = W.orderBy(F.desc(score), "pos").rowsBetween(W.unboundedPreceding, 0)
-    m = F.col("ismal").cast("long")
-    f = episodes.select(F.row_number().over(W.orderBy(F.desc(score), "pos")).alias("k"), F.sum(m).over(w).alias("tp"), F.sum(m).over(W.partitionBy()).alias("all"))
-    f = f.withColumn("fp", F.col("k") - F.col("tp"))
+    k = positions(episodes.select((-F.col(score)).alias("__s"), "pos", F.col("ismal").cast("long").alias("__m")), ["__s", "pos"], "k")
+    f = running(k, "k", "__m", "__b").join(F.broadcast(episodes.agg(F.count_if("ismal").alias("all"))))  # one row
+    f = f.withColumn("tp", F.col("__b") + F.col("__m")).withColumn("fp", F.col("k") - F.col("tp"))
     return f.select("k", "tp", "fp", (F.col("fp") / F.col("k")).alias("fdp"), F.try_divide("tp", "all").alias("recall"))
 
 
@@ -72,13 +72,14 @@ def frontier_at_fdp(front: DataFrame, q: float) -> DataFrame:
 
 def suffix_sums(df: DataFrame, order: str, value: str) -> DataFrame:
     """Adds ``tail``: the sum over this and all later positions."""
-    return df.withColumn("tail", F.sum(value).over(W.orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)))
+    return running(df, order, value, "__later", descending=True).withColumn("tail", F.col("__later") + F.col(value)).drop("__later")
 
 
 def average_ranks(df: DataFrame, column: str, name: str, order_by=None) -> DataFrame:
-    """Adds ranks with ties averaged."""
-    w = W.orderBy(column)
-    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(W.partitionBy(column)) - 1) / 2.0)
+    """Adds ranks with ties averaged, from counts per distinct value; null values have none."""
+    c = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__c"))
+    ranks = running(c, "__v", "__c", "__b").select("__v", (F.col("__b") + (F.col("__c") + 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -279,7 +280,7 @@ def permuted_labels(episodes: DataFrame, reps: int, seed: int = 0) -> DataFrame:
     """Label permutations of a small episode table: ``rep, pos, ismal`` with as many malicious as before in every repetition."""
     e = episodes.select("pos", "ismal").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     a = e.select("rep", "pos", F.row_number().over(W.partitionBy("rep").orderBy("pos")).alias("i"))
-    b = e.select("rep", "ismal", F.row_number().over(W.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "pos"), "pos")).alias("i"))
+    b = e.select("rep", "ismal", F.row_number().over(W.partitionBy("rep").orderBy(draw(seed, "rep", "pos"), "pos")).alias("i"))
     return a.join(b, ["rep", "i"]).select("rep", "pos", "ismal")
 
 

@@ -19,11 +19,11 @@ def running(df: DataFrame, order: str, value: str, name: str, descending: bool =
     """
     o = F.desc(order) if descending else F.asc(order)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = materialise(df.repartitionByRange(n, o).withColumn("__p", F.spark_partition_id()))
-    sums = kept.groupBy("__p").agg(F.sum(value).alias("__t"))
-    before = sums.select("__p", F.coalesce(F.sum("__t").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    inside = kept.withColumn("__i", F.coalesce(F.sum(value).over(W.partitionBy("__p").orderBy(o).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
+    kept = materialise(df.repartitionByRange(n, o).withColumn("__runp", F.spark_partition_id()))
+    sums = kept.groupBy("__runp").agg(F.sum(value).alias("__runt"))
+    before = sums.select("__runp", F.coalesce(F.sum("__runt").over(W.orderBy("__runp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__runb"))
+    inside = kept.withColumn("__runi", F.coalesce(F.sum(value).over(W.partitionBy("__runp").orderBy(o).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(F.broadcast(before), "__runp").withColumn(name, F.col("__runi") + F.col("__runb")).drop("__runp", "__runi", "__runb")
 
 
 def percentiles(df: DataFrame, column, shares: list[float]) -> list[float | None]:

@@ -103,7 +103,7 @@ from sides where host is not null group by side, host"""
 _JSON = lambda t: f"try_cast(trim({t}, ' ' || chr(9) || chr(10) || chr(13)) as json)"
 _OBJECT = lambda t: f"case when json_type({_JSON(t)}) = 'OBJECT' then {_JSON(t)} end"
 _INNER = lambda v: f"coalesce(case when json_type({v}) = 'VARCHAR' then {_OBJECT(v + "->>'$'")} end, {v})"
-_NODES = f"""with recursive e as (select narrative_id, (pos - 1)::bigint as content_pos, content[pos] as t from (select narrative_id, content, unnest(range(1, len(content) + 1)) as pos from lspr23_attacknarratives)),
+NODES = f"""with recursive e as (select narrative_id, (pos - 1)::bigint as content_pos, content[pos] as t from (select narrative_id, content, unnest(range(1, len(content) + 1)) as pos from lspr23_attacknarratives)),
 n as (
   select narrative_id, content_pos, '' as p, {_OBJECT("t")} as v, false as ips from e where {_OBJECT("t")} is not null
   union all
@@ -134,9 +134,9 @@ SQL = {
     "p3_wide": _WIDE,
     "p4_found": f"with {_SIDES} select side, host from sides where host is not null group by side, host having count(*) >= 0.02 * (select count(*) from flows)",
     "p4_profile": _PROFILE,
-    "p5_found": f"{_NODES} select narrative_id, content_pos, json_path, ip from ip where ip <> ''",
-    "p5_addresses": f"{_NODES} select * from ip where ip <> ''",
-    "p5_hosts": f"""{_NODES} select narrative_id, content_pos, p as host_path, {_TEXT("Hostname")} as hostname, {_TEXT("Time")} as reported_at, {_TEXT("Privileged")} as privileged
+    "p5_found": f"{NODES} select narrative_id, content_pos, json_path, ip from ip where ip <> ''",
+    "p5_addresses": f"{NODES} select * from ip where ip <> ''",
+    "p5_hosts": f"""{NODES} select narrative_id, content_pos, p as host_path, {_TEXT("Hostname")} as hostname, {_TEXT("Time")} as reported_at, {_TEXT("Privileged")} as privileged
 from n where json_type(v) = 'OBJECT' and list_contains(json_keys(v), 'Hostname')""",
     "p5_narratives": "select narrative_id, subject, lower(trim(category)) as category, phase, coalesce(len(segments), 0)::int as n_segments, coalesce(len(steps_submitted_time), 0)::int as n_steps, coalesce(len(content), 0)::int as n_items from lspr23_attacknarratives",
     "p5_items": "select narrative_id, (pos - 1)::bigint as content_pos, content[pos] as content_text, coalesce(try_cast(trim(content[pos], ' ' || chr(9) || chr(10) || chr(13)) as json) is not null and json_type(try_cast(trim(content[pos], ' ' || chr(9) || chr(10) || chr(13)) as json)) = 'OBJECT', false) as is_report from (select narrative_id, content, unnest(range(1, len(content) + 1)) as pos from lspr23_attacknarratives)",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstream.functions import special
-from wardstream.operators import attack, bootstrap, controllers, detector, episodes, evidence, ingest, metrics, spending
+from wardstream.functions.hashing import draw_sql, uniform, uniform_sql
+from wardstream.operators import attack, bootstrap, controllers, detector, episodes, evidence, ingest, metrics, order_stats, spending
 from wardstream.plans.fixture import EP, EV, GAMMA, KEYS, ZETA, Z, evident, split_events, stream
 from wardstream.runtime import table
 
@@ -129,10 +129,8 @@ def c08_implied_gamma(spark, d):
 
 @query(f"with {EP}, q as (select *, floor(first_ts / 86400000000) as day, row_number() over (order by floor(first_ts / 86400000000), pos) as p from s) select p as pos, max(p) over (partition by day) as deadline from q")
 def c12_bucket_deadlines(spark, d):
-    from pyspark.sql import Window as Win
-
-    q = stream(spark, d).withColumn("day", episodes.bucket(F.col("first_ts"), 86400)).withColumn("p", F.row_number().over(Win.orderBy("day", "pos")))
-    return q.select(F.col("p").cast("long").alias("pos"), F.max("p").over(Win.partitionBy("day")).cast("long").alias("deadline"))
+    q = ingest.positions(stream(spark, d).withColumn("day", episodes.bucket(F.col("first_ts"), 86400)), ["day", "pos"], "p")
+    return q.join(q.groupBy("day").agg(F.max("p").alias("deadline")), "day").select(F.col("p").alias("pos"), "deadline")
 
 
 @query(f"with {_lond_sql('poly')} {_RUN}")
@@ -195,24 +193,34 @@ _BHP = f"{Z}, c as (select score from cal where label = 0), q as (select ingest_
 def c23_step_up(spark, d):
     s = split_events(spark, d)
     k = evidence.ranks(s.where("split = 'deploy'"), s.where("split = 'cal' and label = 0")).select(evidence.conformal_p(F.col("rank"), F.col("nc")).alias("p"))
-    from pyspark.sql import Window as Win
-
-    # Distinct p-values only: their number is bounded by the calibration size, and ties share the largest rank.
-    c = k.groupBy("p").agg(F.count("*").alias("c"))
-    w = Win.orderBy("p").rowsBetween(Win.unboundedPreceding, 0)
+    c = k.groupBy("p").agg(F.count("*").alias("c"))  # ties share the largest rank
     n = c.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    o = c.select("p", "c", F.sum("c").over(w).alias("i")).withColumns({"n": F.lit(n), "h": F.lit(special.harmonic(n))})
+    o = order_stats.running(c, "p", "c", "b").select("p", "c", (F.col("b") + F.col("c")).alias("i")).withColumns({"n": F.lit(n), "h": F.lit(special.harmonic(n))})
     count = lambda cond: F.coalesce(F.max(F.when(cond, F.col("i"))), F.lit(0))
     return o.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), count(F.col("p") <= 0.1 * F.col("i") / F.col("n")).alias("bh"), count(F.col("p") <= 0.1 * F.col("i") / (F.col("n") * F.col("h"))).alias("by_count"))
 
 
-@query()
+def _sensors(spark, d):
+    """Per sensor the ceiling that its calibration flows allow, and as many hypotheses as its deployed flows have pairs of hosts."""
+    g = table(spark, d, "flows").groupBy("sensor")
+    return g.agg((F.count_if((F.col("split") == "cal") & (F.col("label") == 0)) + 1).cast("double").alias("ceiling"), F.count_distinct(F.when(F.col("split") == "deploy", F.struct("src", "dst"))).alias("t"))
+
+
+_SENSORS = "ce as (select sensor, (count_if(split = 'cal' and label = 0) + 1)::double as ceiling, count(distinct case when split = 'deploy' then (src, dst) end) as t from flows group by sensor)"
+
+
+@query(f"""with recursive {_SENSORS}, c as (select sensor, ceiling, t, 0::bigint as i, 0::bigint as r, 0::bigint as silent from ce union all
+select sensor, ceiling, t, i + 1, r + (ceiling >= 1 / ({A} * {GAMMA["poly"]("i + 1")} * (r + 1)))::bigint, silent + (ceiling < 1 / ({A} * {GAMMA["poly"]("i + 1")} * (r + 1)))::bigint from c where i < t)
+select sensor, ceiling, t, max(r) as fired, max(silent) as silent from c group by 1, 2, 3""")
 def c24_maximum_evidence(spark, d):
-    rows = []
-    for nc in (10_000, 100_000):
-        out = controllers.fold(controllers.Lond(spending.gamma("poly", 2000), ALPHA), np.full(2000, nc + 1.0), nc + 1.0)
-        rows.append((nc, int(out.fired.sum()), int(out.silent.sum())))
-    return spark.createDataFrame(rows, "nc int, fired int, silent int")
+    """e-LOND over as many hypotheses at the ceiling as a sensor has episodes, one task per sensor."""
+
+    def run(batches):
+        for pdf in batches:
+            out = [controllers.fold(controllers.Lond(spending.gamma("poly", int(t)), ALPHA), np.full(int(t), c), c) for c, t in zip(pdf["ceiling"], pdf["t"])]
+            yield pdf.assign(fired=[int(o.fired.sum()) for o in out], silent=[int(o.silent.sum()) for o in out])
+
+    return _sensors(spark, d).repartition("sensor").mapInPandas(run, "sensor string, ceiling double, t long, fired long, silent long")
 
 
 # ---- metrics ----
@@ -298,7 +306,7 @@ def r09_score_gap(spark, d):
 @query()
 def r10_clopper_pearson(spark, d):
     t = evident(spark, d).where("label = 0").agg(F.count_if(F.col("e") > 0).alias("k"), F.count("*").alias("n")).first()
-    return spark.createDataFrame([(t.k, t.n, *special.clopper_pearson(t.k, t.n))], "k long, n long, low double, high double")
+    return spark.createDataFrame([(t.k, t.n, *(round(x, 9) for x in special.clopper_pearson(t.k, t.n)))], "k long, n long, low double, high double")
 
 
 @query("with c as (select sensor, count_if(label = 1) as k, count(*) as n from flows where label is not null group by sensor), z as (select *, 1.959963984540054::double as z, k / n as p from c) select sensor, k, n, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 9) as low, round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 9) as high from z")
@@ -313,13 +321,31 @@ def r12_strata(spark, d):
     return metrics.strata(table(spark, d, "meta").select("dport"), "dport", 50, 5).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
-@query()
+_POIS = ", ".join(repr(c) for c in bootstrap._POISSON)
+
+
+def _weight(cluster: str, seed: int) -> str:
+    return f"len(list_filter([{_POIS}], lambda c: c <= {uniform_sql(cluster, 'rep', str(seed))}))"
+
+
+@query(f"""with {Z}, cc as (select src, score from cal where label = 0), tt as (select src, score from dep where label = 0), g as (select unnest(range(0, 200)) as rep),
+cw as (select rep, src, {_weight("src", 1)} as w from (select distinct src from cc), g), tw as (select rep, src, {_weight("src", 0)} as w from (select distinct src from tt), g),
+cs as (select src, score, count(*) as c from cc group by 1, 2), cum as (select rep, score, sum(w * c) over (partition by rep order by score desc) as cum from cs join cw using (src)),
+th as (select rep, max(score) as threshold from cum where cum >= 1 group by rep),
+num as (select th.rep, sum(tw.w) as k from th join tt on tt.score > th.threshold join tw on tw.rep = th.rep and tw.src = tt.src group by 1), den as (select tw.rep, sum(w * n) as n from tw join (select src, count(*) as n from tt group by src) using (src) group by 1),
+bt as (select th.rep, threshold, coalesce(k, 0) / nullif(n, 0) * ((select count(*) from cc) + 1) as ratio from th join den using (rep) left join num using (rep)),
+o as (select count_if(score > (select max(score) from cc)) as events, count_if(score > (select max(score) from cc)) / count(*) * ((select count(*) from cc) + 1) as point from tt)
+select count_if(ratio > 0) as n, round(stddev_samp(case when ratio > 0 then ln(ratio) end), 9) as log_sd, round(min(point), 9) as point, min(events) as events,
+  round(case when min(events) >= 5 and min(point) > 0 and count_if(ratio > 0) >= 0.9 * count(*) and coalesce(stddev_samp(case when ratio > 0 then ln(ratio) end), 0) > 0 then ln(min(point)) / stddev_samp(case when ratio > 0 then ln(ratio) end) end, 6) as z,
+  min(events) >= 5 and min(point) > 0 and count_if(ratio > 0) >= 0.9 * count(*) and coalesce(stddev_samp(case when ratio > 0 then ln(ratio) end), 0) > 0 as estimable from bt, o""")
 def r13_r14_bootstrap(spark, d):
+    """Joint bootstrap of the benign firing rate: calibration tail and deployment resampled over sources, and the test of a ratio above 1."""
     s = split_events(spark, d)
-    dep = evident(spark, d).where("label = 0").withColumn("fired", F.col("score") > 400)
-    cal = s.where("split = 'cal' and label = 0").withColumn("fired", F.col("score") > 400)
-    reps = bootstrap.firing_ratio(dep, cal, ["src"], 200)
-    return bootstrap.log_spread(reps).select("n", "log_sd")
+    test, cal = s.where("split = 'deploy' and label = 0").select("src", "score"), s.where("split = 'cal' and label = 0").select("src", "score")
+    reps = bootstrap.firing_ratio(test, cal, ["src"], 200)
+    kth, n = cal.agg(F.max("score"), F.count("*")).first()
+    x = test.agg(F.count_if(F.col("score") > F.lit(kth)).alias("x"), F.count("*").alias("n")).first()
+    return bootstrap.ratio_test(reps, x.x / x.n * (n + 1), x.x).select("n", r("log_sd").alias("log_sd"), r("point").alias("point"), F.col("events").cast("long").alias("events"), r("z", 6).alias("z"), "estimable")
 
 
 @query("with m as (select distinct sensor as a, src as m from flows where split = 'deploy' and src is not null), z as (select a, count(*) as n from m group by a), p as (select x.a as a, y.a as b, count(*) as k from m x join m y on x.m = y.m and x.a < y.a group by 1, 2) select p.a, p.b, k as both, (u.n + v.n - k)::bigint as either, round(k / (u.n + v.n - k), 9) as jaccard from p join z u on u.a = p.a join z v on v.a = p.b")
@@ -377,11 +403,13 @@ def r20_fdp_interval(spark, d):
     return metrics.fdp_interval(_audit(spark, d)).select("n", r("low").alias("low"), r("high").alias("high"))
 
 
-@query("with g as (select unnest([0.0, 0.05, 0.1])::double as eps0), h as (select unnest([0.0, 0.02])::double as eps1) select 0.25::double as fdp, eps0, eps1, round(0.25 * (1 - eps0) + 0.75 * eps1, 9) as corrected from g, h")
+@query("""with f as (select sensor, count_if(label = 0) / count(*) as fdp from flows where split = 'deploy' and f5 > 10000 and label is not null group by sensor), g as (select unnest([0.0, 0.05, 0.1])::double as eps0), h as (select unnest([0.0, 0.02])::double as eps1)
+select round(fdp, 9) as fdp, eps0, eps1, round(fdp * (1 - eps0) + (1 - fdp) * eps1, 9) as corrected from f, g, h""")
 def r20_corrected(spark, d):
+    """FDP of alerts on large transfers, per sensor, corrected for label noise."""
+    f = table(spark, d, "flows").where("split = 'deploy' and f5 > 10000 and label is not null").groupBy("sensor").agg(F.avg((F.col("label") == 0).cast("double")).alias("fdp"))
     grid = spark.createDataFrame([(a, b) for a in (0.0, 0.05, 0.1) for b in (0.0, 0.02)], "eps0 double, eps1 double")
-    c = metrics.corrected_fdp(spark.createDataFrame([(0.25,)], "fdp double"), grid)
-    return c.select("fdp", "eps0", "eps1", r("corrected").alias("corrected"))
+    return metrics.corrected_fdp(f, grid).select(r("fdp").alias("fdp"), "eps0", "eps1", r("corrected").alias("corrected"))
 
 
 @query("with p as (select log10(f2::double / ((f3 + f4)::double / f0::double)) as x from flows where f0 > 0 and f2 > 0 and f3 + f4 > 0 and f2 < 1e30 and f0 < 1e30), s as (select unnest([1.0, 1e-3, 1e-6])::double as scale), e as (select scale, quantile_cont(abs(x + log10(scale)), 0.5) as err from p, s group by scale) select arg_min(scale, err) as scale, round(min(err), 6) as error from e")
@@ -423,9 +451,10 @@ def r24_shift_null(spark, d):
     return s.select(F.col("shift").cast("long").alias("shift"), "ts").groupBy("shift").agg(F.min("ts").alias("lo"), F.sum(F.col("ts") % 1000).alias("checksum"))
 
 
-@query()
+@query(f"""with {EP}, e as (select rep, pos, ismal, row_number() over (partition by rep order by pos) as i, row_number() over (partition by rep order by {draw_sql("0", "rep", "pos")}, pos) as j from s, (select unnest(range(0, 20)) as rep))
+select a.rep::int as rep, count_if(b.ismal) as malicious, count(*) as t, coalesce(sum(case when b.ismal then a.pos end), 0)::bigint as places from e a join e b on a.rep = b.rep and a.i = b.j group by a.rep""")
 def r24_label_null(spark, d):
-    return metrics.permuted_labels(stream(spark, d), 20).groupBy("rep").agg(F.count_if("ismal").alias("malicious"), F.count("*").alias("t"))
+    return metrics.permuted_labels(stream(spark, d), 20).groupBy("rep").agg(F.count_if("ismal").alias("malicious"), F.count("*").alias("t"), F.coalesce(F.sum(F.when(F.col("ismal"), F.col("pos"))), F.lit(0)).alias("places"))
 
 
 @query()
@@ -456,13 +485,15 @@ def r26_tie_orders(spark, d):
     return metrics.tie_distribution(metrics.rates(run, ["seed"]), "recall", 0.1)
 
 
-@query("select 0::bigint as broken")
+@query()
 def r28_silence_identity(spark, d):
-    """Silent hypotheses of an epoch without rejections are those beyond its feasible window."""
+    """Silent hypotheses of an epoch without rejections are those beyond its feasible window: epochs, silent ones in all, epochs that break the rule."""
     s = episodes.epochs(stream(spark, d), 6 * 3600).withColumn("ev", F.lit(0.0))
     c = s.agg(F.max("ceiling")).first()[0]
     per = controllers.restarted(s, "elond", allocation="each").groupBy("epoch").agg(F.count_if("fired").alias("alerts"), F.count_if("silent").alias("silent"), F.count("*").alias("t"))
-    return metrics.silence_identity(per.withColumn("window", F.lit(spending.cold_window("poly", c, ALPHA, 1_000_000)))).agg(F.count("*").alias("broken"))
+    per = per.withColumn("window", F.lit(spending.cold_window("poly", c, ALPHA, 1_000_000)))
+    broken = metrics.silence_identity(per).agg(F.count("*").alias("broken"))
+    return per.agg(F.count("*").alias("epochs"), F.sum("silent").alias("silent")).join(F.broadcast(broken))  # one row
 
 
 @query()
@@ -473,7 +504,7 @@ def r29_lever(spark, d):
         for kind in ("poly", "uniform"):
             x = metrics.rates(s.select("pos", "ismal").join(controllers.control(s, "elond", kind=kind, alpha=q), "pos")).select(F.lit(q).alias("q"), F.lit(kind).alias("gamma"), F.lit(attack.margin(int(nc), t, q / 2)).alias("margin"), "recall")
             rows = x if rows is None else rows.unionByName(x)
-    return metrics.lever(rows)
+    return metrics.lever(rows).select("q", "gamma", r("margin_ratio").alias("margin_ratio"), r("q_ratio").alias("q_ratio"), r("recall").alias("recall"))
 
 
 @query()
@@ -547,19 +578,27 @@ def x02_mean_pads(spark, d):
     return p.select(F.col("pos").cast("long").alias("pos"), r(attack.mean_pads(F.col("sum_e"), F.col("tau"), F.col("nsz"), F.lit(1.0)), 6).alias("pads"))
 
 
-@query(f"with {_PRICED} select count(*) as n, count(*) as equal, 0::bigint as max_gap from pr")
+@query(f"""with {_PRICED}, m as (select r_star, list_min(list_filter(range(0, r_star + 3), lambda x: sum_e / (nsz + x) < tau)) as measured from pr)
+select count(*) as n, count_if(measured = r_star) as equal, coalesce(max(abs(measured - r_star)), 0)::bigint as max_gap from m""")
 def x03_price_error(spark, d):
+    """The closed price against the first number of pads that does, by search."""
     p = _priced(spark, d)
     below = lambda x: F.col("sum_e") / (F.col("nsz") + x) < F.col("tau")
-    # Measured: the pads that do, and one fewer that does not.
-    measured = F.when(below(F.col("r_star")) & ~below(F.col("r_star") - 1), F.col("r_star")).otherwise(F.col("r_star") + 1)
+    lo, hi = F.greatest(F.col("r_star") - 2, F.lit(0)), F.col("r_star") + 2  # beyond two from the price on either side the mean is monotone
+    measured = F.array_min(F.filter(F.sequence(lo, hi), below))
     return attack.price_error(p, measured)
 
 
 @query()
 def x04_confidence(spark, d):
-    rows = [(p.pos, attack.pads_for_confidence(p.sum_e, p.tau, p.nsz, 0.0003, p.ceiling)) for p in _priced(spark, d).collect()]  # detected episodes only
-    return spark.createDataFrame(rows, "pos long, pads long")
+    """Pads for 90 % at the observed firing rate of benign deployed flows; alerts are priced in tasks."""
+    seen = evident(spark, d).where("label = 0").agg(F.avg((F.col("e") > 0).cast("double"))).first()[0]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"pos": pdf["pos"], "pads": pd.array([attack.pads_for_confidence(p.sum_e, p.tau, p.nsz, seen, p.ceiling) for p in pdf.itertuples()], dtype="Int64")})
+
+    return _priced(spark, d).select("pos", "sum_e", "tau", "nsz", "ceiling").mapInPandas(run, "pos long, pads long")
 
 
 @query(f"with {_PRICED}, k as (select unnest(range(0, 11))::int as r) select pos, r, round(sum_e / (nsz + r), 6) as ev from pr, k")
@@ -651,10 +690,12 @@ def x11_critical(spark, d):
     return attack.critical_multiplier(_priced(spark, d)).select(r("c_crit", 6).alias("c_crit"), "c_int")
 
 
-@query("with t as (select unnest([10.0, 100.0, 1000.0])::double as tau) select tau, greatest(ceil(ln(tau / 10000) / ln(0.5)), 0)::bigint as pads from t")
+@query(f"with {_lond_sql('poly')} select s.pos, greatest(ceil(ln(1 / (c.level * s.ceiling)) / ln(0.5::double)), 0)::bigint as pads from c join s on s.pos = c.pos")
 def x12_front_load(spark, d):
-    t = spark.createDataFrame([(10.0,), (100.0,), (1000.0,)], "tau double")
-    return t.select("tau", attack.front_load(F.lit(0.5), F.col("tau"), F.lit(10000.0)).alias("pads"))
+    """Flows to send first under halving weights so that the weight left stays below the offered level, per episode."""
+    s = stream(spark, d)
+    run = s.join(controllers.elond_native(s).select("pos", "level"), "pos")
+    return run.select(F.col("pos").cast("long").alias("pos"), attack.front_load(F.lit(0.5), 1.0 / F.col("level"), F.col("ceiling")).alias("pads"))
 
 
 @query("with f as (select ingest_id, src, row_number() over (partition by src order by ts, ingest_id) as arrival, f5 > 10000 as hit from flows where ts is not null and src is not null), h as (select src, arrival, row_number() over (partition by src order by arrival) as i from f where hit) select src, greatest(100 - arrival + 1, 0)::bigint as pads from h where i = 3")
@@ -663,16 +704,27 @@ def x13_cap_front_load(spark, d):
     return attack.cap_front_load(episodes.arrival_rank(f, ["src"]), ["src"], 100, F.lit(3)).select("src", F.col("pads").cast("long").alias("pads"))
 
 
-@query(f"with c as (select unnest([10001, 100001, 1000001])::double as ceiling), k as (select unnest([0, 5])::int as r) select ceiling, r, floor(power(ceiling * {A} * (r + 1) / {ZETA}::double, 1 / 1.6::double))::bigint as last from c, k")
+@query(f"with {_SENSORS}, k as (select unnest([0, 5])::int as r) select sensor, ceiling, r, floor(power(greatest(ceiling * {A} * (r + 1) / {ZETA}::double, 0), 1 / 1.6::double))::bigint as last from ce, k")
 def x14_x17_cold_window(spark, d):
-    rows = [(c, k, spending.cold_window_closed(c, ALPHA, k)) for c in (10001.0, 100001.0, 1000001.0) for k in (0, 5)]
-    return spark.createDataFrame(rows, "ceiling double, r int, last long")
+    """Last feasible step of each sensor's stream after no and after five rejections, in closed form."""
+    c = _sensors(spark, d).select("sensor", "ceiling", F.explode(F.array(F.lit(0), F.lit(5))).alias("r"))
+    return c.withColumn("last", F.floor(F.pow(F.col("ceiling") * ALPHA * (F.col("r") + 1) / F.lit(special.zeta(1.6)), F.lit(1 / 1.6))).cast("long"))
 
 
-@query()
+_TAIL = lambda a: f"(power({a}, -0.6::double) / 0.6::double + power({a}, -1.6::double) / 2 + 1.6::double * power({a}, -2.6::double) / 12 - 1.6::double * 2.6 * 3.6 * power({a}, -4.6::double) / 720)"
+
+
+@query(f"""with {_SENSORS}, k as (select unnest([0, 5])::int as r), x as (select sensor, ceiling, {ZETA}::double / (({W} + {A}) * ceiling) as y from ce), a as (select *, floor(power(0.6 * y, -1 / 0.6::double))::bigint as g from x)
+select a.sensor, a.ceiling, r, floor(power(a.ceiling * {A} * (r + 1) / {ZETA}::double, 1 / 1.6::double))::bigint as last, list_min(list_filter(range(greatest(g - 3, 1), g + 5), lambda d: {_TAIL("d::double")} < y)) as gap from a, k""")
 def x16_deadlines(spark, d):
-    rows = [(c, k, attack.deadline(c, ALPHA, "poly", 100_000, k), attack.absorbing_gap(c, ALPHA, 1000)) for c in (10001.0, 100001.0) for k in (0, 5)]
-    return spark.createDataFrame(rows, "ceiling double, r int, last long, gap long")
+    """Last feasible step by bisection, and the gap after which summing procedures are silent for good, per sensor (in tasks)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(s, c, k, attack.deadline(c, ALPHA, "poly", 100_000, k), attack.absorbing_gap(c, ALPHA, W0)) for s, c in zip(pdf["sensor"], pdf["ceiling"]) for k in (0, 5)]
+            yield pd.DataFrame(rows, columns=["sensor", "ceiling", "r", "last", "gap"])
+
+    return _sensors(spark, d).select("sensor", "ceiling").mapInPandas(run, "sensor string, ceiling double, r int, last long, gap long")
 
 
 @query()
@@ -684,12 +736,14 @@ def x18_survival(spark, d):
 
 @query()
 def x19_blind_key(spark, d):
-    e, _, _, c = _arrays(spark, d)
-    hit = np.flatnonzero(controllers.fold(controllers.Lond(spending.gamma("uniform", len(e)), ALPHA), e, c).fired)
-    at = int(hit[0]) if hit.size else 0
-    curve = attack.blind_key_curve(e, at, c, "uniform", ALPHA, [1, 10, 50, 100, 200], 20)
-    q = attack.curve_quantile(curve, 0.5)
-    return spark.createDataFrame(curve.assign(n50=q if q is not None else float("nan")))
+    """Loss of the first alert in a keyed order when silent episodes of unknown place join its bucket, with N50, N90 and N99."""
+    s = episodes.ordered(episodes.build(evident(spark, d), KEYS, 7200), KEYS, "keyed", 7).withColumn("place", uniform(7, *KEYS))
+    run = s.join(controllers.elond_native(s).select("pos", "fired"), "pos").where("ev > 0").select("pos", "bucket", "place", "ev", "ceiling", "fired").toPandas()  # episodes with evidence
+    if not run["fired"].any():
+        return spark.createDataFrame([], "n long, lost double, n50 double, n90 double, n99 double")
+    curve = attack.blind_key_curves(spark, run, int(run.loc[run["fired"], "pos"].min()), ALPHA, [1, 10, 50, 100, 200, 1000], 200).toPandas().sort_values("n")  # one row per budget
+    q = {f"n{p}": attack.curve_quantile(curve, p / 100) for p in (50, 90, 99)}
+    return spark.createDataFrame([(int(a), float(b), *q.values()) for a, b in zip(curve["n"], curve["lost"])], "n long, lost double, n50 double, n90 double, n99 double")
 
 
 @query()
@@ -701,19 +755,29 @@ def x20_addis_state(spark, d):
 
 @query()
 def x21_synthetic(spark, d):
-    return attack.synthetic_attacks(spark, 20)
+    return attack.synthetic_attacks(spark, 300)
 
 
-@query()
+@query(f"""with {Z}, k as (select max(m) as cut from (select avg(score) as m from cal where label = 0 group by src, dst)), g as (select src::varchar || '/' || dst as gid, sum(score) as total, count(*) as m from dep group by src, dst having sum(label) > 0),
+f as (select g.*, cut from g, k where total / m > cut), o as (select score, sum(cut - score) over (order by score, ingest_id rows unbounded preceding) as saved from dep, k where label = 0 and score < cut)
+select gid, case when (select count(*) from o where saved < total - cut * m) < (select count(*) from o) then (select count(*) from o where saved < total - cut * m) + 1 end::bigint as pads from f""")
 def x22_cheapest_prefix(spark, d):
-    v = [float(x) for x in range(0, 50)]
-    return spark.createDataFrame([(t, attack.cheapest_prefix(v, 60.0, 10, t)) for t in (55.0, 40.0, 30.0)], "threshold double, pads int")
+    """Fewest benign pads, lowest scores first, after which a firing malicious group's mean score no longer beats the calibration groups'."""
+    s = split_events(spark, d)
+    cut = s.where("split = 'cal' and label = 0").groupBy(*KEYS).agg(F.avg("score").alias("m")).agg(F.max("m")).first()[0]
+    dep = s.where("split = 'deploy'")
+    g = dep.groupBy(*KEYS).agg(F.sum("score").alias("total"), F.count("*").alias("m"), F.sum("label").alias("y")).where((F.col("y") > 0) & (F.col("total") / F.col("m") > F.lit(cut)))
+    return attack.cheapest_prefixes(g.select(F.concat_ws("/", F.col("src").cast("string"), "dst").alias("gid"), "total", "m"), dep.where("label = 0"), cut)
 
 
-@query()
+@query(f"""with {_PRICED}, pool as (select pr.pos, count(ev.ingest_id) as pool_n, coalesce(sum((ev.e > 0)::int), 0) as pool_fired from pr left join ev on ev.src = pr.src and ev.label = 0 and ev.ts < pr.last_ts group by pr.pos)
+select case when pool_n = 0 then 'pool_unavailable' when pool_fired > 0 then 'pad_fired' when r_star > pool_n then 'structural' else 'suppressed' end as outcome, count(*) as n from pr join pool using (pos) group by 1""")
 def x24_outcomes(spark, d):
-    s = stream(spark, d).select((F.col("nsz") % 4).alias("pool_size"), (F.col("nsz") % 2).alias("pads_needed"), "ismal", (F.col("ev") > 0).alias("fired"))
-    return attack.outcome_classes(s.withColumns({"fired_before": F.col("ismal"), "pad_fired": F.lit(False)})).groupBy("outcome").agg(F.count("*").alias("n"))
+    """Each priced alert by what stands in the way: pads are the benign flows of the attacker's own source before its last flow."""
+    p = _priced(spark, d).select("pos", "src", "r_star", F.col("last_ts").alias("t_atk"))
+    benign = evident(spark, d).where("label = 0").select("src", "ts", "e", F.lit(True).alias("deployed"))
+    run = attack.pad_pools(p, benign, ["src"]).select(F.col("pool_n").alias("pool_size"), F.col("r_star").alias("pads_needed"), F.lit(True).alias("fired_before"), (F.col("r_star") > F.col("pool_n")).alias("fired"), (F.col("pool_fired") > 0).alias("pad_fired"))
+    return attack.outcome_classes(run).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(f"with {EP} select round(max(case when not ismal then ev end), 6) as max_ev, round(count(*) / {A}, 6) as needed, coalesce(max(case when not ismal then ev end) >= count(*) / {A}, false) as met from s")
@@ -740,25 +804,39 @@ def x28_floor(spark, d):
 
 @query()
 def x29_exact(spark, d):
-    rows = []
-    for p in _priced(spark, d).collect():  # detected episodes only
-        c = Fraction(int(p.ceiling))
-        x = attack.suppressing_size(round(p.sum_e / p.ceiling), p.nsz, c, Fraction(p.level))
-        rows.append((p.pos, x["pads"], float(x["p"]), x["between"], x["saturated"]))
-    return spark.createDataFrame(rows, "pos long, pads long, p double, between boolean, saturated boolean")
+    """Exact least suppressing sizes at the levels ADDIS offers to the malicious episodes it rejects."""
+    s = stream(spark, d)
+    run = s.join(controllers.control(s, "addis").select("pos", "level", "fired"), "pos").where("fired and ismal")
+    return attack.suppressing_sizes(run).withColumn("p", r("p"))
 
 
-@query()
+@query(f"""with {_lond_sql('poly')}, q as (select s.pos, s.ev, s.sum_e, s.nsz, c.level, c.r - 1 as before from c join s on s.pos = c.pos where c.fired),
+t as (select pos, greatest(floor(power({A} * (before + 1) * ev / {ZETA}::double, 1 / 1.6::double))::bigint - pos + 1, 0) as g_star, greatest(floor(sum_e * level - nsz)::bigint + 1, 0) as r_star from q), m as (select unnest([1, 2, (select quantile_cont(nsz, 0.5)::int from s)])::int as per_group)
+select pos, g_star, per_group, g_star * per_group as insert_flows, r_star, sum(g_star * per_group) over (partition by per_group)::bigint as total from t, m""")
 def x30_insertion(spark, d):
+    """Insertion against padding per alert, at one, two and the median number of flows per group, with the window's total."""
     s = stream(spark, d)
-    run = s.join(controllers.elond_native(s).select("pos", "level", "fired"), "pos").withColumns({"tau": 1.0 / F.col("level"), "r_before": F.lit(0)})
+    run = controllers.with_levels(s.join(controllers.elond_native(s).select("pos", "fired"), "pos"), "poly", ALPHA)
+    run = run.withColumn("r_before", F.round(F.col("level") / (ALPHA * spending.gamma_column("poly", F.col("pos"), 1))).cast("long") - 1)
     t = attack.targeted_insertions(run, ALPHA).withColumn("r_star", attack.zero_pads(F.col("sum_e"), F.col("tau"), F.col("nsz")))
-    return attack.insertion_cost(t, [1, 2, 15])
+    half = int(s.agg(F.percentile("nsz", F.lit(0.5))).first()[0] or 1)
+    out = attack.insertion_cost(t, [1, 2, half]).withColumn("pos", F.col("pos").cast("long"))
+    total = out.groupBy("per_group").agg(F.sum("insert_flows").alias("total"))
+    return out.join(F.broadcast(total), "per_group")  # three rows
 
 
-@query()
+_CHOOSE = lambda a, b: f"(lgamma({a} + 1.0) - lgamma({b} + 1.0) - lgamma({a} - ({b}) + 1.0))"
+
+
+@query(f"""with {EV}, bb as (select count(*)::bigint as total, count_if(e > 0)::bigint as good, max(ceiling) as ceiling from ev where label = 0), q as (select bb.*, n, ceil(n / (0.5 * ceiling))::bigint as lo, ceil(n / (0.25 * ceiling))::bigint - 1 as hi, 1 / ceiling as p from bb, (select unnest([10, 1000, 2000])::bigint as n)),
+k as (select *, range(lo, least(hi, n) + 1) as ks from q)
+select n, lo, hi, round(case when n <= total then coalesce(list_sum(list_transform(list_filter(ks, lambda x: x <= good and n - x <= total - good), lambda x: exp({_CHOOSE("good", "x")} + {_CHOOSE("(total - good)", "(n - x)")} - {_CHOOSE("total", "n")}))), 0) end, 9) as without,
+  round(coalesce(list_sum(list_transform(ks, lambda x: exp({_CHOOSE("n", "x")} + x * ln(p) + (n - x) * ln(1 - p)))), 0), 9) as nominal from k""")
 def x31_precursor(spark, d):
-    return spark.createDataFrame([(m, *attack.precursor_chance(100_000, 50, m)) for m in (10, 1000, 5000)], "m int, without double, nominal double")
+    """Chance that an ordinary group of n benign flows moves the state of ADDIS: drawn from the deployed benign flows, and at the nominal rate."""
+    b = evident(spark, d).where("label = 0").agg(F.count("*").alias("total"), F.count_if(F.col("e") > 0).alias("good"), F.max("ceiling").alias("c")).first()
+    rows = [(n, *attack.precursor_window(n, b.c), *attack.precursor_chance(b.total, b.good, n, b.c, 1 / b.c)) for n in (10, 1000, 2000)]
+    return spark.createDataFrame(rows, "n long, lo long, hi long, without double, nominal double").withColumns({c: r(c) for c in ("without", "nominal")})
 
 
 @query("with a as (select src, dst, floor(ts / 86400000000)::bigint as bucket, count(*) as c from flows where ts is not null and src is not null and dst is not null group by 1, 2, 3) select src, dst, bucket, round((1 - power(0.5::double, c)) * 1000, 6) as attainable from a")

@@ -261,14 +261,15 @@ def e07_group_level(spark, d):
 @query()
 def e08_ceilings(spark, d):
     n = split_events(spark, d).where("split = 'cal' and label = 0").count()
-    return spark.createDataFrame([(k, evidence.ceiling_nominal(n, k), evidence.ceiling_beta(n, k, 0.1), evidence.ceiling_dkw(n, k, 0.1)) for k in (1, 10, 100)], "k int, nominal double, beta double, dkw double")
+    rows = [(k, *(round(x, 4) for x in (evidence.ceiling_nominal(n, k), evidence.ceiling_beta(n, k, 0.1), evidence.ceiling_dkw(n, k, 0.1)))) for k in (1, 10, 100)]
+    return spark.createDataFrame(rows, "k int, nominal double, beta double, dkw double")
 
 
 @query()
 def e09_boost(spark, d):
     e = evident(spark, d).groupBy("e").agg(F.count("*").alias("c")).collect()  # two values: no evidence, and the ceiling
     n = sum(x.c for x in e)
-    return spark.createDataFrame([(t, evidence.optimal_boost([x.e for x in e], [x.c / n for x in e], t)) for t in (10.0, 1000.0)], "tau double, boost double")
+    return spark.createDataFrame([(t, round(evidence.optimal_boost([x.e for x in e], [x.c / n for x in e], t), 6)) for t in (10.0, 1000.0)], "tau double, boost double")
 
 
 @query(f"with {EV} select round(1 / (max(ceiling) * avg((e > 0)::int)), 6) as boost from ev")
@@ -436,10 +437,15 @@ def k07_ties(spark, d):
     return episodes.tie_exposure(e).select("n_tied", "blocks", "b_max", r("fraction", 9).alias("fraction"))
 
 
-@query("select 0::bigint as changed")
+@query()
 def k08_padding_is_local(spark, d):
+    """Episodes without a pad, how many of them differ after padding, and the size of the padded ones."""
     e = evident(spark, d).select("ingest_id", "ts", "src", "dst", "label", "e")
-    return episodes.unpadded_changes(e, _pads(e), KEYS).agg(F.count("*").alias("changed"))
+    changed = episodes.unpadded_changes(e, _pads(e), KEYS).agg(F.count("*").alias("changed"))
+    touched = _pads(e).select(*KEYS).distinct().withColumn("__t", F.lit(True))
+    after = episodes.padded_episodes(e, _pads(e), KEYS).join(touched, KEYS, "left")
+    g = after.agg(F.count_if(F.col("__t").isNull()).alias("unpadded"), F.coalesce(F.sum(F.when(F.col("__t"), F.col("nsz"))), F.lit(0)).alias("padded_nsz"))
+    return g.join(F.broadcast(changed))  # one row
 
 
 @query(f"with {EP} select floor(first_ts / 86400000000)::bigint as epoch, count(*) as n, min(first_ts) as first_ts, max(last_ts) as last_ts, count_if(floor(last_ts / 86400000000) > floor(first_ts / 86400000000)) as straddling from s group by 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardstream.plans import ref_control, ref_relational
+from wardstream.plans import oracles, ref_control, ref_relational
 
 QUERIES: dict = ref_relational.QUERIES | ref_control.QUERIES
-SQL: dict = ref_relational.SQL | ref_control.SQL
+SQL: dict = ref_relational.SQL | ref_control.SQL | oracles.SQL

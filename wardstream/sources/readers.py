@@ -119,9 +119,9 @@ def steps(narratives: DataFrame) -> DataFrame:
 
 def compromised(narratives: DataFrame) -> DataFrame:
     """Distinct IPv4 addresses reported anywhere in the content: ``ip``."""
-    from wardstream.operators.nested import addresses, report_nodes
+    from wardstream.operators.nested import addresses
 
-    return addresses(report_nodes(narratives)).select("ip").distinct()
+    return addresses(narratives).select("ip").distinct()
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
