@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from wardstream.operators import attack
 from wardstream.plans import registry
@@ -35,6 +36,45 @@ def test_pads_until_is_one_pad_at_a_time():
     assert np.allclose(np.quantile(fast, [0.1, 0.5, 0.9]), np.quantile(slow, [0.1, 0.5, 0.9]), rtol=0.03)
 
 
+def test_inserted_keys_move_what_stands_behind_them():
+    ep = pd.DataFrame({"pos": [1, 4, 9], "bucket": [0, 1, 1], "place": [0.5, 0.2, 0.8], "ev": [1e4] * 3, "ceiling": [1e4] * 3})
+
+    def literal(draws, n):
+        d, r = sorted(draws[:n]), 0
+        for pos, b, place in zip(ep["pos"], ep["bucket"], ep["place"]):
+            moved = sum(x < place for x in d) if b == 1 else 0
+            level = A * (pos + moved) ** -1.6 / attack.zeta(1.6) * (r + 1)
+            hit = 1e4 >= 1 / level
+            r += hit
+        return not hit
+
+    draws = np.random.default_rng(0).uniform(size=(40, 400))
+    counts = [0, 5, 50, 100, 400]
+    got = attack.blind_key_curve(ep, 9, A, counts, draws)
+    assert [[literal(row, n) for n in counts] for row in draws] == got.tolist() and 0 < got.mean() < 1
+    curve = pd.DataFrame({"n": [10, 100, 1000], "lost": [0.1, 0.5, 1.0]})
+    assert attack.curve_quantile(curve, 0.5) == 100.0 and attack.curve_quantile(curve, 0.75) == pytest.approx(10**2.5) and attack.curve_quantile(curve[:2], 0.9) is None
+
+
+def test_prefixes_from_one_pool_match_the_scalar_rule(spark):
+    rng = np.random.default_rng(3)
+    pool = [(i, float(v)) for i, v in enumerate(rng.integers(0, 12, 60))]
+    groups = [(str(i), float(t), int(m)) for i, (t, m) in enumerate(zip(rng.integers(5, 300, 25), rng.integers(1, 12, 25)))]
+    got = {r.gid: r.pads for r in attack.cheapest_prefixes(spark.createDataFrame(groups, "gid string, total double, m long"), spark.createDataFrame(pool, "ingest_id long, score double"), 8.0).collect()}
+    assert got == {g: attack.cheapest_prefix([v for _, v in pool], t, m, 8.0) for g, t, m in groups} and None in got.values()
+
+
+def test_precursor_chances_add_up():
+    lo, hi = attack.precursor_window(100, 40.0)
+    assert (lo, hi) == (5, 9)
+    held, nominal = attack.precursor_chance(1000, 60, 100, 40.0, 0.06)
+    rng = np.random.default_rng(0)
+    k = rng.hypergeometric(60, 940, 100, 200_000)
+    b = rng.binomial(100, 0.06, 200_000)
+    assert abs(((k >= lo) & (k <= hi)).mean() - held) < 0.006 and abs(((b >= lo) & (b <= hi)).mean() - nominal) < 0.006
+    assert attack.precursor_chance(50, 5, 100, 40.0, 0.06)[0] is None
+
+
 def test_x23_attacks_every_own_episode(spark):
     q = registry.queries()
     x = q["ref_x23_live"](spark, MEDIUM).toPandas()

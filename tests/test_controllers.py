@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -263,7 +265,14 @@ def test_attack_costs():
         if r.pads:
             assert r.outcome == "suppressed"
     assert attack.exact_pads(2, 10, Fraction(1000), Fraction(1, 10)) == 191
-    assert attack.cheapest_prefix([0.0] * 5, 10.0, 2, 4.0) == 4 and attack.cheapest_prefix([], 10.0, 2, 4.0) is None
-    assert attack.pads_for_confidence(100.0, 10.0, 1, 0.0, 100.0) == 10
+    assert attack.cheapest_prefix([0.0] * 5, 20.0, 2, 4.0) == 3 and attack.cheapest_prefix([], 20.0, 2, 4.0) is None and attack.cheapest_prefix([], 8.0, 2, 4.0) == 0
+    assert attack.pads_for_confidence(100.0, 10.0, 1, 0.0, 100.0) == 10 and attack.pads_for_confidence(100.0, 10.0, 1, 0.2, 100.0) is None
+    from wardstream.functions.special import binom_cdf
+
+    for p in (0.001, 0.01, 0.05):
+        slow = next(r for r in range(10_000) if (s := math.ceil((10.0 * (3 + r) - 500.0) / 100.0) - 1) >= 0 and binom_cdf(s, r, p) >= 0.9)
+        assert attack.pads_for_confidence(500.0, 10.0, 3, p, 100.0) == slow
+    assert [attack.absorbing_gap(n + 1.0, A, W0, 10**7) for n in (10**4, 10**6, 10**8)] == [34_567, 6_543_160, 9_951_885]
+    assert attack.absorbing_gap(1e4 + 1, A, W0) > 34_567
     b = attack.addis_budget(np.array([0.0, 0.0]), 1e4, 1e6, "poly", A, W0, 5000)
     assert b and attack.addis_level_after(np.zeros(2), b, 0.375, 1e6, "poly", A, W0, 5000) < 1e-4 <= attack.addis_level_after(np.zeros(2), b - 1, 0.375, 1e6, "poly", A, W0, 5000)

@@ -1,6 +1,8 @@
-"""Detector queries fit what the operators' defaults say."""
+"""Detectors: settings of the queries, fits against known answers, edges."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardstream.operators import detector
 from wardstream.plans import registry
@@ -24,11 +26,45 @@ def test_boosted_queries_run_200_rounds_with_leaves_of_200(spark, monkeypatch):
     seen = []
 
     def stop(self, train):
-        seen.append((self.gbt.getMaxIter(), self.gbt.getMinInstancesPerNode()))
+        seen.append((self.settings["iterations"], self.settings["leaf"], self.settings["l2"], self.rows))
         raise Fitted
 
     monkeypatch.setattr(detector.Boosted, "fit", stop)
     for name in ("ref_m01_boosted", "ref_m04_host_conditioned"):
         with pytest.raises(Fitted):
             registry.queries()[name](spark, SF)
-    assert seen == [(200, 200)] * 2
+    assert seen == [(200, 200, 1.0, detector.FIT_ROWS)] * 2
+    assert detector.transfer(["a"]).settings == {"iterations": 300, "step": 0.1, "leaf": 20, "l2": 1.0, "leaves": 31}
+
+
+def test_histogram_trees_learn_and_respect_their_limits():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    m = detector.Histograms(60, 0.1, 50, 1.0, 8).fit(x[:3000], y[:3000])
+    assert ((m.margin(x[3000:]) > 0) == y[3000:]).mean() > 0.95
+    for f, cut, left, right, value in m.trees:
+        assert (f < 0).sum() <= 8 and (f < 0).sum() == (f >= 0).sum() + 1
+    one = detector.Histograms(1, 0.1, 50, 1.0, 2).fit(x, y)
+    f, cut, left, right, value = one.trees[0]
+    low = one.bin(x)[:, f[0]] <= cut[0]
+    p = y.mean()
+    for side, node in ((low, left[0]), (~low, right[0])):  # a Newton step with the penalty
+        assert side.sum() >= 50 and value[node] == pytest.approx(-0.1 * (p - y[side]).sum() / (side.sum() * p * (1 - p) + 1))
+    assert (detector.Histograms(5, 0.1, 50, 1.0, 8).fit(x, np.zeros(4000)).margin(x) < 0).all() and (detector.Histograms(5, 0.1, 1, 1.0, 8).fit(x[:0], y[:0]).margin(x) == 0).all()
+
+
+def test_fits_in_tasks_and_edges(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, float(a), float(b), None if i % 50 == 0 else int(a + b > 0)) for i, (a, b) in enumerate(rng.normal(size=(3000, 2)))] + [(9000, float("nan"), None, 1), (9001, float("inf"), 0.0, 0)]
+    df = spark.createDataFrame(data, "ingest_id long, a double, b double, label int").repartition(3)
+    m = detector.Boosted(["a", "b"], 40, leaf=20).fit(df)
+    s = m.score(df).where("ingest_id < 9000").select((F.col("score") > 0).cast("int").alias("p"), "label").dropna()
+    assert s.agg(F.avg((F.col("p") == F.col("label")).cast("double"))).first()[0] > 0.95
+    few = detector.Boosted(["a", "b"], 5, leaf=20, rows=500).fit(df)
+    assert few.model.trees and m.score(df.limit(0)).count() == 0
+    assert detector.Boosted(["a", "b"]).fit(df.limit(0)).score(df).select("score").distinct().count() == 1
+    forest = detector.Isolation(["a", "b"], 30, 200).fit(df.where("ingest_id < 9000"))
+    odd = forest.score(spark.createDataFrame([(0.0, 0.0), (9.0, -9.0)], "a double, b double")).collect()
+    assert len(forest.forest) == 30 and odd[1].score > odd[0].score + 0.1
+    assert detector.Isolation(["a", "b"]).fit(df.limit(0)).score(df.limit(3)).count() == 3

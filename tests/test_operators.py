@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardstream.functions import special
 from wardstream.functions.hashing import h63, key_hash, mix64, uniform
+from wardstream.functions.hashing import uniform
 from wardstream.operators import bootstrap, detector, episodes, evidence, history, ingest, joins, merging, metrics
 from wardstream.sources import readers, sinks
 from wardstream.streaming import elond
@@ -145,11 +146,31 @@ def test_contaminate_thin_and_pools(spark):
     assert ingest.modal(spark.createDataFrame([(3,), (1,), (3,), (1,), (None,)], "v int"), "v").first().mode == 1
 
 
-def test_bootstrap_is_deterministic(spark):
-    d = spark.createDataFrame([(i % 20, i % 7 == 0) for i in range(400)], "c int, fired boolean")
-    a, b = (rows(bootstrap.firing_ratio(d, d, ["c"], 50)) for _ in range(2))
-    assert a == b and len(a) == 50
-    assert bootstrap.one_sided_p(2.0, 0.5, 3) is None and 0 < bootstrap.one_sided_p(2.0, 0.5, 30) < 0.1
+def test_joint_bootstrap_resamples_the_calibration_tail(spark):
+    rng = np.random.default_rng(4)
+    cal = [(int(c), float(x)) for c, x in zip(rng.integers(0, 20, 400), rng.normal(size=400))]
+    test = [(int(c), float(x)) for c, x in zip(rng.integers(0, 15, 300), rng.normal(0.5, 1, 300))]
+    ct, tt = spark.createDataFrame(cal, "c int, score double"), spark.createDataFrame(test, "c int, score double")
+    for k in (1, 5):
+        got = {r.rep: r for r in bootstrap.firing_ratio(tt, ct, ["c"], 40, k).collect()}
+        wc, wt = ({(r.c, r.rep): r.weight for r in bootstrap.replicates(df.select("c").distinct(), ["c"], 40, seed).collect()} for df, seed in ((ct, 1), (tt, 0)))
+        assert len(got) == 40
+        for rep, r in got.items():
+            drawn = sorted((x for c, x in cal for _ in range(wc[(c, rep)])), reverse=True)
+            assert r.threshold == drawn[k - 1]
+            n = sum(wt[(c, rep)] for c, _ in test)
+            assert r.rate == pytest.approx(sum(wt[(c, rep)] for c, x in test if x > r.threshold) / n) and r.ratio == pytest.approx(r.rate / (k / 401))
+    assert rows(bootstrap.firing_ratio(tt, ct, ["c"], 5)) == rows(bootstrap.firing_ratio(tt, ct, ["c"], 5))
+    assert bootstrap.firing_ratio(tt, ct.limit(0), ["c"], 5).count() == 0 and bootstrap.firing_ratio(tt.limit(0), ct, ["c"], 5).count() == 0
+    reps = bootstrap.firing_ratio(tt, ct, ["c"], 100, 5)
+    assert bootstrap.ratio_test(reps, 2.0, 3).first().z is None and bootstrap.ratio_test(reps, 2.0, 30).first().z > 0
+    assert bootstrap.one_sided_p(None) == 1.0 and bootstrap.one_sided_p(1.959964) == pytest.approx(0.025, abs=1e-6)
+
+
+def test_poisson_weights(spark):
+    u = spark.range(200_000).select(bootstrap.poisson_one(uniform(F.col("id"), 3)).alias("w"))
+    m, v = u.agg(F.avg("w"), F.var_samp("w")).first()
+    assert abs(m - 1) < 0.01 and abs(v - 1) < 0.02 and len(bootstrap._POISSON) > 12
 
 
 def test_detectors_find_a_planted_signal(spark):

@@ -11,8 +11,6 @@ import __spark_entry__ as entry  # noqa: E402
 from tools.compare import canon  # noqa: E402
 from wardstream.plans import registry  # noqa: E402
 
-SLOW = {"ref_m01_boosted", "ref_m04_host_conditioned"}  # minutes of fitting
-
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -31,7 +29,7 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, con, sf, name):
     got = registry.queries()[name](spark, sf).toPandas()
     sql = registry.oracle_sql().get(name)
