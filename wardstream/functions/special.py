@@ -108,6 +108,15 @@ def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def normal_isf(q: float) -> float:
+    """The z with P(Z >= z) = q, by bisection."""
+    lo, hi = -40.0, 40.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if normal_sf(mid) > q else (lo, mid)
+    return hi
+
+
 def wilson(k: float, n: float, z: float = 1.959963984540054) -> tuple[float, float] | None:
     """Wilson interval; None for n = 0."""
     if not n:

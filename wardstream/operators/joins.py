@@ -77,6 +77,24 @@ def atoms(flows: DataFrame, alerts: DataFrame, keys: list[str], bucket_s: int |
     return p.groupBy(*keys, "bucket").agg(F.count("*").alias("n_atoms"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
 
 
+def fixed_coverage(flows: DataFrame, alerts: DataFrame, keys: list[str], bucket_s: int | None, atom_keys: list[str], atom_s: int = 300) -> DataFrame:
+    """Coverage of malicious atoms by alerts with a denominator that no grouping changes: ``n_bad, n_covered, coverage, blur``.
+
+    An atom (``atom_keys`` and five minutes) is malicious if one of its flows is, and covered if one of its
+    malicious flows lies in an alert. ``blur`` is the mean number of malicious atoms that an alert with any
+    runs together; null without such an alert.
+    """
+    from wardstream.operators.episodes import bucket
+
+    f = flows.where("label = 1").withColumn("bucket", bucket(F.col("ts"), bucket_s)).withColumn("atom", bucket(F.col("ts"), atom_s))
+    unit = [k for k in atom_keys if k not in keys]
+    pairs = f.groupBy(*keys, "bucket", *unit, "atom").agg(F.lit(1).alias("__one"))
+    hit = pairs.join(alerts.select(*keys, "bucket").distinct().withColumn("__hit", F.lit(1)), [*keys, "bucket"], "left")
+    n = hit.groupBy(*atom_keys, "atom").agg(F.max("__hit").alias("__hit")).agg(F.count("*").alias("n_bad"), F.count("__hit").alias("n_covered"))
+    blur = hit.where("__hit = 1").groupBy(*keys, "bucket").agg(F.count("*").alias("__n")).agg(F.avg("__n").alias("blur"))
+    return n.join(F.broadcast(blur)).select("n_bad", "n_covered", F.try_divide("n_covered", "n_bad").alias("coverage"), "blur")  # one row
+
+
 def elsewhere(episodes: DataFrame, keys: list[str], host: str) -> DataFrame:
     """Adds ``mal_elsewhere``: malicious flows of the host in its other episodes."""
     t = episodes.groupBy(host).agg(F.sum("mal").alias("__m"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardstream.functions.hashing import draw
+from wardstream.functions.special import binom_cdf, normal_isf
 from wardstream.operators.ingest import positions
 from wardstream.operators.order_stats import percentiles, running
 
@@ -307,11 +309,75 @@ def calendar_need(episodes: DataFrame, need: int) -> DataFrame:
     return g.withColumn("hours_needed", F.try_divide(F.lit(float(need)), F.col("groups_per_hour")))
 
 
-def usability(rho: float | None, agreement: float | None, n: int, least: int = 10) -> str:
-    """Whether a reference list can judge alerts: ``usable``, ``weak``, ``unusable`` or ``too few``."""
-    if n < least or rho is None or agreement is None:
-        return "too few"
-    return "usable" if rho >= 0.5 and agreement >= 0.5 else "weak" if rho > 0 and agreement > 0 else "unusable"
+def usability(rows: DataFrame, by: list[str], daily_s: int = 86_400, least: int = 3) -> DataFrame:
+    """Whether a list of submitted steps can judge the alerts of a window, and why not: one row per ``by``.
+
+    ``rows``: one per alerting unit (``bucket_s``) with ``n_alerts, n_temporal`` (a step in their bucket at
+    all), ``n_attributed`` (a step that matches), ``steps_per_alert, atoms_per_alert`` (null where
+    undefined). Result: ``n_defined`` (units with both), ``n_alerts, n_temporal, share_temporal, n_fine``
+    (units below a day with a match; at a day every step shares the bucket, which tells nothing),
+    ``n_attributed, verdict`` - usable with at least three defined units; else temporal (no fine unit and
+    under a tenth of the alerts meet a step in time), spatial (none matches) or thin - and, where usable,
+    the rank correlations ``steps_atoms, steps_width, atoms_width`` over the units of the window.
+    """
+    both = F.col("steps_per_alert").isNotNull() & F.col("atoms_per_alert").isNotNull()
+    w = W.partitionBy(*by)  # a handful of units per window
+
+    def rank(c: str):
+        mine = F.when(both, F.col(c))
+        return F.when(both, F.rank().over(w.orderBy(mine.asc_nulls_last())) + (F.count("*").over(W.partitionBy(*by, mine)) - 1) / 2.0)
+
+    ranked = rows.withColumns({"__s": rank("steps_per_alert"), "__a": rank("atoms_per_alert"), "__b": rank("bucket_s")})
+    g = ranked.groupBy(*by).agg(
+        F.count_if(both).alias("n_defined"), F.sum("n_alerts").alias("n_alerts"), F.sum("n_temporal").alias("n_temporal"), F.sum("n_attributed").alias("n_attributed"),
+        F.count_if((F.col("bucket_s") < daily_s) & (F.col("n_attributed") > 0)).alias("n_fine"), F.corr("__s", "__a").alias("__sa"), F.corr("__s", "__b").alias("__sb"), F.corr("__a", "__b").alias("__ab"),
+    )
+    share = F.coalesce(F.try_divide("n_temporal", "n_alerts"), F.lit(0.0))
+    usable = F.col("n_defined") >= least
+    why = F.when(usable, "usable").when((F.col("n_fine") == 0) & (share < 0.1), "temporal").when(F.col("n_attributed") == 0, "spatial").otherwise("thin")
+    rho = lambda c: F.when(usable & ~F.isnan(c), F.col(c))
+    return g.select(*by, "n_defined", "n_alerts", "n_temporal", share.alias("share_temporal"), "n_fine", "n_attributed", why.alias("verdict"), rho("__sa").alias("steps_atoms"), rho("__sb").alias("steps_width"), rho("__ab").alias("atoms_width"))
+
+
+def agreement(df: DataFrame, n: int) -> DataFrame:
+    """Whether observed counts agree with derived probabilities: one row of evidence from ``predicted`` and ``observed`` (of ``n`` draws).
+
+    Where n p (1 - p) is 5 at least, each z is held against a normal quantile for all such rows together
+    (0.25 % on a side), and all rows against a pooled z of 5. Rows of less power are held against exact
+    binomial tails (0.5 % for all together, both sides), their pooled z, and the z of their Pearson sum.
+    A probability of 0 or 1 must be met exactly. Columns: ``n_checked, max_z, z_crit, pooled_z,
+    n_contradicted, n_low, n_low_bad, low_pooled_z, low_spread_z, ok``.
+    """
+    @F.pandas_udf("double")
+    def tail(p: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([2 * min(binom_cdf(int(b), n, a), 1 - (binom_cdf(int(b) - 1, n, a) if b > 0 else 0.0)) for a, b in zip(p, k)], dtype=float)
+
+    p, k = F.col("predicted"), F.col("observed")
+    var = n * p * (1 - p)
+    low = (var < 5) & (p > 0) & (p < 1)
+    d = df.select(p, k).dropna().withColumns({"__v": var, "__d": k - n * p, "__low": low})
+    # One tail per distinct pair: few, however many rows there are.
+    t = d.where("__low").groupBy("predicted", "observed").agg(F.count("*").alias("__n")).withColumn("__t", tail("predicted", "observed"))
+    one = lambda c: F.when(F.col("__low"), c)
+    g = d.agg(
+        F.count_if(F.col("__v") >= 5).alias("n_checked"), F.coalesce(F.max(F.when(F.col("__v") >= 5, F.abs("__d") / F.sqrt("__v"))), F.lit(0.0)).alias("max_z"),
+        F.coalesce(F.try_divide(F.sum(F.when(p > 0, F.col("__d"))), F.sqrt(F.sum(F.when(p > 0, F.col("__v"))))), F.lit(0.0)).alias("pooled_z"),
+        F.count_if(((p == 0) & (k > 0)) | ((p == 1) & (k < n))).alias("n_contradicted"), F.count_if("__low").alias("n_low"),
+        F.coalesce(F.try_divide(F.sum(one(F.col("__d"))), F.sqrt(F.sum(one(F.col("__v"))))), F.lit(0.0)).alias("low_pooled_z"),
+        F.coalesce(F.try_divide(F.sum(one(F.col("__d") ** 2 / F.col("__v") - 1)), F.sqrt(F.sum(one(2 + (1 - 6 * p * (1 - p)) / F.col("__v"))))), F.lit(0.0)).alias("low_spread_z"),
+    ).first()
+    bad = t.where(F.col("__t") < 0.005 / max(g.n_low, 1)).agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    crit = normal_isf(0.0025 / g.n_checked) if g.n_checked else 6.0
+    ok = g.n_contradicted == 0 and bad == 0 and g.max_z <= crit and abs(g.pooled_z) <= 5 and abs(g.low_pooled_z) <= 5 and g.low_spread_z <= 5
+    row = (g.n_checked, g.max_z, crit, g.pooled_z, g.n_contradicted, g.n_low, bad, g.low_pooled_z, g.low_spread_z, ok)
+    return df.sparkSession.createDataFrame([row], "n_checked long, max_z double, z_crit double, pooled_z double, n_contradicted long, n_low long, n_low_bad long, low_pooled_z double, low_spread_z double, ok boolean")
+
+
+def looked_up(grid: DataFrame, results: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """An earlier stage's value for each cell of a grid: adds ``value`` (null where the stage has no row). Several different values for one cell are an error."""
+    one = results.groupBy(*keys).agg(F.max(value).alias(value), F.count_distinct(value).alias("__n"))
+    clash = F.when(F.col("__n") > 1, F.raise_error(F.lit("a result is not unique for its key")).cast(dict(results.dtypes)[value])).otherwise(F.col(value))
+    return grid.join(one.select(*keys, clash.alias(value)), keys, "left")
 
 
 def leakage_audit(df: DataFrame, column: str, label: str = "label") -> DataFrame:

@@ -385,24 +385,6 @@ def r18_left_out(spark, d):
     return metrics.transfer_left_out(_grid(spark, d), "win", "choice", "v", "prio").select("win", "choice", r("regret", 6).alias("regret"))
 
 
-def _audit(spark, d):
-    s = stream(spark, d)
-    return metrics.verdict(s.select("mal", (F.col("nsz") % 3).alias("n_steps"), (F.col("nsz") % 2 == 0).alias("compromised"), (F.col("src") % 2).alias("mal_elsewhere")))
-
-
-_AUD = f"{EP}, au as (select case when mal > 0 then 'confirmed' when nsz % 3 > 0 and nsz % 2 = 0 then 'likely' when nsz % 3 > 0 or nsz % 2 = 0 then 'possible' when src % 2 > 0 then 'related' else 'unsupported' end as verdict from s)"
-
-
-@query(f"with {_AUD} select verdict, count(*) as n from au group by 1")
-def r19_verdicts(spark, d):
-    return _audit(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-@query(f"with {_AUD} select count(*) as n, round(count_if(verdict = 'unsupported') / count(*), 9) as low, round(count_if(verdict <> 'confirmed') / count(*), 9) as high from au")
-def r20_fdp_interval(spark, d):
-    return metrics.fdp_interval(_audit(spark, d)).select("n", r("low").alias("low"), r("high").alias("high"))
-
-
 @query("""with f as (select sensor, count_if(label = 0) / count(*) as fdp from flows where split = 'deploy' and f5 > 10000 and label is not null group by sensor), g as (select unnest([0.0, 0.05, 0.1])::double as eps0), h as (select unnest([0.0, 0.02])::double as eps1)
 select round(fdp, 9) as fdp, eps0, eps1, round(fdp * (1 - eps0) + (1 - fdp) * eps1, 9) as corrected from f, g, h""")
 def r20_corrected(spark, d):

@@ -663,9 +663,3 @@ def w04_state(spark, d):
 def w05_pad_contexts(spark, d):
     f, top = _pair(spark, d)
     return hostfeatures.pad_contexts(hostfeatures.state_at(f, top.src, top.dst, top.t, F.col("f5") > 10000), 10)
-
-
-@query("select coalesce(nullif(upper(trim(conn)), ''), '-') || '/' || coalesce(nullif(upper(trim(service)), ''), '-') as event_type, count(*) as n from meta group by 1")
-def s05_event_types(spark, d):
-    return table(spark, d, "meta").groupBy(event_type("conn", "service").alias("event_type")).agg(F.count("*").alias("n"))
-

@@ -95,6 +95,27 @@ def read_scenario(spark: SparkSession, path: str, labels: list[str], benign: str
     return out.withColumn("ts", ts).withColumn("label", (F.col("label") != benign).cast("byte")).drop("timestamp")
 
 
+IDENTITY = ("ingest_id", "ts", "label", "c_ip", "s_ip", "c_port", "s_port", "src", "dst")
+
+
+def load_scenario(spark: SparkSession, path: str, labels: list[str], benign: str = "benign") -> tuple[DataFrame, list[str]]:
+    """A transfer data set ready for a detector: :func:`read_scenario` with ``src, dst, ingest_id``, the six causal host features, and the usable columns.
+
+    ``ingest_id`` numbers rows by time, then by place in the files, as equal times must keep their order.
+    Usable are columns more than nine tenths filled with more than one value that name no host, port, time
+    or label; failed connections are those with a reset from either side.
+    """
+    from wardstream.operators.hostfeatures import host_features
+    from wardstream.operators.ingest import positions, usable_columns
+
+    raw = read_scenario(spark, path, labels).where("ts is not null").withColumn("__row", F.monotonically_increasing_id())
+    df = positions(raw, ["ts", "__row"], "ingest_id").drop("__row").withColumns({"src": F.col("c_ip"), "dst": F.col("s_ip")})
+    resets = [F.coalesce(F.col(c), F.lit(0.0)) > 0 for c in ("c_rst_cnt", "s_rst_cnt") if c in df.columns]
+    failed = resets[0] | resets[1] if len(resets) == 2 else resets[0] if resets else F.lit(False)
+    wide = host_features(df, failed)
+    return wide, usable_columns(wide, [c for c in wide.columns if c not in IDENTITY])
+
+
 NARRATIVE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("Subject", "Category", "Phase", "Automatic_verify_time")]
     + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("Segments", "Steps_submitted_time", "Content")]
@@ -124,9 +145,9 @@ def compromised(narratives: DataFrame) -> DataFrame:
     return addresses(narratives).select("ip").distinct()
 
 
-def read_stage(spark: SparkSession, path: str) -> DataFrame:
-    """A stage's JSON result."""
-    return spark.read.option("multiLine", True).json(path)
+def read_stage(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A stage's JSON result: one document, or with ``lines`` one object per line as :func:`wardstream.sources.sinks.write_json` writes."""
+    return spark.read.option("multiLine", not lines).json(path)
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from wardstream.runtime import bounded_rows
+from wardstream.schema import FLOW_SCHEMA
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -12,6 +13,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_flows(flows: DataFrame, path: str) -> None:
+    """The flow log as headerless CSV, in the order that :func:`wardstream.sources.readers.read_flows` reads."""
+    flows.select(*[f.name for f in FLOW_SCHEMA.fields]).write.mode("overwrite").csv(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
