@@ -84,11 +84,18 @@ def average_ranks(df: DataFrame, column: str, name: str, order_by=None) -> DataF
     return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation as an aggregate over rows where both are known; null where one does not vary."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman correlation with tied ranks averaged, over rows where both are known: ``n, rho``."""
     d = df.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     r = average_ranks(average_ranks(d, "a", "ra"), "b", "rb")
-    return r.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+    return r.agg(F.count("*").alias("n"), correlation("ra", "rb").alias("rho"))
 
 
 def time_histogram(df: DataFrame, ts: str, lo: int, hi: int, bins: int = 10) -> DataFrame:
@@ -330,12 +337,12 @@ def usability(rows: DataFrame, by: list[str], daily_s: int = 86_400, least: int
     ranked = rows.withColumns({"__s": rank("steps_per_alert"), "__a": rank("atoms_per_alert"), "__b": rank("bucket_s")})
     g = ranked.groupBy(*by).agg(
         F.count_if(both).alias("n_defined"), F.sum("n_alerts").alias("n_alerts"), F.sum("n_temporal").alias("n_temporal"), F.sum("n_attributed").alias("n_attributed"),
-        F.count_if((F.col("bucket_s") < daily_s) & (F.col("n_attributed") > 0)).alias("n_fine"), F.corr("__s", "__a").alias("__sa"), F.corr("__s", "__b").alias("__sb"), F.corr("__a", "__b").alias("__ab"),
+        F.count_if((F.col("bucket_s") < daily_s) & (F.col("n_attributed") > 0)).alias("n_fine"), correlation("__s", "__a").alias("__sa"), correlation("__s", "__b").alias("__sb"), correlation("__a", "__b").alias("__ab"),
     )
     share = F.coalesce(F.try_divide("n_temporal", "n_alerts"), F.lit(0.0))
     usable = F.col("n_defined") >= least
     why = F.when(usable, "usable").when((F.col("n_fine") == 0) & (share < 0.1), "temporal").when(F.col("n_attributed") == 0, "spatial").otherwise("thin")
-    rho = lambda c: F.when(usable & ~F.isnan(c), F.col(c))
+    rho = lambda c: F.when(usable, F.col(c))
     return g.select(*by, "n_defined", "n_alerts", "n_temporal", share.alias("share_temporal"), "n_fine", "n_attributed", why.alias("verdict"), rho("__sa").alias("steps_atoms"), rho("__sb").alias("steps_width"), rho("__ab").alias("atoms_width"))
 
 

@@ -561,7 +561,7 @@ def x02_mean_pads(spark, d):
 
 
 @query(f"""with {_PRICED}, m as (select r_star, list_min(list_filter(range(0, r_star + 3), lambda x: sum_e / (nsz + x) < tau)) as measured from pr)
-select count(*) as n, count_if(measured = r_star) as equal, coalesce(max(abs(measured - r_star)), 0)::bigint as max_gap from m""")
+select count(*) as n, coalesce(count_if(measured = r_star), 0)::bigint as equal, coalesce(max(abs(measured - r_star)), 0)::bigint as max_gap from m""")
 def x03_price_error(spark, d):
     """The closed price against the first number of pads that does, by search."""
     p = _priced(spark, d)
