@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstream.functions.columns import micros
+from wardstream.functions.columns import finite, micros
+from wardstream.functions.hashing import draw, draw_sql
 from wardstream.functions.special import zeta
 from wardstream.operators import episodes, evidence
 from wardstream.operators.ingest import positional_split
-from wardstream.runtime import materialise, table
+from wardstream.runtime import materialise, stored, table
 
 KEYS = ["src", "dst"]
 
@@ -63,3 +64,28 @@ ev as (select dep.*, (nc + 1)::double as ceiling, case when score > kth then (nc
 EP = f"""{EV},
 ep as (select src, dst, count(*) as nsz, sum(label)::bigint as mal, sum(e) as sum_e, max(score) as smax, min(ts) as first_ts, max(ts) as last_ts, arg_min(ingest_id, ts::hugeint * 1000000000 + ingest_id) as first_pos, max(ceiling) as ceiling, sum(e) / count(*) as ev, sum(label) > 0 as ismal from ev group by src, dst),
 s as (select *, row_number() over (order by first_ts, first_pos) as pos, count(*) over () as n from ep)"""
+
+
+# ---- the same on flows, where the number of hypotheses grows with the data ----
+
+FLOW_ALPHA = 0.1
+
+
+def flow_evident(spark: SparkSession, d: str) -> DataFrame:
+    """Deployed flows with evidence: score is the log of the bytes, plus 100 for a planted part of the malicious flows; k = 1."""
+    f = table(spark, d, "flows").where("ts is not null and src is not null and dst is not null and label is not null and split in ('cal', 'deploy')")
+    planted = (F.col("label") == 1) & (draw("ingest_id") % 3 != 0)
+    f = f.select("ingest_id", "ts", "src", "dst", "label", "split", (F.log1p(finite("f5") + finite("f6")) + F.when(planted, 100.0).otherwise(0.0)).alias("score"))
+    return evidence.threshold_evidence(f.where("split = 'deploy'"), f.where("split = 'cal' and label = 0"), 1)
+
+
+def flow_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes of sources in two hours, in order of their first flow; a table in the shared folder."""
+    return stored(episodes.ordered(episodes.build(flow_evident(spark, d), ["src"], 7200), ["src"]), "stream")
+
+
+_BYTES = lambda c: f"coalesce(nullif(nullif(nullif({c}::varchar, 'nan'), 'inf'), '-inf')::float::double, 0)"
+FLOW_EP = f"""fz as (select ingest_id, ts, src, dst, label, split, ln(1 + {_BYTES("f5")} + {_BYTES("f6")}) + case when label = 1 and {draw_sql("ingest_id")} % 3 <> 0 then 100.0::double else 0.0::double end as score from flows where ts is not null and src is not null and dst is not null and label is not null and split in ('cal', 'deploy')),
+fk as (select max(score) as kth, (count(*) + 1)::double as ceiling from fz where split = 'cal' and label = 0),
+fe as (select src, floor(ts / 7200000000)::bigint as bucket, count(*) as nsz, sum(label)::bigint as mal, sum(case when score > kth then ceiling else 0.0::double end) as sum_e, max(ceiling) as ceiling, min(ts) as first_ts, arg_min(ingest_id, ts::hugeint * 1000000000 + ingest_id) as first_pos from fz, fk where split = 'deploy' group by 1, 2),
+s as (select *, sum_e / nsz as ev, mal > 0 as ismal, row_number() over (order by first_ts, first_pos) as pos, count(*) over () as n from fe)"""

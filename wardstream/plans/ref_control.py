@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardstream.functions import special
 from wardstream.functions.hashing import draw_sql, uniform, uniform_sql
 from wardstream.operators import attack, bootstrap, controllers, detector, episodes, evidence, ingest, metrics, order_stats, spending
-from wardstream.plans.fixture import EP, EV, GAMMA, KEYS, ZETA, Z, evident, split_events, stream
+from wardstream.plans.fixture import EP, EV, FLOW_ALPHA, FLOW_EP, GAMMA, KEYS, ZETA, Z, evident, flow_stream, split_events, stream
 from wardstream.runtime import table
 
 QUERIES: dict = {}
@@ -223,6 +223,41 @@ def c24_maximum_evidence(spark, d):
     return _sensors(spark, d).repartition("sensor").mapInPandas(run, "sensor string, ceiling double, t long, fired long, silent long")
 
 
+# ---- controllers on flows: as many hypotheses as the data have sources in two hours ----
+
+
+def _flow_lond(kind: str) -> str:
+    g, a = {"poly": GAMMA["poly"]("s.pos"), "uniform": "(1.0::double / n)"}[kind], f"{FLOW_ALPHA}::double"
+    return f"""recursive {FLOW_EP}, c as (select 0::bigint as pos, 0::bigint as r, 0::double as level, false as fired, false as silent union all
+  select pos, r + ok::bigint, level, ok, ceiling < 1 / level from (select *, ceiling >= 1 / level and ev >= 1 / level as ok from (select s.pos, s.ev, s.ceiling, c.r, {a} * {g} * (c.r + 1) as level from c join s on s.pos = c.pos + 1)))"""
+
+
+def _flow_run(spark, d, kind: str) -> DataFrame:
+    s = flow_stream(spark, d)
+    return s.select("pos", "src", "bucket", "ismal", "nsz", "sum_e").join(controllers.elond_native(s, kind, FLOW_ALPHA).select("pos", "level", "fired", "silent"), "pos")
+
+
+@query(f"with {_flow_lond('poly')} {_RUN}")
+def c01_flows_poly(spark, d):
+    return _out(_flow_run(spark, d, "poly"))
+
+
+@query(f"with {_flow_lond('uniform')} select s.src, s.bucket, c.pos, round(c.level, 10) as level, c.fired, c.silent, case when c.fired and s.ismal then greatest(floor(s.sum_e * c.level - s.nsz)::bigint + 1, 0) end as r_star from c join s on s.pos = c.pos")
+def c01_flows_uniform(spark, d):
+    pads = F.when(F.col("fired") & F.col("ismal"), attack.zero_pads(F.col("sum_e"), 1.0 / F.col("level"), F.col("nsz")))
+    return _flow_run(spark, d, "uniform").select("src", "bucket", "pos", r("level", 10).alias("level"), "fired", "silent", pads.alias("r_star"))
+
+
+@query(f"with {_flow_lond('uniform')} select count_if(fired) as alerts, count_if(fired and ismal) as tp, count(*) as t, count_if(silent) as silent, round(count_if(fired and ismal) / nullif(count_if(ismal), 0), 9) as recall from c join s on s.pos = c.pos")
+def r03_flows_rates(spark, d):
+    return metrics.rates(_flow_run(spark, d, "uniform")).select("alerts", "tp", "t", "silent", r("recall").alias("recall"))
+
+
+@query(f"with {FLOW_EP}, k as (select pos, ev, case when ev > 0 then 1 / ({FLOW_ALPHA}::double / n * ev) end as c from s), o as (select *, row_number() over (order by c, pos) as i from k where c is not null), m as (select coalesce(max(case when c <= i then i end), 0) as k from o) select pos, coalesce(c <= m.k, false) as fired from k, m")
+def c05_flows_ebh(spark, d):
+    return controllers.ebh_native(flow_stream(spark, d), "uniform", FLOW_ALPHA).select("pos", "fired")
+
+
 # ---- metrics ----
 
 
