@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardstream.functions import special
-from wardstream.functions.hashing import h63, key_hash, mix64, uniform
-from wardstream.functions.hashing import uniform
+from wardstream.functions.hashing import draw, h63, key_hash, mix64, uniform
 from wardstream.operators import bootstrap, detector, episodes, evidence, history, ingest, joins, merging, metrics
 from wardstream.sources import readers, sinks
 from wardstream.streaming import elond
@@ -231,3 +230,39 @@ def test_streaming_decides_like_batch(spark, tmp_path):
     batch = elond.decide_batch(elond.episodes_stream(spark.read.parquet(str(src)).withColumn("time", F.timestamp_seconds("sec")), ["src"], 600, "1 second").where("key <> 'z'"))
     want = {r.pos: (r.key, r.fired, round(r.level, 12)) for r in batch.collect()}
     assert len(want) > 15 and got == want
+
+
+def test_nearest_neighbours_in_blocks_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(300, 6)), 1)
+    v[10] = v[20] = v[30]
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(999, None)], "vec_id long, e array<double>")
+    for block, chunk in ((2048, 16_384), (7, 40)):
+        got = {r.vec_id: (r.neighbour, r.distance) for r in joins.nearest_neighbour(df.where("vec_id % 5 = 0"), df, "vec_id", "e", block, chunk).collect()}
+        assert set(got) == set(range(0, 300, 5))
+        for i, (n, d) in got.items():
+            dist = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+            dist[i] = np.inf
+            assert n == int(dist.argmin()) and d == pytest.approx(dist.min())
+    assert joins.nearest_neighbour(df.limit(0), df, "vec_id", "e").count() == 0 and joins.nearest_neighbour(df.where("vec_id = 1"), df.where("vec_id = 1"), "vec_id", "e").count() == 0
+
+
+def test_contaminated_recall_matches_a_loop(spark):
+    rng = np.random.default_rng(9)
+    make = lambda n, lo, label, at: spark.createDataFrame([(at + i, float(x), label) for i, x in enumerate(rng.normal(lo, 1, n))], "ingest_id long, score double, label int")
+    cal, pool, test = make(50, 0, 0, 0), make(40, 2, 1, 100), make(60, 2, 1, 200)
+    h = {(s, r.ingest_id): r.h for s in range(12) for r in pool.select("ingest_id", draw(F.lit(s), "ingest_id").alias("h")).collect()}
+    p, t, top = {r.ingest_id: r.score for r in pool.collect()}, [r.score for r in test.collect()], max(r.score for r in cal.collect())
+    for r in evidence.contaminated_recall(test, cal, pool, [0, 1, 7], 12, salt=3).collect():
+        first = sorted(p, key=lambda i: (h[(r.seed, i)], i))[: r.a]
+        cut = max([top, *(p[i] for i in first)])
+        assert r.threshold == cut and r.recall == pytest.approx(sum(x > cut for x in t) / len(t))
+
+
+def test_tie_orders_shuffle_ties_only(spark):
+    e = spark.createDataFrame([(i, i // 5, 0) for i in range(40)], "src long, first_ts long, bucket long")
+    got = {}
+    for r in episodes.tie_orders(e, ["src"], 6).collect():
+        got.setdefault(r.seed, {})[r.pos] = r.src
+    assert len(got) == 6 and len({tuple(g.values()) for g in got.values()}) > 1
+    assert all(sorted(g) == list(range(1, 41)) and [g[k] // 5 for k in sorted(g)] == sorted(i // 5 for i in range(40)) for g in got.values())

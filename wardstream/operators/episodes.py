@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardstream.functions.columns import prefix24
@@ -62,6 +63,12 @@ def ordered(episodes: DataFrame, keys: list[str], how: str = "first-flow", seed:
     return positions(episodes.withColumns(named) if named else episodes, order, "pos").drop(*named)
 
 
+def tie_orders(episodes: DataFrame, keys: list[str], orders: int) -> DataFrame:
+    """An ensemble of orders by first_ts whose ties fall by a hash of their own: every episode once per ``seed``, with ``pos``. Each order is numbered in a task of its own."""
+    e = episodes.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))).withColumn("__h", draw("seed", *keys, "bucket"))
+    return e.withColumn("pos", F.row_number().over(W.partitionBy("seed").orderBy("first_ts", "__h", *keys)).cast("long")).drop("__h")
+
+
 def arrival_rank(flows: DataFrame, keys: list[str], bucket_s: int | None = None) -> DataFrame:
     """Adds ``arrival``: 1-based rank within the episode by (ts, ingest_id)."""
     return arrival(flows.withColumn("bucket", bucket(F.col("ts"), bucket_s)), [*keys, "bucket"], "ts", "ingest_id")

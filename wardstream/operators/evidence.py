@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardstream.functions.hashing import uniform
+from wardstream.functions.hashing import draw, uniform
 from wardstream.functions.special import beta_quantile, harmonic
 from wardstream.operators.order_stats import running
 
@@ -93,6 +93,27 @@ def stratified_evidence(test: DataFrame, cal: DataFrame, stratum: str, k: int =
     return t.withColumn("ceiling", ceiling).withColumn("e", F.when(above, ceiling).otherwise(0.0)).drop("__z", "__n", "__k")
 
 
+def contaminated_recall(test: DataFrame, cal: DataFrame, pool: DataFrame, amounts: list[int], reps: int, identity: str = "ingest_id", score: str = "score", salt: int = 16) -> DataFrame:
+    """Recall of threshold evidence (k = 1) after ``a`` malicious scores got into the calibration: ``a, seed, threshold, recall``, for every amount and repetition.
+
+    A repetition takes the pool rows of smallest hash, so larger amounts hold the smaller ones; the smallest
+    of a repetition come from the smallest of its salted parts. Test rows meet the few distinct thresholds only.
+    """
+    most, kth = max(amounts), cal.agg(F.max(score)).first()[0]
+    r = pool.select(identity, F.col(score).alias("__s"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("seed")).withColumn("__h", draw("seed", identity))
+    part = r.withColumn("__p", F.pmod(F.col("__h"), F.lit(salt)))
+    few = part.withColumn("__r", F.row_number().over(W.partitionBy("seed", "__p").orderBy("__h", identity))).where(F.col("__r") <= most)
+    few = few.withColumn("__r", F.row_number().over(W.partitionBy("seed").orderBy("__h", identity))).where(F.col("__r") <= most)
+    grid = test.sparkSession.createDataFrame([(a, s) for a in amounts for s in range(reps)], "a int, seed int")
+    drawn = grid.join(few.select("seed", "__r", "__s"), "seed", "left").groupBy("a", "seed").agg(F.greatest(F.lit(kth), F.max(F.when(F.col("__r") <= F.col("a"), F.col("__s")))).alias("threshold"))
+    bad = test.where("label = 1").groupBy(F.col(score).alias("__v")).agg(F.count("*").alias("__c"))
+    cuts = drawn.select("threshold").distinct()
+    levels = [x[0] for x in cuts.collect()]  # at most amounts * repetitions
+    passed = bad.select(F.explode(F.filter(F.array(*[F.lit(float(x)) for x in levels]), lambda c: c < F.col("__v"))).alias("threshold"), "__c").groupBy("threshold").agg(F.sum("__c").alias("__k"))
+    n = bad.agg(F.sum("__c").alias("__n"))
+    return drawn.join(passed, "threshold", "left").join(F.broadcast(n)).select("a", "seed", "threshold", F.try_divide(F.coalesce("__k", F.lit(0)), "__n").alias("recall"))  # one row
+
+
 def ceiling_nominal(n: int, k: int = 1) -> float:
     """(n + 1) / k."""
     return (n + 1) / k

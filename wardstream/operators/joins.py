@@ -119,50 +119,48 @@ def inconsistent_labels(flows: DataFrame, columns: list[str]) -> DataFrame:
     return g.agg(F.count("*").alias("n_vectors"), F.count_if(mixed).alias("n_mixed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_flows"), s(F.col("n")).alias("n_in_mixed"), s(F.least(F.col("m"), F.col("n") - F.col("m"))).alias("n_minority"))
 
 
-def nearest_neighbour(queries: DataFrame, base: DataFrame, identity: str, vector: str, block: int = 512) -> DataFrame:
+def nearest_neighbour(queries: DataFrame, base: DataFrame, identity: str, vector: str, block: int = 2048, chunk: int = 16_384) -> DataFrame:
     """Exact Euclidean nearest neighbour of each query among ``base``, itself excluded: ``identity, neighbour, distance``.
 
-    The stated query set travels in blocks of at most ``block`` vectors; every task keeps the best per query
-    of its own rows and a minimum over tasks ends it, so no pair is ever a row. Ties go to the smaller id.
+    The stated query set is dealt into blocks of about ``block`` vectors, the base into chunks of about
+    ``chunk``; every block meets every chunk in one task, which keeps the best per query, and a minimum over
+    chunks ends it. So no pair is ever a row, nothing is broadcast or collected, and tasks are of one size.
+    Distances come from norms and products, the best few of a chunk again from differences, as products
+    round. Ties go to the smaller id; null vectors take no part; a query alone has no row.
     """
     import numpy as np
     import pandas as pd
 
-    spark = base.sparkSession
-    q = queries.select(identity, vector).where(F.col(vector).isNotNull()).orderBy(identity).toLocalIterator()
-    out, part = None, []
-
-    def one(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows])
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], dtype=np.float64)))  # at most ``block`` vectors
-
-        def best(batches):
-            qi, qv = shared.value
-            dist, who = np.full(len(qi), np.inf), np.full(len(qi), -1, dtype=np.int64)
-            for pdf in batches:
-                bi, bv = pdf[identity].to_numpy(), np.stack(pdf[vector].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, qv.shape[1]))
-                for i in range(len(qi)):
-                    d = ((bv - qv[i]) ** 2).sum(axis=1)
-                    d[bi == qi[i]] = np.inf
-                    if len(d):
-                        j = np.lexsort((bi, d))[0]
-                        if (d[j], bi[j]) < (dist[i], who[i] if who[i] >= 0 else np.iinfo(np.int64).max):
-                            dist[i], who[i] = d[j], bi[j]
-            ok = who >= 0
-            yield pd.DataFrame({identity: qi[ok], "neighbour": who[ok], "distance": np.sqrt(dist[ok])})
-
-        return base.select(identity, vector).where(F.col(vector).isNotNull()).mapInPandas(best, f"{identity} long, neighbour long, distance double")
-
-    for r in q:
-        part.append(r)
-        if len(part) == block:
-            out, part = (one(part) if out is None else out.unionByName(one(part))), []
-    if part:
-        out = one(part) if out is None else out.unionByName(one(part))
-    if out is None:
-        return spark.createDataFrame([], f"{identity} long, neighbour long, distance double")
-    g = out.groupBy(identity).agg(F.min(F.struct("distance", "neighbour")).alias("m"))
-    return g.select(identity, F.col("m.neighbour").alias("neighbour"), F.col("m.distance").alias("distance"))
+    q = queries.select(F.col(identity).alias("__id"), F.col(vector).cast("array<double>").alias("__v")).where("__v is not null")
+    b = base.select(F.col(identity).alias("__id"), F.col(vector).cast("array<double>").alias("__v")).where("__v is not null")
+    nq, nb = max(1, -(-q.count() // block)), max(1, -(-b.count() // chunk))
+    own = lambda n: F.pmod(F.xxhash64("__id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = q.select("__id", "__v", own(nq).alias("i"), every(nb).alias("j"))
+    right = b.select("__id", "__v", every(nq).alias("i"), own(nb).alias("j"))
+
+    def best(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(bs):
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        bs = bs.sort_values("__id")
+        qi, bi, x, y = qs["__id"].to_numpy(), bs["__id"].to_numpy(), np.stack(qs["__v"].to_numpy()), np.stack(bs["__v"].to_numpy())
+        rows, size = [], (y**2).sum(axis=1)
+        for at in range(0, len(qi), 256):
+            p = x[at : at + 256]
+            d = size[None, :] - 2 * p @ y.T + (p**2).sum(axis=1)[:, None]
+            d[qi[at : at + 256, None] == bi[None, :]] = np.inf
+            near = d.min(axis=1)
+            for k in range(len(p)):
+                few = np.flatnonzero(d[k] <= near[k] + 1e-9 * (size.max() + (p[k] ** 2).sum())) if np.isfinite(near[k]) else []
+                if len(few):
+                    exact = ((y[few] - p[k]) ** 2).sum(axis=1)
+                    w = int(exact.argmin())  # the first is of the smallest id
+                    rows.append((qi[at + k], bi[few[w]], float(np.sqrt(exact[w]))))
+        return pd.DataFrame(rows, columns=["id", "neighbour", "distance"])
+
+    kind = dict(base.dtypes)[identity]
+    got = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"id {kind}, neighbour {kind}, distance double")
+    return got.groupBy("id").agg(F.min(F.struct("distance", "neighbour")).alias("b")).select(F.col("id").alias(identity), "b.neighbour", "b.distance")
 
 
 def map_agreement(left: DataFrame, right: DataFrame, key: str, values: str) -> DataFrame:

@@ -109,9 +109,11 @@ def c05_ebh(spark, d):
 
 @query()
 def c06_ebh_entries(spark, d):
-    s = stream(spark, d).select("pos", "ev", "ceiling").toPandas().sort_values("pos")  # one row per episode, as the fold needs
-    out = controllers.online_ebh(s["ev"].to_numpy(), float(s["ceiling"].iloc[0]), spending.gamma("poly", len(s)), ALPHA)
-    return spark.createDataFrame([(int(i) + 1, int(out.notes["entered"][i])) for i in np.flatnonzero(out.fired)], "pos long, entered long")
+    def run(e, n, m, c):
+        out = controllers.online_ebh(e, c, spending.gamma("poly", len(e)), ALPHA)
+        return [(int(i) + 1, int(out.notes["entered"][i])) for i in np.flatnonzero(out.fired)]
+
+    return _whole(stream(spark, d), run, "pos long, entered long")
 
 
 @query("with recursive " + EP + f""",
@@ -163,10 +165,10 @@ def c19_c20_spending(spark, d):
 
 @query()
 def c18_prefix_shifts(spark, d):
-    s = stream(spark, d).select("pos", "ev", "ceiling").toPandas().sort_values("pos")  # one row per episode
-    e, c = s["ev"].to_numpy(), float(s["ceiling"].iloc[0])
-    rows = [(g, int(controllers.fold(controllers.Lond(spending.gamma("poly", len(e) + g), ALPHA, g), e, c).fired.sum())) for g in (0, 5, 20, 50)]
-    return spark.createDataFrame(rows, "shift int, fired int")
+    def run(e, n, m, c):
+        return [(g, int(controllers.fold(controllers.Lond(spending.gamma("poly", len(e) + g), ALPHA, g), e, c).fired.sum())) for g in (0, 5, 20, 50)]
+
+    return _whole(stream(spark, d), run, "shift int, fired int")
 
 
 @query()
@@ -491,15 +493,18 @@ def r25_sweep(spark, d):
     return metrics.rates(j, ["family", "bucket_s", "gamma"]).select("family", "bucket_s", "gamma", "alerts", "tp", "t", "silent")
 
 
-@query()
+@query(f"""with recursive {EP}, tt as (select seed, src, dst, ev, ceiling, ismal, n, row_number() over (partition by seed order by first_ts - first_ts % 3600000000, {draw_sql("seed", "src", "dst", "0")}, src, dst) as pos from s, (select unnest(range(0, 50)) as seed)),
+c as (select seed, 0::bigint as pos, 0::bigint as r, false as fired, false as ismal from (select unnest(range(0, 50)) as seed) union all
+  select seed, pos, r + ok::bigint, ok, ismal from (select *, ceiling >= 1 / level and ev >= 1 / level as ok from (select c.seed, tt.pos, c.r, tt.ev, tt.ceiling, tt.ismal, {A} * {GAMMA["poly"]("tt.pos")} * (c.r + 1) as level from c join tt on tt.seed = c.seed and tt.pos = c.pos + 1))),
+v as (select seed, count_if(fired and ismal) / nullif(count_if(ismal), 0) as recall from c where pos > 0 group by seed)
+select count(*) as n, count(distinct recall) as n_distinct, round(avg((recall is null)::int), 9) as undefined, round(stddev_samp(recall), 9) as sd, round(100 * avg(case when recall < 0.1 then 1 when recall = 0.1 then 0.5 when recall > 0.1 then 0 end), 6) as percentile from v""")
 def r26_tie_orders(spark, d):
-    base, out = episodes.build(evident(spark, d), KEYS), None
-    base = base.withColumn("first_ts", F.col("first_ts") - F.pmod("first_ts", F.lit(3_600_000_000)))  # many ties
-    for seed in range(5):
-        e = episodes.ordered(base, KEYS, "first-tie", seed).select(F.lit(seed).alias("seed"), "pos", "ev", "ceiling", "ismal")
-        out = e if out is None else out.unionByName(e)
-    run = controllers.control(out, "elond", ["seed"]).join(out.select("seed", "pos", "ismal"), ["seed", "pos"])
-    return metrics.tie_distribution(metrics.rates(run, ["seed"]), "recall", 0.1)
+    """Recall over 50 orders that break the many ties of whole hours at random, one controller per order."""
+    base = episodes.build(evident(spark, d), KEYS).withColumn("first_ts", F.col("first_ts") - F.pmod("first_ts", F.lit(3_600_000_000)))
+    o = episodes.tie_orders(base, KEYS, 50).select("seed", "pos", "ev", "ceiling", "ismal")
+    run = controllers.control(o, "elond", ["seed"]).join(o.select("seed", "pos", "ismal"), ["seed", "pos"])
+    t = metrics.tie_distribution(metrics.rates(run, ["seed"]), "recall", 0.1)
+    return t.select("n", "n_distinct", r("undefined").alias("undefined"), r("sd").alias("sd"), r("percentile", 6).alias("percentile"))
 
 
 @query()
@@ -524,16 +529,16 @@ def r29_lever(spark, d):
     return metrics.lever(rows).select("q", "gamma", r("margin_ratio").alias("margin_ratio"), r("q_ratio").alias("q_ratio"), r("recall").alias("recall"))
 
 
-@query()
+@query(f"""with {Z}, g as (select unnest([0, 1, 5, 20])::int as a), q as (select seed, score, row_number() over (partition by seed order by {draw_sql("seed", "ingest_id")}, ingest_id) as i from cal, (select unnest(range(0, 400)) as seed) where label = 1),
+th as (select a, sd.seed, greatest((select max(score) from cal where label = 0), max(case when i <= a then score end)) as t from g cross join (select unnest(range(0, 400)) as seed) sd left join q on q.seed = sd.seed group by a, sd.seed),
+v as (select a, (select count_if(score > t) / nullif(count(*), 0) from dep where label = 1) as recall from th),
+w as (select a, count(recall) as n, quantile_cont(recall, 0.05) as p05, quantile_cont(recall, 0.5) as p50, quantile_cont(recall, 0.95) as p95, count_if(recall = 0) as zeros from v group by a), zz as (select *, 1.959963984540054::double as z, zeros / n as p from w)
+select a, n, round(p05, 9) as p05, round(p50, 9) as p50, round(p95, 9) as p95, zeros, round(p, 9) as p_zero, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 9) as low, round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 9) as high from zz""")
 def r30_contamination(spark, d):
+    """Recall over 400 draws for each number of malicious scores in the calibration."""
     s = split_events(spark, d)
-    cal, pool, dep, out = s.where("split = 'cal' and label = 0"), s.where("split = 'cal' and label = 1"), s.where("split = 'deploy'"), None
-    for a in (0, 5):
-        for seed in range(3):
-            e = evidence.threshold_evidence(dep, ingest.contaminate(cal, pool, a, seed=seed))
-            x = e.agg(F.lit(a).alias("a"), (F.count_if((F.col("label") == 1) & (F.col("e") > 0)) / F.count_if(F.col("label") == 1)).alias("recall"))
-            out = x if out is None else out.unionByName(x)
-    return metrics.contamination_spread(out, ["a"])
+    runs = evidence.contaminated_recall(s.where("split = 'deploy'"), s.where("split = 'cal' and label = 0"), s.where("split = 'cal' and label = 1"), [0, 1, 5, 20], 400)
+    return metrics.contamination_spread(runs, ["a"]).select("a", "n", *[r(c).alias(c) for c in ("p05", "p50", "p95")], "zeros", r("p_zero").alias("p_zero"), r("low").alias("low"), r("high").alias("high"))
 
 
 _RANKED = f"{Z}, c as (select score from cal where label = 0), rk as (select label, (select count(*) from c where c.score > dep.score) as above, (select count(*) from c where c.score = dep.score) as ties, (select count(*) from c) as nc from dep)"
@@ -546,12 +551,13 @@ def r31_validity(spark, d):
     return metrics.randomised_validity(k, ALPHA).select("n", r("probability").alias("probability"))
 
 
-@query()
+@query(f"""with {_RANKED}, ids as (select dep.ingest_id, (select count(*) from c where c.score > dep.score) as above, (select count(*) from c where c.score = dep.score) as ties, (select count(*) from c) as nc from dep),
+p as (select ingest_id, avg(((above + {uniform_sql("ingest_id", "k", "0")} * (1 + ties)) / (nc + 1) <= 0.01)::int) as p from ids, (select unnest(range(0, 20)) as k) group by ingest_id) select round(sum(p * p) / nullif(sum(2 * p - p * p), 0), 9) as jaccard from p""")
 def r32_inclusion(spark, d):
     s = split_events(spark, d)
     k = evidence.draws(evidence.ranks(s.where("split = 'deploy'"), s.where("split = 'cal' and label = 0")), "ingest_id", 20)
     p = k.withColumn("fired", evidence.smoothed_p(F.col("above"), F.col("ties"), F.col("nc"), F.col("u")) <= 0.01)
-    return metrics.inclusion_jaccard(metrics.detection_probability(p, ["ingest_id"]))
+    return metrics.inclusion_jaccard(metrics.detection_probability(p, ["ingest_id"])).select(r("jaccard").alias("jaccard"))
 
 
 @query(f"with {EP}, m as (select quantile_cont(smax, 0.9) as q from s) select case when nsz = 1 then '1' when nsz <= 4 then '2-4' when nsz <= 16 then '5-16' else '17+' end as bin, count(*) as n, round(avg((smax > q)::int), 9) as over from s, m where not ismal group by 1")
@@ -634,8 +640,13 @@ def x06_replay(spark, d):
 @query()
 def x07_bound(spark, d):
     seen = evident(spark, d).where("label = 0").agg(F.count_if(F.col("e") > 0).alias("k"), F.count("*").alias("n")).first()
-    rows = [(p.pos, p.r_star, attack.pads_at_bound(p.sum_e, p.tau, p.nsz, seen.k, seen.n, p.ceiling)) for p in _priced(spark, d).collect()]  # detected episodes only
-    return spark.createDataFrame(rows, "pos long, r_star long, at_bound long")
+    k, n = seen.k, seen.n
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"pos": pdf["pos"], "r_star": pdf["r_star"], "at_bound": pd.array([attack.pads_at_bound(p.sum_e, p.tau, p.nsz, k, n, p.ceiling) for p in pdf.itertuples()], dtype="Int64")})
+
+    return _priced(spark, d).select("pos", "r_star", "sum_e", "tau", "nsz", "ceiling").mapInPandas(run, "pos long, r_star long, at_bound long")
 
 
 @query(f"with {_PRICED}, k as (select unnest([50, 100, 1000])::bigint as cap) select cap, count(*) as n, round(avg((nsz + r_star <= cap)::int), 9) as share from pr, k group by cap")
@@ -687,19 +698,30 @@ def x09_absolute(spark, d):
     return attack.absolute(_priced(spark, d), [10, 100])
 
 
-def _arrays(spark, d):
-    s = stream(spark, d).select("pos", "ev", "nsz", "ismal", "ceiling").toPandas().sort_values("pos")  # one row per episode
-    return s["ev"].to_numpy(), s["nsz"].to_numpy(), s["ismal"].to_numpy(), float(s["ceiling"].iloc[0])
+def _whole(s: DataFrame, run, schema: str) -> DataFrame:
+    """A procedure that revises the whole stream, in one task (one row per episode, not per flow): ``run`` gets evidence, sizes, labels and the ceiling, in order, and gives rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def task(batches):
+        pdf = pd.concat(list(batches))
+        if len(pdf):
+            pdf = pdf.sort_values("pos")
+            rows = run(pdf["ev"].to_numpy(), pdf["nsz"].to_numpy(), pdf["ismal"].to_numpy(), float(pdf["ceiling"].iloc[0]))
+            yield pd.DataFrame(rows, columns=names)
+
+    return s.select("pos", "ev", "nsz", "ismal", "ceiling").repartition(1).mapInPandas(task, schema)
 
 
 @query()
 def x10_joint(spark, d):
-    e, n, m, c = _arrays(spark, d)
-    rows = []
-    for adaptive, cap in ((True, None), (False, None), (True, 20)):
-        x = attack.joint_attack(e, n, m, c, "uniform", ALPHA, cap, adaptive)
-        rows += [(adaptive, cap, o, int(k)) for o, k in x["outcome"].value_counts().items()]
-    return spark.createDataFrame(rows, "adaptive boolean, cap int, outcome string, n int")
+    def run(e, n, m, c):
+        rows = []
+        for adaptive, cap in ((True, None), (False, None), (True, 20)):
+            x = attack.joint_attack(e, n, m, c, "uniform", ALPHA, cap, adaptive)
+            rows += [(adaptive, cap, o, int(k)) for o, k in x["outcome"].value_counts().items()]
+        return rows
+
+    return _whole(stream(spark, d), run, "adaptive boolean, cap int, outcome string, n int")
 
 
 @query(f"with {_PRICED}, c1 as (select max(sum_e / tau / nsz - 1) as x from pr) select round(x, 6) as c_crit, (floor(x) + 1)::bigint as c_int from c1")
@@ -746,9 +768,11 @@ def x16_deadlines(spark, d):
 
 @query()
 def x18_survival(spark, d):
-    e, _, _, c = _arrays(spark, d)
-    fired = controllers.fold(controllers.Lond(spending.gamma("uniform", len(e)), ALPHA), e, c).fired
-    return spark.createDataFrame(attack.survival_curve(e, fired, c, "uniform", ALPHA, [0, 10, 50, 200]))
+    def run(e, n, m, c):
+        fired = controllers.fold(controllers.Lond(spending.gamma("uniform", len(e)), ALPHA), e, c).fired
+        return attack.survival_curve(e, fired, c, "uniform", ALPHA, [0, 10, 50, 200])
+
+    return _whole(stream(spark, d), run, "g long, fired long, survived long")
 
 
 @query()
@@ -765,9 +789,10 @@ def x19_blind_key(spark, d):
 
 @query()
 def x20_addis_state(spark, d):
-    e, _, _, c = _arrays(spark, d)
-    rows = [(h, attack.addis_budget(e[:h], 1e4, c, "poly", ALPHA, W0, 4 * len(e))) for h in (0, 10, 50)]
-    return spark.createDataFrame(rows, "head int, b_star long")
+    def run(e, n, m, c):
+        return [(h, attack.addis_budget(e[:h], 1e4, c, "poly", ALPHA, W0, 4 * len(e))) for h in (0, 10, 50)]
+
+    return _whole(stream(spark, d), run, "head int, b_star long")
 
 
 @query()
@@ -865,9 +890,11 @@ def x32_attainable(spark, d):
 
 @query()
 def x33_fixed_point(spark, d):
-    e, n, m, c = _arrays(spark, d)
-    pads, rounds = attack.settle_buckets(e, n, m, c, "uniform", ALPHA)
-    return spark.createDataFrame([(int(pads.sum()), int((pads > 0).sum()), rounds)], "pads long, padded long, rounds int")
+    def run(e, n, m, c):
+        pads, rounds = attack.settle_buckets(e, n, m, c, "uniform", ALPHA)
+        return [(int(pads.sum()), int((pads > 0).sum()), rounds)]
+
+    return _whole(stream(spark, d), run, "pads long, padded long, rounds int")
 
 
 # ---- detectors ----
