@@ -154,7 +154,9 @@ def _postings(records: DataFrame, grid: Grid) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)])
-            once = np.unique(k, axis=1, return_index=True)[1]
+            order = np.lexsort(k)
+            new = np.r_[True, (k[:, order[1:]] != k[:, order[:-1]]).any(axis=0)] if len(order) else np.zeros(0, bool)
+            once = order[new]
             x = _matrix(b.column(2), grid.m)
             for left in (True, False):
                 rows = once[k[2, once] == left]
