@@ -333,6 +333,16 @@ def test_batches_do_not_change_figures():
     assert all(len(v) == 0 for v in quality.measure(pa.array([], pa.string())).values())
 
 
+def test_slices_cover_all_rows_once():
+    from wardstream.llm.batches import slices
+
+    rng = np.random.default_rng(0)
+    for sizes in ([], [0, 0], [5], [99, 1, 1], list(rng.integers(0, 30, 200))):
+        got = list(slices(np.array(sizes), 40))
+        assert [x for i, j in got for x in range(i, j)] == list(range(len(sizes)))
+        assert all(sum(sizes[i:j]) <= 40 or j - i == 1 for i, j in got)
+
+
 def test_llm_queries_agree_with_sql(spark, sf):
     from pathlib import Path
 

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstream.llm.batches import slices
 from wardstream.runtime import stored
 
 RUN = 13
@@ -335,8 +336,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_wor
         def scan(batches: Iterator[pd.DataFrame], shared=shared, key=key) -> Iterator[pd.DataFrame]:
             s = _screen(key, shared, run)
             for pdf in batches:
-                d, *rest = s.leaks(pdf["text"].tolist())
-                yield pd.DataFrame(dict(zip(names, [pdf["doc_id"].to_numpy()[d], *rest])))
+                for i, j in slices(pdf["text"].str.len().to_numpy()):
+                    part = pdf.iloc[i:j]
+                    d, *rest = s.leaks(part["text"].tolist())
+                    yield pd.DataFrame(dict(zip(names, [part["doc_id"].to_numpy()[d], *rest])))
 
         part = documents.select("doc_id", "text").where("text is not null").mapInPandas(scan, schema)
         out = part if not i else out.unionByName(part)
@@ -379,8 +382,10 @@ def remove_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, max_cov
         def mark(batches: Iterator[pd.DataFrame], shared=shared, key=key) -> Iterator[pd.DataFrame]:
             s = _screen(key, shared, run)
             for pdf in batches:
-                new = s.spans(pdf["text"].tolist())
-                yield pdf.assign(spans=[[*a, *b] for a, b in zip(pdf["spans"], new)])
+                for i, j in slices(pdf["text"].str.len().fillna(0).to_numpy()):
+                    part = pdf.iloc[i:j]
+                    new = s.spans(part["text"].tolist())
+                    yield part.assign(spans=[[*a, *b] for a, b in zip(part["spans"], new)])
 
         d = d.mapInPandas(mark, "doc_id long, text string, spans array<int>")
 
