@@ -51,6 +51,13 @@ c as (select 0::bigint as pos, []::double[] as ge, []::double[] as gr, 0::double
       select *, case when 1 - least({A} * k * w, 1) > 0 then {A} * g * k / (1 - least({A} * k * w, 1)) else 'inf'::double end as level from (
         select s.pos, s.ev, s.ceiling, ge, gr, given, {_POLY("s.pos")} as g, len(ge) + 1 as k,
           given + coalesce(list_sum(list_transform(range(1, len(ge) + 1), lambda i: gr[i] * least(ge[i] - 1 / ({A} * gr[i] * (len(ge) + 1)), 1))), 0) as w from c join s on s.pos = c.pos + 1)))))"""
+_JOIN = lambda r: f"lambda acc, x: list_transform(range(1, len(acc) + 2), lambda i: greatest(coalesce(acc[i], -1e300::double), case when i > 1 then acc[i - 1] + x[2] - {A} * ({r} + 1) * x[1] * {_POLY('(i - 1)')} else -1e300::double end))"
+# The largest sums by number of members are built anew from all that was told, at every step.
+_CLOSED = f"""recursive {EP},
+c as (select 0::bigint as pos, 0::bigint as r, []::double[][] as told, 0::double as level, false as fired, false as silent union all
+  select pos, r + ok::bigint, list_append(told, [ev, ok::int::double]), level, ok, {_SILENT} from (select *, {_OK} as ok from (
+    select pos, ev, ceiling, r, told, coalesce(list_min(list_filter(list_transform(range(1, len(best) + 1), lambda k: case when 1 + best[k] > 0 then {A} * (r + 1) * {_POLY("k")} / (1 + best[k]) end), lambda y: y is not null)), 0) as level from (
+      select s.pos, s.ev, s.ceiling, c.r, c.told, list_reduce(list_prepend([0.0::double], c.told), {_JOIN("c.r")}) as best from c join s on s.pos = c.pos + 1))))"""
 # e-BH on every prefix: the largest rank whose cost does not exceed it.
 _COSTS = f"""{EP}, k as (select pos, n, ev, ceiling, {_POLY("pos")} as g, case when ev > 0 then 1 / ({A} * {_POLY("pos")} * ev) end as cost, 1 / ({A} * {_POLY("pos")} * ceiling) as best from s),
 pr as (select t.pos as t, i.cost, row_number() over (partition by t.pos order by i.cost) as q from k t join k i on i.pos <= t.pos and i.cost is not null),
@@ -114,6 +121,7 @@ SQL = {
     "ref_c07_esaffron": f"with {_ESAFFRON} {_RUN}",
     "ref_c07_mem_elord": f"with {_MEMLORD} {_RUN}",
     "ref_c09_donation_elond": f"with {_DONATION} {_RUN}",
+    "ref_c10_closed_elond": f"with {_CLOSED} {_RUN}",
     "ref_c11_etoad_arc": f"with {_COSTS} select k.pos, round({A} * k.g * rt.r, 10) as level, coalesce(k.cost <= (select r from rt where t = k.n), false) as fired, not k.best <= rb.r as silent from k join rt on rt.t = k.pos join rb on rb.t = k.pos",
     "ref_c06_ebh_entries": f"with {_COSTS} select k.pos, (select greatest(k.pos, min(t)) from rt where rt.r >= k.cost) as entered from k where k.cost <= (select r from rt where t = k.n)",
     "ref_c13_donation_ebh": f"with {_BALANCE} select pos, 0.0::double as level, i <= m.r and g > 0 as fired, false as silent from k, m",

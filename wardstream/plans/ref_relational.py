@@ -294,9 +294,9 @@ def e13_rolling(spark, d):
     return evidence.rolling_p(ingest.positions(events_flows(spark, d), ["ts", "ingest_id"], "rn"), "rn", 50).select("ingest_id", r("p", 9).alias("p"))
 
 
-@query(f"with {_RANK}, g as (select unnest([1, 10, 100]) as k) select k, count_if(1 + above + ties <= k) as fired, count(*) as n, round(count_if(1 + above + ties <= k) / count(*), 9) as rate, round(k / (max(nc) + 1), 9) as nominal, round(count_if(1 + above + ties <= k) / count(*) / (k / (max(nc) + 1)), 6) as ratio from rk, g where label = 0 group by k")
+@query(f"with {_RANK}, g as (select unnest([1, 10, 100, 1000, 10000, 100000]) as k) select k, count_if(1 + above + ties <= k) as fired, count(*) as n, round(count_if(1 + above + ties <= k) / count(*), 9) as rate, round(k / (max(nc) + 1), 9) as nominal, round(count_if(1 + above + ties <= k) / count(*) / (k / (max(nc) + 1)), 6) as ratio from rk, g where label = 0 group by k")
 def e14_firing_rates(spark, d):
-    return evidence.firing_rates(_ranked(spark, d).where("label = 0"), [1, 10, 100]).select("k", "fired", "n", r("rate", 9).alias("rate"), r("nominal", 9).alias("nominal"), r("ratio").alias("ratio"))
+    return evidence.firing_rates(_ranked(spark, d).where("label = 0"), [1, 10, 100, 1000, 10_000, 100_000]).select("k", "fired", "n", r("rate", 9).alias("rate"), r("nominal", 9).alias("nominal"), r("ratio").alias("ratio"))
 
 
 # ---- grouping, orders, keys ----
@@ -314,12 +314,13 @@ def g01_episodes(spark, d):
 
 
 _NET = lambda c: f"case when len(string_split({c}, '.')) = 4 then regexp_replace({c}, '\\.[^.]*$', '') else {c} end"
-_FAM = {"src-dst": "src, dst", "src": "src", "dst": "dst", "subnet24": f"{_NET('src')}, {_NET('dst')}"}
+_FAM = {"src-dst": "src, dst", "src": "src", "dst": "dst", "subnet24": f"{_NET('src')}, {_NET('dst')}", "src-dport": "src, dport"}
+_PORTED = "f as (select f.ingest_id, f.ts, f.src, f.dst, m.dport from flows f left join meta m using (ingest_id) where f.ts is not null)"
 
 
-@query(f"with {_FLOW} " + " union all ".join(f"select '{n}' as family, {b or 0}::int as bucket_s, count(*) as t, max(c) as largest from (select count(*) as c from f group by {k}{f', floor(ts / {b}000000)' if b else ''})" for n, k in _FAM.items() for b in (300, 86400, None)))
+@query(f"with {_PORTED} " + " union all ".join(f"select '{n}' as family, {b or 0}::int as bucket_s, count(*) as t, max(c) as largest from (select count(*) as c from f group by {k}{f', floor(ts / {b}000000)' if b else ''})" for n, k in _FAM.items() for b in (300, 86400, None)))
 def g02_families(spark, d):
-    f, out = _flow(spark, d), None
+    f, out = _flow(spark, d).join(table(spark, d, "meta").select("ingest_id", "dport"), "ingest_id", "left"), None
     for name in _FAM:
         g, keys = episodes.with_family(f, name)
         for b in (300, 86400, None):
@@ -502,6 +503,17 @@ def a06_weights(spark, d):
     return out
 
 
+@query(f"""with f as (select f.ingest_id, f.src, f.dst, f.split, f.label, coalesce(m.dport, 0) as dport, case when f.f5 > 10000 then 1.0::double else 0.0::double end as e from flows f left join meta m using (ingest_id) where f.ts is not null and f.src is not null and f.dst is not null),
+p as (select dport, count(*)::double / sum(count(*)) over () as weight from f where split = 'cal' and label = 0 group by dport) select f.src, f.dst, round(coalesce(sum(coalesce(weight, 0.0) * e) / nullif(sum(coalesce(weight, 0.0)), 0), 0), 9) as ev from f left join p on p.dport = f.dport where split = 'deploy' group by 1, 2""")
+def a06_prior_port(spark, d):
+    """Weights committed before deployment, the share of a flow's port among the benign calibration flows, normalised within the group."""
+    f = flows(spark, d).where("ts is not null and src is not null and dst is not null").select("ingest_id", *KEYS, "split", "label", F.when(F.col("f5") > 10000, 1.0).otherwise(0.0).alias("e"))
+    f = f.join(table(spark, d, "meta").select("ingest_id", "dport"), "ingest_id", "left").withColumn("dport", F.coalesce("dport", F.lit(0)))
+    g = f.where("split = 'cal' and label = 0").groupBy("dport").agg(F.count("*").cast("double").alias("c"))
+    prior = g.join(F.broadcast(g.agg(F.sum("c").alias("n")))).select("dport", (F.col("c") / F.col("n")).alias("weight"))  # one row
+    return merging.prior_weighted(f.where("split = 'deploy'").withColumn("bucket", F.lit(0)), prior, KEYS, "dport").select(*KEYS, r("ev", 9).alias("ev"))
+
+
 _PV = f"{_RANK}, pv as (select src, dst, (above + 0.5 * (1 + ties)) / (nc + 1) as p from rk)"
 
 
@@ -659,7 +671,9 @@ def w04_state(spark, d):
     return s.select("src_cnt", "src_peers", r("src_fail", 9).alias("src_fail"), "dst_cnt", "dst_peers", r("dst_fail", 9).alias("dst_fail"))
 
 
-@query()
+@query(f"""with {_PAIR}, n as (select f.*, s, d from f, tp where ts <= t), c as (select count_if(src = s) as a, count(distinct case when src = s then dst end) as ap, count_if(src = s and f5 > 10000) as ab, count_if(dst = d) as b, count(distinct case when dst = d then src end) as bp, count_if(dst = d and f5 > 10000) as bb from n), k as (select unnest(range(1, 11))::int as k)
+select k, a + k - 1 as src_cnt, ap as src_peers, round(ab / greatest(a + k - 1, 1), 9) as src_fail, b + k - 1 as dst_cnt, bp as dst_peers, round(bb / greatest(b + k - 1, 1), 9) as dst_fail from c, k""")
 def w05_pad_contexts(spark, d):
     f, top = _pair(spark, d)
-    return hostfeatures.pad_contexts(hostfeatures.state_at(f, top.src, top.dst, top.t, F.col("f5") > 10000), 10)
+    c = hostfeatures.pad_contexts(hostfeatures.state_at(f, top.src, top.dst, top.t, F.col("f5") > 10000), 10)
+    return c.select("k", "src_cnt", "src_peers", r("src_fail", 9).alias("src_fail"), "dst_cnt", "dst_peers", r("dst_fail", 9).alias("dst_fail"))
\ No newline at end of file
