@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wardstream.functions.hashing import h63, key_hash
+from wardstream.functions.hashing import draw, h63, key_hash
 from wardstream.functions.special import zeta
 
 OUT = "stream string, pos long, bucket timestamp, key string, nsz long, ev double, level double, fired boolean"
@@ -25,7 +25,7 @@ OUT = "stream string, pos long, bucket timestamp, key string, nsz long, ev doubl
 
 def episodes_stream(flows: DataFrame, keys: list[str], seconds: int, late: str) -> DataFrame:
     """Closed buckets of a stream of flows with ``time`` (timestamp), ``e`` and keys: ``stream, bucket, key, h, nsz, ev``."""
-    codes = [F.xxhash64(F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys]
+    codes = [draw(F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys]
     f = flows.withColumns({"key": F.concat_ws("|", *keys), "h": h63(key_hash(codes))})
     g = f.withWatermark("time", late).groupBy(F.window("time", f"{seconds} seconds").alias("w"), "key", "h")
     a = g.agg(F.count("*").alias("nsz"), F.avg("e").alias("ev"))
