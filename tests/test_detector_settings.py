@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardstream.operators import detector
+from wardstream.operators import detector, metrics
+from wardstream.operators.order_stats import medians
 from wardstream.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -68,3 +69,46 @@ def test_fits_in_tasks_and_edges(spark):
     odd = forest.score(spark.createDataFrame([(0.0, 0.0), (9.0, -9.0)], "a double, b double")).collect()
     assert len(forest.forest) == 30 and odd[1].score > odd[0].score + 0.1
     assert detector.Isolation(["a", "b"]).fit(df.limit(0)).score(df.limit(3)).count() == 3
+
+
+def test_replaced_margins_are_those_of_changed_rows():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(3000, 4)), 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0) ^ (rng.random(3000) < 0.1)).astype(float)
+    for leaves in (8, 150):  # one word of leaves and several
+        m = detector.Histograms(20, 0.1, 3, 1.0, leaves).fit(x, y)
+        assert max((t[0] < 0).sum() for t in m.trees) > leaves / 2
+        fixed = [(1, 0.05), (0, -9.0), (1, 9.0), (3, 0.0)]
+        for got, (j, v) in zip(m.replaced(x, fixed), fixed):
+            assert got == pytest.approx(m.margin(np.where(np.arange(4) == j, v, x)), abs=1e-12)
+    assert detector.Histograms(5, 0.1, 1, 1.0, 8).fit(x[:0], y[:0]).replaced(x, [(0, 1.0)]).tolist() == [[0.0] * 3000]
+
+
+def test_ablation_is_one_pass_and_keeps_half_medians(spark):
+    rng = np.random.default_rng(3)
+    data = [(int(a), int(a > 5) if b < 0.9 else int(a <= 5), float(b) if i % 7 else None) for i, (a, b) in enumerate(zip(rng.integers(0, 12, 400), rng.random(400)))] 
+    df = spark.createDataFrame(data, "a long, label int, b double")
+    m = detector.Boosted(["a", "b"], 20, leaf=5).fit(df)
+    benign = df.where("label = 0").toPandas()
+    med = {c: float(np.median(benign[c].dropna())) for c in ("a", "b")}
+    assert medians(df.where("label = 0"), ["a", "b", "a"]) == pytest.approx([med["a"], med["b"], med["a"]])
+    assert medians(spark.createDataFrame([(1, None), (2, None), (2, None), (9, None), (4, None), (3, None)], "a long, b double"), ["b", "a"]) == [None, 2.5]
+    got = {r.column: r for r in metrics.aurocs(detector.ablations(m, df, df, ["a", "b"]), "column", "ablated").collect()}
+    p = df.toPandas()
+    for i, c in enumerate(("a", "b")):
+        s = m.model.margin(p.assign(**{c: med[c]})[["a", "b"]].fillna(0.0).to_numpy(dtype=float))
+        pos, neg = s[p.label == 1], s[p.label == 0]
+        want = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / len(pos) / len(neg)
+        assert (got[i].n_pos, got[i].n_neg) == (len(pos), len(neg)) and got[i].auroc == pytest.approx(want)
+
+
+def test_m08_does_not_work_out_the_host_features_for_every_column(spark):
+    """The flows are read a few times, whatever the number of ablated columns."""
+    spark.sparkContext.setJobGroup("m08", "m08")
+    try:
+        got = registry.queries()["ref_m08_ablation"](spark, "/root/testdata/sf0.001").collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("m08"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert [r.column for r in got] == detector.HOST_COLUMNS and len({(r.n_pos, r.n_neg) for r in got}) == 1 and all(0 <= r.auroc <= 1 for r in got)
+    assert jobs < 100

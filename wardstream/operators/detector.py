@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from wardstream.functions.columns import finite
 from wardstream.functions.special import harmonic
 from wardstream.operators.hostfeatures import host_features, pad_contexts
-from wardstream.operators.order_stats import percentiles
+from wardstream.operators.order_stats import medians, percentiles
+from wardstream.runtime import stored
 from wardstream.schema import FEATURES
 
 BINS = 255
@@ -133,6 +134,47 @@ class Histograms:
             out += value[at]
         return out
 
+    def kept(self) -> list[tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]]:
+        """Every tree as bits, one for a leaf, in words of 64: all leaves; those that each bin of a feature keeps, for the features it cuts; and the leaves' values, 0 behind each word."""
+        out = []
+        for f, cut, left, right, value in self.trees:
+            leaves, inner = np.flatnonzero(f < 0), np.flatnonzero(f >= 0)
+            word, bit = np.divmod(np.arange(len(leaves)), 64)
+            below = np.zeros((len(f), word[-1] + 1), np.uint64)
+            below[leaves, word] = np.uint64(1) << bit.astype(np.uint64)
+            for at in inner[::-1]:  # children come after their parent
+                below[at] = below[left[at]] | below[right[at]]
+            bits: dict[int, np.ndarray] = {}
+            for at in inner:
+                k, past = bits.setdefault(int(f[at]), np.repeat(below[0][:, None], BINS + 1, axis=1)), int(cut[at]) + 1
+                k[:, :past] &= ~below[right[at]][:, None]
+                k[:, past:] &= ~below[left[at]][:, None]
+            values = np.zeros((word[-1] + 1, 65))
+            values[word, bit] = value[leaves]
+            out.append((below[0], bits, values))
+        return out
+
+    def replaced(self, x: np.ndarray, fixed: list[tuple[int, float]], kept: list | None = None) -> np.ndarray:
+        """The margins with one feature set to a value, a row of results for every (feature, value): what all features keep of a tree is one leaf."""
+        out = np.full((len(fixed), len(x)), self.base)
+        if not self.trees or not len(x):
+            return out
+        b = np.ascontiguousarray(self.bin(x).T).astype(np.intp)
+        to = [int(np.searchsorted(self.edges[j], v, side="left")) for j, v in fixed]
+        places = {j for j, _ in fixed}
+        for root, bits, values in kept or self.kept():
+            for w in range(len(root)):
+                rest = np.full(len(x), root[w])
+                for j in bits.keys() - places:
+                    rest &= bits[j][w][b[j]]
+                own = {j: bits[j][w][b[j]] for j in bits.keys() & places}
+                for i, (j, _) in enumerate(fixed):
+                    m = rest & bits[j][w][to[i]] if j in own else rest.copy()
+                    for k in own.keys() - {j}:
+                        m &= own[k]
+                    out[i] += values[w][np.bitwise_count(m - np.uint64(1))]  # the place of the one bit; 64 without any
+        return out
+
 
 class Boosted:
     """Gradient boosting; the score is the raw margin. Rows without a label don't train.
@@ -267,9 +309,12 @@ HOST_COLUMNS = ["src_cnt", "src_peers", "src_fail", "dst_cnt", "dst_peers", "dst
 def host_conditioned(flows: DataFrame, failed, train: str, seed: int = 0, **settings) -> tuple[Boosted, DataFrame]:
     """A detector on the flow's features and the six causal host features, fitted where ``train`` (SQL) holds; and the flows with both.
 
-    ``flows`` needs ``ts, src, dst, ingest_id, label`` and the features; ``failed`` marks failed connections.
+    ``flows`` needs ``ts, src, dst, ingest_id`` (unique), ``label`` and the features; ``failed`` marks failed connections.
+    The host features are worked out once, without the other columns, and the flows with them are stored.
     """
-    wide = host_features(flows, failed)
+    links = stored(flows.select("ts", "src", "dst", "ingest_id", failed.alias("__failed")), "links")
+    hosts = host_features(links, F.col("__failed")).select("ingest_id", *HOST_COLUMNS)
+    wide = stored(flows.join(hosts, "ingest_id", "left"), "flows")
     return Boosted([*FEATURES, *HOST_COLUMNS], seed=seed, **settings).fit(wide.where(train)), wide
 
 
@@ -291,6 +336,21 @@ def ablated(model: Boosted, train: DataFrame, test: DataFrame, column: str, name
     return model.score(kept, name).withColumn(column, F.col("__keep")).drop("__keep")
 
 
+def ablations(model: Boosted, train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
+    """Scores with each of ``columns`` in turn set to its median among benign training rows: ``column`` (its place in ``columns``), ``label, ablated``. One pass over each table."""
+    fixed = [(model.columns.index(c), 0.0 if m is None or not math.isfinite(m) else m) for c, m in zip(columns, medians(train.where("label = 0"), columns))]
+    shared, m = test.sparkSession.sparkContext.broadcast(model.model), len(model.columns)  # trees of at most ``leaves`` leaves
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = shared.value.kept()
+        for b in batches:
+            scores = shared.value.replaced(_rows(b.column(0), m), fixed, kept)
+            for i, s in enumerate(scores):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int32)), b.column(1), pa.array(s)], names=["column", "label", "ablated"])
+
+    return test.select(_vector(model.columns).alias("x"), F.col("label").cast("int").alias("label")).mapInArrow(run, "column int, label int, ablated double")
+
+
 def pad_fire_rate(model: Boosted, pads: DataFrame, state: DataFrame, count: int, kth: float, known_pair: bool = True) -> DataFrame:
     """Share of pads over the threshold when appended as the k-th to a host pair in a given state: ``k, rate``."""
     ctx = pad_contexts(state, count, known_pair)

@@ -17,14 +17,15 @@ from wardstream.schema import SECOND
 SLICE_S = 3600
 
 
-def before(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Column], slice_s: int = SLICE_S) -> DataFrame:
+def before(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Column], slice_s: int = SLICE_S, of: DataFrame | None = None) -> DataFrame:
     """Adds, for every name in ``sums``, the sum of its column over rows of the same key with a strictly earlier ``ts`` (0 if none).
+    The rows summed are those of ``of``, which has the keys, ``ts`` and the columns of ``sums``; ``df`` itself by default.
 
     Null keys form a key of their own; rows with a null ts get 0 and count for nobody.
     """
     k = [f"__h{i}" for i in range(len(keys))]
     key = [F.col(c).alias(n) for c, n in zip(keys, k)]
-    at = df.where(F.col(ts).isNotNull()).select(*key, F.col(ts).alias("__t"), *[c.alias(n) for n, c in sums.items()])
+    at = (df if of is None else of).where(F.col(ts).isNotNull()).select(*key, F.col(ts).alias("__t"), *[c.alias(n) for n, c in sums.items()])
     at = at.groupBy(*k, "__t").agg(*[F.sum(n).alias(f"__s{i}") for i, n in enumerate(sums)])
     at = at.withColumn("__z", F.col("__t") - F.pmod("__t", F.lit(slice_s * SECOND)))
     within = W.partitionBy(*k, "__z").orderBy("__t").rowsBetween(W.unboundedPreceding, -1)

@@ -8,19 +8,15 @@ from pyspark.sql import functions as F
 from wardstream.operators.history import before
 
 
-def first_contact(flows: DataFrame, a: str, b: str, ts: str = "ts") -> DataFrame:
-    """Adds ``__new``: whether this is the pair's first row by (ts, ingest_id)."""
-    first = flows.where(F.col(ts).isNotNull()).groupBy(F.col(a).alias("__x"), F.col(b).alias("__y")).agg(F.min(F.struct(F.col(ts), F.col("ingest_id"))).alias("__f"))
-    j = flows.join(first, flows[a].eqNullSafe(first["__x"]) & flows[b].eqNullSafe(first["__y"]), "left")
-    return j.withColumn("__new", F.coalesce((F.col("__f.ingest_id") == F.col("ingest_id")).cast("long"), F.lit(0).cast("long"))).drop("__x", "__y", "__f")
-
-
 def host_features(flows: DataFrame, failed: Column) -> DataFrame:
     """Adds ``src_cnt, src_peers, src_fail, dst_cnt, dst_peers, dst_fail``: flows, distinct peers and share of failed
     connections of the source (of the destination) over flows with a strictly earlier ts. Needs ``ts, src, dst, ingest_id``."""
-    out = flows.withColumn("__bad", F.coalesce(failed, F.lit(False)).cast("long"))
-    for side, peer in (("src", "dst"), ("dst", "src")):
-        out = before(first_contact(out, side, peer), [side], "ts", {f"{side}_cnt": F.lit(1).cast("long"), f"{side}_peers": F.col("__new"), "__f": F.col("__bad")}).drop("__new")
+    rows = flows.withColumn("__bad", F.coalesce(failed, F.lit(False)).cast("long"))
+    met = rows.where("ts is not null").groupBy("src", "dst").agg(F.min("ts").alias("ts"))  # a peer counts from the pair's first flow on, for both hosts
+    out = rows
+    for side in ("src", "dst"):
+        seen = rows.selectExpr(side, "ts", "1L as __n", "0L as __new", "__bad").union(met.selectExpr(side, "ts", "0L", "1L", "0L"))
+        out = before(out, [side], "ts", {f"{side}_cnt": F.col("__n"), f"{side}_peers": F.col("__new"), "__f": F.col("__bad")}, of=seen)
         out = out.withColumn(f"{side}_fail", F.col("__f") / F.greatest(F.col(f"{side}_cnt"), F.lit(1))).drop("__f")
     return out.drop("__bad")
 

@@ -23,6 +23,13 @@ def auroc(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
     return g.select("n_pos", "n_neg", F.try_divide("u", F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
+def aurocs(df: DataFrame, by: str, score: str = "score", label: str = "label") -> DataFrame:
+    """:func:`auroc` for every value of ``by`` that has rows, all numbered together: ``by, n_pos, n_neg, auroc``."""
+    c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.struct(F.col(by).alias("by"), F.col(score).alias("s")).alias("k")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    g = running(c, "k", "q", "b").groupBy(F.col("k.by").alias(by)).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.min("b").alias("first"), F.sum(F.col("p") * (F.col("b") + F.col("q") / 2.0)).alias("u"))
+    return g.select(by, "n_pos", "n_neg", F.try_divide(F.col("u") - F.col("n_pos") * F.col("first"), F.col("n_pos") * F.col("n_neg")).alias("auroc"))
+
+
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Min, median, max, mean, sample sd and number of non-null values per group."""
     v = F.col(value)

@@ -41,3 +41,16 @@ def percentiles(df: DataFrame, column, shares: list[float]) -> list[float | None
     hits = r.select("v", F.explode(F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (p >= F.col("b")) & (p < F.col("b") + F.col("c")))).alias("p"))
     value = {row.p: row.v for row in hits.collect()}  # two rows per share at most
     return [value[math.floor(x)] + (x - math.floor(x)) * (value[math.ceil(x)] - value[math.floor(x)]) for x in at]
+
+
+def medians(df: DataFrame, columns: list[str]) -> list[float | None]:
+    """:func:`percentiles` at one half for several columns, whose values are numbered together."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    r = running(df.select(each.alias("k")).where("k.v is not null").groupBy("k").agg(F.count("*").alias("c")), "k", "c", "b")
+    at = {x.i: x.b + (x.n - 1) / 2 for x in r.groupBy("k.i").agg(F.min("b").alias("b"), F.sum("c").alias("n")).collect()}  # one row per column
+    if not at:
+        return [None] * len(columns)
+    places = sorted({int(p) for x in at.values() for p in (math.floor(x), math.ceil(x))})
+    hits = r.select("k.v", F.explode(F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (p >= F.col("b")) & (p < F.col("b") + F.col("c")))).alias("p"))
+    value = {row.p: row.v for row in hits.collect()}  # two rows per column at most
+    return [(value[math.floor(at[i])] + value[math.ceil(at[i])]) / 2 if i in at else None for i in range(len(columns))]
