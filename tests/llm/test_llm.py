@@ -315,6 +315,15 @@ def test_statistics_and_edges(spark):
     assert quality.not_prose(d.limit(0)).count() == 0
 
 
+def test_sentences_are_counted_in_every_text(spark):
+    said = "No. " * 20 + " ".join(f"word{i}" for i in range(100))
+    d = spark.createDataFrame([(1, PROSE), (2, said), (3, "Same. Same. Same. "), (4, " \n"), (5, None), (6, "it is so. " * 12)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.text_quality(d).collect()}
+    assert [got[i].n_sentences for i in range(1, 7)] == [2, 21, 4, 0, 0, 13]
+    assert [got[i].repeated_sentence_share for i in range(1, 7)] == pytest.approx([0, 19 / 21, 2 / 4, 0, 0, 11 / 13])
+    assert got[2].kind == "prose" and "said_again" not in got[2].reasons and "said_again" in got[6].reasons and got[6].kind == "junk"
+
+
 def test_the_kind_follows_from_the_reasons(spark):
     rules = list(quality.RULES)
     cases = [([], "prose"), (["too_few_words", "line_ends"], "prose"), (["garbled"], "junk"), (["said_again", "table_lines"], "table"), (["list_lines", "one_pair"], "junk"), (["list_lines"], "list"), (["partly_table"], "prose"), (["line_ends", "partly_table"], "table"), (["junk_lines", "table_lines"], "junk")]

@@ -64,6 +64,9 @@ LAYOUT = {
     "partly_list": "prose_share < 0.5 and list_share > 0.4 and list_share >= greatest(table_share, junk_share)",
 }
 RULES = PUBLISHED | SIGNS | LAYOUT
+#: Where words recur, too. Sentences are counted in every text, but said again only here are they a sign.
+RECURRING = "n_words >= 8 and distinct_word_share <= 0.25"
+ONLY = {"said_again": RECURRING}
 
 _COMMON = "|".join(sorted({w for v in COMMON.values() for w in v}))
 _MARK = r"(?:[-*+•‣◦·–—]|\(?[0-9]{1,3}[.):]|\(?[A-Za-z][.)]|[A-Za-z]{1,3}[0-9]+(?:[-.][0-9]+)*[.:)]|\[[ xX]\])[ \t]+"
@@ -195,15 +198,10 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "common_share": _ratio(common, words), "symbol_ratio": _ratio(_ints(pc.count_substring_regex(t, r"#|\.\.\.|…")), words), "top_pair_share": _ratio(top, solid),
     }
 
-    # Signs of no language. Sentences are looked at where words recur so much that they might, too.
-    scant = (vocabulary <= 0.25 * words) & (words >= 8)
-    said, parts = np.zeros(n), np.zeros(n)
-    rows = np.flatnonzero(scant)
-    if len(rows):
-        sentence, of = _pieces(pc.split_pattern_regex(t.take(pa.array(rows)), _SENTENCES))
-        tag = _ints(pc.dictionary_encode(pc.ascii_trim_whitespace(sentence)).indices)
-        parts[rows] = np.bincount(of, minlength=len(rows))
-        said[rows] = np.bincount(_tally(of * (1 << 32) + tag)[0] >> 32, minlength=len(rows))
+    # Sentences of every text with words, and signs of no language.
+    sentence, of = _pieces(pc.split_pattern_regex(t, _SENTENCES))
+    tag = _ints(pc.dictionary_encode(pc.ascii_trim_whitespace(sentence)).indices)
+    parts, said = np.where(words > 0, count(of), 0), np.where(words > 0, count(_tally(of * (1 << 32) + tag)[0] >> 32), 0)
     rare = _ints(pc.count_substring_regex(t, _RARE)) - 2 * _ints(pc.count_substring_regex(t, _BULLET_BOX))
     out |= {
         "distinct_word_share": _ratio(vocabulary, words), "n_sentences": parts.astype(np.int64), "repeated_sentence_share": _ratio(parts - said, parts), "weird_share": _ratio(_ints(pc.count_substring_regex(t, _WEIRD)), chars),
@@ -216,8 +214,7 @@ def text_quality(documents: DataFrame) -> DataFrame:
     """Statistics, failed rules and kind of every document.
 
     Columns: ``doc_id``; the counts and shares of :data:`COUNTS` and :data:`STATISTICS` (``top_pair_share``:
-    characters in the pair of words that takes most; ``n_sentences`` and ``repeated_sentence_share`` only
-    where at most a quarter of the words are distinct, else 0; ``list_share``, ``table_share``,
+    characters in the pair of words that takes most, of those that recur; ``list_share``, ``table_share``,
     ``junk_share``, ``prose_share``: characters by the layout of their line); ``reasons`` (failed rules, in
     the order of :data:`RULES`) and ``kind`` (list, table, junk, or prose; null for null and blank texts,
     whose figures are 0 and which fail no rule).
@@ -234,7 +231,7 @@ def text_quality(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[c]) for c in (*COUNTS, *STATISTICS))], names=["doc_id", *COUNTS, *STATISTICS])
 
     s = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    reasons = F.array_compact(F.array(*[F.when(F.expr(r), F.lit(n)) for n, r in RULES.items()]))
+    reasons = F.array_compact(F.array(*[F.when(F.expr(f"({r}) and ({ONLY.get(n, 'true')})"), F.lit(n)) for n, r in RULES.items()]))
     return s.withColumn("reasons", F.when(F.col("n_words") > 0, reasons).otherwise(F.array().cast("array<string>"))).withColumn("kind", F.expr(kind_of("reasons", "n_words")))
 
 
